@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, embed_dedup, langid, packing, pii, secrets, simhash, toxicity, warc
+from millrace.llm import decontam, embed_dedup, langid, packing, pii, secrets, simhash, suffix_dedup, toxicity, warc
 from millrace.llm.common import prepare, read
 
 
@@ -43,6 +43,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(prepare(spark), sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(prepare(spark), sf_dir, "documents"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(prepare(spark), sf_dir, "pages")
     resolved = warc.resolve_revisits(warc.captures(pages))
@@ -103,5 +107,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op9_warc_revisits, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination)}
 ORACLE_SQL = {"op9_warc_revisits": _OP9, "op10_decontamination": _OP10}
