@@ -5,12 +5,13 @@ earlier in the same document.
 
 Every window of ``length`` bytes holds one anchor, the leftmost of its ``length // 2 - 2``-byte grams with the least
 hash, so equal windows have equal anchors at equal places, and all windows around one anchor occurrence form one
-stretch of text. A first pass keeps the anchors that occur twice, as a bit filter of bounded size: a full filter
-lets more through but loses nothing. A second pass sends the stretches around these anchors to buckets by anchor;
-equal stretches within a batch have been collapsed to the earliest by then. In a bucket, the stretches, cut into
-symbols on both sides of their anchors, make two texts whose suffix arrays order them by what follows and by what
-precedes the anchor. Common-prefix lengths of neighbours then say which windows are equal, and all but the earliest
-of each class go. Nothing is decided by a hash alone.
+stretch of text. The first pass keeps the anchors that occur twice, as a bit filter of bounded size: a full filter
+lets more through but loses nothing. The second compares the stretches around these anchors by hash; where all are
+equal, each but the earliest goes. The third sends the stretches around the other anchors, a few per cent of the
+text, to buckets by anchor. There, cut into symbols on both sides of their anchors, they make two texts whose suffix
+arrays order them by what follows and by what precedes the anchor; common-prefix lengths of neighbours say which
+windows are equal, and all but the earliest of each class go. Before every exchange, equal stretches of a batch
+collapse to the earliest, so that a passage in very many documents costs a row per batch.
 
 The suffix array is built in two phases. Suffixes are grouped by Lyndon prefix, groups in descending order: the
 members of a group extend the previous smaller suffixes that they point to, which split off into groups of their
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from millrace.llm.common import cut, partitions, per_group, prepare
 
@@ -312,11 +314,54 @@ def resolve(h: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, l
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
+def copies(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Bytes to remove around anchors that all their stretches surround alike, and the anchors with several surroundings.
+
+    ``c`` is a hash of the stretch: with the anchor's own hash, 128 bits tell stretches apart.
+    """
+    order = np.lexsort((at, doc, c, h))
+    h, c, doc, at, first, last = (x[order] for x in (h, c, doc, at, first, last))
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    group = np.cumsum(new) - 1
+    kinds = np.bincount(group, weights=np.concatenate([[True], new[1:] | (c[1:] != c[:-1])]))
+    start = np.flatnonzero(new)[group]
+    later = (kinds[group] == 1) & ((doc != doc[start]) | (at != at[start]))
+    return (doc[later], first[later], last[later] + length), h[new][kinds > 1]
+
+
 # --- distributed passes -------------------------------------------------------------------------------------
 
 
+def by_bucket(h: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices of its hashes) for the buckets that have some."""
+    order = np.argsort(h, kind="stable")
+    bounds = np.searchsorted(bucket_of(h[order], bucket_bits), np.arange((1 << bucket_bits) + 1))
+    for bucket in np.flatnonzero(np.diff(bounds)):
+        yield int(bucket), order[bounds[bucket] : bounds[bucket + 1]]
+
+
+def rows_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+
+
+def filter_of(hashes: DataFrame, bucket_bits: int) -> Filter:
+    """A filter that holds the anchors in (bucket, n, hashes binary). Its slices are made on the executors."""
+    n = hashes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
+    kept = Filter(bucket_bits, min(MOST_BITS, 1 << (12 * n + 64).bit_length()))
+    slim = Filter(bucket_bits, 0)
+    slim.slice_bits = kept.slice_bits
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows_of([(k, slim.slice_of(np.frombuffer(b, dtype=np.uint64))) for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    for bucket, data in hashes.where("n > 0").select("bucket", "hashes").mapInArrow(slices, "bucket long, data binary").toLocalIterator():
+        kept.put(bucket, bytes(data))
+    return kept
+
+
 def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
-    """A filter that holds every anchor hash that occurs twice."""
+    """A filter that holds every anchor that occurs twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,83 +370,109 @@ def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
             keep = np.ones(len(h), dtype=bool)
             keep[2:] = h[2:] != h[:-2]  # twice is enough
             h = h[keep]
-            bounds = np.searchsorted(bucket_of(h, bucket_bits), np.arange((1 << bucket_bits) + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            rows = [h[bounds[b] : bounds[b + 1]].tobytes() for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(rows, pa.binary())], ["bucket", "hashes"])
+            yield rows_of([(b, h[own].tobytes()) for b, own in by_bucket(h, bucket_bits)])
 
     def twice(group: pd.DataFrame) -> pa.RecordBatch:
-        h = np.sort(np.frombuffer(b"".join(group["hashes"]), dtype=np.uint64))
+        h = np.sort(np.frombuffer(b"".join(group["data"]), dtype=np.uint64))
         again = np.unique(h[1:][h[1:] == h[:-1]])
         return pa.RecordBatch.from_arrays([pa.array([int(group["bucket"].iloc[0])], pa.int64()), pa.array([len(again)], pa.int64()), pa.array([again.tobytes()], pa.binary())], ["bucket", "n", "hashes"])
 
-    repeats = cut(per_group(docs.mapInArrow(emit, "bucket long, hashes binary"), ["bucket"], twice, "bucket long, n long, hashes binary"))
-    n = repeats.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
-    kept = Filter(bucket_bits, min(MOST_BITS, 1 << (12 * n + 64).bit_length()))
-    slim = Filter(bucket_bits, 0)
-    slim.slice_bits = kept.slice_bits
+    return filter_of(cut(per_group(docs.mapInArrow(emit, "bucket long, data binary"), ["bucket"], twice, "bucket long, n long, hashes binary")), bucket_bits)
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [slim.slice_of(np.frombuffer(b, dtype=np.uint64)) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["bucket", "bits"])
 
-    for bucket, data in repeats.where("n > 0").select("bucket", "hashes").mapInArrow(slices, "bucket long, bits binary").toLocalIterator():
-        kept.put(bucket, bytes(data))
-    return kept
+def stretches(texts: pa.RecordBatch, known: Filter, length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(hash, document, anchor, first window, last window, bytes) around the anchors that ``known`` holds."""
+    for doc, text in zip(texts.column(0).to_pylist(), texts.column(1).to_pylist(), strict=True):
+        data = encoded(text)
+        found = anchors(np.frombuffer(data, dtype=np.uint8), length)
+        some = np.flatnonzero(known.holds(found[0]))
+        for h, at, a, b in zip(*(v[some].tolist() for v in found), strict=True):
+            yield h, doc, at, a, b, data[a : b + length]
 
 
 def removals(docs: DataFrame, length: int, bucket_bits: int) -> DataFrame:
-    """(doc_id, cuts array<long>): byte ranges to remove, from and to in one number, overlapping and unordered."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, length, bucket_bits))
+    """(doc_id, cuts binary): byte ranges to remove, from and to in one number, apart from each other and in order."""
+    context = docs.sparkSession.sparkContext
+    repeated = context.broadcast(repeated_anchors(docs, length, bucket_bits))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, int, bytes], tuple[int, int, int, int]] = {}
+            best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
             lost: list[tuple[int, int, int]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encoded(text)
-                h, at, first, last = anchors(np.frombuffer(data, dtype=np.uint8), length)
-                some = np.flatnonzero(shared.value.holds(h)) if len(h) else ()
-                for x, p, a, b in zip(*(v[some].tolist() for v in (h, at, first, last)), strict=True) if len(some) else ():
-                    key, mine = (x, p - a, data[a : b + length]), (doc, p, a, b)
-                    known = best.get(key)
-                    if known is None:
-                        best[key] = mine
-                    elif known[:2] != mine[:2]:  # the earliest goes on, the other is a copy for sure
-                        later = max(known, mine)
-                        best[key] = min(known, mine)
-                        lost.append((later[0], later[2], later[3] + length))
+            for h, doc, at, a, b, text in stretches(batch, repeated.value, length):
+                key, mine = (h, xxh64_intdigest(text, at - a)), (doc, at, a, b)
+                other = best.setdefault(key, mine)
+                if other[:2] != mine[:2]:  # the earliest goes on, the other is a copy for sure
+                    later = max(other, mine)
+                    best[key] = min(other, mine)
+                    lost.append((later[0], later[2], later[3] + length))
             if best:
-                h = np.array([k[0] for k in best], dtype=np.uint64)
-                rest = np.array(list(best.values()), dtype=np.int64)
-                texts = [k[2] for k in best]
-                order = np.argsort(h, kind="stable")
-                bounds = np.searchsorted(bucket_of(h[order], bucket_bits), np.arange((1 << bucket_bits) + 1))
-                some = np.flatnonzero(np.diff(bounds))
-                rows = []
-                for b in some:
-                    own = order[bounds[b] : bounds[b + 1]]
-                    rows.append(packed(h[own].view(np.int64), *(np.ascontiguousarray(rest[own, c]) for c in range(4)), np.frombuffer(b"".join(texts[k] for k in own), dtype=np.uint8)))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(rows, pa.binary())], ["bucket", "data"])
+                keys, rest = np.array(list(best), dtype=np.uint64), np.array(list(best.values()), dtype=np.int64)
+                columns = [keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), *rest.T]
+                yield rows_of([(k, packed(*(c[own] for c in columns))) for k, own in by_bucket(keys[:, 0], bucket_bits)])
             if lost:
                 spans = np.array(lost, dtype=np.int64)
-                columns = [np.ascontiguousarray(spans[:, c]) for c in range(3)]
-                passed = -1 - int(spans[0, 0] % (1 << bucket_bits))
-                yield pa.RecordBatch.from_arrays([pa.array([passed], pa.int64()), pa.array([packed(*columns)], pa.binary())], ["bucket", "data"])
-
-    def work(group: pd.DataFrame) -> pa.RecordBatch:
-        if group["bucket"].iloc[0] < 0:  # found within a batch
-            parts = [unpacked(d, 3)[:3] for d in group["data"]]
-            doc, begin, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                yield rows_of([(-1 - int(spans[0, 0] % (1 << bucket_bits)), packed(*spans.T))])
+
+    def same(group: pd.DataFrame) -> pa.RecordBatch:
+        bucket, several = int(group["bucket"].iloc[0]), np.zeros(0, dtype=np.uint64)
+        if bucket < 0:  # found within a batch
+            parts = [unpacked(d, 3) for d in group["data"]]
+            spans = [np.concatenate([p[k] for p in parts]) for k in range(3)]
         else:
-            parts = [unpacked(d, 5) for d in group["data"]]
-            doc, begin, end = resolve(*(np.concatenate([p[k] for p in parts]) for k in range(6)), length)
-        doc, spans = merged(doc, begin, end)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(spans)], ["doc_id", "span"])
+            parts = [unpacked(d, 6) for d in group["data"]]
+            h, *rest = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            spans, several = copies(h.view(np.uint64), *rest, length)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([len(several)], pa.int64()), pa.array([several.tobytes()], pa.binary()), pa.array([packed(*spans)], pa.binary())], ["bucket", "n", "hashes", "spans"])
+
+    alike = cut(per_group(docs.mapInArrow(hashed, "bucket long, data binary"), ["bucket"], same, "bucket long, n long, hashes binary, spans binary"))
+    unlike = context.broadcast(filter_of(alike.select("bucket", "n", "hashes"), bucket_bits))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple[int, int, bytes], tuple[int, int, int, int]] = {}
+            lost: list[tuple[int, int, int]] = []
+            for h, doc, at, a, b, text in stretches(batch, unlike.value, length):
+                key, mine = (h, at - a, text), (doc, at, a, b)
+                other = best.setdefault(key, mine)
+                if other[:2] != mine[:2]:
+                    later = max(other, mine)
+                    best[key] = min(other, mine)
+                    lost.append((later[0], later[2], later[3] + length))
+            if best:
+                h, rest, texts = np.array([k[0] for k in best], dtype=np.uint64), np.array(list(best.values()), dtype=np.int64), [k[2] for k in best]
+                columns = [h.view(np.int64), *rest.T]
+                yield rows_of([(k, packed(*(c[own] for c in columns), np.frombuffer(b"".join(texts[i] for i in own), dtype=np.uint8))) for k, own in by_bucket(h, bucket_bits)])
+            if lost:
+                spans = np.array(lost, dtype=np.int64)
+                yield rows_of([(-1 - int(spans[0, 0] % (1 << bucket_bits)), packed(*spans.T))])
+
+    def by_document(spans: Sequence[np.ndarray]) -> pa.RecordBatch:
+        doc, span = merged(*spans)
+        part = doc % (1 << bucket_bits)
+        return rows_of([(int(k), packed(doc[part == k], span[part == k])) for k in np.unique(part)])
+
+    def decide(group: pd.DataFrame) -> pa.RecordBatch:
+        if group["bucket"].iloc[0] < 0:
+            parts = [unpacked(d, 3) for d in group["data"]]
+            return by_document([np.concatenate([p[k] for p in parts]) for k in range(3)])
+        parts = [unpacked(d, 5) for d in group["data"]]
+        return by_document(resolve(*(np.concatenate([p[k] for p in parts]) for k in range(6)), length))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield by_document(unpacked(data, 3)[:3])
+
+    def gathered(group: pd.DataFrame) -> pa.RecordBatch:
+        parts = [unpacked(d, 2) for d in group["data"]]
+        doc, span = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        doc, span = merged(doc, span >> 32, span & 0xFFFFFFFF)
+        bounds = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        return pa.RecordBatch.from_arrays([pa.array(doc[bounds[:-1]]), pa.array([span[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "cuts"])
 
-    found = per_group(docs.mapInArrow(emit, "bucket long, data binary"), ["bucket"], work, "doc_id long, span long")
-    return found.groupBy("doc_id").agg(F.collect_list("span").alias("cuts"))
+    found = per_group(docs.mapInArrow(whole, "bucket long, data binary"), ["bucket"], decide, "bucket long, data binary")
+    return per_group(found.union(alike.select("spans").mapInArrow(passed, "bucket long, data binary")), ["bucket"], gathered, "doc_id long, cuts binary")
 
 
 def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -421,7 +492,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, kept binary, starts, ends) of every row: the bytes that stay and the removed runs."""
     spark = prepare(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    bucket_bits = max(4, (2 * partitions(spark) - 1).bit_length())
+    bucket_bits = max(4, (4 * partitions(spark) - 1).bit_length())
     cuts = removals(slim.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, bucket_bits)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,9 +500,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = encoded(text)
-                packed_spans = np.array(spans or [], dtype=np.int64)
-                begin, end = packed_spans >> 32, packed_spans & 0xFFFFFFFF
-                _, whole = merged(np.zeros(len(begin), dtype=np.int64), begin, end)
+                whole = np.frombuffer(spans or b"", dtype=np.int64)
                 begin, end = (whole >> 32).tolist(), (whole & 0xFFFFFFFF).tolist()
                 edges = [0, *(x for pair in zip(begin, end, strict=True) for x in pair), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
