@@ -6,12 +6,13 @@ earlier in the same document.
 Every window of ``length`` bytes holds one anchor, the leftmost of its ``length // 2 - 2``-byte grams with the least
 hash, so equal windows have equal anchors at equal places, and all windows around one anchor occurrence form one
 stretch of text. The first pass keeps the anchors that occur twice, as a bit filter of bounded size: a full filter
-lets more through but loses nothing. The second compares the stretches around these anchors by hash; where all are
-equal, each but the earliest goes. The third sends the stretches around the other anchors, a few per cent of the
-text, to buckets by anchor. There, cut into symbols on both sides of their anchors, they make two texts whose suffix
-arrays order them by what follows and by what precedes the anchor; common-prefix lengths of neighbours say which
-windows are equal, and all but the earliest of each class go. Before every exchange, equal stretches of a batch
-collapse to the earliest, so that a passage in very many documents costs a row per batch.
+lets more through but loses nothing. The second compares the stretches around these anchors by hash: each but the
+earliest of equal ones goes, and the earliest of every kind are named where an anchor has several kinds of
+surroundings. The third sends just these, a few per cent of the text, to buckets by anchor. There, cut into symbols
+on both sides of their anchors, they make two texts whose suffix arrays order them by what follows and by what
+precedes the anchor; common-prefix lengths of neighbours say which windows are equal, and all but the earliest of
+each class go. Before the exchanges, equal stretches of a batch collapse to the earliest, so that a passage in very
+many documents costs a row per batch.
 
 The suffix array is built in two phases. Suffixes are grouped by Lyndon prefix, groups in descending order: the
 members of a group extend the previous smaller suffixes that they point to, which split off into groups of their
@@ -30,13 +31,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from millrace.llm.common import cut, partitions, per_group, prepare
 
 LENGTH = 100
 #: Bytes of one text that are hashed at a time.
 CHUNK = 1 << 20
+#: Places within what is hashed at a time.
+PLACES = (1 << 21) - 1
 #: Bits of the filter of repeated anchors: about 12 for each anchor, this many at most (64 MB).
 MOST_BITS = 1 << 29
 
@@ -138,27 +140,65 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor position, first window, last window) for each stretch of windows with one anchor."""
+def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """(row, offset, data) of texts joined to about CHUNK bytes; a longer text comes in pieces that overlap by a window."""
+    rows, offsets, parts, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, CHUNK):
+            part = text[at : at + CHUNK + length - 1]
+            if parts and size + len(part) > CHUNK:
+                yield np.repeat(rows, [len(p) for p in parts]), np.concatenate([np.arange(o, o + len(p)) for o, p in zip(offsets, parts, strict=True)]), b"".join(parts)
+                rows, offsets, parts, size = [], [], [], 0
+            rows.append(row)
+            offsets.append(at)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield np.repeat(rows, [len(p) for p in parts]), np.concatenate([np.arange(o, o + len(p)) for o, p in zip(offsets, parts, strict=True)]), b"".join(parts)
+
+
+_POWERS: list[np.ndarray] = []
+_ONE = np.ones(1, dtype=np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base modulo 2 ** 64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([_ONE, np.full(max(n, 1 << 16) - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """One entry for each stretch of windows with one anchor: hash of the anchor's gram, hash of the stretch and
+    its anchor's place in it, row of the text, place of the anchor, first window, last window."""
     gram = gram_of(length)
-    parts = []
-    for at in range(0, len(data) - length + 1, CHUNK):
-        h = gram_hashes(data[at : at + CHUNK + length - 1], gram)
-        width = length - gram + 1
-        best, size = np.arange(len(h)), 1
+    width = length - gram + 1
+    found: list[list[np.ndarray]] = []
+    for row, offset, joined in segments(texts, length):
+        data = np.frombuffer(joined, dtype=np.uint8)
+        h = gram_hashes(data, gram)
+        best, size = (h & ~np.uint64(PLACES)) | np.arange(len(h), dtype=np.uint64), 1  # equal hashes: the leftmost
         while 2 * size <= width:
-            best = np.where(h[best[size:]] < h[best[:-size]], best[size:], best[:-size])
+            best = np.minimum(best[size:], best[:-size])
             size *= 2
         n = len(h) - width + 1
-        a, b = best[:n], best[width - size : width - size + n]
-        best = np.where(h[b] < h[a], b, a)
-        first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+        best = (np.minimum(best[:n], best[width - size : width - size + n]) & np.uint64(PLACES)).astype(np.int64)
+        inside = (row[:n] == row[length - 1 :]) & (offset[length - 1 :] - offset[:n] == length - 1)
+        new = np.concatenate([[True], (best[1:] != best[:-1]) | (inside[1:] != inside[:-1]) | (row[1:n] != row[: n - 1])])
+        first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [n]]) - 1
-        parts.append((h[best[first]], best[first] + at, first + at, last + at))
-    if not parts:
+        keep = inside[first]
+        first, last = first[keep], last[keep]
+        at = best[first]
+        up, down = powers(len(data))
+        sums = np.concatenate([_ONE - _ONE, np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _MIX * up, dtype=np.uint64)])
+        c = (sums[last + length] - sums[first]) * down[first]
+        c = (c ^ (c >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + ((at - first) * 65537 + (last - first)).astype(np.uint64) * _MIX
+        found.append([h[at], c ^ (c >> np.uint64(29)), row[first], offset[at], offset[first], offset[last]])
+    if not found:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none, none
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+        return [none.astype(np.uint64), none.astype(np.uint64), none, none, none, none]
+    return [np.concatenate([f[k] for f in found]) for k in range(6)]
 
 
 def encoded(text: str | None) -> bytes:
@@ -315,18 +355,25 @@ def resolve(h: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, l
 
 
 def copies(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Bytes to remove around anchors that all their stretches surround alike, and the anchors with several surroundings.
+    """Bytes to remove where a stretch has an earlier equal, and names of the first stretches of anchors with several.
 
     ``c`` is a hash of the stretch: with the anchor's own hash, 128 bits tell stretches apart.
     """
     order = np.lexsort((at, doc, c, h))
     h, c, doc, at, first, last = (x[order] for x in (h, c, doc, at, first, last))
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    group = np.cumsum(new) - 1
-    kinds = np.bincount(group, weights=np.concatenate([[True], new[1:] | (c[1:] != c[:-1])]))
-    start = np.flatnonzero(new)[group]
-    later = (kinds[group] == 1) & ((doc != doc[start]) | (at != at[start]))
-    return (doc[later], first[later], last[later] + length), h[new][kinds > 1]
+    anchor = np.concatenate([[True], h[1:] != h[:-1]])
+    stretch = anchor | np.concatenate([[True], c[1:] != c[:-1]])
+    start = np.flatnonzero(stretch)[np.cumsum(stretch) - 1]
+    later = (doc != doc[start]) | (at != at[start])
+    kinds = np.bincount(np.cumsum(anchor) - 1, weights=stretch)
+    unlike = stretch & (kinds[np.cumsum(anchor) - 1] > 1)
+    return (doc[later], first[later], last[later] + length), name_of(h[unlike], doc[unlike], at[unlike])
+
+
+def name_of(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash that names one occurrence of an anchor."""
+    x = h ^ (doc.astype(np.uint64) * _MIX + at.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 # --- distributed passes -------------------------------------------------------------------------------------
@@ -365,8 +412,7 @@ def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(np.frombuffer(encoded(t), dtype=np.uint8), length)[0] for t in batch.column(1).to_pylist()]
-            h = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+            h = np.sort(anchors([encoded(t) for t in batch.column(1).to_pylist()], length)[0])
             keep = np.ones(len(h), dtype=bool)
             keep[2:] = h[2:] != h[:-2]  # twice is enough
             h = h[keep]
@@ -380,16 +426,6 @@ def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
     return filter_of(cut(per_group(docs.mapInArrow(emit, "bucket long, data binary"), ["bucket"], twice, "bucket long, n long, hashes binary")), bucket_bits)
 
 
-def stretches(texts: pa.RecordBatch, known: Filter, length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(hash, document, anchor, first window, last window, bytes) around the anchors that ``known`` holds."""
-    for doc, text in zip(texts.column(0).to_pylist(), texts.column(1).to_pylist(), strict=True):
-        data = encoded(text)
-        found = anchors(np.frombuffer(data, dtype=np.uint8), length)
-        some = np.flatnonzero(known.holds(found[0]))
-        for h, at, a, b in zip(*(v[some].tolist() for v in found), strict=True):
-            yield h, doc, at, a, b, data[a : b + length]
-
-
 def removals(docs: DataFrame, length: int, bucket_bits: int) -> DataFrame:
     """(doc_id, cuts binary): byte ranges to remove, from and to in one number, apart from each other and in order."""
     context = docs.sparkSession.sparkContext
@@ -397,72 +433,69 @@ def removals(docs: DataFrame, length: int, bucket_bits: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-            lost: list[tuple[int, int, int]] = []
-            for h, doc, at, a, b, text in stretches(batch, repeated.value, length):
-                key, mine = (h, xxh64_intdigest(text, at - a)), (doc, at, a, b)
-                other = best.setdefault(key, mine)
-                if other[:2] != mine[:2]:  # the earliest goes on, the other is a copy for sure
-                    later = max(other, mine)
-                    best[key] = min(other, mine)
-                    lost.append((later[0], later[2], later[3] + length))
-            if best:
-                keys, rest = np.array(list(best), dtype=np.uint64), np.array(list(best.values()), dtype=np.int64)
-                columns = [keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), *rest.T]
-                yield rows_of([(k, packed(*(c[own] for c in columns))) for k, own in by_bucket(keys[:, 0], bucket_bits)])
-            if lost:
-                spans = np.array(lost, dtype=np.int64)
-                yield rows_of([(-1 - int(spans[0, 0] % (1 << bucket_bits)), packed(*spans.T))])
+            h, c, row, at, first, last = anchors([encoded(t) for t in batch.column(1).to_pylist()], length)
+            some = repeated.value.holds(h)
+            h, c, row, at, first, last = (x[some] for x in (h, c, row, at, first, last))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((at, doc, c, h))  # the earliest of equal stretches goes on, the others are copies for sure
+            h, c, doc, at, first, last = (x[order] for x in (h, c, doc, at, first, last))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, dtype=bool)
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            lost = (doc != doc[start]) | (at != at[start])
+            columns = [x[new] for x in (h.view(np.int64), c.view(np.int64), doc, at, first, last)]
+            yield rows_of([(k, packed(*(x[own] for x in columns))) for k, own in by_bucket(h[new], bucket_bits)])
+            if lost.any():
+                yield rows_of([(-1 - int(doc[lost][0] % (1 << bucket_bits)), packed(doc[lost], first[lost], last[lost] + length))])
 
     def same(group: pd.DataFrame) -> pa.RecordBatch:
-        bucket, several = int(group["bucket"].iloc[0]), np.zeros(0, dtype=np.uint64)
+        bucket, unlike = int(group["bucket"].iloc[0]), np.zeros(0, dtype=np.uint64)
         if bucket < 0:  # found within a batch
             parts = [unpacked(d, 3) for d in group["data"]]
             spans = [np.concatenate([p[k] for p in parts]) for k in range(3)]
         else:
             parts = [unpacked(d, 6) for d in group["data"]]
-            h, *rest = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            spans, several = copies(h.view(np.uint64), *rest, length)
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([len(several)], pa.int64()), pa.array([several.tobytes()], pa.binary()), pa.array([packed(*spans)], pa.binary())], ["bucket", "n", "hashes", "spans"])
+            h, c, *rest = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            spans, unlike = copies(h.view(np.uint64), c.view(np.uint64), *rest, length)
+        doc, span = merged(*spans)
+        return pa.RecordBatch.from_arrays([pa.array([packed(doc, span)], pa.binary()), pa.array([unlike.tobytes()], pa.binary())], ["spans", "names"])
+
+    alike = cut(per_group(docs.mapInArrow(hashed, "bucket long, data binary"), ["bucket"], same, "spans binary, names binary"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(b, dtype=np.uint64) for b in batch.column(0).to_pylist())])
+            yield rows_of([(k, names[own].tobytes()) for k, own in by_bucket(names, bucket_bits)])
+
+    def together(group: pd.DataFrame) -> pa.RecordBatch:
+        names = b"".join(group["data"])
+        return pa.RecordBatch.from_arrays([pa.array([int(group["bucket"].iloc[0])], pa.int64()), pa.array([len(names) // 8], pa.int64()), pa.array([names], pa.binary())], ["bucket", "n", "hashes"])
 
-    alike = cut(per_group(docs.mapInArrow(hashed, "bucket long, data binary"), ["bucket"], same, "bucket long, n long, hashes binary, spans binary"))
-    unlike = context.broadcast(filter_of(alike.select("bucket", "n", "hashes"), bucket_bits))
+    gathered_names = cut(per_group(alike.select("names").mapInArrow(named, "bucket long, data binary"), ["bucket"], together, "bucket long, n long, hashes binary"))
+    unlike = context.broadcast(filter_of(gathered_names, bucket_bits))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, int, bytes], tuple[int, int, int, int]] = {}
-            lost: list[tuple[int, int, int]] = []
-            for h, doc, at, a, b, text in stretches(batch, unlike.value, length):
-                key, mine = (h, at - a, text), (doc, at, a, b)
-                other = best.setdefault(key, mine)
-                if other[:2] != mine[:2]:
-                    later = max(other, mine)
-                    best[key] = min(other, mine)
-                    lost.append((later[0], later[2], later[3] + length))
-            if best:
-                h, rest, texts = np.array([k[0] for k in best], dtype=np.uint64), np.array(list(best.values()), dtype=np.int64), [k[2] for k in best]
-                columns = [h.view(np.int64), *rest.T]
-                yield rows_of([(k, packed(*(c[own] for c in columns), np.frombuffer(b"".join(texts[i] for i in own), dtype=np.uint8))) for k, own in by_bucket(h, bucket_bits)])
-            if lost:
-                spans = np.array(lost, dtype=np.int64)
-                yield rows_of([(-1 - int(spans[0, 0] % (1 << bucket_bits)), packed(*spans.T))])
-
-    def by_document(spans: Sequence[np.ndarray]) -> pa.RecordBatch:
-        doc, span = merged(*spans)
+            texts = [encoded(t) for t in batch.column(1).to_pylist()]
+            h, _, row, at, first, last = anchors(texts, length)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            some = unlike.value.holds(name_of(h, doc, at))
+            h, row, doc, at, first, last = (x[some] for x in (h, row, doc, at, first, last))
+            pieces = [texts[r][a : b + length] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+            columns = (h.view(np.int64), doc, at, first, last)
+            yield rows_of([(k, packed(*(x[own] for x in columns), np.frombuffer(b"".join(pieces[i] for i in own), dtype=np.uint8))) for k, own in by_bucket(h, bucket_bits)])
+
+    def by_document(doc: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
         part = doc % (1 << bucket_bits)
         return rows_of([(int(k), packed(doc[part == k], span[part == k])) for k in np.unique(part)])
 
     def decide(group: pd.DataFrame) -> pa.RecordBatch:
-        if group["bucket"].iloc[0] < 0:
-            parts = [unpacked(d, 3) for d in group["data"]]
-            return by_document([np.concatenate([p[k] for p in parts]) for k in range(3)])
         parts = [unpacked(d, 5) for d in group["data"]]
-        return by_document(resolve(*(np.concatenate([p[k] for p in parts]) for k in range(6)), length))
+        return by_document(*merged(*resolve(*(np.concatenate([p[k] for p in parts]) for k in range(6)), length)))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield by_document(unpacked(data, 3)[:3])
+                yield by_document(*unpacked(data, 2)[:2])
 
     def gathered(group: pd.DataFrame) -> pa.RecordBatch:
         parts = [unpacked(d, 2) for d in group["data"]]
