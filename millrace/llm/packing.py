@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare
+from millrace.llm.common import cut, prepare
 
 SIZES = (512, 1024, 2048, 4096)
 #: Cost of a bin of c tokens: OVERHEAD + c + c * c / ATTENTION.
@@ -153,4 +153,5 @@ def pack(items: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
-    return pack(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens")), sizes)
+    """The texts are read once: lengths are cut off before they are counted, ranked and placed."""
+    return pack(cut(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"))), sizes)
