@@ -197,8 +197,8 @@ def components(docs: DataFrame, size: int = 4, n_words: int = 1, tau: int = 4, m
     return prints.join(roots, "fp").select("id", "fp", "component")
 
 
-#: Wide fingerprints for shingle similarity: 33 words of 64 bits in 96 segments of 22 bits.
-WIDE_WORDS, WIDE_SEGMENTS = 33, 96
+#: Wide fingerprints for shingle similarity: 48 words of 64 bits in 128 segments of 24 bits.
+WIDE_WORDS, WIDE_SEGMENTS = 48, 128
 
 
 def radius(similarity: float, n_words: int) -> int:
@@ -210,8 +210,8 @@ def radius(similarity: float, n_words: int) -> int:
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) for texts whose five-word shingles are alike to ``similarity`` or more.
 
-    The bits of 2112-bit fingerprints differ in proportion to the angle between the shingle multisets, so that
-    their distance tells the similarity to about 0.01. A pair at 0.8 shares one of the 96 segments with
+    The bits of 3072-bit fingerprints differ in proportion to the angle between the shingle multisets, so that
+    their distance tells the similarity to about 0.01. A pair at 0.8 shares one of the 128 segments with
     probability 0.93, at 0.85 with 0.99; larger groups are held together by more pairs than one.
     """
     return components(docs, size, WIDE_WORDS, radius(similarity, WIDE_WORDS), WIDE_SEGMENTS, False, id_col, text_col)
