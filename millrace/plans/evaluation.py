@@ -13,7 +13,7 @@ from millrace.plans.instruction import _PAIRS, _any
 QUERIES = Book()
 
 _PREDS = f"""{_PAIRS}, preds AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'assistant_qa' WHEN 1 THEN 'yesno' ELSE 'copy' END AS task, output AS gold,
-  CASE WHEN conv_id % 3 = 1 THEN (CASE turn % 4 WHEN 0 THEN 'Yes' ELSE 'no' END) WHEN conv_id % 3 = 2 AND turn % 4 <> 0 THEN upper(output) WHEN conv_id % 9 = 0 THEN 'Sorry, ' || output ELSE output END AS pred FROM pairs),
+  CASE WHEN conv_id % 3 = 1 THEN (CASE turn % 4 WHEN 0 THEN 'Yes' ELSE 'no' END) WHEN conv_id % 3 = 2 AND turn % 4 <> 0 THEN '! ' || output WHEN conv_id % 9 = 0 THEN 'Sorry, ' || output ELSE output END AS pred FROM pairs),
 scored AS (SELECT *, CASE WHEN task = 'assistant_qa' THEN answers ELSE pred = gold END AS "right",
   CASE WHEN task = 'assistant_qa' THEN (CASE WHEN answers THEN 'answer' ELSE lower(trim(pred))[1:30] END) WHEN task = 'yesno' THEN lower(trim(pred))[1:30] WHEN pred = gold THEN 'exact' ELSE pred[1:30] END AS mode
   FROM (SELECT *, n BETWEEN 1 AND 80 AND NOT regexp_replace(lower(w[1]), '^[.,!?;:]+|[.,!?;:]+$', '', 'g') IN ('yes', 'no') AND NOT {_any('lower(pred)', rules.MODE_REFUSALS)} AS answers
@@ -26,7 +26,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.when(third == 0, "assistant_qa").when(third == 1, "yesno").otherwise("copy")
     pred = (
         F.when(third == 1, F.when(F.col("turn") % 4 == 0, "Yes").otherwise("no"))
-        .when((third == 2) & (F.col("turn") % 4 != 0), F.upper("output"))
+        .when((third == 2) & (F.col("turn") % 4 != 0), F.concat(F.lit("! "), "output"))
         .when(F.col("conv_id") % 9 == 0, F.concat(F.lit("Sorry, "), "output"))
         .otherwise(F.col("output"))
     )

@@ -21,11 +21,11 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _each(df: DataFrame, values: Column, digits: int = 7) -> DataFrame:
-    return df.select("vec_id", F.posexplode(values).alias("i", "v")).select("vec_id", "i", F.round("v", digits).alias("v"))
+    return df.select("vec_id", F.posexplode(values).alias("i", "v")).select("vec_id", "i", (F.round("v", digits) + F.lit(0.0)).alias("v"))
 
 
 def _unnested(cte: str, values: str, digits: int = 7) -> str:
-    return f"WITH {cte}, q AS (SELECT vec_id, {values} AS q FROM p) SELECT vec_id, (i - 1)::INTEGER AS i, round(q[i], {digits}) AS v FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM q)"
+    return f"WITH {cte}, q AS (SELECT vec_id, {values} AS q FROM p) SELECT vec_id, (i - 1)::INTEGER AS i, round(q[i], {digits}) + 0.0 AS v FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM q)"
 
 
 @QUERIES.add(_unnested(_S, "p"))
