@@ -72,6 +72,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES, per_ta
         n = len(group)
         if n < 2:
             return None
+        group = group.sort_values("id")  # links lead to the smallest id, so that many buckets find the same ones
         table, (a, b) = int(group["key"].iloc[0]) >> 32, (int(group["_a"].iloc[0]), int(group["_b"].iloc[0]))
         u = unit(np.stack(group["v"].to_numpy()).astype(np.float64))
         near = u @ u.T >= cosine

@@ -155,6 +155,7 @@ def links(prints: DataFrame, tau: int, m: int, masked: bool = True, block: int =
     def work(group: pd.DataFrame) -> pa.RecordBatch | None:
         if len(group) < 2:
             return None
+        group = group.sort_values("id")  # links lead to the smallest id, so that many buckets find the same ones
         fps, ids = matrix(group["fp"]), group["id"].to_numpy()
         start = int(group["key"].iloc[0]) >> 48
         masks = ring_masks(fps.shape[1] * 64, m) if masked else None
