@@ -83,7 +83,7 @@ class BitSlicedFilter:
         self.false_rate = fill**HASHES
         if kind is not np.uint64:
             masks = np.arange(1 << (8 * self.table.itemsize))
-            self.bits = np.stack([(masks >> b) & 1 for b in range(len(languages))], axis=1)
+            self.bits = (masks[:, None] >> np.arange(len(languages))) & 1
 
     def popcounts(self, h: np.ndarray) -> np.ndarray:
         mask = self.table[rows_of(h)[0]]

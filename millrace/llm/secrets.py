@@ -19,6 +19,8 @@ end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,28 +65,44 @@ def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Colum
     return F.when(text.rlike(pattern), F.aggregate(rows, start, step)["out"]).otherwise(none)
 
 
-def symbols(token: Column) -> tuple[Column, Column, Column]:
-    """The encoding of a token, the size of its alphabet and its symbol values."""
-    plain = F.translate(F.regexp_replace(token, "=+$", ""), "-_=", "+//")
-    encoding = F.when(plain.rlike("^[0-9]+$"), "decimal").when(plain.rlike("^[0-9a-f]+$"), "hex").when(plain.rlike("^[0-9A-F]+$"), "upper").when(plain.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    alphabet = F.lit(ALPHABETS["base64"])
-    for name in ("decimal", "hex", "upper", "base32"):
-        alphabet = F.when(encoding == name, ALPHABETS[name]).otherwise(alphabet)
-    return encoding, F.length(alphabet), F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)), lambda c: (F.instr(alphabet, c) - 1).cast("int"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, which keeps the work on a long token linear."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tested(token: Column) -> Column:
+    """d of a token: the squares of the three standardised statistics under its inferred encoding."""
+    return let(F.translate(F.regexp_replace(token, "=+$", ""), "-_=", "+//"), lambda plain: let(alphabet_of(plain), lambda alphabet: let(values_of(plain, alphabet), lambda v: let(F.length(alphabet).cast("double"), lambda a: deviation(a, v)))))
+
+
+def alphabet_of(plain: Column) -> Column:
+    """The symbols of the inferred encoding in order."""
+    kinds = {"decimal": "^[0-9]+$", "hex": "^[0-9a-f]+$", "upper": "^[0-9A-F]+$", "base32": "^[A-Z2-7]+$"}
+    found = F.lit(ALPHABETS["base64"])
+    for name, pattern in reversed(kinds.items()):
+        found = F.when(plain.rlike(pattern), ALPHABETS[name]).otherwise(found)
+    return found
 
 
-def deviation(size: Column, values: Column) -> Column:
-    """d: the squares of the three standardised statistics."""
-    n, a = F.size(values).cast("double"), size.cast("double")
+def values_of(plain: Column, alphabet: Column) -> Column:
+    return F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)), lambda c: (F.instr(alphabet, c) - 1).cast("int"))
+
+
+def deviation(a: Column, values: Column) -> Column:
+    """d of symbol values 0..a-1; tokens of fewer than two symbols are as far from random as can be."""
     squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda s, v: s + F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), F.lit(2.0)))
-    chi = (a / n * squares - n - (a - 1)) / F.sqrt(2 * (a - 1))
-    steps = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    middle, mean = a / 2, (a - 1) / 2
-    turns = F.aggregate(steps, F.lit(0.0), lambda s, p: s + ((p["x"] >= middle) != (p["y"] >= middle)).cast("double"))
-    product = F.aggregate(steps, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
-    runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = product / ((a * a - 1) / 12 * F.sqrt(n - 1))
-    return chi * chi + runs * runs + serial * serial
+    pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    turns = lambda rows, half: F.aggregate(rows, F.lit(0.0), lambda s, p: s + ((p["x"] >= half) != (p["y"] >= half)).cast("double"))
+    products = lambda rows, mean: F.aggregate(rows, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
+
+    def of(n: Column, square_sum: Column, rows: Column) -> Column:
+        chi = (a / n * square_sum - n - (a - 1)) / F.sqrt(2 * (a - 1))
+        runs = (turns(rows, a / 2) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = products(rows, (a - 1) / 2) / ((a * a - 1) / 12 * F.sqrt(n - 1))
+        return let(chi, lambda c: let(runs, lambda r: let(serial, lambda k: c * c + r * r + k * k)))
+
+    d = let(F.size(values).cast("double"), lambda n: let(squares, lambda q: let(pairs, lambda rows: of(n, q, rows))))
+    return F.when(F.size(values) >= 2, d).otherwise(F.lit(float(LAST_STEP)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -92,14 +110,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", located(text, ASSIGN, 8, 1).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), located(text, CANDIDATE).alias("tokens"))
 
-    def tested(t: Column) -> Column:
-        _, size, values = symbols(t["token"])
-        d = F.when(F.size(values) >= 2, deviation(size, values)).otherwise(F.lit(float(LAST_STEP)))
+    def summed_up(t: Column) -> Column:
         word = t["token"].rlike("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+)$")
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.length(t["token"]))).cast("int").alias("class"), F.least(F.ceil(d * STEP), F.lit(LAST_STEP)).cast("int").alias("step"), word.alias("word"))
+        step = F.least(F.ceil(tested(t["token"]) * STEP), F.lit(LAST_STEP)).cast("int")
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.length(t["token"]))).cast("int").alias("class"), step.alias("step"), word.alias("word"))
 
     slim = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(name)
-    return found.select("doc_id", *map(slim, BASE), F.transform("tokens", tested).alias("tokens"))
+    return found.select("doc_id", *map(slim, BASE), F.transform("tokens", summed_up).alias("tokens"))
 
 
 def cutoffs(tokens: DataFrame) -> dict[int, int]:
