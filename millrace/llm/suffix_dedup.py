@@ -221,7 +221,7 @@ def unpacked(data: bytes, n_arrays: int) -> list[np.ndarray]:
 
 
 class Filter:
-    """A bit filter in one slice for each bucket, a bucket being the leading bits of a hash."""
+    """A bit filter in one slice for each bucket of hashes."""
 
     def __init__(self, bucket_bits: int, bits: int):
         self.bucket_bits, self.slice_bits = bucket_bits, max(64, bits >> bucket_bits)
@@ -251,7 +251,8 @@ class Filter:
 
 
 def bucket_of(h: np.ndarray, bucket_bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bucket_bits)).astype(np.int64)
+    """Buckets of even size: anchors are least hashes, so the hashes themselves crowd near zero."""
+    return (h * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - bucket_bits)).astype(np.int64)
 
 
 # --- equal windows within a bucket --------------------------------------------------------------------------
@@ -381,8 +382,9 @@ def name_of(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def by_bucket(h: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, indices of its hashes) for the buckets that have some."""
-    order = np.argsort(h, kind="stable")
-    bounds = np.searchsorted(bucket_of(h[order], bucket_bits), np.arange((1 << bucket_bits) + 1))
+    buckets = bucket_of(h, bucket_bits)
+    order = np.argsort(buckets, kind="stable")
+    bounds = np.searchsorted(buckets[order], np.arange((1 << bucket_bits) + 1))
     for bucket in np.flatnonzero(np.diff(bounds)):
         yield int(bucket), order[bounds[bucket] : bounds[bucket + 1]]
 
