@@ -109,7 +109,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             while (line := stream.readline()).strip():
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 fields[name.strip().lower()] = value.strip()
-            size = int(fields.get("content-length", "0"))
+            if not line or not fields.get("content-length", "").isdigit():  # cut off within its header
+                return
+            size = int(fields["content-length"])
             block = stream.read(size)
             if len(block) < size:
                 return
