@@ -29,6 +29,8 @@ FIT_DOCS = 20_000
 #: Most words that become features, the least share of toxic documents that hold a feature, and the least
 #: ratio of its share among toxic documents to that among the others.
 FEATURES, LEAST_SHARE, LEAST_LIFT = 512, 0.02, 4.0
+#: Chance that any word becomes a feature by accident, if documents were labelled at random.
+CHANCE = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,7 +52,7 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(eta - t, -500, 500)))) for t in self.thresholds]
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised likelihood of grades ``y``, by Adam on all rows.
 
     Equal rows are taken together.
@@ -110,12 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Ordinal
     sample = rows.select("text", "toxic").mapInArrow(featurise, "least long, toxic int, words array<string>")
     sample = sample.groupBy("least").agg(F.max_by(F.struct("toxic", "words"), F.struct("toxic", F.size("words"), "words")).alias("x")).select("least", "x.*").persist()
     try:
-        both = {r["toxic"] > 0: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        both = {r["toxic"] > 0: (r["n"], r["words"]) for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).collect()}
         if len(both) < 2:
             return OrdinalModel()
-        toxic, clean = float(both[True]), float(both[False])
+        toxic, clean = float(both[True][0]), float(both[False][0])
+        # so many documents that no word is likely to be in just toxic ones by chance
+        least = np.log(max(1, both[True][1] + both[False][1]) / CHANCE) / np.log((toxic + clean) / toxic)
         shares = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg((F.sum((F.col("toxic") > 0).cast("int")) / F.lit(toxic)).alias("p"), ((F.sum((F.col("toxic") <= 0).cast("int")) + 0.5) / F.lit(clean)).alias("q"))
-        best = [r["word"] for r in shares.where((F.col("p") >= LEAST_SHARE) & (F.col("p") * toxic >= 3) & (F.col("p") >= LEAST_LIFT * F.col("q"))).orderBy(F.desc(F.col("p") - F.col("q")), "word").limit(FEATURES).collect()]
+        best = [r["word"] for r in shares.where((F.col("p") >= LEAST_SHARE) & (F.col("p") * toxic >= float(least)) & (F.col("p") >= LEAST_LIFT * F.col("q"))).orderBy(F.desc(F.col("p") - F.col("q")), "word").limit(FEATURES).collect()]
         if not best:
             return OrdinalModel()
         vocabulary = F.array(*[F.lit(w) for w in best])
