@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,3 +116,24 @@ def cosine_rate(step: Column, most: float, least: float, warm_up: int, cycle: in
     """Learning rate: linear to ``warm_up``, a cosine down to ``cycle``, then the least."""
     share = (step - warm_up) / F.lit(float(max(1, cycle - warm_up)))
     return F.when(step < warm_up, step / F.lit(float(max(1, warm_up))) * most).when(step <= cycle, least + (1 + F.cos(share * math.pi)) * (most - least) / 2).otherwise(F.lit(least))
+
+
+def linear(values: Column, columns: Sequence[Sequence[float]]) -> Column:
+    """The products of a vector with the columns of a small weight matrix."""
+    return F.array(*[total(F.zip_with(values, F.array(*map(F.lit, c)), lambda x, w: x * w)) for c in columns])
+
+
+def without(logits: Column, banned: Column) -> Column:
+    return F.transform(logits, lambda x, i: F.when(F.array_contains(banned, i), F.lit(-math.inf)).otherwise(x))
+
+
+def greedy_step(logits: Column, seen: Column, penalty: float = 1.1, ngram: int = 4) -> Column:
+    """The next token: repetition penalty, n-gram ban, then the largest logit, the first of equal ones."""
+    changed = without(repetition_penalty(logits, seen, penalty), banned_next(seen, ngram))
+    return let(changed, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
+
+
+def sampling_probs(logits: Column, temperature: float = 1.0, k: int | None = None, p: float = 1.0) -> Column:
+    """What a sampling step draws from: temperature, top-k, softmax, top-p."""
+    scaled = F.transform(logits, lambda x: x / temperature)
+    return let(softmax(top_k(scaled, k) if k else scaled), lambda probs: top_p(probs, p))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,3 +96,31 @@ def place_in_order(df: DataFrame, order: list[Column], salt: Column, out: str =
     totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_total"))
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
     return ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).join(offsets, "_range").withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_range", "_local", "_offset")
+
+
+def hashed_number(key: Column, seed: int, below: Column) -> Column:
+    """A number in 0..below-1 that depends on key and seed alone, the same in any engine with md5."""
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 12)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), below.cast("long"))
+
+
+def hashed_choice(key: Column, seed: int, options: Sequence[str]) -> Column:
+    return F.get(F.array(*map(F.lit, options)), hashed_number(key, seed, F.lit(len(options))).cast("int"))
+
+
+def random_windows(shards: DataFrame, ids: str, ordinal: str, draws: int, length: int, seed: int) -> DataFrame:
+    """(draw, shard, start, x, y): each draw takes a shard, all alike likely, then a start; y is x moved by one.
+
+    Shards without ``length`` + 1 tokens are never drawn. Only the drawn shards' rows meet the draws.
+    """
+    spark = shards.sparkSession
+    long_enough = shards.where(F.size(ids) > length).select(ordinal, F.col(ids).alias("_ids"), F.lit(1).alias("_one"))
+    numbered = running_sum(long_enough, "_one", ordinal, "shard")
+    n = numbered.count()
+    if n == 0:
+        raise ValueError("no shard is long enough")
+    drawn = spark.range(draws).select(F.col("id").alias("draw"), hashed_number(F.col("id"), seed, F.lit(n)).alias("shard"))
+    start = hashed_number(F.col("draw"), seed + 1, F.size("_ids") - length)
+    placed = drawn.join(numbered, "shard").withColumn("start", start)
+    window = F.slice("_ids", (F.col("start") + 1).cast("int"), length + 1)
+    return placed.select("draw", F.col(ordinal).alias("shard"), "start", F.slice(window, 1, length).alias("x"), F.slice(window, 2, length).alias("y"))

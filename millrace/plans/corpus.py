@@ -213,3 +213,22 @@ def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ids = _documents(spark, sf_dir).where(F.octet_length("text") > 3).select("doc_id", T.utf8_bytes(F.col("text")).alias("ids"))
     return ids.select("doc_id", banned_next(F.col("ids"), 4).alias("b")).select("doc_id", F.when(F.size("b") > 0, F.array_join(F.transform("b", lambda i: i.cast("string")), ",")).alias("banned"))
+
+
+PROMPTS = ("describe it", "what is this about?", "what do you see?", "sum it up", "give a title")
+
+
+@QUERIES.add("SELECT doc_id, ['describe it', 'what is this about?', 'what do you see?', 'sum it up', 'give a title'][1 + ('0x' || md5(doc_id || ':5')[1:12])::BIGINT % 5] AS prompt FROM documents")
+def prompt_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", sequence.hashed_choice(F.col("doc_id"), 5, PROMPTS).alias("prompt"))
+
+
+@QUERIES.add("""WITH s AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE strlen(text) > 64),
+d AS (SELECT i AS draw, ('0x' || md5(i || ':9')[1:12])::BIGINT % (SELECT count(*) FROM s) AS k FROM range(200) t(i)),
+p AS (SELECT draw, doc_id, h, ('0x' || md5(draw || ':10')[1:12])::BIGINT % (n - 64) AS start FROM d JOIN s USING (k))
+SELECT draw, doc_id AS shard, start, md5(h[2 * start + 1 : 2 * start + 128]) AS x_md5, md5(h[2 * start + 3 : 2 * start + 130]) AS y_md5 FROM p""")
+def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _documents(spark, sf_dir).select("doc_id", T.utf8_bytes(F.col("text")).alias("ids"))
+    code = lambda c: F.md5(F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
+    found = sequence.random_windows(ids, "ids", "doc_id", 200, 64, 9)
+    return found.select("draw", "shard", "start", code("x").alias("x_md5"), code("y").alias("y_md5"))

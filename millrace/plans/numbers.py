@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric
-from millrace.operators import evaluation
+from millrace.operators import evaluation, matrices
 from millrace.plans.book import Book, table
 
 QUERIES = Book()
@@ -107,3 +107,62 @@ def l2_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.col("id")
     return spark.range(0, 12001, 250).select(step.alias("step"), F.round(numeric.cosine_rate(step, 2e-4, 2e-5, 2000, 10000), 12).alias("rate"))
+
+
+WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 10 for i in range(64)] for j in range(3)]
+
+
+@QUERIES.add(f"WITH {_E} SELECT vec_id, j::INTEGER AS i, round(list_sum(list_transform(range(1, 65), lambda i: x[i] * ((((i - 1) * 7 + j * 3) % 11 - 5) / 10.0))), 7) + 0.0 AS v FROM e, range(3) t(j)")
+def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_logits(spark, sf_dir), numeric.linear(F.col("x"), WEIGHTS))
+
+
+@QUERIES.add(f"WITH {_E}, c AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i = 8 THEN '-infinity'::DOUBLE WHEN i - 1 NOT IN (t, 0) THEN x[i] WHEN x[i] < 0 THEN x[i] * 1.1 ELSE x[i] / 1.1 END) AS y FROM e) SELECT vec_id, (list_position(y, list_max(y)) - 1)::INTEGER AS token FROM c")
+def greedy_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decoding step after the tokens t 0 7 t 0, which ban 7."""
+    seen = F.array(F.col("t"), F.lit(0), F.lit(7), F.col("t"), F.lit(0))
+    return _logits(spark, sf_dir).select("vec_id", numeric.greedy_step(F.col("x"), seen, 1.1, 3).alias("token"))
+
+
+@QUERIES.add(f"WITH {_E}, k AS (SELECT vec_id, list_filter(list_transform(x, lambda v: v / 0.8), lambda v: v >= list_reverse_sort(x)[5] / 0.8) AS y FROM e) SELECT vec_id, len(y)::INTEGER AS n, round(list_max(list_transform(y, lambda v: exp(v - list_max(y)))) / list_sum(list_transform(y, lambda v: exp(v - list_max(y)))), 7) AS most FROM k")
+def sampling_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probs = numeric.sampling_probs(F.col("x"), 0.8, 5, 1.0)
+    told = _logits(spark, sf_dir).select("vec_id", probs.alias("p"))
+    return told.select("vec_id", F.size(F.filter("p", lambda v: v > 0)).alias("n"), F.round(F.array_max("p"), 7).alias("most"))
+
+
+@QUERIES.add(f"""WITH {_E}, s AS (SELECT q.vec_id, list_dot_product(q.x, k.x) / 8.0 AS score, k.x AS v FROM e q JOIN e k ON q.vec_id // 8 = k.vec_id // 8 AND k.vec_id <= q.vec_id),
+w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS w FROM s)
+SELECT vec_id, round(sum(w * v[1]) / sum(w), 7) + 0.0 AS first, round(sum(w * v[64]) / sum(w), 7) + 0.0 AS last FROM w GROUP BY vec_id""")
+def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("context"), F.col("vec_id").alias("position"), F.col("x").alias("q"), F.col("x").alias("k"), F.col("x").alias("v"))
+    out = matrices.causal_attention(rows)
+    return out.select(F.col("position").alias("vec_id"), (F.round(F.get("out", F.lit(0)), 7) + F.lit(0.0)).alias("first"), (F.round(F.get("out", F.lit(63)), 7) + F.lit(0.0)).alias("last"))
+
+
+_MATRICES = """w AS (SELECT m AS module, i, j, ((m + i * 3 + j * 5) % 7 - 3) / 4.0 AS v FROM range(3) a(m), range(6) b(i), range(5) c(j)),
+a AS (SELECT m AS module, i, j, ((m * 2 + i + j) % 5 - 2) / 8.0 AS v FROM range(3) a(m), range(6) b(i), range(2) c(j)),
+b AS (SELECT m AS module, i, j, ((m + i + j * 2) % 3 - 1) / 2.0 AS v FROM range(3) a(m), range(2) b(i), range(5) c(j)),
+ab AS (SELECT module, a.i, b.j, sum(a.v * b.v) AS ab FROM a JOIN b USING (module) WHERE a.j = b.i GROUP BY ALL)"""
+
+
+def _matrices(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def made(rows: int, columns: int, value: Column) -> DataFrame:
+        at = spark.range(3 * rows * columns).select(F.floor(F.col("id") / (rows * columns)).alias("module"), F.floor(F.col("id") % (rows * columns) / columns).alias("i"), (F.col("id") % columns).alias("j"))
+        return at.select("module", "i", "j", value.cast("double").alias("v"))
+
+    m, i, j = F.col("module"), F.col("i"), F.col("j")
+    return made(6, 5, ((m + i * 3 + j * 5) % 7 - 3) / 4), made(6, 2, ((m * 2 + i + j) % 5 - 2) / 8), made(2, 5, ((m + i + j * 2) % 3 - 1) / 2)
+
+
+@QUERIES.add(f"WITH {_MATRICES} SELECT module, i, j, round(v * (1 + 0.5 * ab), 9) + 0.0 AS v FROM w JOIN ab USING (module, i, j)")
+def adapter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrices.fold(*_matrices(spark), 0.5).withColumn("v", F.round("v", 9) + F.lit(0.0))
+
+
+@QUERIES.add(f"""WITH {_MATRICES}, n AS (SELECT module, sqrt(sum(v * v)) AS nw, sqrt(sum((v * ab * 0.5) ** 2)) AS nu FROM w JOIN ab USING (module, i, j) GROUP BY module),
+na AS (SELECT module, sqrt(sum(v * v)) AS na FROM a GROUP BY module), nb AS (SELECT module, sqrt(sum(v * v)) AS nb FROM b GROUP BY module)
+SELECT round(avg(na), 9) AS norm_a, round(avg(nb), 9) AS norm_b, round(avg(nu / nw), 9) AS ratio FROM n JOIN na USING (module) JOIN nb USING (module)""")
+def adapter_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matrices.adapter_summary(*_matrices(spark), 0.5)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
