@@ -61,6 +61,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+_OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT l.a, reach.r FROM reach JOIN l ON l.b = reach.n),
+roots AS (SELECT n, min(r) AS r FROM reach GROUP BY n), counts AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(counts.n, 0)::BIGINT AS n_links, coalesce(roots.r, e.vec_id) AS component_id, coalesce(roots.r, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN roots ON roots.n = e.vec_id
+"""
+
 _OP9 = r"""
 WITH bare AS (
   SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
@@ -108,4 +120,4 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id)
 """
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination)}
-ORACLE_SQL = {"op9_warc_revisits": _OP9, "op10_decontamination": _OP10}
+ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10}

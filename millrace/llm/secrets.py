@@ -32,6 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 FALSE_RATE, MOST_D, STEP, LAST_STEP = 0.05, 16.27, 4, 4000
+#: Spans that are appended one by one.
+CHUNK = 256
 
 #: Alphabets by encoding, symbols in order of their values (fixed values).
 ALPHABETS = {
@@ -52,17 +54,20 @@ def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Colum
     grouped = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size")))
     rows = F.arrays_zip(gaps.alias("gaps"), matches.alias("matches"), grouped.alias("grouped"))
-    state = "struct<at:bigint,out:array<struct<start:bigint,end:bigint,token:string>>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,token:string>>").alias("out")).cast(state)
+    spans = "array<struct<start:bigint,end:bigint,token:string>>"
+    state = f"struct<at:bigint,done:array<{spans}>,open:{spans}>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{spans}>").alias("done"), F.array().cast(spans).alias("open")).cast(state)
 
     def step(acc: Column, row: Column) -> Column:
+        """Found spans gather in chunks, so that appending does not copy all of them each time."""
         begin = acc["at"] + row["gaps"]["gap"]
         end = begin + row["gaps"]["size"]
-        found = F.struct(begin.alias("start"), end.alias("end"), row["matches"].alias("token"))
-        return F.struct(end.alias("at"), F.when(F.length(row["grouped"]) >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out")).cast(state)
+        grown = F.when(F.length(row["grouped"]) >= least, F.concat(acc["open"], F.array(F.struct(begin.alias("start"), end.alias("end"), row["matches"].alias("token"))))).otherwise(acc["open"])
+        full = F.size(acc["open"]) >= CHUNK
+        return F.struct(end.alias("at"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"), F.when(full, F.array().cast(spans)).otherwise(grown).alias("open")).cast(state)
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,token:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step)["out"]).otherwise(none)
+    whole = F.aggregate(rows, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["open"]))
+    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(spans))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,9 +1,12 @@
 """Op 5 against all pairs."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from millrace.llm import embed_dedup
+from millrace.llm.queries import ORACLE_SQL, op5_embedding_dedup
+from tests.compare import of_duck, of_spark
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -60,6 +63,15 @@ def test_recall_on_real_vectors(spark):
     assert 0.99 * true <= found <= true
 
 
+def test_query_like_sql(spark, tmp_path):
+    sf = "/root/testdata/sf0.1"
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 400").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = of_spark(op5_embedding_dedup(spark, str(tmp_path)))
+    assert got == of_duck(con, ORACLE_SQL["op5_embedding_dedup"]) and any(not r[2] for r in got)
+
+
 def test_odd_and_empty(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [2.0, 4.0]), (10, [1.0, 2.0, 0.0]), (7, [1.0, 2.0]), (11, [1e-30, 2e-30])]
     df = spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)

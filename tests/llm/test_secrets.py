@@ -71,5 +71,5 @@ def test_odd_and_empty(spark):
     odd = clashing(odd_docs(spark))
     assert secrets.digest(odd).count() == odd.count()
     assert secrets.digest(odd.limit(0)).count() == 0
-    many = docs(spark, ["ab" * 16 + " " + "q " * 5 for _ in range(1)] + [("0123456789abcdef" * 2 + " ") * 2000])
-    assert {r.doc_id: r.n_hex for r in secrets.digest(many).collect()} == {0: 1, 1: 2000}
+    many = docs(spark, ["ab" * 16 + " " + "q " * 5 for _ in range(1)] + [("0123456789abcdef" * 2 + " ") * 20_000])
+    assert {r.doc_id: r.n_hex for r in secrets.digest(many).collect()} == {0: 1, 1: 20_000}
