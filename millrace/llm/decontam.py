@@ -18,11 +18,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from millrace.llm.common import cut, prepare
 
@@ -103,7 +105,7 @@ def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def index(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, n_words, n, terms, gaps): the test items' terms in each document and their positions, packed."""
+    """(doc_id, n_words, n, terms, gaps, mark): the test items' terms in each document and their positions, packed; mark is a hash of the text."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(items.terms)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +113,15 @@ def index(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
+                mark = xxh64_intdigest((text or "").encode()) >> 1
                 parts = words(text)
                 ids = np.fromiter((get(w, -1) for w in parts), dtype=np.int32, count=len(parts))
                 at = np.flatnonzero(ids >= 0)
-                rows.append((len(parts), len(at), _packed(ids[at]), _packed(np.diff(at, prepend=0))))
-            n_words, n, terms, gaps = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.binary()), pa.array(gaps, pa.binary())], ["doc_id", "n_words", "n", "terms", "gaps"])
+                rows.append((len(parts), len(at), _packed(ids[at]), _packed(np.diff(at, prepend=0)), mark))
+            n_words, n, terms, gaps, marks = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.binary()), pa.array(gaps, pa.binary()), pa.array(marks, pa.int64())], ["doc_id", "n_words", "n", "terms", "gaps", "mark"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n long, terms binary, gaps binary")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n long, terms binary, gaps binary, mark long")
 
 
 def frequencies(postings: DataFrame, n_terms: int) -> np.ndarray:
@@ -153,7 +156,7 @@ def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int
 
 
 def _scan(postings: DataFrame, items: Items, proximity: int | None) -> DataFrame:
-    """(doc_id, n_words, starts, ends, items) of every document: matched stretches of words and the items found."""
+    """(doc_id, n_words, starts, ends, items, mark) of every document: matched stretches of words and the items found."""
     shared = postings.sparkSession.sparkContext.broadcast(items)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +172,9 @@ def _scan(postings: DataFrame, items: Items, proximity: int | None) -> DataFrame
                 which = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
                 rows.append((*merge(begin, begin + items.length[which] + (proximity or 0)), np.unique(items.item[which]).tolist()))
             columns = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, batch.column(5)], ["doc_id", "n_words", "starts", "ends", "items", "mark"])
 
-    return postings.mapInArrow(each, f"doc_id {dict(postings.dtypes)['doc_id']}, n_words long, starts array<long>, ends array<long>, items array<long>")
+    return postings.mapInArrow(each, f"doc_id {dict(postings.dtypes)['doc_id']}, n_words long, starts array<long>, ends array<long>, items array<long>, mark long")
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,9 +219,7 @@ def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, proximity: int
         parts.append(_scan(postings, items, proximity))
     if not parts:
         parts.append(_scan(index(docs, empty := Items([], window)), _ordered(empty), proximity))
-    if len(parts) == 1:
-        return parts[0]
-    return union_of(parts)
+    return parts[0].drop("mark") if len(parts) == 1 else union_of(parts)
 
 
 def _ordered(items: Items) -> Items:
@@ -227,22 +228,21 @@ def _ordered(items: Items) -> Items:
 
 
 def union_of(parts: list[DataFrame]) -> DataFrame:
-    """One row for each document from the rows of several passes. Rows that share an id are told apart by rank."""
-    numbered = [p.withColumn("_row", F.monotonically_increasing_id()) for p in parts]  # all passes read docs alike
+    """One row for each document from the rows of several passes. Rows that repeat an id and a text come back as often."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                rows.append(merge(np.array(sum(starts, []), dtype=np.int64), np.array(sum(ends, []), dtype=np.int64)))
+                rows.append(merge(np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(2)), batch.column(4)], ["doc_id", "n_words", "starts", "ends", "items"])
 
-    both = numbered[0]
-    for p in numbered[1:]:
-        both = both.unionByName(p)
-    grouped = both.groupBy("doc_id", "n_words", "_row").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = reduce(DataFrame.unionByName, parts)
+    gathered = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
+    grouped = both.groupBy("doc_id", "n_words", "mark").agg(*gathered, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("n"))
+    again = grouped.withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
     kind = dict(both.dtypes)["doc_id"]
-    return grouped.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(each, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<long>")
+    return again.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(each, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<long>")
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:

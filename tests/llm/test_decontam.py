@@ -49,6 +49,14 @@ def test_like_a_search(spark, block_words):
         assert {k for a, b in zip(r.starts, r.ends, strict=True) for k in range(a, b)} == hit
 
 
+def test_repeated_rows_over_several_passes(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "item_id long, text string")
+    odd = odd_docs(spark).repartition(3)
+    got = decontam.find(odd, bench, window=3, block_words=1).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in odd.collect())
+    assert {(r.doc_id, tuple(r["items"]), tuple(r.starts), tuple(r.ends)) for r in got if r["items"]} == {(i, (1, 2), (0,), (6,)) for i in (4, 5)}
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta delta")], "item_id long, text string")
     texts = ["gamma x alpha y beta", "alpha beta x x x x gamma", "delta x delta", "delta x"]
