@@ -40,11 +40,15 @@ def as_words(counts: DataFrame) -> DataFrame:
     return counts.select(utf8_bytes(F.col("pretoken")).alias("ids"), "freq")
 
 
+def adjacent(ids: str) -> Column:
+    """array<struct<left, right>> of neighbouring ids."""
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return F.zip_with(F.slice(ids, 1, n), F.slice(ids, 2, n), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, n): adjacent ids, every occurrence weighted by the word's frequency."""
-    n = F.size("ids")
-    pairs = F.zip_with(F.slice("ids", 1, F.greatest(n - 1, F.lit(0))), F.slice("ids", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return words.select(F.explode(pairs).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
+    return words.select(F.explode(adjacent("ids")).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
 
 
 def best_pair(counts: DataFrame) -> DataFrame:
@@ -54,9 +58,7 @@ def best_pair(counts: DataFrame) -> DataFrame:
 
 def inverted_index(words: DataFrame) -> DataFrame:
     """(left, right, words): ids of the words that hold each pair, from (word_id, ids)."""
-    n = F.size("ids")
-    pairs = F.zip_with(F.slice("ids", 1, F.greatest(n - 1, F.lit(0))), F.slice("ids", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return words.select("word_id", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.array_sort(F.collect_set("word_id")).alias("words"))
+    return words.select("word_id", F.explode(adjacent("ids")).alias("p")).groupBy("p.left", "p.right").agg(F.array_sort(F.collect_set("word_id")).alias("words"))
 
 
 def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "id", first_id: int = 256) -> list[tuple[int, int, int]]:

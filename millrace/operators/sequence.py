@@ -86,10 +86,10 @@ def batch_of(place: Column, rows: int) -> Column:
     return F.floor(place / rows).cast("long")
 
 
-def place_in_order(df: DataFrame, order: list[Column], salt: Column, out: str = "place", ranges: int = 64) -> DataFrame:
+def place_in_order(df: DataFrame, order: list[Column], salt: Column, out: str = "place") -> DataFrame:
     """0-based place of each row in a global order, by ranges of its first key, each ranked on its own.
 
-    ``salt`` maps rows to 0..ranges-1 monotonically in the order, such as the leading digits of a hash that is
+    ``salt`` maps rows to small numbers monotonically in the order, such as the leading digits of a hash that is
     also the first sort key.
     """
     ranged = df.withColumn("_range", salt)
