@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +66,12 @@ def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "
     """(left, right, n) of each merge in order. Ties go to the larger ids, or with tie="bytes" to the larger bytes."""
     tokens: dict[int, bytes] = {i: bytes([i]) for i in range(256)}
     counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    where: dict[tuple[int, int], list[int]] = defaultdict(list)
     texts = [list(ids) for ids, _ in words]
     for k, (ids, freq) in enumerate(words):
         for pair in zip(ids, ids[1:], strict=False):
             counts[pair] += freq
-            where[pair].add(k)
+            where[pair].append(k)
 
     def rank(pair: tuple[int, int]) -> tuple:
         if tie == "id":
@@ -91,7 +92,7 @@ def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "
         tokens[new] = tokens[pair[0]] + tokens[pair[1]]
         merges.append((*pair, counts[pair]))
         touched = set()
-        for k in where.pop(pair):
+        for k in dict.fromkeys(where.pop(pair)):
             old, freq = texts[k], words[k][1]
             merged = merge_pair(old, pair, new)
             if len(merged) == len(old):
@@ -101,7 +102,7 @@ def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "
                 touched.add(p)
             for p in zip(merged, merged[1:], strict=False):
                 counts[p] += freq
-                where[p].add(k)
+                where[p].append(k)
                 touched.add(p)
             texts[k] = merged
         for p in touched:
@@ -141,7 +142,8 @@ def merge_pair(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
 def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), min_freq: int | None = None, most: int | None = MOST_PRETOKENS, tie: str = "id", text_col: str = "text") -> list[tuple[int, int, int]]:
     """Merges of a vocabulary of ``vocab_size`` tokens: 256 bytes, the merges, the special tokens."""
     counts = frequent(pretoken_counts(docs, specials, text_col), min_freq, most)
-    words = [(list(r["pretoken"].encode()), r["freq"]) for r in counts.toLocalIterator()]
+    table = counts.toArrow()
+    words = [(list(w.encode()), n) for w, n in zip(table.column("pretoken").to_pylist(), table.column("freq").to_pylist(), strict=True)]
     return train_merges(words, max(0, vocab_size - 256 - len(specials)), tie)
 
 
@@ -191,14 +193,54 @@ def encode(docs: DataFrame, encoder: Encoder, text: Column | None = None, out: s
     pieces = F.coalesce(pretokens_keeping(F.col("text") if text is None else text, specials), F.array().cast("array<string>"))
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(lists: pd.Series) -> pd.Series:
-        one = shared.value.piece
-        return lists.map(lambda ps: [i for p in ps for i in one(p)])
+    @F.arrow_udf("array<int>")
+    def ids_of(lists: pa.Array) -> pa.Array:
+        packed = _packed_cache(shared.value)
+        flat, bounds = lists.flatten().to_pylist(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        rows = [b"".join(map(packed.__getitem__, flat[a:b])) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
     return docs.withColumn(out, ids_of(pieces))
 
 
+def byte_ids(text: Column) -> Column:
+    """array<int> of the UTF-8 bytes of each text, for whole corpora: the text's buffer itself, widened. Null stays null."""
+
+    @F.arrow_udf("array<int>")
+    def widened(texts: pa.Array) -> pa.Array:
+        whole = texts.cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(b for b in whole.to_pylist() if b), dtype=np.uint8).astype(np.int32)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.append(whole.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(data))
+
+    return widened(text)
+
+
+class _Packed(dict):
+    """Token ids of a piece as packed 32-bit numbers, computed once."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        found = np.asarray(self.encoder.piece(piece), dtype=np.int32).tobytes()
+        if len(self) < MOST_PRETOKENS:
+            self[piece] = found
+        return found
+
+
+_PACKED: list[_Packed] = []
+
+
+def _packed_cache(encoder: Encoder) -> _Packed:
+    """The worker's cache for this encoder; it outlives a batch."""
+    if not _PACKED or _PACKED[0].encoder is not encoder:
+        _PACKED[:] = [_Packed(encoder)]
+    return _PACKED[0]
+
+
 def decode(docs: DataFrame, tokens: Sequence[bytes], ids_col: str = "ids", out: str = "text") -> DataFrame:
     """``docs`` with the text of array<int> ``ids_col``; invalid UTF-8 becomes U+FFFD."""
     shared = docs.sparkSession.sparkContext.broadcast(list(tokens))

@@ -56,10 +56,13 @@ def blocks(df: DataFrame, ids: str, ordinal: str, length: int) -> DataFrame:
     """
     placed = running_sum(df.select(ordinal, F.col(ids).alias("_ids"), F.size(ids).alias("_n")).where("_n > 0"), "_n", ordinal)
     first, last = F.floor(F.greatest(F.col("before") - 1, F.lit(0)) / length), F.floor((F.col("before") + F.col("_n") - 1) / length)
-    cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
-    start = F.greatest(F.col("block") * length - F.col("before"), F.lit(0))
-    stop = F.least(F.col("block") * length + length + 1 - F.col("before"), F.col("_n"))
-    pieces = cut.select("block", "before", F.slice("_ids", (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")).alias("ids"))
+
+    def piece(block: Column) -> Column:
+        start = F.greatest(block * length - F.col("before"), F.lit(0))
+        stop = F.least(block * length + length + 1 - F.col("before"), F.col("_n"))
+        return F.struct(block.alias("block"), F.slice("_ids", (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")).alias("ids"))
+
+    pieces = placed.select("before", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.block", "before", "p.ids")
     whole = pieces.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("before", "ids"))), lambda s: s["ids"])).alias("ids"))
     return whole.where(F.size("ids") == length + 1).select("block", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
 

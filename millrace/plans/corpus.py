@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import bpe, instruct, sequence
-from millrace.plans.book import Book, table
+from millrace.plans.book import Book, spread, table
 
 QUERIES = Book()
 MERGES, BLOCK, SHARD, BATCH = 5, 256, 50_000, 64
@@ -15,6 +15,7 @@ MERGES, BLOCK, SHARD, BATCH = 5, 256, 50_000, 64
 #: DuckDB's patterns have no look-ahead: a mark before the last white space of a run stands for it.
 _PIECES = r"""regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(57344) || '\2', 'g'), '''(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x{E000}]+|\s+')"""
 _COUNTS = f"counts AS (SELECT pretoken, count(*) AS freq FROM (SELECT unnest({_PIECES}) AS pretoken FROM documents) GROUP BY pretoken)"
+_LISTED = "array_to_string(list_transform(range(1, strlen({0}) // 2 + 1), lambda i: ('0x' || {0}[2 * i - 1 : 2 * i])::INTEGER), ',')"
 _TAGGED = "array_to_string(list_transform(range(1, strlen({0}) + 1), lambda i: '<' || ('0x' || hex(encode({0}))[2 * i - 1 : 2 * i])::INTEGER || '>'), '')"
 
 
@@ -35,9 +36,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _digest(ids: str) -> Column:
+    """A hash of the ids, joined by commas; casts and joins stay in generated code."""
+    return F.md5(F.array_join(F.col(ids).cast("array<string>"), ","))
+
+
 @QUERIES.add(f"WITH {_COUNTS} SELECT pretoken, freq FROM counts")
 def pretoken_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.pretoken_counts(_documents(spark, sf_dir))
+    return bpe.pretoken_counts(spread(_documents(spark, sf_dir).select("text")))
 
 
 @QUERIES.add(f"WITH {_COUNTS} SELECT pretoken, freq FROM counts WHERE freq >= 5")
@@ -87,7 +93,7 @@ def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(f"WITH {_training(MERGES)} " + " UNION ALL ".join(f"SELECT {i - 1} AS rank, l AS \"left\", r AS \"right\", n::BIGINT AS n FROM b{i}" for i in range(1, MERGES + 1)))
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges = bpe.train(_documents(spark, sf_dir), 256 + MERGES, most=None)
+    merges = bpe.train(spread(_documents(spark, sf_dir).select("text")), 256 + MERGES, most=None)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank int, left int, right int, n long")
 
 
@@ -98,7 +104,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoder(spark: SparkSession, sf_dir: str) -> tuple[bpe.Encoder, list[bytes]]:
-    merges = bpe.train(_documents(spark, sf_dir), 256 + MERGES, most=None)
+    merges = bpe.train(spread(_documents(spark, sf_dir).select("text")), 256 + MERGES, most=None)
     tokens = bpe.vocabulary(merges)
     return bpe.Encoder(tokens, merges), tokens
 
@@ -109,18 +115,17 @@ for _i in range(1, MERGES + 1):
     _REPLACED = f"replace({_REPLACED}, (SELECT '<' || l || '><' || r || '>' FROM b{_i}), '<{255 + _i}>')"
 
 
-@QUERIES.add(f"WITH {_training(MERGES)}, texts AS ({_ENCODED}), done AS (SELECT doc_id, replace({_REPLACED}, '|', '') AS s FROM texts) SELECT doc_id, (length(s) - length(replace(s, '<', '')))::INTEGER AS n_tokens, md5(s) AS ids_md5 FROM done")
+@QUERIES.add(f"WITH {_training(MERGES)}, texts AS ({_ENCODED}), done AS (SELECT doc_id, replace({_REPLACED}, '|', '') AS s FROM texts) SELECT doc_id, (length(s) - length(replace(s, '<', '')))::INTEGER AS n_tokens, md5(replace(replace(replace(s, '><', ','), '<', ''), '>', '')) AS ids_md5 FROM done")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder, _ = _encoder(spark, sf_dir)
-    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), encoder)
-    tagged = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
-    return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(tagged).alias("ids_md5"))
+    coded = bpe.encode(spread(_documents(spark, sf_dir).select("doc_id", "text")), encoder)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), _digest("ids").alias("ids_md5"))
 
 
 @QUERIES.add("SELECT doc_id, text FROM documents")
 def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder, tokens = _encoder(spark, sf_dir)
-    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), encoder).drop("text")
+    coded = bpe.encode(spread(_documents(spark, sf_dir).select("doc_id", "text")), encoder).drop("text")
     return bpe.decode(coded, tokens).select("doc_id", "text")
 
 
@@ -144,11 +149,10 @@ def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(f"""WITH stream AS (SELECT regexp_extract_all(string_agg(hex(encode(text)), '' ORDER BY doc_id), '.{{1,{2 * BLOCK}}}') AS parts FROM documents),
 cut AS (SELECT unnest(range(1, len(parts))) AS b, parts[b] AS x, parts[b + 1][1:2] AS after FROM stream)
-SELECT b - 1 AS block, md5(x) AS x_md5, md5(x[3:] || after) AS y_md5 FROM cut""")
+SELECT b - 1 AS block, md5({_LISTED.format('x')}) AS x_md5, md5({_LISTED.format('(x[3:] || after)')}) AS y_md5 FROM cut""")
 def token_blocks_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _documents(spark, sf_dir).select("doc_id", T.utf8_bytes(F.col("text")).alias("ids"))
-    code = lambda c: F.md5(F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
-    return sequence.blocks(ids, "ids", "doc_id", BLOCK).select("block", code("x").alias("x_md5"), code("y").alias("y_md5"))
+    ids = spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", bpe.byte_ids(F.col("text")).alias("ids"))
+    return sequence.blocks(ids, "ids", "doc_id", BLOCK).select("block", _digest("x").alias("x_md5"), _digest("y").alias("y_md5"))
 
 
 @QUERIES.add("SELECT doc_id, lang, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS rank FROM documents) WHERE rank <= 32")
@@ -228,7 +232,7 @@ d AS (SELECT i AS draw, ('0x' || md5(i || ':9')[1:12])::BIGINT % (SELECT count(*
 p AS (SELECT draw, doc_id, h, ('0x' || md5(draw || ':10')[1:12])::BIGINT % (n - 64) AS start FROM d JOIN s USING (k))
 SELECT draw, doc_id AS shard, start, md5(h[2 * start + 1 : 2 * start + 128]) AS x_md5, md5(h[2 * start + 3 : 2 * start + 130]) AS y_md5 FROM p""")
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _documents(spark, sf_dir).select("doc_id", T.utf8_bytes(F.col("text")).alias("ids"))
+    ids = _documents(spark, sf_dir).select("doc_id", bpe.byte_ids(F.col("text")).alias("ids"))
     code = lambda c: F.md5(F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
     found = sequence.random_windows(ids, "ids", "doc_id", 200, 64, 9)
     return found.select("draw", "shard", "start", code("x").alias("x_md5"), code("y").alias("y_md5"))

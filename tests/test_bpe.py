@@ -87,3 +87,9 @@ def test_counts_add_up(spark, sf):
 
 def test_array_kinds():
     assert bpe.as_array([1], 65_535).dtype == "uint16" and bpe.as_array([1], 65_536).dtype == "uint32"
+
+
+def test_byte_ids(spark):
+    texts = ["aé", "", None, "x" * 1000]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select(bpe.byte_ids(F.col("s"))).collect()
+    assert [r[0] for r in got] == [None if t is None else list(t.encode()) for t in texts]
