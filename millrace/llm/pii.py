@@ -40,7 +40,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _URL = re.compile(r"[A-Za-z0-9\[][^\s<>\"'{}|\\^`]*+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _GAP = re.compile(r"[^A-Za-z0-9]{0,3}")
-_NUMBER = re.compile(r"[ \t]*(?:number|no\.?|nr\.?)?[ \t]*[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){5,18})(?![0-9])", re.IGNORECASE)
+_NUMBER = re.compile(r"[ \t]*+(?:number|no\.?|nr\.?)?+[ \t]*+[:#=]?+[ \t]*+([0-9](?:[ -]?[0-9]){5,18})(?![0-9])", re.IGNORECASE)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
 
@@ -81,7 +81,7 @@ def parse(text: str | None) -> list[Span]:
     if _AUTOMATON is None:
         _AUTOMATON = automaton()
     spans: list[Span] = []
-    email_end = ip_end = card_end = phone_end = url_end = 0
+    email_end = ip_end = card_end = phone_end = url_end = mail_end = 0
     lowered = text.lower()
     folded = lowered if len(lowered) == len(text) else "".join(c.lower() if c < "\x80" else c for c in text)
     for last, cue in _AUTOMATON.iter(folded):
@@ -90,7 +90,7 @@ def parse(text: str | None) -> list[Span]:
                 continue  # the run's first digit has been its anchor
             if last >= ip_end and (m := _IP.match(text, last)):
                 ip_end = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                     spans.append(("ip", last, ip_end))
             if last >= card_end and (m := _CARD.match(text, last)):
                 card_end = m.end()
@@ -115,8 +115,10 @@ def parse(text: str | None) -> list[Span]:
                         spans.append(("phone", last, end))
         elif cue in SCHEMES:
             start = last + 1 - len(cue)
-            if start >= url_end and (m := _URL.match(text, last + 1)):
+            if start >= max(url_end, mail_end * (cue == "mailto:")) and (m := _URL.match(text, last + 1)):
                 end = m.end()
+                if cue == "mailto:":
+                    mail_end = end  # a run without an at-sign after its first mailto has none after a later one
                 while text[end - 1] in ".,;:!?)":
                     end -= 1
                 if cue != "mailto:" or "@" in text[last + 1 : end]:

@@ -82,3 +82,10 @@ def test_odd_and_empty(spark):
     assert {r.doc_id: r.n_chars for r in clean.collect()}[6] == 360_000
     for text in ("1" * 200_000, "@" * 200_000, "a@" * 100_000, "+1" * 100_000, "1.2." * 50_000, "a." * 100_000 + "@"):
         assert base(text) is not None  # in linear time
+
+
+def test_long_runs():
+    zeros = "0" * 6000
+    assert base(f"{zeros}1.2.3.4 {zeros}.0.0.{zeros}") == [("ip", 0, 6007), ("ip", 6008, 6008 + 2 * 6000 + 5)]
+    assert pii.parse("account" + " " * 100_000 + "x") == []
+    assert pii.parse("mailto:" * 30_000 + "x") == []
