@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -113,7 +113,7 @@ def index(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                mark = xxh64_intdigest((text or "").encode()) >> 1
+                mark = xxh64_intdigest((text or "").encode(), 42) >> 1  # as _mark
                 parts = words(text)
                 ids = np.fromiter((get(w, -1) for w in parts), dtype=np.int32, count=len(parts))
                 at = np.flatnonzero(ids >= 0)
@@ -210,6 +210,15 @@ def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, proximity: int
     starts and ends bound the stretches of words inside occurrences, items lists the items that occur. With
     ``proximity`` a window occurs where its terms lie, in any order, within that many words more than its length.
     """
+    return _found(docs, bench, window, proximity, block_words).drop("mark")
+
+
+def _mark(text: Column) -> Column:
+    """The hash of a text that ``index`` keeps."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1)
+
+
+def _found(docs: DataFrame, bench: DataFrame, window: int, proximity: int | None, block_words: int) -> DataFrame:
     prepare(docs.sparkSession)
     parts = []
     for block in blocks(bench, block_words):
@@ -219,7 +228,7 @@ def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, proximity: int
         parts.append(_scan(postings, items, proximity))
     if not parts:
         parts.append(_scan(index(docs, empty := Items([], window)), _ordered(empty), proximity))
-    return parts[0].drop("mark") if len(parts) == 1 else union_of(parts)
+    return parts[0] if len(parts) == 1 else union_of(parts)
 
 
 def _ordered(items: Items) -> Items:
@@ -235,14 +244,14 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
             rows = []
             for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 rows.append(merge(np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(2)), batch.column(4)], ["doc_id", "n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(2)), *batch.columns[4:6]], ["doc_id", "n_words", "starts", "ends", "items", "mark"])
 
     both = reduce(DataFrame.unionByName, parts)
     gathered = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
     grouped = both.groupBy("doc_id", "n_words", "mark").agg(*gathered, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("n"))
     again = grouped.withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
     kind = dict(both.dtypes)["doc_id"]
-    return again.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(each, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<long>")
+    return again.select("doc_id", "n_words", "starts", "ends", "items", "mark").mapInArrow(each, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<long>, mark long")
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -253,6 +262,7 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which a window occurs."""
-    bad = find(docs, bench).where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without the rows in whose text a window occurs, null ids and other texts under the same id told apart."""
+    hit = _found(docs, bench, WINDOW, None, BLOCK_WORDS).where(F.size("items") > 0)
+    bad = hit.select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_mark(docs["text"]) == bad["_mark"]), "left_anti")

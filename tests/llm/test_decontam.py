@@ -73,3 +73,11 @@ def test_odd_and_empty(spark):
     assert not any(r.contaminated for r in decontam.digest(odd, bench.limit(0)).collect())
     assert decontam.digest(odd.limit(0), bench).count() == 0
     assert {r.doc_id for r in decontam.drop_contaminated(odd, bench).collect()} == {1, 2, 3, 6, 7, 8}
+
+
+def test_drop_tells_rows_apart(spark):
+    bench = spark.createDataFrame([(1, "c d e")], "item_id long, text string")
+    rows = [(None, "b c d e"), (None, "clean"), (7, "c d e f"), (7, "clean"), (7, None), (8, "ü" * 40)]
+    for blocks_of in (bench, bench.union(spark.createDataFrame([(2, "zz yy")], bench.schema))):
+        kept = decontam.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), blocks_of).collect()
+        assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([rows[i] for i in (1, 3, 4, 5)], "doc_id long, text string").collect())
