@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; bounds the memory of a Python worker.
-TEXT_ROWS = 512
+#: Rows and bytes of one Arrow batch, whichever comes first; they bound the memory of a Python worker.
+TEXT_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
