@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, whichever comes first; they bound the memory of a Python worker.
 TEXT_ROWS, BATCH_BYTES = 512, 64 << 20
+#: Rows of one or two numbers that are broadcast at most, some 30 MB.
+BROADCAST_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -35,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(docs: DataFrame, bad: DataFrame, condition: Column | str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` less the rows that ``bad`` (a few numbers a row, already cut) matches.
+
+    Up to ``most`` rows, which are counted, go to every task, so that no text is shuffled; more meet ``docs`` in a shuffle.
+    """
+    return docs.join(F.broadcast(bad) if bad.count() <= most else bad, condition, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

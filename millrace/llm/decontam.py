@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.common import cut, prepare
+from millrace.llm.common import cut, prepare, without
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -264,5 +264,5 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs`` without the rows in whose text a window occurs, null ids and other texts under the same id told apart."""
     hit = _found(docs, bench, WINDOW, None, BLOCK_WORDS).where(F.size("items") > 0)
-    bad = hit.select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_mark(docs["text"]) == bad["_mark"]), "left_anti")
+    bad = cut(hit.select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct())
+    return without(docs, bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_mark(docs["text"]) == bad["_mark"]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.common import connected_components, crowded, cut, per_group, prepare, spanning
+from millrace.llm.common import connected_components, crowded, cut, per_group, prepare, spanning, without
 
 #: Rows of hashes that are counted at a time, which bounds memory for a text of any length.
 ROWS = 8192
@@ -221,5 +221,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each near-duplicate group; rows with a null id are all kept."""
     known = docs.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(known, size, similarity, id_col, text_col).where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_anti")
+    copies = near_duplicates(known, size, similarity, id_col, text_col).where("id <> component").select(F.col("id").alias(id_col)).distinct()
+    return without(docs, cut(copies), id_col)
