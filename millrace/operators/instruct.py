@@ -98,3 +98,25 @@ def seeded_split(df: DataFrame, key: str, seed: int, share: float, least: int =
 def new_rows(candidates: DataFrame, known: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """First candidates of the keys that ``known`` does not have: one round of an incremental deduplication."""
     return keep_first(candidates, key, *order).join(known.select(key).distinct(), key, "left_anti")
+
+
+def until_target(df: DataFrame, key: str, turn: str, ordinal: str, target: int, least_gain: int, patience: int) -> DataFrame:
+    """First rows by ``key`` of the rounds (``turn``) up to the one that brings them to ``target`` or ends ``patience``
+    rounds in a row with fewer than ``least_gain`` new keys each; ``target`` rows at most, in order.
+
+    Rounds do not depend on each other once the first row of every key is known: only their gains, one number a
+    round, are read in order.
+    """
+    first = keep_first(df, key, turn, ordinal)
+    gains = df.select(turn).distinct().join(first.groupBy(turn).agg(F.count(F.lit(1)).alias("_n")), turn, "left")
+    held, low, last = 0, 0, None
+    for number, n in gains.select(turn, F.coalesce("_n", F.lit(0))).orderBy(turn).toLocalIterator():
+        held, low, last = held + n, low + 1 if n < least_gain else 0, number
+        if held >= target or low >= patience:
+            break
+    return first.where(F.col(turn) <= F.lit(last)).orderBy(turn, ordinal).limit(target)
+
+
+def distinct_on(df: DataFrame, key: str, ordinal: str, most: int) -> DataFrame:
+    """The first row of each key, ``most`` rows at most, in order."""
+    return keep_first(df, key, ordinal).orderBy(ordinal).limit(most)

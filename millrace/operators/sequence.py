@@ -111,6 +111,30 @@ def hashed_choice(key: Column, seed: int, options: Sequence[str]) -> Column:
     return F.get(F.array(*map(F.lit, options)), hashed_number(key, seed, F.lit(len(options))).cast("int"))
 
 
+def drawn(rows: DataFrame, ordinal: str, draws: int, seed: int, run: int = 1) -> DataFrame:
+    """(draw, slot, columns of ``rows``): each draw takes ``run`` rows in a row from a random start, past the end from the front.
+
+    Draws are with replacement, so callers filter what may be drawn first; without any row it raises.
+    """
+    numbered = running_sum(rows.withColumn("_one", F.lit(1)), "_one", ordinal, "_place").drop("_one")
+    n = rows.count()
+    if n == 0:
+        raise ValueError("no row to draw from")
+    starts = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), hashed_number(F.col("id"), seed, F.lit(n)).alias("_start"))
+    slots = starts.select("draw", "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(run - 1).cast("long"))).alias("slot"))
+    return slots.withColumn("_place", F.pmod(F.col("_start") + F.col("slot"), F.lit(n))).join(numbered, "_place").drop("_place", "_start")
+
+
+def epoch_batches(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
+    """``df`` with ``batch`` and ``slot``: one pass in seeded order; the last batch is filled up from the front."""
+    n = df.count()
+    hashed = df.withColumn("_seeded", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    placed = place_in_order(hashed, [F.col("_seeded"), F.col(key)], F.conv(F.substring("_seeded", 1, 2), 16, 10).cast("int"), "_place").drop("_seeded")
+    ends = -(-n // rows) * rows
+    spread = placed.withColumn("_at", F.explode(F.sequence(F.col("_place"), F.lit(ends - 1).cast("long"), F.lit(max(n, 1)).cast("long"))))
+    return spread.withColumn("batch", batch_of(F.col("_at"), rows)).withColumn("slot", F.pmod("_at", F.lit(rows).cast("long"))).drop("_place", "_at")
+
+
 def random_windows(shards: DataFrame, ids: str, ordinal: str, draws: int, length: int, seed: int) -> DataFrame:
     """(draw, shard, start, x, y): each draw takes a shard, all alike likely, then a start; y is x moved by one.
 

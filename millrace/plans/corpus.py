@@ -236,3 +236,61 @@ def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda c: F.md5(F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
     found = sequence.random_windows(ids, "ids", "doc_id", 200, 64, 9)
     return found.select("draw", "shard", "start", code("x").alias("x_md5"), code("y").alias("y_md5"))
+
+
+@QUERIES.add("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS r FROM documents) WHERE r = 1 ORDER BY doc_id LIMIT 32")
+def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each length, 32 at most: the evaluation subset rule."""
+    return instruct.distinct_on(_documents(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", "doc_id", 32)
+
+
+@QUERIES.add("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+s AS (SELECT doc_id, unnest(range(place, ((n + 31) // 32) * 32, n)) AS slot FROM o) SELECT doc_id, slot // 32 AS batch, slot % 32 AS slot FROM s""")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.epoch_batches(_documents(spark, sf_dir).select("doc_id"), "doc_id", 7, 32)
+
+
+def _draws(run: int, seed: int) -> str:
+    return f"""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE n_chars <= 400),
+d AS (SELECT i AS draw, ('0x' || md5(i || ':{seed}')[1:12])::BIGINT % (SELECT count(*) FROM s) AS start, unnest(range({run})) AS slot FROM range(100) t(i))
+SELECT draw, slot, doc_id FROM d JOIN s ON s.place = (d.start + d.slot) % (SELECT count(*) FROM s)"""
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).where("n_chars <= 400").select("doc_id")
+
+
+@QUERIES.add(_draws(1, 11))
+def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred draws among the documents that are short enough."""
+    return sequence.drawn(_short(spark, sf_dir), "doc_id", 100, 11)
+
+
+@QUERIES.add(_draws(8, 12))
+def contiguous_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred batches of eight, each from a random start on."""
+    return sequence.drawn(_short(spark, sf_dir), "doc_id", 100, 12, 8)
+
+
+def _rounds(target: int, least: int, patience: int) -> str:
+    return f"""WITH k AS (SELECT doc_id, round FROM (SELECT doc_id, doc_id // 16 AS round, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
+g AS (SELECT r.round, count(k.doc_id) AS gain FROM (SELECT DISTINCT doc_id // 16 AS round FROM documents) r LEFT JOIN k USING (round) GROUP BY 1),
+s AS (SELECT round, sum(gain) OVER (ORDER BY round) AS held, sum((gain < {least})::INTEGER) OVER (ORDER BY round ROWS BETWEEN {patience - 1} PRECEDING AND CURRENT ROW) AS low FROM g)
+SELECT doc_id, round FROM k WHERE round <= coalesce((SELECT min(round) FROM s WHERE held >= {target} OR low = {patience}), round) ORDER BY doc_id LIMIT {target}"""
+
+
+def _until(spark: SparkSession, sf_dir: str, target: int, least: int, patience: int) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("round"), "text")
+    return instruct.until_target(docs, "text", "round", "doc_id", target, least, patience).select("doc_id", "round")
+
+
+@QUERIES.add(_rounds(150, 4, 12))
+def rounds_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of sixteen candidates until 150 different ones are there."""
+    return _until(spark, sf_dir, 150, 4, 12)
+
+
+@QUERIES.add(_rounds(1_000_000, 16, 2))
+def rounds_until_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of sixteen candidates until two in a row bring repeats."""
+    return _until(spark, sf_dir, 1_000_000, 16, 2)
