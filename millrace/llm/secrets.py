@@ -7,21 +7,26 @@ chi-squared of the symbol counts, the number of runs above and below the middle
 serial correlation. Their squares add to d, which is about chi-squared with 3 degrees of freedom for a random token
 and large for text.
 
-False-discovery control is by length class (powers of two): tokens of letters only, in one case or capitalised,
-make the null sample of the class; a candidate's p-value is the share of that sample with a d as small, and the
-Benjamini-Hochberg rule picks the class's cutoff, at d of 16.27 (99.9 % of random tokens) at most. d is taken in
-steps of 1/4, rounded up, so that counts by class and step, a few thousand at most, are all that is gathered.
+False-discovery control is by length class (powers of two). Two null samples tell how often ordinary tokens have a
+d as small as a candidate's: a reference of joined ordinary words, cut to the lengths of the class, which exists
+whatever the corpus holds; and the corpus's own tokens of letters only, in one case or capitalised, if there are
+any. The larger of the two shares is the p-value, and the Benjamini-Hochberg rule picks the class's cutoff, at d of
+16.27 (99.9 % of random tokens) at most. The reference grows with the candidates for each that could pass, up to
+``MOST_NULLS`` a class; a class where fewer than one candidate in 5,000 could pass adds nothing. Classes from 256
+characters on share the reference of 128 to 255, whose d is smaller. d is taken in steps of 1/4, rounded up, so that
+counts by class and step, a few thousand at most, are all that is gathered.
 
 Defined cases: a null text is empty; rules may overlap; a random token inside a span of a rule is not listed again;
-without a null sample in a class nothing is added there; empty tables give empty results. Offsets are code points,
+empty tables give empty results. Offsets are code points,
 end exclusive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
@@ -32,6 +37,16 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 FALSE_RATE, MOST_D, STEP, LAST_STEP = 0.05, 16.27, 4, 4000
+#: Tokens of a class's reference, and the longest class that has one of its own.
+LEAST_NULLS, MOST_NULLS, LONGEST_CLASS = 4_000, 100_000, 7
+#: Ordinary words of the four languages of the tables, which the reference joins.
+WORDS = (
+    "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when "
+    "who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even "
+    "most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world "
+    "still own see men work long get here between both life being under never day same another know while last might great old year off come since against go came right used "
+    "take three der die und das ist nicht ein eine mit von auf werden haben sein les des une dans pour que avec sur plus mais comme los las del para por como pero todo"
+).split()
 #: Spans that are appended one by one.
 CHUNK = 256
 
@@ -117,20 +132,49 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def summed_up(t: Column) -> Column:
         word = t["token"].rlike("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+)$")
-        step = F.least(F.ceil(tested(t["token"]) * STEP), F.lit(LAST_STEP)).cast("int")
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.length(t["token"]))).cast("int").alias("class"), step.alias("step"), word.alias("word"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.floor(F.log2(F.length(t["token"]))).cast("int").alias("class"), stepped(t["token"]).alias("step"), word.alias("word"))
 
     slim = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(name)
     return found.select("doc_id", *map(slim, BASE), F.transform("tokens", summed_up).alias("tokens"))
 
 
+def reference(spark: SparkSession, kind: int, n: int) -> DataFrame:
+    """(token): n tokens of words joined bare, by -, _ or /, or in camel case, of all lengths of the class ``kind``."""
+    least, most = max(20, 1 << kind), (2 << kind) - 1
+    drawn = lambda i, size: F.pmod(F.xxhash64("id", F.lit(kind), i), F.lit(size)).cast("int")
+    vocabulary, style = F.array(*map(F.lit, WORDS)), F.pmod("id", F.lit(5))
+    words = F.transform(F.sequence(F.lit(1), F.lit(most // 2 + 1)), lambda i: F.get(vocabulary, drawn(i, len(WORDS))))
+    joined = F.when(style == 0, F.array_join(words, ""))
+    for k, mark in enumerate("-_/"):
+        joined = joined.when(style == k + 1, F.array_join(words, mark))
+    joined = joined.otherwise(F.array_join(F.transform(words, F.initcap), ""))
+    return spark.range(n).select(F.substring(joined, F.lit(1), F.lit(least) + drawn(F.lit(0), most - least + 1)).alias("token"))
+
+
+def stepped(token: Column) -> Column:
+    """d in whole steps."""
+    return F.least(F.ceil(tested(token) * STEP), F.lit(LAST_STEP)).cast("int")
+
+
 def cutoffs(tokens: DataFrame) -> dict[int, int]:
     """The largest step of d that passes, by length class, from (class, step, word)."""
-    counts = tokens.groupBy("class", "step").agg(F.sum(F.col("word").cast("long")).alias("null"), F.sum((~F.col("word")).cast("long")).alias("n"))
+    counts = cut(tokens.groupBy("class", "step").agg(F.sum(F.col("word").cast("long")).alias("null"), F.sum((~F.col("word")).cast("long")).alias("n")))
+    could = F.sum(F.when(F.col("step") <= MOST_D * STEP, F.col("n")).otherwise(0))
+    needs: dict[int, tuple[int, list[int]]] = {}
+    for r in counts.groupBy("class").agg(F.sum("n").alias("m"), could.alias("k")).where("k > 0").collect():
+        kind, n = min(r["class"], LONGEST_CLASS), min(max(LEAST_NULLS, -(-40 * r["m"] // r["k"])), MOST_NULLS)
+        most, classes = needs.get(kind, (0, []))
+        needs[kind] = max(most, n), [*classes, r["class"]]
+    if not needs:
+        return {}
+    made = [reference(tokens.sparkSession, kind, n).select(stepped(F.col("token")).alias("step")).select(F.explode(F.array(*map(F.lit, classes))).alias("class"), "step") for kind, (n, classes) in sorted(needs.items())]
+    made = reduce(DataFrame.union, made).groupBy("class", "step").agg(F.count(F.lit(1)).alias("made"))
+    both = counts.select("*", F.lit(0).cast("long").alias("made")).union(made.select("class", "step", F.lit(0).cast("long"), F.lit(0).cast("long"), "made"))
+    both = both.groupBy("class", "step").agg(*[F.sum(c).alias(c) for c in ("null", "n", "made")])
     upto, whole = Window.partitionBy("class").orderBy("step"), Window.partitionBy("class")
-    told = counts.select("class", "step", F.sum("null").over(upto).alias("as_small"), F.sum("null").over(whole).alias("nulls"), F.sum("n").over(upto).alias("k"), F.sum("n").over(whole).alias("m"))
-    p = (F.lit(1) + F.col("as_small")) / (F.lit(1) + F.col("nulls"))
-    passing = told.where((F.col("nulls") > 0) & (F.col("m") > 0) & (F.col("step") <= MOST_D * STEP) & (p <= FALSE_RATE * F.col("k") / F.col("m")))
+    told = both.select("class", "step", *[F.sum(c).over(w).alias(f"{c}_{name}") for c in ("null", "n", "made") for name, w in (("upto", upto), ("all", whole))])
+    p = F.greatest((F.lit(1) + F.col("made_upto")) / (F.lit(1) + F.col("made_all")), F.col("null_upto") / F.greatest("null_all", F.lit(1)))
+    passing = told.where((F.col("made_all") > 0) & (F.col("n_upto") > 0) & (F.col("step") <= MOST_D * STEP) & (p <= FALSE_RATE * F.col("n_upto") / F.col("n_all")))
     return {r["class"]: r["step"] for r in passing.groupBy("class").agg(F.max("step").alias("step")).collect()}
 
 

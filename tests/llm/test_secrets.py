@@ -1,6 +1,7 @@
 """Op 7: rules against plain patterns, the battery against its formulas, no Python in the plan."""
 
 import hashlib
+import random
 import re
 import secrets as random_source
 
@@ -62,6 +63,24 @@ def test_random_tokens_are_added(spark):
     assert sum("random:3:34" in got[i] for i in range(150, 180)) >= 25
 
 
+def test_long_tokens_in_prose_without_long_words(spark):
+    rng = random.Random(5)
+    alphabet = secrets.ALPHABETS["base64"][:62]
+    token = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    sizes = [36, 40, 64, 64, 300]
+    texts = [f"we saw {token(n)} in the hall" for n in sizes] + ["we saw nothing in the hall"] * 5
+    got = {r.doc_id: r.spans for r in secrets.digest(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(10)] == [f"random:7:{7 + n}" for n in sizes] + [""] * 5
+
+
+def test_joined_words_are_not_added(spark):
+    rng = random.Random(7)
+    token = "".join(rng.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(40))
+    texts = ["see some-ordinary-words-that-are-joined-by-hyphens here", "in usr/local/share/documents/archive/letters/of/the/year/before/the/last now", f"key {token} end"]
+    got = {r.doc_id: r.spans for r in secrets.digest(docs(spark, texts)).collect()}
+    assert got == {0: "", 1: "", 2: "random:4:44"}
+
+
 def test_no_python_in_the_plan(spark):
     plan = secrets.scanned(docs(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
