@@ -10,7 +10,7 @@ Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broa
 a pass over all documents.
 
 Defined cases: a null text has no words; an item without words has no window; an item of fewer words than the
-window is one window; equal items match each on their own; repeated document rows give a row each; empty tables
+window is one window; equal items match each on their own; an item without an id counts for hits and is not listed; repeated document rows give a row each; empty tables
 give empty results, and without items nothing is contaminated.
 """
 
@@ -50,14 +50,15 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 class Items:
     """The windows of a block of test items and the terms in them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.terms: dict[bytes, int] = {}
         self.window = window
         lists = []
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             lists += [(item, ids[i : i + window]) for i in range(max(1, len(ids) - window + 1)) if ids]
-        self.item = np.array([i for i, _ in lists], dtype=np.int64)
+        self.item = np.array([0 if i is None else i for i, _ in lists], dtype=np.int64)
+        self.named = np.array([i is not None for i, _ in lists], dtype=bool)
         self.length = np.array([len(ids) for _, ids in lists], dtype=np.int64)
         self.ids = np.full((len(lists), window), -1, dtype=np.int32)
         for k, (_, ids) in enumerate(lists):
@@ -141,10 +142,10 @@ def frequencies(postings: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
+def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str | None]]]:
     """Items in order of their ids, as many at a time as hold ``most`` words together (one at least)."""
     block, size = [], 0
-    for item, text in bench.select("item_id", "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
+    for item, text in bench.select("item_id", "text").orderBy("item_id").toLocalIterator():
         n = len(words(text))
         if block and size + n > most:
             yield block
@@ -169,8 +170,8 @@ def _scan(postings: DataFrame, items: Items, proximity: int | None) -> DataFrame
                 dense[np.cumsum(_unpacked(gaps, n))] = _unpacked(terms, n)
                 found = list(items.phrases(dense)) if proximity is None else list(near(items, dense, proximity))
                 begin = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
-                which = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
-                rows.append((*merge(begin, begin + items.length[which] + (proximity or 0)), np.unique(items.item[which]).tolist()))
+                which = np.concatenate([f[1] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+                rows.append((*merge(begin, begin + items.length[which] + (proximity or 0)), np.unique(items.item[which[items.named[which]]]).tolist()))
             columns = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, batch.column(5)], ["doc_id", "n_words", "starts", "ends", "items", "mark"])
 
@@ -263,6 +264,6 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs`` without the rows in whose text a window occurs, null ids and other texts under the same id told apart."""
-    hit = _found(docs, bench, WINDOW, None, BLOCK_WORDS).where(F.size("items") > 0)
+    hit = _found(docs, bench, WINDOW, None, BLOCK_WORDS).where(F.size("starts") > 0)
     bad = cut(hit.select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct())
     return without(docs, bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_mark(docs["text"]) == bad["_mark"]))

@@ -81,3 +81,13 @@ def test_drop_tells_rows_apart(spark):
     for blocks_of in (bench, bench.union(spark.createDataFrame([(2, "zz yy")], bench.schema))):
         kept = decontam.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), blocks_of).collect()
         assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([rows[i] for i in (1, 3, 4, 5)], "doc_id long, text string").collect())
+
+
+@pytest.mark.parametrize("block_words", [1, 10**6])
+def test_items_without_an_id_count(spark, block_words):
+    bench = spark.createDataFrame([(None, "a b c"), (1, "x y z")], "item_id long, text string")
+    texts = ["so a b c it is", "x y z a b c", "clean"]
+    got = {r.doc_id: (sum(b - a for a, b in zip(r.starts, r.ends, strict=True)), r["items"]) for r in decontam.find(docs(spark, texts), bench, block_words=block_words).collect()}
+    assert got == {0: (3, []), 1: (6, [1]), 2: (0, [])}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.digest(docs(spark, texts), bench).collect()} == {0: (3, 0, True), 1: (6, 1, True), 2: (0, 0, False)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()] == [2]
