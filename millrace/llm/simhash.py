@@ -14,16 +14,18 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_intdigest, xxh128_digest
 
-from millrace.llm.common import connected_components, crowded, cut, per_group, prepare, spanning, without
+from millrace.llm.common import BROADCAST_ROWS, connected_components, crowded, cut, partitions, per_group, prepare, spanning, without
 
 #: Rows of hashes that are counted at a time, which bounds memory for a text of any length.
 ROWS = 8192
@@ -92,6 +94,10 @@ def fingerprint(text: str | None, size: int = 4, n_words: int = 1) -> bytes:
     hashes = shingle_hashes(text, size)
     if not len(hashes):
         return bytes(8 * n_words)
+    return majority(hashes, n_words)
+
+
+def majority(hashes: np.ndarray, n_words: int) -> bytes:
     counts = sum(bit_counts(widen(hashes[at : at + ROWS], n_words)) for at in range(0, len(hashes), ROWS))
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
@@ -208,18 +214,220 @@ def radius(similarity: float, n_words: int) -> int:
     return round(64 * n_words * float(np.arccos(cosine)) / np.pi)
 
 
+#: Texts whose shingles tell which ones are common, most common shingles kept, texts of a bucket that meet in one task at most.
+SAMPLE, COMMON, SETS_BLOCK = 5_000, 200_000, 2048
+#: Bits that bound in how many shingles two sets differ.
+PARITIES = 1024
+
+
+def mark_of(text: Column) -> Column:
+    """64 bits of hash that stand for a text; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, at_least: Fraction) -> np.ndarray:
+    """The first shingles of a set in the global order, rare ones first: sets alike to ``at_least`` share one of them.
+
+    ``common`` has the common shingles by rising frequency in the sample; any order common to all sets is exact.
+    """
+    n = len(hashes)
+    most = n - math.ceil(at_least * n) + 1
+    if len(common):
+        order = np.argsort(common)
+        place = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
+        rank = np.where(common[order[place]] == hashes, order[place] + 1, 0)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[:most]
+
+
+def alike(a: np.ndarray, b: np.ndarray, at_least: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``at_least``."""
+    if not len(a) or not len(b) or min(len(a), len(b)) < at_least * max(len(a), len(b)):
+        return len(a) == len(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= at_least * (len(a) + len(b) - both)
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles of three texts or more of a sample, by rising count."""
+    n = texts.count()
+    part = texts.where(F.pmod(F.xxhash64("mark"), F.lit(max(1, n // SAMPLE))) == 0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found, counts = np.unique(np.concatenate([shingle_set(t, size) for t in batch.column(0).to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "n"])
+
+    counts = part.select("text").mapInArrow(each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow().column(0).to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
+
+
+def shared_keys(texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
+    """(key, mark): prefix shingles and the texts that share one with a text of like size; one shuffle and no row for others."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task send their keys once
+        for batch in batches:
+            rows = []
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if mark not in seen and len(hashes := shingle_set(text, size)):
+                    seen.add(mark)
+                    rows.append((prefix(hashes, shared.value, at_least), len(hashes), mark))
+            if rows:
+                n = [len(keys) for keys, _, _ in rows]
+                columns = np.concatenate([keys for keys, _, _ in rows]).view(np.int64), np.repeat(np.array([r[1] for r in rows], dtype=np.int32), n), np.repeat(np.array([r[2] for r in rows], dtype=np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "mark"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key and size; the last key of a batch waits for the next."""
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int64)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if len(held[0]):
+                last = int(np.searchsorted(held[0], held[0][-1]))
+                yield several(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        yield several(*held)
+
+    def several(keys: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+        keys, sizes, marks = keys[new], sizes[new].astype(np.int64), marks[new]
+        near = (keys[1:] == keys[:-1]) & (sizes[:-1] * at_least.denominator >= sizes[1:] * at_least.numerator)
+        twin = np.zeros(len(keys), dtype=bool)
+        twin[1:] = near
+        twin[:-1] |= near
+        return pa.RecordBatch.from_arrays([pa.array(keys[twin]), pa.array(marks[twin])], ["key", "mark"])
+
+    made = texts.select("mark", "text").mapInArrow(emit, "key long, size int, mark long")
+    return made.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key", "size", "mark").mapInArrow(keep, "key long, mark long")
+
+
+def parities(hashes: np.ndarray, width: int = PARITIES) -> bytes:
+    """``width`` bits: whether the number of shingles in a class of hashes is odd. Two sets that differ in k shingles differ in k bits at most."""
+    return np.packbits(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).tobytes()
+
+
+def wide_parities(hashes: np.ndarray) -> bytes:
+    """As many bits as shingles at least, a power of two; wider ones fold to narrower ones."""
+    return parities(hashes, max(PARITIES, 1 << max(0, len(hashes) - 1).bit_length()))
+
+
+def may_be_alike(x: bytes, y: bytes, sizes: int, most: Fraction) -> bool:
+    """Whether the parities allow that at most ``most`` of the summed ``sizes`` differ."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(p ^ np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)).sum()) <= most * sizes
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, at_least: Fraction) -> DataFrame:
+    """The (a, b) that wide parities do not rule out, so that few texts travel."""
+    most = (1 - at_least) / (1 + at_least)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_be_alike(x, y, n, most) for n, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("size").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
+    both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "w_a", "w_b").mapInArrow(each, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
+    """The (a, b) of ``pairs`` of marks whose shingle sets are alike; texts travel, which are smaller than sets."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None  # rows come by a
+        for batch in batches:
+            ok = []
+            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, left = a, shingle_set(x, size)
+                ok.append(alike(left, shingle_set(y, size), at_least))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = cut(pairs.distinct())
+    needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    found = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, texts["mark"] == needed["node"]).groupBy("node").agg(F.first("text").alias("text"))
+    both = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+
+
+def missing_links(keyed: DataFrame, nodes: DataFrame, classes: DataFrame, at_least: Fraction) -> DataFrame:
+    """(a, b): nodes of different components that share a key and that neither size nor parities tell to be unlike.
+
+    ``nodes`` is (mark, node, component), ``classes`` has size and parity of the nodes. Sets alike to s differ in
+    (1 - s) / (1 + s) of the sum of their sizes at most.
+    """
+    placed = cut(keyed.join(nodes, "mark").select("key", "node", F.col("component").alias("part")).distinct())
+    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    most = (1 - at_least) / (1 + at_least)
+
+    def work(group: pd.DataFrame) -> pa.RecordBatch | None:
+        group = group.sort_values("size")
+        ids, part, n, odd = group["node"].to_numpy(), group["part"].to_numpy(), group["size"].to_numpy(dtype=np.int64), matrix(group["parity"])
+        x, y = [], []
+        for i in range(len(ids) - 1):
+            end = int(np.searchsorted(n, int(n[i] / at_least), side="right"))
+            j = np.arange(i + 1, max(i + 1, end))
+            j = j[part[j] != part[i]]
+            j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) * most.denominator <= most.numerator * (n[j] + n[i])]
+            x.append(np.minimum(ids[i], ids[j]))
+            y.append(np.maximum(ids[i], ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["a", "b"]) if x else None
+
+    buckets = crowded(placed.join(mixed, "key"), "key", "node", SETS_BLOCK)
+    ready = buckets.join(classes.select(F.col("id").alias("node"), "size", "parity"), "node").select("key", "_a", "_b", "node", "part", "size", "parity")
+    return per_group(ready, ["key", "_a", "_b"], work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) for texts whose five-word shingles are alike to ``similarity`` or more.
+    """(id, mark, n, component): the rows of ``docs`` by id and text, how many they are, and their group.
 
-    The bits of 3072-bit fingerprints differ in proportion to the angle between the shingle multisets, so that
-    their distance tells the similarity to about 0.01. A pair at 0.8 shares one of the 128 segments with
-    probability 0.93, at 0.85 with 0.99; larger groups are held together by more pairs than one.
+    Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more; groups are
+    the components of these links. Equal sets collapse first. The 3072-bit fingerprints of the sets then find most
+    links, each verified on the sets. What they miss, a prefix join finds: sets that are alike share one of their
+    rarest shingles, and texts of different components that share one are verified unless a bound rules them out. No link is lost
+    or wrong but for collisions of 64-bit hashes. Texts without words are alike.
     """
-    return components(docs, size, WIDE_WORDS, radius(similarity, WIDE_WORDS), WIDE_SEGMENTS, False, id_col, text_col)
+    at_least = Fraction(str(similarity))
+    kind = dict(docs.dtypes)[id_col]
+    slim = docs.select(F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
+            prints = [fingerprint(t, size, WIDE_WORDS) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.binary()), pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(parities, sets)), pa.binary()), pa.array(list(map(wide_parities, sets)), pa.binary())], ["id", "mark", "fp", "digest", "size", "parity", "wide"])
+
+    prepare(docs.sparkSession)
+    prints = cut(slim.mapInArrow(each, f"id {kind}, mark long, fp binary, digest binary, size long, parity binary, wide binary"))
+    classes = cut(prints.groupBy("digest").agg(F.min("mark").alias("id"), *[F.min(c).alias(c) for c in ("fp", "size", "parity", "wide")]))
+    texts = slim.select("mark", "text")
+    links_found = cut(verified(links(classes.select("id", "fp"), radius(similarity, WIDE_WORDS), WIDE_SEGMENTS, False), texts, size, at_least))
+    marks = prints.select("mark", "digest").distinct().join(classes.select("digest", F.col("id").alias("node")), "digest").select("mark", "node")
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        joined = connected_components(edges).select(F.col("node").alias("_node"), "component")
+        return cut(marks.join(joined, F.col("node") == F.col("_node"), "left").select("mark", "node", F.coalesce("component", "node").alias("component")))
+
+    keyed = cut(shared_keys(texts, size, at_least))
+    more = cut(verified(plausible(missing_links(keyed, grouped(links_found), classes, at_least), classes, at_least), texts, size, at_least))
+    nodes = grouped(links_found.union(more))
+    return prints.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).join(nodes, "mark").select("id", "mark", "n", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each near-duplicate group; rows with a null id are all kept."""
-    known = docs.where(F.col(id_col).isNotNull())
-    copies = near_duplicates(known, size, similarity, id_col, text_col).where("id <> component").select(F.col("id").alias(id_col)).distinct()
+    rows = cut(near_duplicates(docs.where(F.col(id_col).isNotNull()), size, similarity, id_col, text_col))
+    best = rows.groupBy(F.col("component").alias("_component")).agg(F.min("id").alias("best"))
+    copies = rows.join(best, F.col("component") == F.col("_component")).where("id <> best").select(F.col("id").alias(id_col)).distinct()
     return without(docs, cut(copies), id_col)

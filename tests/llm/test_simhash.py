@@ -120,3 +120,38 @@ def test_odd_and_empty(spark):
     assert simhash.components(odd.limit(0)).count() == 0
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
     assert {r.doc_id for r in simhash.drop_near_duplicates(odd).collect()} == {1, 4, 6, 7, 8}
+
+
+def shingles(text):
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def test_near_duplicates_like_all_pairs(spark):
+    """Similarities on both sides of 0.8, short texts among them: every link and no other."""
+    rng = random.Random(3)
+    texts = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 20, 60, 300] * 3:
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        texts.append(" ".join(own))
+        for _ in range(4):
+            near = list(own)
+            for _ in range(rng.randint(0, max(1, n // 30))):
+                near[rng.choice([0, -1, rng.randrange(n)])] = f"v{rng.randint(0, 10**6)}"
+            texts.append(" ".join(near if rng.random() < 0.5 else [*own, *(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 1 + n // 4)))]))
+    sets = [shingles(t) for t in texts]
+    want = roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == set(want.values())
+
+
+def test_parities_never_rule_out_alike_sets():
+    rng = np.random.default_rng(2)
+    for n in (5, 900, 1020, 2040, 5000):
+        for extra in (0, 1, n // 4):
+            a = np.unique(rng.integers(0, 1 << 63, n + extra, dtype=np.uint64))
+            b = a[:n]
+            sizes, differ = len(a) + len(b), len(a) - len(b)
+            assert simhash.may_be_alike(simhash.wide_parities(a), simhash.wide_parities(b), sizes, simhash.Fraction(differ, sizes))
+            far = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            assert n < 100 or not simhash.may_be_alike(simhash.wide_parities(a), simhash.wide_parities(far), sizes, simhash.Fraction(1, 9))
