@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
-            prints = [fingerprint(t, size, WIDE_WORDS) for t in batch.column(2).to_pylist()]
+            prints = [majority(s, WIDE_WORDS) if len(s) else bytes(8 * WIDE_WORDS) for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.binary()), pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(parities, sets)), pa.binary()), pa.array(list(map(wide_parities, sets)), pa.binary())], ["id", "mark", "fp", "digest", "size", "parity", "wide"])
 
     prepare(docs.sparkSession)

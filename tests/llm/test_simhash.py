@@ -145,6 +145,15 @@ def test_near_duplicates_like_all_pairs(spark):
     assert kept == set(want.values())
 
 
+def test_repeated_lines_do_not_make_near_duplicates(spark):
+    rng = random.Random(9)
+    body = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(500))
+    line = " all rights are reserved by the owner of this page" * 50
+    own = body()
+    texts = [body() + line, body() + line, own, own + " " + " ".join(own.split()[:9] * 60)]
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()} == {0, 1, 2}
+
+
 def test_parities_never_rule_out_alike_sets():
     rng = np.random.default_rng(2)
     for n in (5, 900, 1020, 2040, 5000):
