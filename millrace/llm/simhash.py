@@ -426,8 +426,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each near-duplicate group; rows with a null id are all kept."""
-    rows = cut(near_duplicates(docs.where(F.col(id_col).isNotNull()), size, similarity, id_col, text_col))
-    best = rows.groupBy(F.col("component").alias("_component")).agg(F.min("id").alias("best"))
-    copies = rows.join(best, F.col("component") == F.col("_component")).where("id <> best").select(F.col("id").alias(id_col)).distinct()
-    return without(docs, cut(copies), id_col)
+    """One row of each near-duplicate group: the smallest id, a null one last, then the smallest mark of the text.
+
+    Of rows that repeat this id and text, the least in the order of all columns stays.
+    """
+    order = lambda: F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    rows = cut(near_duplicates(docs, size, similarity, id_col, text_col))
+    best = rows.groupBy(F.col("component").alias("_component")).agg(F.min(order()).alias("best"))
+    told = cut(rows.join(best, F.col("component") == F.col("_component")).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "n", F.col("best").eqNullSafe(order()).alias("_kept")))
+    mark = mark_of(docs[text_col])
+    matches = lambda other: docs[id_col].eqNullSafe(other["_id"]) & (mark == other["_mark"])
+    bad = cut(told.where("not _kept or n > 1").select("_id", "_mark"))
+    kept = without(docs, bad, matches(bad))
+    again = cut(told.where("_kept and n > 1").select("_id", "_mark"))
+    if again.isEmpty():
+        return kept
+    repeated = docs.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, matches(again)).select(docs["*"], "_id", "_mark")
+    return kept.union(repeated.groupBy("_id", "_mark").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row")).select("_row.*"))

@@ -154,6 +154,15 @@ def test_repeated_lines_do_not_make_near_duplicates(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()} == {0, 1, 2}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, repeated rows, and one id with two texts of which one is a copy."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a, "en"), (None, b, "en"), (None, b, "fr"), (None, b.upper(), "en"), (2, c, "en"), (2, c, "en"), (3, a, "en"), (3, d, "en"), (4, e, "en"), (None, e, "en")]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, e)], key=str)
+
+
 def test_parities_never_rule_out_alike_sets():
     rng = np.random.default_rng(2)
     for n in (5, 900, 1020, 2040, 5000):
