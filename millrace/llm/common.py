@@ -22,10 +22,16 @@ BROADCAST_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Point checkpoints at the shared folder (a temporary one only if none is set) and bound Arrow batches."""
+    """Point checkpoints at the shared folder and bound Arrow batches.
+
+    A temporary folder stands in for the shared one in local mode only; a cluster without ``spark.checkpoint.dir`` is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -81,6 +87,46 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of consecutive rows with equal ``keys``, numbered in ``_group``: many small groups at a time.
+
+    The last group of a batch waits for the next one, so a frame holds one batch and one group at most.
+    """
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        frame = batch.to_pandas()
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        change = np.zeros(len(frame), dtype=bool)
+        for k in keys:
+            v = frame[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        frame["_group"] = np.cumsum(change)
+        last = int(np.searchsorted(frame["_group"].to_numpy(), frame["_group"].iloc[-1]))
+        held = frame.iloc[last:].drop(columns="_group")
+        if last:
+            yield frame.iloc[:last]
+    if held is not None:
+        yield held.assign(_group=0)
+
+
+def pairs_within(end: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) of all pairs with i < j < ``end[i]``, about ``most`` pairs, and one i at least, at a time."""
+    n = len(end)
+    count = np.maximum(end - np.arange(n) - 1, 0)
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+        own = count[at:to]
+        i = np.repeat(np.arange(at, to), own)
+        if len(i):
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], own)
+        at = to
+
+
 def crowded(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:
     """Work groups of bounded size for the buckets with two members or more.
 

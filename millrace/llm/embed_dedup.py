@@ -10,8 +10,9 @@ A pair is counted in the first table whose bucket it shares, so links are counte
 bucket returns a spanning forest in place of its pairs. Equal vectors collapse to one row with a count.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and
-is kept; vectors of different length never link; repeated rows count as vectors of their own; an empty table
-gives an empty result.
+is kept; vectors of different length never link; repeated rows count as vectors of their own; a row with a null id
+links like any other but names no component, so a component of null ids alone is null and kept; ids may be
+strings; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from millrace.llm.common import connected_components, crowded, cut, per_group, p
 
 WIDTH, PER_TABLE, TABLES, SEED = 2.0, 20, 40, 20
 BLOCK = 1024
+#: Rows of a group that are compared with all others at a time.
+ROWS = 256
 
 
 class Projections:
@@ -75,13 +78,20 @@ def links(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES, per_ta
         group = group.sort_values("id")  # links lead to the smallest id, so that many buckets find the same ones
         table, (a, b) = int(group["key"].iloc[0]) >> 32, (int(group["_a"].iloc[0]), int(group["_b"].iloc[0]))
         u = unit(np.stack(group["v"].to_numpy()).astype(np.float64))
-        near = u @ u.T >= cosine
+        near = np.zeros((n, n), dtype=bool)
+        own, side, weight = np.stack(group["own"].to_numpy()), group["_own"].to_numpy(), group["weight"].to_numpy()
+        count = np.zeros(n, dtype=np.int64)
+        for at in range(0, n, ROWS):  # blocks of rows bound the memory of the products and of the pairs
+            near[at : at + ROWS] = u[at : at + ROWS] @ u.T >= cosine
+            first, second = np.nonzero(near[at : at + ROWS])
+            first += at
+            fresh = (first != second) & ((a == b) | (side[first] != side[second]))
+            first, second = first[fresh], second[fresh]
+            fresh = np.ones(len(first), dtype=bool)
+            for earlier in range(table):
+                fresh &= own[first, earlier] != own[second, earlier]
+            count += np.bincount(first[fresh], weights=weight[second[fresh]], minlength=n).astype(np.int64)
         np.fill_diagonal(near, False)
-        own = np.stack(group["own"].to_numpy())
-        first, second = np.nonzero(near)
-        side = group["_own"].to_numpy()
-        fresh = ~(own[first, :table] == own[second, :table]).any(axis=1) & ((a == b) | (side[first] != side[second]))
-        count = np.bincount(first[fresh], weights=group["weight"].to_numpy()[second[fresh]], minlength=n).astype(np.int64)
         ids = group["id"].to_numpy()
         edges = spanning(n, lambda i, left: near[i, left])
         some = np.flatnonzero(count)
@@ -101,16 +111,19 @@ def links(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES, per_ta
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("raw"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("raw"))
     v = F.transform("raw", lambda x: x.cast("double"))
     fit = F.coalesce(F.size("raw") > 0, F.lit(False)) & ~F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("raw", lambda x: x != 0)
     fit = F.coalesce(fit, F.lit(False))
-    classes = cut(rows.where(fit).groupBy("raw").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
+    classes = rows.where(fit).groupBy("raw").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     found = cut(links(classes.select("id", v.alias("v"), "weight"), cosine))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     told = classes.join(roots, classes["id"] == roots["node"], "left").join(counts, classes["id"] == counts["a"], "left")
-    told = told.select("raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    told = cut(told.select("raw", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("part")))
+    least = told.groupBy(F.col("part").alias("root")).agg(F.min("least").alias("component_id"))
+    told = told.join(least, F.col("part") == F.col("root")).select("raw", "n_links", "component_id")
     out = rows.where(fit).join(told, "raw").select("vec_id", "n_links", "component_id")
     alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -9,7 +9,8 @@ taken last.
 
 Defined cases: a null text has no words; without words the fingerprint is zero, which links like any other;
 fewer words than a shingle make one shingle; repeated shingles count each time; repeated rows and ids are kept;
-an empty table gives an empty result; further columns are ignored.
+a row with a null id links like any other but names no component, so a component of null ids alone is null; ids
+may be strings; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from millrace.llm.common import BROADCAST_ROWS, connected_components, crowded, cut, partitions, per_group, prepare, spanning, without
+from millrace.llm.common import BROADCAST_ROWS, connected_components, crowded, cut, pairs_within, partitions, per_group, prepare, spanning, whole_groups, without
 
 #: Rows of hashes that are counted at a time, which bounds memory for a text of any length.
 ROWS = 8192
 #: Members of a bucket that meet in one task at most.
 BLOCK = 2048
+#: Segments of a wide fingerprint's chain whose budgets are checked before the whole distance.
+CHAIN = 8
 
 
 def words(text: str | None) -> list[bytes]:
@@ -145,10 +149,10 @@ def chain_keys(prints: pd.Series, m: int, masked: bool) -> np.ndarray:
 def links(prints: DataFrame, tau: int, m: int, masked: bool = True, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect whatever fingerprints differing in ``tau`` bits at most connect.
 
-    ``prints`` is (id, fp) with one id for each distinct fingerprint. A group of n linked members yields about
-    n links, not all pairs. ``masked`` with m > tau loses no pair. Without it a pair is a candidate if one of
-    the m segments is equal, which suits wide fingerprints: if bits differ with probability p, a pair is missed
-    with probability (1 - (1 - p) ** (bits / m)) ** m.
+    ``prints`` is (id long, fp) with one id for each distinct fingerprint. A group of n linked members yields about
+    n links, not all pairs. ``masked`` with m > tau loses no pair. Without it, for wide fingerprints, a pair is a
+    candidate if a segment is equal and the chain of ``CHAIN`` segments from there on keeps its budgets; pairs
+    whose chain starts at an unequal segment are lost, so such links only propose.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +168,21 @@ def links(prints: DataFrame, tau: int, m: int, masked: bool = True, block: int =
         group = group.sort_values("id")  # links lead to the smallest id, so that many buckets find the same ones
         fps, ids = matrix(group["fp"]), group["id"].to_numpy()
         start = int(group["key"].iloc[0]) >> 48
-        masks = ring_masks(fps.shape[1] * 64, m) if masked else None
+        masks, parts = ring_masks(fps.shape[1] * 64, m), ring_words(fps.shape[1] * 64, m)
 
         def near(i: int, left: np.ndarray) -> np.ndarray:
-            x = fps[left] ^ fps[i]
-            if masks is None:
-                return np.bitwise_count(x).sum(axis=1) <= tau
-            ok, so_far = np.ones(len(left), dtype=bool), np.zeros(len(left), dtype=np.int64)
-            for step in range(1, m + 1):  # the chain's budgets, then, at step m, the whole distance
-                alive = np.flatnonzero(ok)
-                so_far[alive] += np.bitwise_count(x[alive] & masks[(start + step - 1) % m]).sum(axis=1, dtype=np.int64)
-                ok[alive] = so_far[alive] * m <= step * tau
+            alive, so_far = np.arange(len(left)), np.zeros(len(left), dtype=np.int64)
+            for step in range(1, 1 + (m if masked else min(m, CHAIN))):  # the chain's budgets
+                k = (start + step - 1) % m
+                x = fps[left[alive], parts[k]] ^ fps[i, parts[k]]
+                so_far = so_far + np.bitwise_count(x & masks[k, parts[k]]).sum(axis=1, dtype=np.int64)
+                ok = so_far * m <= step * tau
+                alive, so_far = alive[ok], so_far[ok]
+                if not len(alive):
+                    break
+            whole = np.bitwise_count(fps[left[alive]] ^ fps[i]).sum(axis=1, dtype=np.int64) <= tau
+            ok = np.zeros(len(left), dtype=bool)
+            ok[alive[whole]] = True
             return ok
 
         found = spanning(len(ids), near)
@@ -184,6 +192,7 @@ def links(prints: DataFrame, tau: int, m: int, masked: bool = True, block: int =
     return per_group(buckets.join(prints, "id").select("key", "_a", "_b", "id", "fp"), ["key", "_a", "_b"], work, "a long, b long")
 
 
+@cache
 def ring_masks(width: int, m: int) -> np.ndarray:
     """(m, w) words with the bits of each segment set."""
     flat = np.zeros((m, width), dtype=np.uint8)
@@ -192,20 +201,28 @@ def ring_masks(width: int, m: int) -> np.ndarray:
     return np.packbits(flat, axis=1).view(">u8").astype(np.uint64)
 
 
+@cache
+def ring_words(width: int, m: int) -> list[slice]:
+    """The words of a fingerprint that each segment lies in."""
+    return [slice(a // 64, (a + w + 63) // 64) for a, w in edges_of_ring(width, m)]
+
+
 def components(docs: DataFrame, size: int = 4, n_words: int = 1, tau: int = 4, m: int = 5, masked: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable through linked fingerprints.
 
-    Equal fingerprints collapse to their smallest id before anything is compared, so copies cost one row each.
+    Equal fingerprints collapse to one node before anything is compared, so copies cost one row each. Nodes have
+    numbers of their own: ids may be null, which are no candidates for the smallest, or of any type with an order.
     """
     prints = cut(fingerprints(docs, size, n_words, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("id")))
-    joined = connected_components(links(classes, tau, m, masked))
-    roots = classes.join(joined, classes["id"] == joined["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return prints.join(roots, "fp").select("id", "fp", "component")
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    joined = connected_components(links(classes.select("id", "fp"), tau, m, masked))
+    placed = cut(classes.join(joined, F.col("id") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "id").alias("part")))
+    roots = placed.groupBy(F.col("part").alias("root")).agg(F.min("least").alias("component"))
+    return prints.join(placed.join(roots, F.col("part") == F.col("root")).select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-#: Wide fingerprints for shingle similarity: 48 words of 64 bits in 128 segments of 24 bits.
-WIDE_WORDS, WIDE_SEGMENTS = 48, 128
+#: Wide fingerprints for shingle similarity: 16 words of 64 bits in 42 segments of 24 or 25 bits.
+WIDE_WORDS, WIDE_SEGMENTS = 16, 42
 
 
 def radius(similarity: float, n_words: int) -> int:
@@ -216,6 +233,10 @@ def radius(similarity: float, n_words: int) -> int:
 
 #: Texts whose shingles tell which ones are common, most common shingles kept, texts of a bucket that meet in one task at most.
 SAMPLE, COMMON, SETS_BLOCK = 5_000, 200_000, 2048
+#: Pairs that are compared at a time.
+PAIRS = 1 << 18
+#: Words whose hashes a worker keeps.
+CACHED_WORDS = 1 << 18
 #: Bits that bound in how many shingles two sets differ.
 PARITIES = 1024
 
@@ -225,24 +246,54 @@ def mark_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+class WordHashes(dict):
+    """XXH64 of words, those seen first kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxh64_intdigest(word, 42)
+        if len(self) < CACHED_WORDS:
+            self[word] = found
+        return found
+
+
+_WORDS = WordHashes()
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    return np.unique(shingle_hashes(text, size))
+    """Sorted 64-bit hashes of the distinct shingles, each mixed from the hashes of its words in order."""
+    parts = words(text)
+    if not parts:
+        return np.zeros(0, dtype=np.uint64)
+    w = np.fromiter(map(_WORDS.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    n = max(1, len(w) - size + 1)
+    h = np.full(n, min(size, len(w)), dtype=np.uint64)
+    for k in range(min(size, len(w))):
+        h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, at_least: Fraction) -> np.ndarray:
-    """The first shingles of a set in the global order, rare ones first: sets alike to ``at_least`` share one of them.
+class Rarity:
+    """A global order of shingles: those that are not common first, by hash, then the common ones by rising frequency."""
 
-    ``common`` has the common shingles by rising frequency in the sample; any order common to all sets is exact.
-    """
-    n = len(hashes)
-    most = n - math.ceil(at_least * n) + 1
-    if len(common):
+    def __init__(self, common: np.ndarray):
         order = np.argsort(common)
-        place = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
-        rank = np.where(common[order[place]] == hashes, order[place] + 1, 0)
-        hashes = hashes[np.argsort(rank, kind="stable")]
-    return hashes[:most]
+        self.sorted, self.rank = common[order], (order + 1).astype(np.int32)
+
+    def prefix(self, hashes: np.ndarray, at_least: Fraction) -> np.ndarray:
+        """The first shingles of a sorted set: sets alike to ``at_least`` share one of them, in any order common to all."""
+        n = len(hashes)
+        most = n - math.ceil(at_least * n) + 1
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+            rank = np.where(self.sorted[at] == hashes, self.rank[at], 0)
+            rare = hashes[rank == 0]
+            if len(rare) < most:
+                known = np.flatnonzero(rank)
+                hashes = np.concatenate([rare, hashes[known[np.argsort(rank[known], kind="stable")]]])
+            else:
+                hashes = rare
+        return hashes[:most]
 
 
 def alike(a: np.ndarray, b: np.ndarray, at_least: Fraction) -> bool:
@@ -271,7 +322,7 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 def shared_keys(texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
     """(key, mark): prefix shingles and the texts that share one with a text of like size; one shuffle and no row for others."""
-    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))
+    shared = texts.sparkSession.sparkContext.broadcast(Rarity(common_shingles(texts, size)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task send their keys once
@@ -280,7 +331,7 @@ def shared_keys(texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if mark not in seen and len(hashes := shingle_set(text, size)):
                     seen.add(mark)
-                    rows.append((prefix(hashes, shared.value, at_least), len(hashes), mark))
+                    rows.append((shared.value.prefix(hashes, at_least), len(hashes), mark))
             if rows:
                 n = [len(keys) for keys, _, _ in rows]
                 columns = np.concatenate([keys for keys, _, _ in rows]).view(np.int64), np.repeat(np.array([r[1] for r in rows], dtype=np.int32), n), np.repeat(np.array([r[2] for r in rows], dtype=np.int64), n)
@@ -371,29 +422,30 @@ def missing_links(keyed: DataFrame, nodes: DataFrame, classes: DataFrame, at_lea
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     most = (1 - at_least) / (1 + at_least)
 
-    def work(group: pd.DataFrame) -> pa.RecordBatch | None:
-        group = group.sort_values("size")
-        ids, part, n, odd = group["node"].to_numpy(), group["part"].to_numpy(), group["size"].to_numpy(dtype=np.int64), matrix(group["parity"])
-        x, y = [], []
-        for i in range(len(ids) - 1):
-            end = int(np.searchsorted(n, int(n[i] / at_least), side="right"))
-            j = np.arange(i + 1, max(i + 1, end))
-            j = j[part[j] != part[i]]
-            j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) * most.denominator <= most.numerator * (n[j] + n[i])]
-            x.append(np.minimum(ids[i], ids[j]))
-            y.append(np.maximum(ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["a", "b"]) if x else None
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in whole_groups(batches, ["key", "_a", "_b"]):
+            ids, part, n, odd = frame["node"].to_numpy(), frame["part"].to_numpy(), frame["size"].to_numpy(dtype=np.int64), matrix(frame["parity"])
+            place = frame["_group"].to_numpy() << 40
+            end = np.searchsorted(place + n, place + n * at_least.denominator // at_least.numerator, side="right")  # rows come by size
+            for i, j in pairs_within(end, PAIRS):
+                ok = part[i] != part[j]
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) * most.denominator <= most.numerator * (n[i] + n[j])
+                found = np.unique(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])]), axis=1)
+                if found.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     buckets = crowded(placed.join(mixed, "key"), "key", "node", SETS_BLOCK)
     ready = buckets.join(classes.select(F.col("id").alias("node"), "size", "parity"), "node").select("key", "_a", "_b", "node", "part", "size", "parity")
-    return per_group(ready, ["key", "_a", "_b"], work, "a long, b long")
+    keys = ["key", "_a", "_b"]
+    return ready.repartition(partitions(ready.sparkSession), *keys).sortWithinPartitions(*keys, "size").mapInArrow(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, n, component): the rows of ``docs`` by id and text, how many they are, and their group.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more; groups are
-    the components of these links. Equal sets collapse first. The 3072-bit fingerprints of the sets then find most
+    the components of these links. Equal sets collapse first. The 1024-bit fingerprints of the sets then find most
     links, each verified on the sets. What they miss, a prefix join finds: sets that are alike share one of their
     rarest shingles, and texts of different components that share one are verified unless a bound rules them out. No link is lost
     or wrong but for collisions of 64-bit hashes. Texts without words are alike.

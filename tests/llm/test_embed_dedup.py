@@ -79,3 +79,12 @@ def test_odd_and_empty(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 10)]
     assert got == sorted([*alone, (7, 4, 7, True), (7, 4, 7, True), (8, 4, 7, False), (9, 4, 7, False), (11, 4, 7, False)])
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_null_and_string_ids_and_clashing_columns(spark):
+    from tests.llm.helpers import clashing
+
+    rows = [(None, [1.0, 2.0]), ("b", [1.0, 2.0]), ("a", [2.0, 4.0]), (None, [3.0, -1.0]), (None, [6.0, -2.0]), (None, None)]
+    df = clashing(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id string, embedding array<float>, label int"))
+    got = sorted(((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embed_dedup.near_duplicates(df).collect()))
+    assert got == [("None", 0, "None", True), ("None", 1, "None", True), ("None", 1, "None", True), ("None", 2, "a", False), ("a", 2, "a", True), ("b", 2, "a", False)]

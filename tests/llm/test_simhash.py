@@ -173,3 +173,21 @@ def test_parities_never_rule_out_alike_sets():
             assert simhash.may_be_alike(simhash.wide_parities(a), simhash.wide_parities(b), sizes, simhash.Fraction(differ, sizes))
             far = rng.integers(0, 1 << 63, n, dtype=np.uint64)
             assert n < 100 or not simhash.may_be_alike(simhash.wide_parities(a), simhash.wide_parities(far), sizes, simhash.Fraction(1, 9))
+
+
+def test_null_and_string_ids(spark):
+    a, b = ("x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6")
+    rows = [(None, a), ("k2", a), ("k1", a), (None, b), (None, b)]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.id), str(r.component)) for r in got) == [("None", "None"), ("None", "None"), ("None", "k1"), ("k1", "k1"), ("k2", "k1")]
+
+
+def test_prefix_follows_one_order_for_all_sets():
+    rng = np.random.default_rng(5)
+    common = rng.permutation(np.arange(50, 80, dtype=np.uint64))
+    rarity, place = simhash.Rarity(common), {int(h): k for k, h in enumerate(common)}
+    for _ in range(30):
+        s = np.unique(rng.integers(0, 120, 40).astype(np.uint64))
+        want = sorted(s.tolist(), key=lambda h: (h in place, place.get(h, 0), h))
+        n = len(s) - simhash.math.ceil(simhash.Fraction(4, 5) * len(s)) + 1
+        assert rarity.prefix(s, simhash.Fraction(4, 5)).tolist() == want[:n]
