@@ -14,12 +14,15 @@ precedes the anchor; common-prefix lengths of neighbours say which windows are e
 each class go. Before the exchanges, equal stretches of a batch collapse to the earliest, so that a passage in very
 many documents costs a row per batch.
 
-The suffix array is built in two phases. Suffixes are grouped by Lyndon prefix, groups in descending order: the
+The texts are read eight bytes to a symbol, so the suffix arrays order the stretches' own bytes; which whole
+stretches are equal is told by 128 bits of hash before. The suffix array is built in two phases. Suffixes are grouped by Lyndon prefix, groups in descending order: the
 members of a group extend the previous smaller suffixes that they point to, which split off into groups of their
 own. Then each group's order is emitted in one pass over the array.
 
-Defined cases: a null text is empty; documents shorter than the string lose nothing; rows that share a doc_id are
-one document, in which strings at equal offsets do not count as earlier; an empty table gives an empty result.
+Defined cases: a null text is empty; documents shorter than the string lose nothing. Rows that share a doc_id and
+a text are one document and lose the same bytes; rows that share a doc_id but not the text are different documents,
+neither of them earlier. A null doc_id comes after all others (as does 2^63 - 1, which is taken for it). doc_id may
+be of any type with an order. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -266,24 +269,24 @@ def adjacent_common(order: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np
 
 
 def ordered(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Rows sorted by (head, tail) through a suffix array over the rows' symbols: the head, then blocks of tail."""
+    """Rows sorted by (head, tail) through a suffix array over all rows' text: the head as a negative symbol, then
+    the bytes of the tail, eight to a symbol."""
     n, width = tail.shape
-    block = max(1, -(-width // 2))
-    texts = [head + 1]
-    for at in range(0, width, block):
-        piece = np.zeros((n, block), dtype=np.uint8)
-        piece[:, : min(block, width - at)] = tail[:, at : at + block]
-        _, rank = np.unique(piece.view(f"V{block}").ravel(), return_inverse=True)
-        texts.append(rank.ravel() + int(head.max()) + 2)
-    stride = len(texts)
-    found = np.array(suffix_array(np.stack(texts, axis=1).ravel().tolist()), dtype=np.int64)
+    padded = np.zeros((n, -(-max(width, 1) // 8) * 8), dtype=np.uint8)
+    padded[:, :width] = tail
+    symbols: list[int] = []
+    for mark, own in zip((head - int(head.max()) - 1).tolist(), padded.view(">u8").tolist(), strict=True):
+        symbols.append(mark)
+        symbols += own
+    found = np.array(suffix_array(symbols), dtype=np.int64)
+    stride = 1 + padded.shape[1] // 8
     return found[found % stride == 0] // stride
 
 
-def repeated_windows(stretches: list[bytes], before: np.ndarray, length: int) -> np.ndarray:
-    """(n, length - gram + 1) flags: the window that starts o bytes before the anchor has an equal in an earlier row.
+def repeated_windows(stretches: list[bytes], before: np.ndarray, length: int, doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """(n, length - gram + 1) flags: the window that starts o bytes before the anchor has an earlier equal.
 
-    ``before``: bytes of each stretch that precede its anchor. Rows come in the order of their places.
+    ``before``: bytes of each stretch that precede its anchor. Rows come by ``doc``, ``mark`` and place.
     """
     gram, n = gram_of(length), len(stretches)
     reach = length - gram
@@ -304,6 +307,8 @@ def repeated_windows(stretches: list[bytes], before: np.ndarray, length: int) ->
         order = ordered(anchor, tail)
         classes.append((order, adjacent_common(order, anchor, tail)))
     flags = np.zeros((n, reach + 1), dtype=bool)
+    own = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
+    mixed = len(np.unique(doc)) <= own[-1]  # texts that share an id
     for o in range(reach + 1):
         valid = np.flatnonzero((o <= before) & (o >= before - last))
         if len(valid) < 2:
@@ -314,66 +319,87 @@ def repeated_windows(stretches: list[bytes], before: np.ndarray, length: int) ->
             code[order] = np.cumsum(shared < depth)
             codes.append(code[valid])
         _, first, inverse = np.unique(codes[0] * (n + 1) + codes[1], return_index=True, return_inverse=True)
-        flags[valid, o] = first[inverse.ravel()] != np.arange(len(valid))
+        leader = first[inverse.ravel()]
+        flags[valid, o] = leader != np.arange(len(valid))
+        if mixed:
+            _, first, inverse = np.unique(leader * (n + 1) + own[valid], return_index=True, return_inverse=True)
+            flags[valid, o] = (doc[valid] != doc[valid[leader]]) | (first[inverse.ravel()] != np.arange(len(valid)))
     return flags
 
 
-def resolve(h: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, from, to) of bytes to remove, from stretches (windows first..last around the anchor ``at``)."""
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def resolve(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.ndarray, length: int) -> Spans:
+    """(doc, mark, from, to) of bytes to remove, from stretches (windows first..last around the anchor ``at``)."""
     sizes = last - first + length
     starts = np.concatenate([[0], np.cumsum(sizes)])
     whole = text.tobytes()
-    order = np.lexsort((at, doc))
-    seen: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+    order = np.lexsort((at, mark, doc))
+    seen: dict[tuple[int, int, bytes], tuple[int, dict[int, int]]] = {}  # stretch: its first document, first place by text
     groups: dict[int, list[int]] = {}
-    copies = []
+    repeats = []
     for k in order.tolist():
         key = (int(h[k]), int(at[k] - first[k]), whole[starts[k] : starts[k + 1]])
-        where = (int(doc[k]), int(at[k]))
-        known = seen.setdefault(key, where)
-        if known != where:
-            copies.append(k)
-        else:
+        known, places = seen.setdefault(key, (int(doc[k]), {}))
+        fresh = int(mark[k]) not in places
+        if known != doc[k] or places.setdefault(int(mark[k]), int(at[k])) != at[k]:
+            repeats.append(k)
+        elif fresh:
             groups.setdefault(key[0], []).append(k)
-    out = [(doc[copies], first[copies], last[copies] + length)] if copies else []
+    out = [(doc[repeats], mark[repeats], first[repeats], last[repeats] + length)] if repeats else []
     several = [k for g in groups.values() if len(g) > 1 for k in g]
     if several:
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         several = np.array(sorted(several, key=rank.__getitem__))
-        flags = repeated_windows([whole[starts[k] : starts[k + 1]] for k in several], (at - first)[several], length)
+        flags = repeated_windows([whole[starts[k] : starts[k + 1]] for k in several], (at - first)[several], length, doc[several], mark[several])
         padded = np.zeros((len(several), flags.shape[1] + 2), dtype=np.int8)
         padded[:, 1:-1] = flags[:, ::-1]  # by rising start
         step = np.diff(padded, axis=1)
         row, begin = np.nonzero(step == 1)
         _, end = np.nonzero(step == -1)
         base = at[several][row] - (flags.shape[1] - 1)
-        out.append((doc[several][row], base + begin, base + end - 1 + length))
+        out.append((doc[several][row], mark[several][row], base + begin, base + end - 1 + length))
     if not out:
         none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
+
+
+def later(h: np.ndarray, c: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches sorted by (h, c, doc, mark, at): which have an earlier equal, which are new kinds, which are repeated rows.
+
+    An equal is earlier in a smaller document, or at a smaller place of the same one.
+    """
+    if not len(h):
+        none = np.zeros(0, dtype=bool)
         return none, none, none
-    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+    true = np.ones(1, dtype=bool)
+    kind = np.concatenate([true, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    own = kind | np.concatenate([true, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
+    leader, mine = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (kind, own))
+    behind = (doc != doc[leader]) | (at != at[mine])
+    return behind, kind, ~own & ~behind
 
 
-def copies(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def copies(h: np.ndarray, c: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[Spans, np.ndarray]:
     """Bytes to remove where a stretch has an earlier equal, and names of the first stretches of anchors with several.
 
     ``c`` is a hash of the stretch: with the anchor's own hash, 128 bits tell stretches apart.
     """
-    order = np.lexsort((at, doc, c, h))
-    h, c, doc, at, first, last = (x[order] for x in (h, c, doc, at, first, last))
+    order = np.lexsort((at, mark, doc, c, h))
+    h, c, doc, mark, at, first, last = (x[order] for x in (h, c, doc, mark, at, first, last))
+    behind, kind, _ = later(h, c, doc, mark, at)
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
-    stretch = anchor | np.concatenate([[True], c[1:] != c[:-1]])
-    start = np.flatnonzero(stretch)[np.cumsum(stretch) - 1]
-    later = (doc != doc[start]) | (at != at[start])
-    kinds = np.bincount(np.cumsum(anchor) - 1, weights=stretch)
-    unlike = stretch & (kinds[np.cumsum(anchor) - 1] > 1)
-    return (doc[later], first[later], last[later] + length), name_of(h[unlike], doc[unlike], at[unlike])
+    kinds = np.bincount(np.cumsum(anchor) - 1, weights=kind)
+    unlike = ~behind & (kinds[np.cumsum(anchor) - 1] > 1)
+    return (doc[behind], mark[behind], first[behind], last[behind] + length), np.unique(name_of(h[unlike], doc[unlike], mark[unlike], at[unlike]))
 
 
-def name_of(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def name_of(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash that names one occurrence of an anchor."""
-    x = h ^ (doc.astype(np.uint64) * _MIX + at.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = h ^ (doc.astype(np.uint64) * _MIX + at.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) ^ mark.view(np.uint64)
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -414,7 +440,7 @@ def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.sort(anchors([encoded(t) for t in batch.column(1).to_pylist()], length)[0])
+            h = np.sort(anchors([encoded(t) for t in batch.column(2).to_pylist()], length)[0])
             keep = np.ones(len(h), dtype=bool)
             keep[2:] = h[2:] != h[:-2]  # twice is enough
             h = h[keep]
@@ -429,37 +455,38 @@ def repeated_anchors(docs: DataFrame, length: int, bucket_bits: int) -> Filter:
 
 
 def removals(docs: DataFrame, length: int, bucket_bits: int) -> DataFrame:
-    """(doc_id, cuts binary): byte ranges to remove, from and to in one number, apart from each other and in order."""
+    """(_doc, _mark, cuts binary): byte ranges to remove, from and to in one number, apart from each other and in order.
+
+    ``docs`` is (_doc long, _mark long, text): a number that orders documents, and a hash of the text.
+    """
     context = docs.sparkSession.sparkContext
     repeated = context.broadcast(repeated_anchors(docs, length, bucket_bits))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, row, at, first, last = anchors([encoded(t) for t in batch.column(1).to_pylist()], length)
+            h, c, row, at, first, last = anchors([encoded(t) for t in batch.column(2).to_pylist()], length)
             some = repeated.value.holds(h)
             h, c, row, at, first, last = (x[some] for x in (h, c, row, at, first, last))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            order = np.lexsort((at, doc, c, h))  # the earliest of equal stretches goes on, the others are copies for sure
-            h, c, doc, at, first, last = (x[order] for x in (h, c, doc, at, first, last))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, dtype=bool)
-            start = np.flatnonzero(new)[np.cumsum(new) - 1]
-            lost = (doc != doc[start]) | (at != at[start])
-            columns = [x[new] for x in (h.view(np.int64), c.view(np.int64), doc, at, first, last)]
+            doc, mark = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+            order = np.lexsort((at, mark, doc, c, h))  # the earliest of equal stretches goes on, the others are copies for sure
+            h, c, doc, mark, at, first, last = (x[order] for x in (h, c, doc, mark, at, first, last))
+            lost, _, again = later(h, c, doc, mark, at)
+            new = ~lost & ~again
+            columns = [x[new] for x in (h.view(np.int64), c.view(np.int64), doc, mark, at, first, last)]
             yield rows_of([(k, packed(*(x[own] for x in columns))) for k, own in by_bucket(h[new], bucket_bits)])
             if lost.any():
-                yield rows_of([(-1 - int(doc[lost][0] % (1 << bucket_bits)), packed(doc[lost], first[lost], last[lost] + length))])
+                yield rows_of([(-1 - int(doc[lost][0] % (1 << bucket_bits)), packed(doc[lost], mark[lost], first[lost], last[lost] + length))])
 
     def same(group: pd.DataFrame) -> pa.RecordBatch:
         bucket, unlike = int(group["bucket"].iloc[0]), np.zeros(0, dtype=np.uint64)
         if bucket < 0:  # found within a batch
-            parts = [unpacked(d, 3) for d in group["data"]]
-            spans = [np.concatenate([p[k] for p in parts]) for k in range(3)]
+            parts = [unpacked(d, 4) for d in group["data"]]
+            spans = [np.concatenate([p[k] for p in parts]) for k in range(4)]
         else:
-            parts = [unpacked(d, 6) for d in group["data"]]
-            h, c, *rest = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            parts = [unpacked(d, 7) for d in group["data"]]
+            h, c, *rest = (np.concatenate([p[k] for p in parts]) for k in range(7))
             spans, unlike = copies(h.view(np.uint64), c.view(np.uint64), *rest, length)
-        doc, span = merged(*spans)
-        return pa.RecordBatch.from_arrays([pa.array([packed(doc, span)], pa.binary()), pa.array([unlike.tobytes()], pa.binary())], ["spans", "names"])
+        return pa.RecordBatch.from_arrays([pa.array([packed(*merged(*spans))], pa.binary()), pa.array([unlike.tobytes()], pa.binary())], ["spans", "names"])
 
     alike = cut(per_group(docs.mapInArrow(hashed, "bucket long, data binary"), ["bucket"], same, "spans binary, names binary"))
 
@@ -477,58 +504,68 @@ def removals(docs: DataFrame, length: int, bucket_bits: int) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encoded(t) for t in batch.column(1).to_pylist()]
+            texts = [encoded(t) for t in batch.column(2).to_pylist()]
             h, _, row, at, first, last = anchors(texts, length)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            some = unlike.value.holds(name_of(h, doc, at))
-            h, row, doc, at, first, last = (x[some] for x in (h, row, doc, at, first, last))
+            doc, mark = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+            some = unlike.value.holds(name_of(h, doc, mark, at))
+            h, row, doc, mark, at, first, last = (x[some] for x in (h, row, doc, mark, at, first, last))
             pieces = [texts[r][a : b + length] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
-            columns = (h.view(np.int64), doc, at, first, last)
+            columns = (h.view(np.int64), doc, mark, at, first, last)
             yield rows_of([(k, packed(*(x[own] for x in columns), np.frombuffer(b"".join(pieces[i] for i in own), dtype=np.uint8))) for k, own in by_bucket(h, bucket_bits)])
 
-    def by_document(doc: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-        part = doc % (1 << bucket_bits)
-        return rows_of([(int(k), packed(doc[part == k], span[part == k])) for k in np.unique(part)])
+    def by_document(doc: np.ndarray, mark: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+        part = (doc ^ mark) % (1 << bucket_bits)
+        return rows_of([(int(k), packed(doc[part == k], mark[part == k], span[part == k])) for k in np.unique(part)])
 
     def decide(group: pd.DataFrame) -> pa.RecordBatch:
-        parts = [unpacked(d, 5) for d in group["data"]]
-        return by_document(*merged(*resolve(*(np.concatenate([p[k] for p in parts]) for k in range(6)), length)))
+        parts = [unpacked(d, 6) for d in group["data"]]
+        return by_document(*merged(*resolve(*(np.concatenate([p[k] for p in parts]) for k in range(7)), length)))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield by_document(*unpacked(data, 2)[:2])
+                yield by_document(*unpacked(data, 3)[:3])
 
     def gathered(group: pd.DataFrame) -> pa.RecordBatch:
-        parts = [unpacked(d, 2) for d in group["data"]]
-        doc, span = (np.concatenate([p[k] for p in parts]) for k in range(2))
-        doc, span = merged(doc, span >> 32, span & 0xFFFFFFFF)
-        bounds = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-        return pa.RecordBatch.from_arrays([pa.array(doc[bounds[:-1]]), pa.array([span[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "cuts"])
+        parts = [unpacked(d, 3) for d in group["data"]]
+        doc, mark, span = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        doc, mark, span = merged(doc, mark, span >> 32, span & 0xFFFFFFFF)
+        bounds = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]), [True]])) if len(doc) else np.zeros(1, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(doc[bounds[:-1]]), pa.array(mark[bounds[:-1]]), pa.array([span[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["_doc", "_mark", "cuts"])
 
     found = per_group(docs.mapInArrow(whole, "bucket long, data binary"), ["bucket"], decide, "bucket long, data binary")
-    return per_group(found.union(alike.select("spans").mapInArrow(passed, "bucket long, data binary")), ["bucket"], gathered, "doc_id long, cuts binary")
+    return per_group(found.union(alike.select("spans").mapInArrow(passed, "bucket long, data binary")), ["bucket"], gathered, "_doc long, _mark long, cuts binary")
 
 
-def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merged(doc: np.ndarray, mark: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per document, the maximal ranges covered, from and to packed into one number."""
-    order = np.lexsort((begin, doc))
-    doc, begin, end = doc[order], begin[order], end[order]
+    order = np.lexsort((begin, mark, doc))
+    doc, mark, begin, end = doc[order], mark[order], begin[order], end[order]
     if not len(doc):
-        return doc, doc
-    base = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)])) << 32
+        return doc, doc, doc
+    base = np.cumsum(np.concatenate([[0], ((doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])).astype(np.int64)])) << 32
     reach = np.maximum.accumulate(base + end)
     new = np.concatenate([[True], base[1:] + begin[1:] > reach[:-1]])
     stop = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
-    return doc[new], (begin[new] << 32) | (reach[stop] & 0xFFFFFFFF)
+    return doc[new], mark[new], (begin[new] << 32) | (reach[stop] & 0xFFFFFFFF)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, _doc, _mark, text): ``_doc`` orders the rows as doc_id does, a null last."""
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_mark")
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), mark, "text")
+    ids = docs.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.asc_nulls_last("_id"))
+    ids = cut(ids.withColumn("_doc", F.monotonically_increasing_id()))  # rises with the order, whatever the partitions
+    return docs.select("doc_id", mark, "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "_doc", "_mark", "text")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, kept binary, starts, ends) of every row: the bytes that stay and the removed runs."""
     spark = prepare(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
+    slim = placed(docs.select("doc_id", "text"))
     bucket_bits = max(4, (4 * partitions(spark) - 1).bit_length())
-    cuts = removals(slim.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, bucket_bits)
+    cuts = removals(slim.select("_doc", "_mark", "text"), length, bucket_bits)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -544,7 +581,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "kept", "starts", "ends"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return slim.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(each, f"doc_id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>")
+    return slim.join(cuts, ["_doc", "_mark"], "left").select("doc_id", "text", "cuts").mapInArrow(each, f"doc_id {kind}, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
