@@ -13,6 +13,12 @@ def is_right(task: Column, gold: Column, pred: Column, open_task: str = "assista
     return F.when(task == open_task, rules.answers(pred, brands)).otherwise(F.coalesce(pred == gold, F.lit(False)))
 
 
+def is_mode_right(task: Column, gold: Column, pred: Column, brands: tuple[str, ...] = ()) -> Column:
+    """As ``is_right``, but a yes/no task is right on either word: it is the form of the answer that counts."""
+    either = F.coalesce(F.lower(F.trim(pred)).isin("yes", "no"), F.lit(False))
+    return F.when(task == "yesno", either).otherwise(is_right(task, gold, pred, brands=brands))
+
+
 def mode(task: Column, gold: Column, pred: Column, brands: tuple[str, ...] = ()) -> Column:
     """How a prediction is counted: answer or exact if right, else its first 30 characters."""
     low = F.substring(F.lower(F.trim(pred)), 1, 30)
@@ -53,3 +59,8 @@ def latest_checkpoint(paths: DataFrame, path: str = "path") -> DataFrame:
     number = F.coalesce(F.expr(f"try_cast(regexp_extract({path}, 'iter_([0-9]+)[.]pt$', 1) as bigint)"), F.lit(-1))
     best = paths.select(F.col(path).alias("path"), number.alias("iteration")).agg(F.max(F.struct("iteration", "path")).alias("b")).where("b is not null")
     return best.select("b.path", "b.iteration")
+
+
+def sample_table(df: DataFrame, ordinal: str, most: int, *columns: str) -> DataFrame:
+    """The first ``most`` rows in order, just ``columns``: what a run logs for people to read."""
+    return df.orderBy(ordinal).limit(most).select(*columns)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from millrace.functions.text import one_line, split_key
 
 #: Pairs of the how/why topic that a merge takes at most.
 REASON_LIMIT = 2500
+#: Parts in which a hot group is ranked.
+SALTS = 64
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
@@ -29,6 +32,15 @@ def generated(pairs: DataFrame, topic: str, brands: tuple[str, ...] = (), source
     return kept.select("ordinal", "instruction", "output", F.lit("assistant_qa").alias("task"), F.lit(f"{source}_{topic}").alias("source"), F.lit(topic).alias("topic"), split_key(F.lit(topic), i).alias("split_key"))
 
 
+def generated_all(pairs: DataFrame, brands: tuple[str, ...] = (), source: str = "generated") -> DataFrame:
+    """As ``generated`` for every topic in one pass, with the topic's number as ``topic_order``."""
+    clean = pairs.select("ordinal", one_line(F.col("instruction")).alias("instruction"), one_line(F.col("output")).alias("output"))
+    i, o = F.col("instruction"), F.col("output")
+    passed = F.array_compact(F.array(*[F.when(rule(i, o), F.struct(F.lit(k).alias("topic_order"), F.lit(topic).alias("topic"))) for k, (topic, rule) in enumerate(rules.KINDS.items())]))
+    kept = clean.where(rules.common(i, o, brands)).select("*", F.explode(passed).alias("_t")).select("ordinal", "instruction", "output", "_t.topic", "_t.topic_order")
+    return kept.select("ordinal", "instruction", "output", F.lit("assistant_qa").alias("task"), F.concat(F.lit(source + "_"), "topic").alias("source"), "topic", split_key(F.col("topic"), i).alias("split_key"), "topic_order")
+
+
 def keep_first(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """The first row of each key. min_by over whole rows combines before the shuffle, so a hot key costs a row a task."""
     rank = F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order])
@@ -36,7 +48,14 @@ def keep_first(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, group: str, k: int, *order: str | Column) -> DataFrame:
-    """The first ``k`` rows of each group; Spark keeps k rows per group and task before the shuffle."""
+    """The first ``k`` rows of each group.
+
+    Spark keeps k rows per group and task before the shuffle up to k = 1,000; beyond, each group is first ranked in
+    ``SALTS`` parts, so that no task sees more than a part of a hot group and then ``SALTS`` * k of its rows.
+    """
+    if k > 1000:
+        part = Window.partitionBy(group, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_salt", "_rank")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -65,19 +84,21 @@ def reason_order(df: DataFrame, limit: int = REASON_LIMIT) -> DataFrame:
 
 
 def merge_topics(parts: Mapping[str, DataFrame], limit: int = REASON_LIMIT) -> DataFrame:
-    """Topics in order: rows known from earlier topics go, then the how/why order and limit, then keep-first.
+    """Topics in order: rows known from earlier topics go, then the how/why order and limit, then keep-first."""
+    tagged = [part.withColumn("topic_order", F.lit(k)) for k, part in enumerate(parts.values())]
+    return merge_tagged(reduce(DataFrame.unionByName, tagged), list(parts).index("how_why_short") if "how_why_short" in parts else -1, limit)
+
+
+def merge_tagged(rows: DataFrame, reason: int, limit: int = REASON_LIMIT) -> DataFrame:
+    """``merge_topics`` of rows of all topics with their ``topic_order``; ``reason`` is that of the how/why topic.
 
-    ``place`` orders the result within a topic.
+    A key stays with its first topic. Only the how/why topic needs the earlier keys before its limit: one anti-join,
+    then one keep-first over everything.
     """
-    seen, out = None, None
-    for number, (topic, part) in enumerate(parts.items()):
-        fresh = part if seen is None else part.join(seen, "split_key", "left_anti")
-        rows = reason_order(fresh, limit) if topic == "how_why_short" else fresh.withColumn("tier", F.lit(0))
-        first = keep_first(rows, "split_key", "tier", "ordinal").withColumn("topic_order", F.lit(number))
-        keys = first.select("split_key")
-        seen = keys if seen is None else seen.union(keys)
-        out = first if out is None else out.unionByName(first)
-    return out
+    others = rows.where(F.col("topic_order") != reason).withColumn("tier", F.lit(0))
+    earlier = others.where(F.col("topic_order") < reason).select("split_key").distinct()
+    limited = reason_order(rows.where(F.col("topic_order") == reason).join(earlier, "split_key", "left_anti"), limit)
+    return keep_first(others.unionByName(limited), "split_key", "topic_order", "tier", "ordinal")
 
 
 def seeded_key(key: Column, seed: int) -> Column:
@@ -87,14 +108,33 @@ def seeded_key(key: Column, seed: int) -> Column:
 
 def seeded_split(df: DataFrame, key: str, seed: int, share: float, least: int = 1) -> DataFrame:
     """``df`` with ``split``: the max(least, floor(n * share)) rows first in seeded order are "val", the rest "train"."""
-    from millrace.operators.sequence import place_in_order
+    from millrace.operators.sequence import hash_range, place_in_order
 
     n = df.count()
     hashed = df.withColumn("_seeded", seeded_key(F.col(key), seed))
-    place = place_in_order(hashed, [F.col("_seeded"), F.col(key)], F.conv(F.substring("_seeded", 1, 2), 16, 10).cast("int"))
+    place = place_in_order(hashed, [F.col("_seeded"), F.col(key)], hash_range(F.col("_seeded"), n))
     return place.withColumn("split", F.when(F.col("place") < max(least, int(n * share)), "val").otherwise("train")).drop("_seeded")
 
 
+def head_split(df: DataFrame, ordinal: str, share: float) -> DataFrame:
+    """``df`` with ``split``: the first floor(n * share) rows in order are "val", the rest "train"; no shuffle of the order."""
+    from millrace.operators.sequence import running_sum
+
+    placed = running_sum(df.withColumn("_one", F.lit(1)), "_one", ordinal, "_place").drop("_one")
+    return placed.withColumn("split", F.when(F.col("_place") < int(df.count() * share), "val").otherwise("train")).drop("_place")
+
+
+def task_or_unknown(task: Column) -> Column:
+    """The task's name, stripped; "unknown" where it is null or blank."""
+    name = F.trim(task)
+    return F.when(name != "", name).otherwise("unknown")
+
+
+def of_tasks(df: DataFrame, task: str, valid: Sequence[str]) -> DataFrame:
+    """The rows of known tasks; a blank task counts as "unknown"."""
+    return df.withColumn(task, task_or_unknown(F.col(task))).where(F.col(task).isin(*valid))
+
+
 def new_rows(candidates: DataFrame, known: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """First candidates of the keys that ``known`` does not have: one round of an incremental deduplication."""
     return keep_first(candidates, key, *order).join(known.select(key).distinct(), key, "left_anti")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.numeric import clip_factor
+
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
     """(module, i, j, v) of a times b; an entry that is missing is zero."""
@@ -41,6 +43,20 @@ def adapter_summary(w: DataFrame, a: DataFrame, b: DataFrame, scale: float, gate
     return both.agg(F.avg("norm_a").alias("norm_a"), F.avg("norm_b").alias("norm_b"), F.avg(ratio).alias("ratio"))
 
 
+def gather(ids: DataFrame, table: DataFrame, token: str = "token", vector: str = "vector") -> DataFrame:
+    """``ids`` (row, position, ``token``) with the vector of each token from ``table`` (``token``, ``vector``), a missing one null.
+
+    Spark broadcasts the table if it knows it to be small enough and else shuffles both sides by token.
+    """
+    return ids.join(table.select(token, vector), token, "left")
+
+
+def clipped(vectors: DataFrame, most: float, eps: float = 1e-6) -> DataFrame:
+    """(norm, factor) over all ``vectors`` (v array<double>) taken as one: the global norm and what scales it to ``most``."""
+    norm_of = F.sqrt(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    return vectors.agg(F.coalesce(norm_of, F.lit(0.0)).alias("norm")).withColumn("factor", clip_factor(F.col("norm"), most, eps))
+
+
 def causal_attention(rows: DataFrame) -> DataFrame:
     """(context, position, out) of (context, position, q, k, v), arrays of double; a context is one task's group."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +19,26 @@ RANGE = 100_000
 def running_sum(df: DataFrame, value: str, ordinal: str, out: str = "before", width: int = RANGE) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows with a smaller ``ordinal`` (a unique long).
 
-    Two levels: totals of ranges of ``width`` ordinals are summed first, a table smaller by that factor; then each
-    range is summed on its own, so no task sees all rows.
+    Two levels: totals of ranges of about ``width`` rows are summed first, a table smaller by that factor; then each
+    range is summed on its own, so no task sees all rows. The ranges follow the ordinals' own extent and number. Only
+    ordinals and values are summed; further columns meet the sums in one join.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(ordinal) / width))
+    slim = df.select(ordinal, value)
+    low, high, n = slim.agg(F.min(ordinal), F.max(ordinal), F.count(F.lit(1))).first()
+    span = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // width))))
+    ranged = slim.withColumn("_range", F.floor((F.col(ordinal) - F.lit(low or 0)) / F.lit(span)))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
     local = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_local", local).join(offsets, "_range").withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_range", "_local", "_offset")
+    summed = ranged.withColumn("_local", local).join(offsets, "_range").withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
+    if set(df.columns) <= {ordinal, value}:
+        return summed.select(*df.columns, out)
+    return df.join(summed.select(ordinal, out), ordinal)
 
 
-def roll(sizes: Iterable[int], least: int, first: int = 0) -> list[int]:
+def roll(sizes: Iterable[int], least: int, first: int = 0, held: int = 0) -> list[int]:
     """The shard of each batch: a shard ends after the batch that brings it to ``least`` tokens or more."""
-    out, shard, held = [], first, 0
+    out, shard = [], first
     for size in sizes:
         out.append(shard)
         held += size
@@ -37,24 +47,69 @@ def roll(sizes: Iterable[int], least: int, first: int = 0) -> list[int]:
     return out
 
 
-def shard_batches(df: DataFrame, size: str, ordinal: str, batch_rows: int, least: int, first: int = 0) -> DataFrame:
+def shard_steps(sizes: np.ndarray, least: int) -> list[tuple[int | None, int, int]]:
+    """What a range of batches does to the tokens held before it, as rows (need, shards, held).
+
+    The first row whose ``need`` is not above what is held tells how many shards end in the range and what is held
+    after it; the row without a need adds what is held. Rows are as many as batches in one shard, at most.
+    """
+    upto = np.cumsum(sizes)
+    n, before = len(sizes), np.concatenate([[0], upto])
+    close = np.searchsorted(upto, before + least)  # where a shard that starts at a batch ends
+    shards, held = np.zeros(n + 1, dtype=np.int64), before[-1] - before
+    for k in range(n - 1, -1, -1):
+        if close[k] < n:
+            shards[k], held[k] = 1 + shards[close[k] + 1], held[close[k] + 1]
+    rows: list[tuple[int | None, int, int]] = []
+    for k in range(n):
+        need = max(0, least - int(upto[k]))
+        if not rows or need < rows[-1][0]:
+            rows.append((need, 1 + int(shards[k + 1]), int(held[k + 1])))
+        if need == 0:
+            return rows
+    return [*rows, (None, 0, int(before[-1]))]
+
+
+def shard_batches(df: DataFrame, size: str, ordinal: str, batch_rows: int, least: int, first: int = 0, width: int = RANGE) -> DataFrame:
     """(batch, n_tokens, shard): consecutive rows in batches of ``batch_rows``, batches rolled into shards.
 
-    The fold is sequential by nature; it runs over one number per batch, read in order, not over rows.
+    The fold is sequential, but what ``width`` batches do to the tokens held before them is a small table, which each
+    range makes on its own. The driver composes these tables in order, a lookup a range; then every range rolls its
+    batches from its own start.
     """
-    batches = df.groupBy(F.floor(F.col(ordinal) / batch_rows).alias("batch")).agg(F.sum(size).cast("long").alias("n_tokens")).orderBy("batch")
-    spark, rows = df.sparkSession, [(r["batch"], r["n_tokens"]) for r in batches.toLocalIterator()]
-    shards = roll((n for _, n in rows), least, first)
-    return spark.createDataFrame([(b, n, s) for (b, n), s in zip(rows, shards, strict=True)], "batch long, n_tokens long, shard int")
+    spark = df.sparkSession
+    batches = df.groupBy(F.floor(F.col(ordinal) / batch_rows).alias("batch")).agg(F.sum(size).cast("long").alias("n_tokens")).withColumn("_range", F.floor(F.col("batch") / width))
+
+    def steps(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = shard_steps(frame.sort_values("batch")["n_tokens"].to_numpy(dtype=np.int64), least)
+        return pd.DataFrame({"_range": frame["_range"].iloc[0], "need": pd.array([r[0] for r in rows], "Int64"), "shards": [r[1] for r in rows], "held": [r[2] for r in rows]})
+
+    tables = batches.groupBy("_range").applyInPandas(steps, "_range long, need long, shards long, held long")
+    starts, now, shard, held = [], None, first, 0
+    for number, need, shards, after in tables.orderBy("_range", F.desc_nulls_last("need")).toLocalIterator():
+        if number != now:
+            now, done, entered = number, False, held
+            starts.append((number, shard, held))
+        if not done and (need is None or entered >= need):
+            shard, held, done = shard + shards, after + (entered if need is None else 0), True
 
+    def rolled(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("batch")
+        return frame[["batch", "n_tokens"]].assign(shard=roll(frame["n_tokens"].tolist(), least, int(frame["_shard"].iloc[0]), int(frame["_held"].iloc[0])))
 
-def blocks(df: DataFrame, ids: str, ordinal: str, length: int) -> DataFrame:
+    begin = spark.createDataFrame(starts, "_range long, _shard long, _held long")  # a row a range
+    return batches.join(F.broadcast(begin), "_range").groupBy("_range").applyInPandas(rolled, "batch long, n_tokens long, shard int")
+
+
+def blocks(df: DataFrame, ids: str, ordinal: str, length: int, size: Column | None = None) -> DataFrame:
     """(block, x, y): the token stream of all rows in order, cut every ``length`` tokens; y is x moved by one.
 
-    The last block is left out where it is short of ``length`` + 1 tokens. A row is cut into its blocks before
-    anything is shuffled, so a block gathers pieces, not tokens.
+    The last block is left out where it is short of ``length`` + 1 tokens. Places come from the sizes alone, which
+    ``size`` tells where it is cheaper than making the tokens. A row is cut into its blocks before anything else is
+    shuffled, so a block gathers pieces, not tokens.
     """
-    placed = running_sum(df.select(ordinal, F.col(ids).alias("_ids"), F.size(ids).alias("_n")).where("_n > 0"), "_n", ordinal)
+    sizes = df.select(ordinal, (F.size(ids) if size is None else size).cast("long").alias("_n")).where("_n > 0")
+    placed = running_sum(sizes, "_n", ordinal).join(df.select(ordinal, F.col(ids).alias("_ids")), ordinal)
     first, last = F.floor(F.greatest(F.col("before") - 1, F.lit(0)) / length), F.floor((F.col("before") + F.col("_n") - 1) / length)
 
     def piece(block: Column) -> Column:
@@ -101,6 +156,11 @@ def place_in_order(df: DataFrame, order: list[Column], salt: Column, out: str =
     return ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).join(offsets, "_range").withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_range", "_local", "_offset")
 
 
+def hash_range(digits: Column, n: int, width: int = RANGE) -> Column:
+    """A range of the leading digits of a hexadecimal hash, as many as leave about ``width`` of ``n`` rows to each."""
+    return F.conv(F.substring(digits, 1, max(1, math.ceil(math.log(max(1, n / width), 16)))), 16, 10).cast("long")
+
+
 def hashed_number(key: Column, seed: int, below: Column) -> Column:
     """A number in 0..below-1 that depends on key and seed alone, the same in any engine with md5."""
     digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 12)
@@ -129,25 +189,27 @@ def epoch_batches(df: DataFrame, key: str, seed: int, rows: int) -> DataFrame:
     """``df`` with ``batch`` and ``slot``: one pass in seeded order; the last batch is filled up from the front."""
     n = df.count()
     hashed = df.withColumn("_seeded", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    placed = place_in_order(hashed, [F.col("_seeded"), F.col(key)], F.conv(F.substring("_seeded", 1, 2), 16, 10).cast("int"), "_place").drop("_seeded")
+    placed = place_in_order(hashed, [F.col("_seeded"), F.col(key)], hash_range(F.col("_seeded"), n), "_place").drop("_seeded")
     ends = -(-n // rows) * rows
     spread = placed.withColumn("_at", F.explode(F.sequence(F.col("_place"), F.lit(ends - 1).cast("long"), F.lit(max(n, 1)).cast("long"))))
     return spread.withColumn("batch", batch_of(F.col("_at"), rows)).withColumn("slot", F.pmod("_at", F.lit(rows).cast("long"))).drop("_place", "_at")
 
 
-def random_windows(shards: DataFrame, ids: str, ordinal: str, draws: int, length: int, seed: int) -> DataFrame:
+def random_windows(shards: DataFrame, ids: str, ordinal: str, draws: int, length: int, seed: int, size: Column | None = None) -> DataFrame:
     """(draw, shard, start, x, y): each draw takes a shard, all alike likely, then a start; y is x moved by one.
 
-    Shards without ``length`` + 1 tokens are never drawn. Only the drawn shards' rows meet the draws.
+    Shards without ``length`` + 1 tokens are never drawn. Shards are numbered by ordinal and size alone (``size``, where
+    it is cheaper than making the tokens); the draws are then broadcast, so only drawn shards leave the scan.
     """
-    spark = shards.sparkSession
-    long_enough = shards.where(F.size(ids) > length).select(ordinal, F.col(ids).alias("_ids"), F.lit(1).alias("_one"))
-    numbered = running_sum(long_enough, "_one", ordinal, "shard")
-    n = numbered.count()
+    n_ids = F.size(ids) if size is None else size
+    long_enough = shards.where(n_ids > length).select(ordinal, F.lit(1).alias("_one"))
+    numbered = running_sum(long_enough, "_one", ordinal, "_number").drop("_one")
+    n = long_enough.count()
     if n == 0:
         raise ValueError("no shard is long enough")
-    drawn = spark.range(draws).select(F.col("id").alias("draw"), hashed_number(F.col("id"), seed, F.lit(n)).alias("shard"))
+    drawn = shards.sparkSession.range(draws).select(F.col("id").alias("draw"), hashed_number(F.col("id"), seed, F.lit(n)).alias("_number"))
+    chosen = numbered.join(F.broadcast(drawn), "_number").drop("_number")  # a row a draw
     start = hashed_number(F.col("draw"), seed + 1, F.size("_ids") - length)
-    placed = drawn.join(numbered, "shard").withColumn("start", start)
+    placed = shards.select(ordinal, F.col(ids).alias("_ids")).join(F.broadcast(chosen), ordinal).withColumn("start", start)
     window = F.slice("_ids", (F.col("start") + 1).cast("int"), length + 1)
     return placed.select("draw", F.col(ordinal).alias("shard"), "start", F.slice(window, 1, length).alias("x"), F.slice(window, 2, length).alias("y"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; in local mode a temporary one will do."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt to all cores if its files have fewer splits than there are cores; large tables stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

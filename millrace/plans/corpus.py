@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import bpe, instruct, sequence
-from millrace.plans.book import Book, spread, table
+from millrace.plans.book import Book, scratch, spread, table
 
 QUERIES = Book()
-MERGES, BLOCK, SHARD, BATCH = 5, 256, 50_000, 64
+VOCABULARY, MIN_FREQ, BLOCK, SHARD, BATCH = 600, 5, 256, 50_000, 64
+MERGES = VOCABULARY - 256 - 1  # bytes and the end token take the other places
 
 #: DuckDB's patterns have no look-ahead: a mark before the last white space of a run stands for it.
 _PIECES = r"""regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(57344) || '\2', 'g'), '''(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x{E000}]+|\s+')"""
@@ -23,13 +24,12 @@ def _pairs(words: str) -> str:
     return f"SELECT u.l AS l, u.r AS r, sum(freq) AS n FROM (SELECT unnest(list_transform(range(1, len(ids)), lambda i: {{'l': ids[i], 'r': ids[i + 1]}})) AS u, freq FROM (SELECT list_transform(regexp_extract_all(s, '[0-9]+'), lambda x: x::INTEGER) AS ids, freq FROM {words})) GROUP BY 1, 2"
 
 
-def _training(k: int) -> str:
-    """CTEs w0..wk (words after each merge) and b1..bk (the merges)."""
-    parts = [_COUNTS, f"w0 AS (SELECT {_TAGGED.format('pretoken')} AS s, freq FROM counts)"]
-    for i in range(1, k + 1):
-        parts.append(f"b{i} AS (SELECT * FROM ({_pairs(f'w{i - 1}')}) ORDER BY n DESC, l DESC, r DESC LIMIT 1)")
-        parts.append(f"w{i} AS (SELECT replace(s, '<' || l || '><' || r || '>', '<{255 + i}>') AS s, freq FROM w{i - 1}, b{i})")
-    return ",\n".join(parts)
+_WORDS = f"{_COUNTS}, w0 AS (SELECT {_TAGGED.format('pretoken')} AS s, freq FROM counts)"
+#: Rows of step k hold the words after k merges, as <id><id>, and the merge that made them.
+_TRAINED = f"""{_COUNTS}, train AS (SELECT 0 AS k, {_TAGGED.format('pretoken')} AS s, freq, NULL::INTEGER AS l, NULL::INTEGER AS r, NULL::BIGINT AS n FROM counts WHERE freq >= {MIN_FREQ}
+  UNION ALL SELECT t.k + 1, replace(t.s, '<' || b.l || '><' || b.r || '>', '<' || (256 + t.k) || '>'), t.freq, b.l, b.r, b.n
+  FROM train t, (SELECT l, r, n::BIGINT AS n FROM ({_pairs('train')}) ORDER BY n DESC, l DESC, r DESC LIMIT 1) b WHERE t.k < {MERGES} AND contains(t.s, '><')),
+merges AS MATERIALIZED (SELECT DISTINCT k - 1 AS rank, l, r, n FROM train WHERE k > 0)"""
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,51 +81,70 @@ def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytes_.union(docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).alias("byte"), "n"))
 
 
-@QUERIES.add(f"WITH {_training(0)} SELECT l AS \"left\", r AS \"right\", n::BIGINT AS n FROM ({_pairs('w0')})")
+@QUERIES.add(f"WITH {_WORDS} SELECT l AS \"left\", r AS \"right\", n::BIGINT AS n FROM ({_pairs('w0')})")
 def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.pair_counts(bpe.as_words(bpe.pretoken_counts(_documents(spark, sf_dir))))
 
 
-@QUERIES.add(f"WITH {_training(1)} SELECT l AS \"left\", r AS \"right\", n::BIGINT AS n FROM b1")
+@QUERIES.add(f"WITH {_WORDS} SELECT l AS \"left\", r AS \"right\", n::BIGINT AS n FROM ({_pairs('w0')}) ORDER BY n DESC, l DESC, r DESC LIMIT 1")
 def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.best_pair(bpe_pair_counts(spark, sf_dir))
 
 
-@QUERIES.add(f"WITH {_training(MERGES)} " + " UNION ALL ".join(f"SELECT {i - 1} AS rank, l AS \"left\", r AS \"right\", n::BIGINT AS n FROM b{i}" for i in range(1, MERGES + 1)))
+def _trained(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
+    return bpe.train(spread(_documents(spark, sf_dir).select("text")), VOCABULARY, specials=[T.END], min_freq=MIN_FREQ)
+
+
+@QUERIES.add(f'WITH RECURSIVE {_TRAINED} SELECT rank::INTEGER AS rank, l AS "left", r AS "right", n FROM merges')
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges = bpe.train(spread(_documents(spark, sf_dir).select("text")), 256 + MERGES, most=None)
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank int, left int, right int, n long")
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(_trained(spark, sf_dir))], "rank int, left int, right int, n long")
 
 
-@QUERIES.add()
+@QUERIES.add(f"""WITH RECURSIVE {_TRAINED}, tokens AS (SELECT 0 AS k, list_transform(range(256), lambda i: lower(lpad(printf('%x', i), 2, '0'))) AS t
+  UNION ALL SELECT k + 1, list_append(t, t[l + 1] || t[r + 1]) FROM tokens JOIN merges ON rank = k),
+whole AS (SELECT list_append(t, '{T.END.encode().hex()}') AS t FROM tokens ORDER BY k DESC LIMIT 1)
+SELECT (i - 1)::INTEGER AS token_id, t[i] AS token FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM whole)""")
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges = bpe.train(_documents(spark, sf_dir), 600, specials=[T.END])
+    merges = _trained(spark, sf_dir)
     return spark.createDataFrame([(i, t.hex()) for i, t in enumerate(bpe.vocabulary(merges, [T.END]))], "token_id int, token string")
 
 
 def _encoder(spark: SparkSession, sf_dir: str) -> tuple[bpe.Encoder, list[bytes]]:
-    merges = bpe.train(spread(_documents(spark, sf_dir).select("text")), 256 + MERGES, most=None)
-    tokens = bpe.vocabulary(merges)
-    return bpe.Encoder(tokens, merges), tokens
+    merges = _trained(spark, sf_dir)
+    tokens = bpe.vocabulary(merges, [T.END])
+    return bpe.Encoder(tokens, merges, [T.END]), tokens
+
 
+#: A text and the end token: merges in the order of their ranks, each over whole pieces, and the end token's own id.
+_CODED = f"""{_TRAINED}, listed AS (SELECT list('<' || l || '><' || r || '>' ORDER BY rank) AS m FROM merges),
+pieces AS (SELECT doc_id, unnest({_PIECES}) AS p, generate_subscripts({_PIECES}, 1) AS i FROM documents),
+coded AS (SELECT p, list_reduce(list_prepend({_TAGGED.format('p')}, m), lambda s, x, k: replace(s, x, '<' || (254 + k) || '>')) AS s FROM (SELECT DISTINCT p FROM pieces), listed),
+done AS (SELECT doc_id, coalesce(string_agg(s, '' ORDER BY i), '') || '<{VOCABULARY - 1}>' AS s FROM documents LEFT JOIN pieces USING (doc_id) LEFT JOIN coded USING (p) GROUP BY doc_id)"""
 
-_ENCODED = f"SELECT doc_id, array_to_string(list_transform({_PIECES}, lambda p: {_TAGGED.format('p')}), '|') AS s FROM documents"
-_REPLACED = "s"
-for _i in range(1, MERGES + 1):
-    _REPLACED = f"replace({_REPLACED}, (SELECT '<' || l || '><' || r || '>' FROM b{_i}), '<{255 + _i}>')"
 
+def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that end with the end token."""
+    return spread(_documents(spark, sf_dir).select("doc_id", "text")).withColumn("text", F.concat("text", F.lit(T.END)))
 
-@QUERIES.add(f"WITH {_training(MERGES)}, texts AS ({_ENCODED}), done AS (SELECT doc_id, replace({_REPLACED}, '|', '') AS s FROM texts) SELECT doc_id, (length(s) - length(replace(s, '<', '')))::INTEGER AS n_tokens, md5(replace(replace(replace(s, '><', ','), '<', ''), '>', '')) AS ids_md5 FROM done")
+
+@QUERIES.add(f"WITH RECURSIVE {_CODED} SELECT doc_id, (length(s) - length(replace(s, '<', '')))::INTEGER AS n_tokens, md5(replace(replace(replace(s, '><', ','), '<', ''), '>', '')) AS ids_md5 FROM done")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder, _ = _encoder(spark, sf_dir)
-    coded = bpe.encode(spread(_documents(spark, sf_dir).select("doc_id", "text")), encoder)
+    coded = bpe.encode(_ended(spark, sf_dir), encoder)
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), _digest("ids").alias("ids_md5"))
 
 
-@QUERIES.add("SELECT doc_id, text FROM documents")
+@QUERIES.add(f"WITH RECURSIVE {_CODED} SELECT id::INTEGER AS id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(s, '[0-9]+')) AS id FROM done) GROUP BY id")
+def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each id occurs in the encoded corpus, one row an id at a time."""
+    encoder, _ = _encoder(spark, sf_dir)
+    return bpe.encode(_ended(spark, sf_dir), encoder).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@QUERIES.add(f"SELECT doc_id, text || '{T.END}' AS text FROM documents")
 def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder, tokens = _encoder(spark, sf_dir)
-    coded = bpe.encode(spread(_documents(spark, sf_dir).select("doc_id", "text")), encoder).drop("text")
+    coded = bpe.encode(_ended(spark, sf_dir), encoder).drop("text")
     return bpe.decode(coded, tokens).select("doc_id", "text")
 
 
@@ -151,8 +170,8 @@ def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 cut AS (SELECT unnest(range(1, len(parts))) AS b, parts[b] AS x, parts[b + 1][1:2] AS after FROM stream)
 SELECT b - 1 AS block, md5({_LISTED.format('x')}) AS x_md5, md5({_LISTED.format('(x[3:] || after)')}) AS y_md5 FROM cut""")
 def token_blocks_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", bpe.byte_ids(F.col("text")).alias("ids"))
-    return sequence.blocks(ids, "ids", "doc_id", BLOCK).select("block", _digest("x").alias("x_md5"), _digest("y").alias("y_md5"))
+    ids = spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.octet_length("text").alias("n"), bpe.byte_ids(F.col("text")).alias("ids"))
+    return sequence.blocks(ids, "ids", "doc_id", BLOCK, F.col("n")).select("block", _digest("x").alias("x_md5"), _digest("y").alias("y_md5"))
 
 
 @QUERIES.add("SELECT doc_id, lang, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS rank FROM documents) WHERE rank <= 32")
@@ -185,16 +204,12 @@ def keep_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruct.keep_first(docs, "text_md5", "doc_id")
 
 
-@QUERIES.add()
+@QUERIES.add("SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document of each text, read as a file stream and kept in a table."""
-    import tempfile
-    import uuid
-
     from millrace.streaming.dedup import stored, stream_new_rows
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-stream")
-    place = f"{root}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     docs = _documents(spark, sf_dir)
     path = f"{sf_dir}/documents.parquet"
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else sf_dir)
@@ -210,7 +225,9 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(found).isDirectory()
 
 
-@QUERIES.add()
+@QUERIES.add("""WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b, strlen(text) AS n FROM documents WHERE strlen(text) > 3),
+f AS (SELECT doc_id, list_filter(range(1, n - 2), lambda i: b[i] = b[n - 2] AND b[i + 1] = b[n - 1] AND b[i + 2] = b[n]) AS spots, b AS h FROM b)
+SELECT doc_id, nullif(array_to_string(list_sort(list_distinct(list_transform(spots, lambda i: ('0x' || h[i + 3])::INTEGER))), ','), '') AS banned FROM f""")
 def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that would repeat a 4-gram of the text if they came next."""
     from millrace.functions.numeric import banned_next
@@ -219,10 +236,10 @@ def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", banned_next(F.col("ids"), 4).alias("b")).select("doc_id", F.when(F.size("b") > 0, F.array_join(F.transform("b", lambda i: i.cast("string")), ",")).alias("banned"))
 
 
-PROMPTS = ("describe it", "what is this about?", "what do you see?", "sum it up", "give a title")
+PROMPTS = ("describe it", "what is this about?", "name its parts", "sum it up", "give a title")
 
 
-@QUERIES.add("SELECT doc_id, ['describe it', 'what is this about?', 'what do you see?', 'sum it up', 'give a title'][1 + ('0x' || md5(doc_id || ':5')[1:12])::BIGINT % 5] AS prompt FROM documents")
+@QUERIES.add("SELECT doc_id, ['describe it', 'what is this about?', 'name its parts', 'sum it up', 'give a title'][1 + ('0x' || md5(doc_id || ':5')[1:12])::BIGINT % 5] AS prompt FROM documents")
 def prompt_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", sequence.hashed_choice(F.col("doc_id"), 5, PROMPTS).alias("prompt"))
 
@@ -232,9 +249,9 @@ d AS (SELECT i AS draw, ('0x' || md5(i || ':9')[1:12])::BIGINT % (SELECT count(*
 p AS (SELECT draw, doc_id, h, ('0x' || md5(draw || ':10')[1:12])::BIGINT % (n - 64) AS start FROM d JOIN s USING (k))
 SELECT draw, doc_id AS shard, start, md5(h[2 * start + 1 : 2 * start + 128]) AS x_md5, md5(h[2 * start + 3 : 2 * start + 130]) AS y_md5 FROM p""")
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _documents(spark, sf_dir).select("doc_id", bpe.byte_ids(F.col("text")).alias("ids"))
+    ids = _documents(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n"), bpe.byte_ids(F.col("text")).alias("ids"))
     code = lambda c: F.md5(F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
-    found = sequence.random_windows(ids, "ids", "doc_id", 200, 64, 9)
+    found = sequence.random_windows(ids, "ids", "doc_id", 200, 64, 9, F.col("n"))
     return found.select("draw", "shard", "start", code("x").alias("x_md5"), code("y").alias("y_md5"))
 
 

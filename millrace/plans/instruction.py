@@ -163,9 +163,8 @@ def _merged() -> str:
 
 @QUERIES.add(_merged())  # keys hold the topic, so no key occurs under two topics
 def merge_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _every(spark, sf_dir)
-    parts = {topic: instruct.generated(every, topic, BRANDS) for topic in rules.KINDS}
-    return instruct.merge_topics(parts).select("ordinal", "split_key", "topic", "topic_order")
+    made = instruct.generated_all(_every(spark, sf_dir), BRANDS)
+    return instruct.merge_tagged(made, list(rules.KINDS).index("how_why_short")).select("ordinal", "split_key", "topic", "topic_order")
 
 
 _SIZED = f"{_PAIRS}, sized AS (SELECT conv_id, turn, conv_id * 100000 + turn AS place, strlen({_STRIP.format('instruction')}) + 24 AS n_prompt, strlen({_STRIP.format('output')}) AS n_out, {_STRIP.format('output')} AS o FROM pairs)"

@@ -32,6 +32,11 @@ def split_by_file(df: DataFrame, train_files: int = 450) -> DataFrame:
     return df.withColumn("split", F.when(F.col("file_idx") < train_files, "train").otherwise("valid"))
 
 
+def split_by_column(df: DataFrame, tag: str, train: str = "train") -> DataFrame:
+    """``df`` with ``split``: rows tagged ``train`` are for training, those with any other tag for validation."""
+    return df.withColumn("split", F.when(F.col(tag) == train, "train").otherwise("valid"))
+
+
 def lines(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
     """(path, line_no, text) of text files, the newline kept; the first ``limit`` lines by path and place, all if negative."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.concat("value", F.lit("\n")).alias("text"))

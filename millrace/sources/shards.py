@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.bpe import as_array
-
 
 def write_shards(tokens: DataFrame, path: str) -> None:
     """Tokens (split, shard_id, seq_no, token_ids) in a directory per split and shard, rows in order."""
@@ -28,14 +26,32 @@ def npy_bytes(tokens: DataFrame, vocab_size: int) -> DataFrame:
     kind = "uint16" if vocab_size <= 65_535 else "uint32"
 
     def each(key: tuple, table: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.asarray(r, dtype=kind) for r in table.sort_by("seq_no").column("token_ids").to_pylist()])
+        rows = table.sort_by("seq_no").column("token_ids").combine_chunks()
         out = io.BytesIO()
-        np.save(out, as_array(ids, vocab_size))
+        np.save(out, rows.flatten().to_numpy(zero_copy_only=False).astype(kind))  # Arrow's own buffer, no Python numbers
         return pa.table({"split": [key[0].as_py()], "shard_id": pa.array([key[1].as_py()], pa.int32()), "npy": [out.getvalue()]})
 
     return tokens.groupBy("split", "shard_id").applyInArrow(each, "split string, shard_id int, npy binary")
 
 
+def write_npy(tokens: DataFrame, path: str, vocab_size: int, prefix: str = "tokens") -> None:
+    """Array files named <prefix>-<split>-all-shard<k>.npy at ``path``.
+
+    For programs that read such files: tasks make the bytes, the driver copies one shard at a time. ``write_shards`` is the sink for large corpora.
+    """
+    spark = tokens.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(fs_path(path))
+    packed = npy_bytes(tokens, vocab_size)
+    packed.select(F.concat(F.lit(prefix + "-"), "split", F.lit("-all-shard"), F.col("shard_id").cast("string"), F.lit(".npy")).alias("name"), F.col("npy").alias("content")).write.parquet(f"{path}/_staged")
+    for name, content in spark.read.parquet(f"{path}/_staged").toLocalIterator():  # one shard at a time
+        out = fs_path(f"{path}/{name}").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(fs_path(f"{path}/{name}"), True)
+        try:
+            out.write(bytes(content))
+        finally:
+            out.close()
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, split, shard_id, token_ids) of files named <prefix>-<split>-<lines>-shard<k>.npy, an error if there are none."""
 
@@ -69,14 +85,22 @@ def known_merges(merges: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def overwrite_jsonl(df: DataFrame, path: str) -> None:
-    """``df`` as JSON lines at ``path``, even if it reads from there: written beside it first, then moved."""
-    spark, aside = df.sparkSession, f"{path}.next"
-    df.write.mode("overwrite").json(aside)
+    """``df`` as JSON lines at ``path``, even if it reads from there.
+
+    Written beside it first; the old files are moved aside before the new ones take their place and deleted last, so
+    that either is whole at every moment. A run that broke off between the moves is put right by the next one.
+    """
+    spark, aside, old = df.sparkSession, f"{path}.next", f"{path}.old"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(fs_path(path), True)
+    df.write.mode("overwrite").json(aside)
+    if fs.exists(fs_path(path)):
+        fs.delete(fs_path(old), True)
+        if not fs.rename(fs_path(path), fs_path(old)):
+            raise OSError(f"cannot move {path} to {old}")
     if not fs.rename(fs_path(aside), fs_path(path)):
         raise OSError(f"cannot move {aside} to {path}")
+    fs.delete(fs_path(old), True)
 
 
 def write_text(docs: DataFrame, path: str) -> None:

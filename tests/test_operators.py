@@ -17,6 +17,27 @@ def test_rolling_shards():
     assert sequence.roll([], 10) == []
 
 
+@pytest.mark.parametrize(("width", "least"), [(1, 10), (3, 10), (4, 25), (7, 1), (1000, 40), (5, 10_000)])
+def test_shards_of_ranges_are_the_fold(spark, width, least):
+    rng = random.Random(width)
+    sizes = [rng.choice([0, 1, 5, 9, 30]) for _ in range(60)]
+    df = spark.createDataFrame([(i * 2 + j, n) for i, n in enumerate(sizes) for j in range(2)], "at long, n long")
+    got = {r.batch: (r.n_tokens, r.shard) for r in sequence.shard_batches(df, "n", "at", 2, least, 3, width).collect()}
+    assert [got[i] for i in range(60)] == list(zip([2 * n for n in sizes], sequence.roll([2 * n for n in sizes], least, 3), strict=True))
+
+
+def test_first_rows_of_hot_groups(spark):
+    df = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'few', 'hot') AS g")
+    got = instruct.first_per_group(df, "g", 1500, "id").groupBy("g").agg(F.count(F.lit(1)), F.max("id"), F.max("rank")).collect()
+    assert sorted(map(tuple, got)) == [("few", 500, 4990, 500), ("hot", 1500, 1666, 1500)]
+
+
+def test_yes_or_no_is_right_by_form(spark):
+    rows = spark.createDataFrame([("yesno", "yes", " No "), ("yesno", "yes", "maybe"), ("copy", "a", "a"), ("copy", "a", "b"), ("yesno", "yes", None)], "task string, gold string, pred string")
+    columns = F.col("task"), F.col("gold"), F.col("pred")
+    assert [tuple(r) for r in rows.select(evaluation.is_mode_right(*columns), evaluation.is_right(*columns)).collect()] == [(True, False), (False, False), (True, True), (False, False), (False, False)]
+
+
 def test_running_sum_in_ranges(spark):
     rng = random.Random(2)
     rows = [(i * 3, rng.randint(0, 9)) for i in range(200)]
