@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import prepare
+from millrace.operators.instruct import first_per_group
 
 GRAM = 4
 #: Rows of the filter (a power of two), hash functions, most n-grams a language keeps.
@@ -118,8 +119,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [lang for _, lang in sizes]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = slim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("id", "lang").distinct()
+    chosen = first_per_group(slim, "lang", fit_docs, F.xxhash64("id"), F.col("id")).select("id", "lang").distinct()
     texts = docs.where(train).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     texts = texts.join(F.broadcast(chosen), ["id", "lang"])  # at most fit_docs x MAX_LANGUAGES ids
 
@@ -132,8 +132,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], ["lang", "gram"])
 
     counts = texts.select("text", "lang").mapInArrow(count, "lang string, gram long").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    table = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GRAMS_PER_LANGUAGE).select("lang", "gram").toArrow().to_pandas()
+    table = first_per_group(counts, "lang", GRAMS_PER_LANGUAGE, -F.col("n"), F.col("gram")).select("lang", "gram").toArrow().to_pandas()
     return BitSlicedFilter(languages, [table.loc[table["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for lang in languages])
 
 

@@ -39,6 +39,18 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 _URL = re.compile(r"[A-Za-z0-9\[][^\s<>\"'{}|\\^`]*+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country (fixed values).
+IBAN_LENGTHS = {
+    country: int(size)
+    for country, size in (
+        x.split(":")
+        for x in (
+            "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 "
+            "GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 "
+            "NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+        ).split()
+    )
+}
 _GAP = re.compile(r"[^A-Za-z0-9]{0,3}")
 _NUMBER = re.compile(r"[ \t]*+(?:number|no\.?|nr\.?)?+[ \t]*+[:#=]?+[ \t]*+([0-9](?:[ -]?[0-9]){5,18})(?![0-9])", re.IGNORECASE)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -62,6 +74,24 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """Where an IBAN that starts at ``at`` ends by its country's length, single spaces let pass; None if there is none."""
+    m = _IBAN.match(text, at)
+    if m is None:
+        return None
+    left, end = IBAN_LENGTHS.get(m[0][:2]), at
+    if left is None:
+        end = m.end()
+    while left:
+        if end >= m.end():
+            return None
+        left -= text[end] != " "
+        end += 1
+    if end < len(text) and text[end].isascii() and text[end].isalnum():
+        return None
+    return end if mod97(text[at:end].replace(" ", "")) else None
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for cue in ("@", "+", *SCHEMES, *CUES, *sorted(_DIGITS)):
@@ -126,8 +156,8 @@ def parse(text: str | None) -> list[Span]:
                     spans.append(("url", start, end))
         elif cue == "iban":
             if m := _GAP.match(text, last + 1):
-                if (m := _IBAN.match(text, m.end())) and mod97(m[0].replace(" ", "")):
-                    spans.append(("iban", m.start(), m.end()))
+                if end := iban_end(text, m.end()):
+                    spans.append(("iban", m.end(), end))
         elif m := _NUMBER.match(text, last + 1):
             spans.append(("account", m.start(1), m.end(1)))
     place = {k: i for i, k in enumerate(BASE + ADDED)}

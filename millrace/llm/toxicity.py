@@ -2,7 +2,8 @@
 
 P(grade > j) = sigmoid(w . x - theta_j): one weight vector for all ordered thresholds. Features are the presence
 of the words that tell toxic from other labelled documents. Grades: 0 for documents labelled not toxic; those
-labelled toxic are graded 1, 2 and 3 by how many of these words they hold, cut at the terciles. A document is
+labelled toxic are graded 1, 2 and 3 by how many of these words they hold, cut at the terciles: the labels know no
+grades, so these are derived. Weights are fitted at or above zero and scored as fitted. A document is
 rejected if P(grade > 0) is above one half.
 
 Defined cases: a null or empty text has no features and gets the intercepts' grade; without labels of both kinds
@@ -52,10 +53,10 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(eta - t, -500, 500)))) for t in self.thresholds]
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 600, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised likelihood of grades ``y``, by Adam on all rows.
 
-    Equal rows are taken together.
+    Equal rows are taken together. With ``positive`` no weight may fall below zero.
 
     theta_j = theta_0 + the exponentials of free gaps, which keeps the thresholds ordered.
     """
@@ -87,6 +88,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 0.5, steps: int = 600)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, free = w - move[:d], free - move[d:]
+        if positive:
+            w = np.maximum(w, 0)
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Ordinal
     cuts = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.zeros(2)
     y = np.where(toxic_rows, 1 + (held > cuts[0]).astype(int) + (held > cuts[1]).astype(int), 0)
     y = np.searchsorted(np.unique(y), y)  # grades that do not occur are left out
-    w, theta = fit_ordinal(x, y)
+    w, theta = fit_ordinal(x, y, positive=True)  # features were chosen for being more frequent in toxic documents
     return OrdinalModel({word: float(w[i]) for word, i in place.items() if w[i] > 0}, [float(t) for t in theta])
 
 

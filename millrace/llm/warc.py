@@ -129,7 +129,7 @@ def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at ``path`` in the schema RECORD, numbered by file and place; read by Spark's own readers."""
+    """Records of the WARC files at ``path`` in the schema RECORD, but for record_id, which is the WARC-Record-ID; read by Spark's own readers."""
     prepare(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(each, "urn string, warc_type string, target_uri string, warc_date string, status int, headers map<string,string>, payload binary")
-    return rows.select(F.xxhash64("urn").alias("record_id"), "warc_type", "target_uri", F.to_timestamp("warc_date").alias("warc_date"), "status", "headers", "payload")
+    return rows.select(F.col("urn").alias("record_id"), "warc_type", "target_uri", F.to_timestamp("warc_date").alias("warc_date"), "status", "headers", "payload")
 
 
 def captures(pages: DataFrame) -> DataFrame:

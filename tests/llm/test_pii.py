@@ -89,3 +89,15 @@ def test_long_runs():
     assert base(f"{zeros}1.2.3.4 {zeros}.0.0.{zeros}") == [("ip", 0, 6007), ("ip", 6008, 6008 + 2 * 6000 + 5)]
     assert pii.parse("account" + " " * 100_000 + "x") == []
     assert pii.parse("mailto:" * 30_000 + "x") == []
+
+
+def test_iban_by_the_length_of_its_country():
+    for text, found in [
+        ("IBAN DE89 3704 0044 0532 0130 00 AND more", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN: DE89 3704 0044 0532 0130 00 12 units", "DE89 3704 0044 0532 0130 00"),
+        ("iban GB82WEST12345698765432, thanks", "GB82WEST12345698765432"),
+        ("IBAN DE89 3704 0044 0532 0130 01", None),
+        ("IBAN DE89 3704 0044 0532 0130", None),
+        ("IBAN GB82WEST123456987654321", None),
+    ]:
+        assert [text[a:b] for k, a, b in pii.parse(text) if k == "iban"] == ([found] if found else [])
