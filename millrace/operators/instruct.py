@@ -24,9 +24,14 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return after.where((F.col("role") == "user") & (F.col("next.role") == "assistant")).select("conv_id", "turn", F.col("text").alias("instruction"), F.col("next.text").alias("output"))
 
 
+def _clean(pairs: DataFrame) -> DataFrame:
+    """Pairs with single spaces. ``inline`` keeps Spark from writing the expressions out in each of the many rules."""
+    return pairs.select("ordinal", F.inline(F.array(F.struct(one_line(F.col("instruction")).alias("instruction"), one_line(F.col("output")).alias("output")))))
+
+
 def generated(pairs: DataFrame, topic: str, brands: tuple[str, ...] = (), source: str = "generated") -> DataFrame:
     """Pairs (ordinal, instruction, output) that pass the common rules and the topic's, as keyed examples."""
-    clean = pairs.select("ordinal", one_line(F.col("instruction")).alias("instruction"), one_line(F.col("output")).alias("output"))
+    clean = _clean(pairs)
     i, o = F.col("instruction"), F.col("output")
     kept = clean.where(rules.common(i, o, brands) & rules.KINDS[topic](i, o))
     return kept.select("ordinal", "instruction", "output", F.lit("assistant_qa").alias("task"), F.lit(f"{source}_{topic}").alias("source"), F.lit(topic).alias("topic"), split_key(F.lit(topic), i).alias("split_key"))
@@ -34,7 +39,7 @@ def generated(pairs: DataFrame, topic: str, brands: tuple[str, ...] = (), source
 
 def generated_all(pairs: DataFrame, brands: tuple[str, ...] = (), source: str = "generated") -> DataFrame:
     """As ``generated`` for every topic in one pass, with the topic's number as ``topic_order``."""
-    clean = pairs.select("ordinal", one_line(F.col("instruction")).alias("instruction"), one_line(F.col("output")).alias("output"))
+    clean = _clean(pairs)
     i, o = F.col("instruction"), F.col("output")
     passed = F.array_compact(F.array(*[F.when(rule(i, o), F.struct(F.lit(k).alias("topic_order"), F.lit(topic).alias("topic"))) for k, (topic, rule) in enumerate(rules.KINDS.items())]))
     kept = clean.where(rules.common(i, o, brands)).select("*", F.explode(passed).alias("_t")).select("ordinal", "instruction", "output", "_t.topic", "_t.topic_order")
