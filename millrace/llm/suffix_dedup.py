@@ -39,7 +39,7 @@ from millrace.llm.common import cut, partitions, per_group, prepare
 
 LENGTH = 100
 #: Bytes of one text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Places within what is hashed at a time.
 PLACES = (1 << 21) - 1
 #: Bits of the filter of repeated anchors: about 12 for each anchor, this many at most (64 MB).
