@@ -1,10 +1,12 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-Training documents are tokenised once; each keeps the positions of the terms that occur in the test items, a
-document-partitioned positional index that is stored in the shared folder. Corpus frequencies come from that
-index. A test window is looked up from its rarest term: the term's positions, shifted by its offset in the
-window, are intersected with the shifted positions of the next rarest term, and so on, until none is left or
-the phrase is complete. Proximity matches relax the offsets.
+Training documents are tokenised once. The terms that occur in the test items are indexed in segments, each with the
+postings of some documents: the places of every term, sorted by term. Segments are built where the documents are read and
+stored in the shared folder, so no text and no posting is shuffled, and a frequent term is spread over all segments.
+Corpus frequencies are the sums of the segments' posting counts. A test window is looked up from its rarest term: that
+term's places, shifted by its offset in the window, are intersected with the shifted places of the next rarest term, and so
+on, until none is left or the phrase is complete. A proximity match asks for all terms of a window, each as often as in it
+and in any order, within the window's length and a few words more.
 
 Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast is bounded; each block is
 a pass over all documents.
@@ -16,7 +18,6 @@ give empty results, and without items nothing is contaminated.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +31,12 @@ from millrace.llm.common import cut, prepare, without
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
+#: Words beyond its length that a window may spread over in the query's proximity matches.
+PROXIMITY = 2
+#: Postings after which a segment ends; a longer document is a segment of its own. Candidates that are checked at a time.
+POSTINGS, CANDIDATES = 1 << 19, 1 << 19
+
+_PLACES = (1 << 32) - 1
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -39,12 +46,38 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+def _key(term: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (term.astype(np.int64) << 32) | place
+
+
+class Segment:
+    """The postings of some documents: sorted (term, place) keys.
+
+    Places count the words of all documents of the segment, with a spare one after each document.
+    """
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray):
+        self.keys, self.sizes = keys, sizes
+        self.base = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.term, self.place = keys >> 32, keys & _PLACES
+        self.doc = self.doc_of(self.place)
 
+    def doc_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, place, side="right") - 1
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), dtype=np.int32) if n else np.zeros(0, dtype=np.int32)
+    def at(self, key: np.ndarray) -> np.ndarray:
+        """The first posting at or after ``key``, and the last one if there is none."""
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)]
+
+    def holds(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = _key(term, place)
+        return self.at(key) == key
+
+    def holds_within(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether ``term`` has a place in [low, high)."""
+        low, high = _key(term, low), _key(term, high)
+        found = self.at(low)
+        return (found >= low) & (found < high)
 
 
 class Items:
@@ -63,36 +96,70 @@ class Items:
         self.ids = np.full((len(lists), window), -1, dtype=np.int32)
         for k, (_, ids) in enumerate(lists):
             self.ids[k, : len(ids)] = ids
+        self.need = sum(((self.ids == self.ids[:, k : k + 1]).astype(np.int16) for k in range(window)), np.zeros(self.ids.shape, dtype=np.int16))
 
     def by_rarity(self, frequency: np.ndarray) -> None:
         """Order each window's offsets from its rarest term on, and list the windows by rarest term."""
         often = np.where(self.ids >= 0, frequency[np.maximum(self.ids, 0)], np.iinfo(np.int64).max) if len(self.ids) else np.zeros((0, self.window), dtype=np.int64)
-        self.order = np.argsort(often, axis=1, kind="stable").astype(np.int64)
-        first = np.take_along_axis(self.ids, self.order[:, :1], axis=1).ravel() if len(self.ids) else np.zeros(0, dtype=np.int32)
+        self.order = np.argsort(often, axis=1, kind="stable").astype(np.int16)
+        first = self.ids[np.arange(len(self.ids)), self.order[:, 0]]
         self.at = np.argsort(first, kind="stable")
         self.start = np.searchsorted(first[self.at], np.arange(len(self.terms) + 1))
 
-    def phrases(self, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, window) of every occurrence in ``dense``, the term at each position or -1."""
-        known = np.flatnonzero(dense >= 0)
-        n_at = self.start[dense[known] + 1] - self.start[dense[known]]
-        known, n_at = known[n_at > 0], n_at[n_at > 0]
-        ends = np.cumsum(n_at)
-        for a, b in _slices(ends, 1 << 20):
-            p, n = known[a:b], n_at[a:b]
+    def candidates(self, segment: Segment) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(posting, window) of every posting of each window's rarest term, about ``CANDIDATES`` at a time."""
+        n_at = self.start[segment.term + 1] - self.start[segment.term]
+        rare = np.flatnonzero(n_at)
+        n_at = n_at[rare]
+        for a, b in _slices(np.cumsum(n_at), CANDIDATES):
+            p, n = rare[a:b], n_at[a:b]
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which = self.at[np.repeat(self.start[dense[p]], n) + offset]
-            begin = np.repeat(p, n) - self.order[which, 0]
-            ok = (begin >= 0) & (begin + self.length[which] <= len(dense))
+            yield np.repeat(p, n), self.at[np.repeat(self.start[segment.term[p]], n) + offset]
+
+    def phrases(self, segment: Segment) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, window) of every occurrence, in places of the segment."""
+        for posting, which in self.candidates(segment):
+            begin, first = segment.place[posting] - self.order[which, 0], segment.base[segment.doc[posting]]
+            ok = (begin >= first) & (begin + self.length[which] <= first + segment.sizes[segment.doc[posting]])
             begin, which = begin[ok], which[ok]
-            for k in range(1, self.window):  # intersect with the next rarest term's shifted positions
+            for k in range(1, self.window):  # intersect with the next rarest term's shifted places
                 if not len(begin):
                     break
                 shift = self.order[which, k]
-                ok = (k >= self.length[which]) | (dense[np.minimum(begin + shift, len(dense) - 1)] == self.ids[which, shift])
+                ok = (k >= self.length[which]) | segment.holds(self.ids[which, shift], begin + shift)
                 begin, which = begin[ok], which[ok]
             if len(begin):
-                yield begin, which
+                yield begin, begin + self.length[which], which
+
+    def near(self, segment: Segment, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, window) where all terms of a window, each as often as in it, lie within its length and ``slop`` words.
+
+        A stretch starts at a term of the window and ends with its document at the latest.
+        """
+        for posting, which in self.candidates(segment):
+            place, low = segment.place[posting], segment.base[segment.doc[posting]]
+            high = low + segment.sizes[segment.doc[posting]]
+            for k in range(1, self.window):  # some place of the next rarest term must be in reach
+                if not len(which):
+                    break
+                wide = self.length[which] + slop
+                term = self.ids[which, self.order[which, k]]
+                ok = (k >= self.length[which]) | segment.holds_within(term, np.maximum(place - wide + 1, low), np.minimum(place + wide, high))
+                place, which, low, high = place[ok], which[ok], low[ok], high[ok]
+            for back in range(int(self.length[which].max()) + slop if len(which) else 0):
+                begin, wide = place - back, self.length[which] + slop
+                ok = (back < wide) & (begin >= low)
+                begin, w, end = begin[ok], which[ok], np.minimum(begin + wide, high)[ok]
+                starts = np.zeros(len(begin), dtype=bool)
+                for k in range(self.window):
+                    term, key = self.ids[w, k], _key(self.ids[w, k], begin)
+                    at = np.searchsorted(segment.keys, key)
+                    often = np.searchsorted(segment.keys, _key(term, end)) - at
+                    starts |= segment.keys[np.minimum(at, len(segment.keys) - 1)] == key
+                    ok = (term < 0) | (often >= self.need[w, k])
+                    begin, w, end, starts = begin[ok], w[ok], end[ok], starts[ok]
+                if starts.any():
+                    yield begin[starts], end[starts], w[starts]
 
 
 def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -106,38 +173,52 @@ def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def index(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, n_words, n, terms, gaps, mark): the test items' terms in each document and their positions, packed; mark is a hash of the text."""
+    """Segments (doc_ids, sizes, marks, n, postings): some documents, their words and marks, and the n packed postings of the
+    test items' terms in them. A mark is a hash of the text."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(items.terms)
 
+    def segment(ids: pa.Array, sizes: list[int], marks: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.sort(np.concatenate(keys))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        packed = pa.compress(np.diff(flat, prepend=0).tobytes(), codec="zstd", asbytes=True) if len(flat) else b""
+        return pa.RecordBatch.from_arrays([one(ids), one(pa.array(sizes, pa.int64())), one(pa.array(marks, pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([packed], pa.binary())], ["doc_ids", "sizes", "marks", "n", "postings"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary.value.get
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                mark = xxh64_intdigest((text or "").encode(), 42) >> 1  # as _mark
+            first, base, held, sizes, marks, keys = 0, 0, 0, [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                marks.append(xxh64_intdigest((text or "").encode(), 42) >> 1)  # as _mark
                 parts = words(text)
-                ids = np.fromiter((get(w, -1) for w in parts), dtype=np.int32, count=len(parts))
+                ids = np.fromiter((get(w, -1) for w in parts), dtype=np.int64, count=len(parts))
                 at = np.flatnonzero(ids >= 0)
-                rows.append((len(parts), len(at), _packed(ids[at]), _packed(np.diff(at, prepend=0)), mark))
-            n_words, n, terms, gaps, marks = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.binary()), pa.array(gaps, pa.binary()), pa.array(marks, pa.int64())], ["doc_id", "n_words", "n", "terms", "gaps", "mark"])
+                keys.append(_key(ids[at], at + base))
+                sizes.append(len(parts))
+                base, held = base + len(parts) + 1, held + len(at)
+                if held >= POSTINGS or base >= _PLACES >> 2 or row + 1 == batch.num_rows:
+                    yield segment(batch.column(0).slice(first, len(sizes)), sizes, marks, keys)
+                    first, base, held, sizes, marks, keys = row + 1, 0, 0, [], [], []
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n long, terms binary, gaps binary, mark long")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_ids array<{dict(docs.dtypes)['doc_id']}>, sizes array<long>, marks array<long>, n long, postings binary")
 
 
-def frequencies(postings: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each term over all documents; one partial count for each task."""
+def _keys(n: int, postings: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(postings, 8 * n, codec="zstd", asbytes=True), dtype=np.int64)) if n else np.zeros(0, dtype=np.int64)
+
+
+def frequencies(segments: DataFrame, n_terms: int) -> np.ndarray:
+    """Postings of each term over all segments; one partial count for each task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms, dtype=np.int64)
         for batch in batches:
-            for n, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount(_unpacked(terms, n), minlength=n_terms)
+            for n, postings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += np.bincount(_keys(n, postings) >> 32, minlength=n_terms)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["term", "n"])
 
     out = np.zeros(n_terms, dtype=np.int64)
-    for term, n in postings.select("n", "terms").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n")).toLocalIterator():
+    for term, n in segments.select("n", "postings").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n")).toLocalIterator():
         out[term] = n
     return out
 
@@ -156,26 +237,40 @@ def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int
         yield block
 
 
-def _scan(postings: DataFrame, items: Items, proximity: int | None) -> DataFrame:
-    """(doc_id, n_words, starts, ends, items, mark) of every document: matched stretches of words and the items found."""
-    shared = postings.sparkSession.sparkContext.broadcast(items)
+_MATCHES = ("starts", "ends", "items", "near_starts", "near_ends", "near_items")
+_ROW = ["doc_id", "n_words", *_MATCHES, "mark"]
+
+
+def _schema(kind: str) -> str:
+    return f"doc_id {kind}, n_words long, {', '.join(f'{c} array<long>' for c in _MATCHES)}, mark long"
+
+
+def _scan(segments: DataFrame, items: Items, proximity: int | None) -> DataFrame:
+    """(doc_id, n_words, starts, ends, items, near_starts, near_ends, near_items, mark) of every document: the stretches of words
+    that exact and, with ``proximity``, near matches cover, and the items found."""
+    shared = segments.sparkSession.sparkContext.broadcast(items)
+
+    def told(segment: Segment, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        items, n = shared.value, len(segment.sizes)
+        begin, end, which = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+        named = items.named[which]
+        pairs = np.unique(np.stack([segment.doc_of(begin[named]), items.item[which[named]]]), axis=1)
+        begin, end = merge(begin, end)
+        doc = segment.doc_of(begin)
+        lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int64()))
+        return [lists(doc, begin - segment.base[doc]), lists(doc, end - segment.base[doc]), lists(*pairs)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            n_words = batch.column(1).to_pylist()
-            rows: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
-            for size, n, terms, gaps in zip(n_words, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                dense = np.full(size, -1, dtype=np.int32)
-                dense[np.cumsum(_unpacked(gaps, n))] = _unpacked(terms, n)
-                found = list(items.phrases(dense)) if proximity is None else list(near(items, dense, proximity))
-                begin = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
-                which = np.concatenate([f[1] for f in found]).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
-                rows.append((*merge(begin, begin + items.length[which] + (proximity or 0)), np.unique(items.item[which[items.named[which]]]).tolist()))
-            columns = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, batch.column(5)], ["doc_id", "n_words", "starts", "ends", "items", "mark"])
+            for row in range(batch.num_rows):
+                ids, sizes, marks = (batch.column(k)[row].values for k in range(3))
+                segment = Segment(_keys(batch.column(3)[row].as_py(), batch.column(4)[row].as_py()), sizes.to_numpy())
+                exact = told(segment, list(items.phrases(segment)))
+                near = told(segment, [] if proximity is None else list(items.near(segment, proximity)))
+                yield pa.RecordBatch.from_arrays([ids, sizes, *exact, *near, marks], _ROW)
 
-    return postings.mapInArrow(each, f"doc_id {dict(postings.dtypes)['doc_id']}, n_words long, starts array<long>, ends array<long>, items array<long>, mark long")
+    return segments.mapInArrow(each, _schema(dict(segments.dtypes)["doc_ids"][len("array<") : -1]))
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,29 +284,14 @@ def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], reach[last]
 
 
-def near(items: Items, dense: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(start, window) where all terms of a window, each as often as in it, lie within its length and ``slop`` words."""
-    posts = {int(t): np.flatnonzero(dense == t) for t in np.unique(dense[dense >= 0])}
-    for t in posts:
-        for w in items.at[items.start[t] : items.start[t + 1]].tolist():
-            need, wide = Counter(items.ids[w, : items.length[w]].tolist()), int(items.length[w]) + slop
-            if not need.keys() <= posts.keys():
-                continue
-            begins = np.unique(np.concatenate([posts[u] for u in need]))
-            ok = np.ones(len(begins), dtype=bool)
-            for u, k in sorted(need.items(), key=lambda x: len(posts[x[0]])):
-                ok &= np.searchsorted(posts[u], begins + wide) - np.searchsorted(posts[u], begins) >= k
-            if ok.any():
-                yield begins[ok], np.full(int(ok.sum()), w)
-
-
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, proximity: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, starts, ends, items) of every row of ``docs`` (doc_id, text).
 
     starts and ends bound the stretches of words inside occurrences, items lists the items that occur. With
     ``proximity`` a window occurs where its terms lie, in any order, within that many words more than its length.
     """
-    return _found(docs, bench, window, proximity, block_words).drop("mark")
+    kind = "" if proximity is None else "near_"
+    return _found(docs, bench, window, proximity, block_words).select("doc_id", "n_words", *[F.col(kind + c).alias(c) for c in ("starts", "ends", "items")])
 
 
 def _mark(text: Column) -> Column:
@@ -224,9 +304,9 @@ def _found(docs: DataFrame, bench: DataFrame, window: int, proximity: int | None
     parts = []
     for block in blocks(bench, block_words):
         items = Items(block, window)
-        postings = cut(index(docs, items))
-        items.by_rarity(frequencies(postings, len(items.terms)))
-        parts.append(_scan(postings, items, proximity))
+        segments = cut(index(docs, items))
+        items.by_rarity(frequencies(segments, len(items.terms)))
+        parts.append(_scan(segments, items, proximity))
     if not parts:
         parts.append(_scan(index(docs, empty := Items([], window)), _ordered(empty), proximity))
     return parts[0] if len(parts) == 1 else union_of(parts)
@@ -240,26 +320,32 @@ def _ordered(items: Items) -> Items:
 def union_of(parts: list[DataFrame]) -> DataFrame:
     """One row for each document from the rows of several passes. Rows that repeat an id and a text come back as often."""
 
+    def merged(starts: pa.Array, ends: pa.Array) -> list[pa.Array]:
+        rows = [merge(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
+        return [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(2)]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                rows.append(merge(np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(2)), *batch.columns[4:6]], ["doc_id", "n_words", "starts", "ends", "items", "mark"])
+            column = batch.column
+            yield pa.RecordBatch.from_arrays([column(0), column(1), *merged(column(2), column(3)), column(4), *merged(column(5), column(6)), column(7), column(8)], _ROW)
 
     both = reduce(DataFrame.unionByName, parts)
-    gathered = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")]
-    grouped = both.groupBy("doc_id", "n_words", "mark").agg(*gathered, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("n"))
+    gathered = [F.flatten(F.collect_list(c)).alias(c) for c in _MATCHES if not c.endswith("items")]
+    gathered += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _MATCHES if c.endswith("items")]
+    grouped = both.groupBy("doc_id", "n_words", "mark").agg(*gathered, F.count(F.lit(1)).alias("n"))
     again = grouped.withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
-    kind = dict(both.dtypes)["doc_id"]
-    return again.select("doc_id", "n_words", "starts", "ends", "items", "mark").mapInArrow(each, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<long>, mark long")
+    return again.select(*_ROW).mapInArrow(each, _schema(dict(both.dtypes)["doc_id"]))
 
 
-def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    found = find(docs, bench)
+def digest(docs: DataFrame, bench: DataFrame, proximity: int = PROXIMITY) -> DataFrame:
+    """The contract's columns and n_near, the items of which a window lies within its length and ``proximity`` words."""
+    found = _found(docs, bench, WINDOW, proximity, BLOCK_WORDS)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:

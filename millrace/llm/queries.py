@@ -112,11 +112,27 @@ windows AS (
 grams AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lengths WHERE len(w) >= n)
 ), found AS (SELECT g.doc_id, g.i, g.n, b.item_id FROM grams g JOIN windows b USING (n, win)),
+spots AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM dw),
+often AS (SELECT term, count(*) AS f FROM spots GROUP BY term),
+bag AS (SELECT item_id, n, string_split(win, ' ') AS win FROM windows),
+rarest AS (
+  SELECT item_id, n, win, arg_min(term, (coalesce(f, 0), term)) AS term FROM (SELECT *, unnest(win) AS term FROM bag) LEFT JOIN often USING (term) GROUP BY item_id, n, win
+),
+around AS (
+  SELECT doc_id, item_id, n + 2 AS wide, win, w[greatest(1, p - n - 1) : p + n + 1] AS part FROM rarest JOIN spots USING (term) JOIN dw USING (doc_id)
+),
+close AS (
+  SELECT doc_id, item_id, win, part[b : b + wide - 1] AS part FROM (SELECT *, unnest(range(1, len(part) + 1)) AS b FROM around WHERE list_has_all(part, win))
+),
+nearby AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close
+  WHERE list_has_all(part, win) AND len(list_filter(win, lambda t: len(list_filter(part, lambda x: x = t)) < len(list_filter(win, lambda x: x = t)))) = 0 GROUP BY doc_id
+),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 told AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM found GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id)
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination)}

@@ -91,3 +91,40 @@ def test_items_without_an_id_count(spark, block_words):
     assert got == {0: (3, []), 1: (6, [1]), 2: (0, [])}
     assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.digest(docs(spark, texts), bench).collect()} == {0: (3, 0, True), 1: (6, 1, True), 2: (0, 0, False)}
     assert [r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()] == [2]
+
+
+def slow_near(text, items, window, slop):
+    words, hit, found = split(text), set(), set()
+    for item, t in items:
+        ids = split(t)
+        for i in range(max(1, len(ids) - window + 1)) if ids else ():
+            w = ids[i : i + window]
+            for s in range(len(words)):
+                part = words[s : s + len(w) + slop]
+                if words[s] in w and all(part.count(x) >= w.count(x) for x in w):
+                    hit |= set(range(s, s + len(part)))
+                    found.add(item)
+    return hit, sorted(found)
+
+
+@pytest.mark.parametrize("block_words, postings", [(20, 1 << 19), (10**6, 1), (10**6, 1 << 19)])
+def test_near_like_a_search(spark, monkeypatch, block_words, postings):
+    monkeypatch.setattr(decontam, "POSTINGS", postings)
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 7]))) for i in range(10)]
+    texts = [text(rng.choice([0, 2, 5, 30])) for _ in range(40)] + [None, items[3][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.find(docs(spark, texts), bench, window=4, proximity=1, block_words=block_words).collect()}
+    for i, t in enumerate(texts):
+        hit, found = slow_near(t, items, 4, 1)
+        assert {k for a, b in zip(got[i].starts, got[i].ends, strict=True) for k in range(a, b)} == hit
+        assert sorted(got[i]["items"]) == found
+    assert any(slow_near(t, items, 4, 1)[1] != slow(t, items, 4)[2] for t in texts)
+
+
+def test_query_tells_near_items(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (None, "u v w")], "item_id long, text string")
+    texts = ["a b c x d e f g h j i y", "a b c x x x d e f g h i j", "v w u"]
+    got = {r.doc_id: (r.n_items, r.n_near, r.contaminated) for r in decontam.digest(docs(spark, texts), bench).collect()}
+    assert got == {0: (0, 1, False), 1: (0, 0, False), 2: (0, 0, False)}
