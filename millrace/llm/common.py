@@ -134,9 +134,17 @@ def crowded(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:
     one is dealt into blocks by a hash of the member, and every two blocks meet in one group, so that each
     pair of a bucket shares a group while no group exceeds about two blocks. Adds the group's blocks ``_a`` and
     ``_b`` and the member's own block ``_own``.
+
+    The members of larger buckets are dealt where they are, by a broadcast of the ``BROADCAST_ROWS`` largest ones; only
+    the others meet their bucket's size in a shuffle, and none of these holds more than one row in that many.
     """
-    sizes = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = keyed.join(sizes, key)
+    sizes = cut(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    large = cut(sizes.where(F.col("_n") > block).orderBy(F.desc("_n"), key).limit(BROADCAST_ROWS))
+    if large.isEmpty():
+        many = keyed.join(sizes, key)
+    else:
+        rest = keyed.join(F.broadcast(large.select(key)), key, "left_anti").join(sizes, key)
+        many = rest.unionByName(keyed.join(F.broadcast(large), key))
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     return (
@@ -178,6 +186,24 @@ def spanning(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> lis
     return edges
 
 
+#: A node with more than one link in so many, and ``FEW`` at least, is dealt to as many tasks as there are salts.
+HOT, FEW, SALTS = 1_000, 200, 64
+
+
+def with_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+    """``links`` (u, v) with the columns of ``least`` (u, m, n), one row for each u, n of its links.
+
+    The links of a node with many are salted, so that they meet its row in many tasks. The links' ends are some
+    2 * ``n_links``, so at most 2 * ``HOT`` nodes are broadcast.
+    """
+    hot = F.col("n") > max(n_links // HOT, FEW)
+    many = F.broadcast(least.where(hot).select("u", F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = links.join(many, "u", "left").select("u", "v", salt.alias("_salt"))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(least.select("u", "m", F.explode(salts).alias("_salt")), ["u", "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b).
 
@@ -193,8 +219,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both, least, state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least, state[0])
         now = cut(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct())

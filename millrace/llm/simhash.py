@@ -188,7 +188,8 @@ def links(prints: DataFrame, tau: int, m: int, masked: bool = True, block: int =
         found = spanning(len(ids), near)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"]) if found else None
 
-    buckets = crowded(prints.mapInArrow(emit, "key long, id long"), "key", "id", block)
+    spread = prints.repartition(partitions(prints.sparkSession), "id")  # each row becomes many
+    buckets = crowded(spread.mapInArrow(emit, "key long, id long"), "key", "id", block)
     return per_group(buckets.join(prints, "id").select("key", "_a", "_b", "id", "fp"), ["key", "_a", "_b"], work, "a long, b long")
 
 
