@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, embed_dedup, langid, packing, pii, secrets, simhash, suffix_dedup, toxicity, warc
+from millrace.llm import decontam, embed_dedup, langid, packing, pii, secrets, simhash, suffix_dedup, toxicity, voronoi, warc
 from millrace.llm.common import prepare, read
 
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(read(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 _OP5 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
@@ -135,5 +139,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination)}
-ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10}
+_OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination, op13_exact_search)}
+ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10, "op13_exact_search": _OP13}
