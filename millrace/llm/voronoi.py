@@ -1,6 +1,7 @@
 """Exact top-k search by inner product as a kNN join over a Voronoi partition.
 
-Scores become distances by one more coordinate (``integers.Lifted``). Every row belongs to the cell of its nearest pivot, and
+Scores become distances by one more coordinate (``integers.Lifted``). Every row belongs to the cell of its nearest pivot, as a
+query to that of the nearest pivot lifted as queries are, and
 two small summaries hold what bounds need: for each cell of queries their number and largest distance to the pivot, for each
 cell of data its number of rows, smallest and largest distance and the distances of the k + 1 rows nearest to the pivot. From
 these follows, for each cell of queries, a distance within which k other rows are sure to lie. Cells of queries that are near
@@ -40,7 +41,7 @@ QUERIES, SLICE, LONG_SLICE, CHUNK = 1024, 8192, 1 << 20, 2048
 _KEY = ["part", "split", "slice"]
 
 
-def groups_of(between: np.ndarray, sizes: dict[int, int], most: int = QUERIES) -> list[list[int]]:
+def groups_of(between: np.ndarray, sizes: dict[int, int], most: int) -> list[list[int]]:
     """Cells of queries in groups of about ``most`` queries, each grown from a cell by the nearest ones left."""
     left, out = sorted(sizes), []
     while left:
@@ -77,15 +78,15 @@ class Best:
         self.least[full] = self.score[np.searchsorted(self.query, full, side="right") - 1]
 
 
-def assigned(rows: DataFrame, pivots: np.ndarray, lifted: Lifted) -> DataFrame:
-    """``rows`` (id, is_query, v) with the nearest pivot and its distance, as data and as query, and a number of the row."""
+def assigned(rows: DataFrame, pivots: list[np.ndarray], lifted: Lifted) -> DataFrame:
+    """``rows`` (id, is_query, v) with the nearest of the ``pivots`` for data and for queries, its distance, and a number of the row."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, own = matrix(batch.column(2), lifted.dim), []
-            for lift in (lifted.data, lifted.query):
-                far = distances(lift(v), shared.value)
+            for lift, centres in zip((lifted.data, lifted.query), shared.value, strict=True):
+                far = distances(lift(v), centres)
                 cell = far.argmin(axis=1)
                 own += [pa.array(cell, pa.int32()), pa.array(far[np.arange(len(v)), cell])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], ["id", "is_query", "v", "cell", "d", "q_cell", "q_d"])
@@ -94,9 +95,9 @@ def assigned(rows: DataFrame, pivots: np.ndarray, lifted: Lifted) -> DataFrame:
     return cut(rows.mapInArrow(each, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def plan(spots: DataFrame, pivots: np.ndarray, k: int, slack: float) -> tuple[list[tuple], list[tuple]]:
+def plan(spots: DataFrame, pivots: list[np.ndarray], k: int, slack: float) -> tuple[list[tuple], list[tuple]]:
     """(part, cell, low, high, reach, splits, slices) for data and (cell, part, splits, slices) for queries, from the summaries."""
-    between = distances(pivots, pivots)
+    between = distances(pivots[1], pivots[0])
     nearest = Window.partitionBy("cell").orderBy("d", "row")
     summary = spots.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
     close = spots.select("cell", "d", "row").withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k + 1).select("cell", "d").collect()
@@ -112,7 +113,7 @@ def plan(spots: DataFrame, pivots: np.ndarray, k: int, slack: float) -> tuple[li
     reach = {i: sure(i) for i in asking}
     workers = partitions(spots.sparkSession)
     data, queries = [], []
-    for part, own in enumerate(groups_of(between, {i: r.n for i, r in asking.items()})):
+    for part, own in enumerate(groups_of(distances(pivots[1], pivots[1]), {i: r.n for i, r in asking.items()}, QUERIES)):
         needed, n = [], 0
         for s in summary:
             low, high = min(between[i, s.cell] - far[i] for i in own), max(between[i, s.cell] + far[i] for i in own)
@@ -200,7 +201,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     lifted = Lifted(told.most or 0.0, told.dim or 0)
     n_pivots = max(1, min(PIVOTS, math.isqrt(told.n), PIVOT_BYTES // (8 * (lifted.dim + 1))))
     drawn = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots).toArrow()["v"] if told.n else pa.array([[]], pa.list_(pa.float64()))
-    pivots = lifted.data(matrix(drawn, lifted.dim))
+    pivots = [lift(matrix(drawn, lifted.dim)) for lift in (lifted.data, lifted.query)]
     spots = assigned(rows, pivots, lifted)
     data, queries = plan(spots, pivots, k, lifted.slack)
     needs = session.createDataFrame(data, "part int, cell int, low double, high double, reach double, splits int, slices int")

@@ -48,7 +48,8 @@ def test_far_cells_are_not_replicated(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     v = df.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100 == 0).alias("is_query"), integers.whole("embedding", 1024).alias("v"))
     lifted = integers.Lifted(v.agg(F.max(integers.norm2("v"))).first()[0], 12)
-    pivots = lifted.data(np.array([r.v for r in v.limit(24).collect()]))
+    drawn = np.array([r.v for r in v.limit(24).collect()])
+    pivots = [lifted.data(drawn), lifted.query(drawn)]
     spots = voronoi.assigned(v, pivots, lifted)
     data, queries = voronoi.plan(spots, pivots, 10, lifted.slack)
     assert {q[0] for q in queries} == {r.q_cell for r in spots.where("is_query").select("q_cell").distinct().collect()}
