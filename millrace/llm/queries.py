@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, embed_dedup, langid, packing, pii, secrets, simhash, suffix_dedup, toxicity, voronoi, warc
+from millrace.llm import decontam, embed_dedup, langid, lexical, packing, pii, secrets, simhash, suffix_dedup, toxicity, voronoi, warc
 from millrace.llm.common import prepare, read
 
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(read(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -139,6 +143,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark
+), whole AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+held AS (
+  SELECT r, doc_id, length, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS length, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole
+), gains AS (
+  SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * length * n) // total))) AS gain FROM held JOIN weights USING (term), whole
+), scored AS (SELECT q, item_id, r, doc_id, sum(times * gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 _OP13 = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
@@ -149,5 +171,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination, op13_exact_search)}
-ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10, "op13_exact_search": _OP13}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination, op12_lexical_search, op13_exact_search)}
+ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10, "op12_lexical_search": _OP12, "op13_exact_search": _OP13}

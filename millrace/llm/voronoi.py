@@ -133,6 +133,7 @@ def solve(dealt: DataFrame, k: int, lifted: Lifted) -> DataFrame:
 
     A partition is sorted by these keys with the queries of each before its data and the data in order of their bound.
     """
+    size = CHUNK
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, waiting = None, [], []
@@ -185,7 +186,7 @@ def solve(dealt: DataFrame, k: int, lifted: Lifted) -> DataFrame:
                     yield from told()
                     key, held, waiting, best = now, [], [], None
                 (waiting if columns[3][a] else held).append(batch.slice(a, b - a))
-                if sum(map(len, waiting)) >= CHUNK:
+                if sum(map(len, waiting)) >= size:
                     search()
         yield from told()
 
