@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, embed_dedup, langid, lexical, packing, pii, secrets, simhash, suffix_dedup, toxicity, voronoi, warc
+from millrace.llm import decontam, embed_dedup, langid, lexical, negatives, packing, pii, secrets, simhash, suffix_dedup, toxicity, voronoi, warc
 from millrace.llm.common import prepare, read
 
 
@@ -61,6 +61,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -143,6 +148,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, c.r AS other, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0
+), positives AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS place FROM scored WHERE same),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.place ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score WHERE p.place <= 5
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 _OP12 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
@@ -171,5 +190,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination, op12_lexical_search, op13_exact_search)}
-ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10, "op12_lexical_search": _OP12, "op13_exact_search": _OP13}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_embedding_dedup, op6_packing, op7_secrets, op8_suffix_dedup, op9_warc_revisits, op10_decontamination, op11_hard_negatives, op12_lexical_search, op13_exact_search)}
+ORACLE_SQL = {"op5_embedding_dedup": _OP5, "op9_warc_revisits": _OP9, "op10_decontamination": _OP10, "op11_hard_negatives": _OP11, "op12_lexical_search": _OP12, "op13_exact_search": _OP13}
