@@ -58,8 +58,8 @@ def best_pair(counts: DataFrame) -> DataFrame:
 
 
 def inverted_index(words: DataFrame) -> DataFrame:
-    """(left, right, words): ids of the words that hold each pair, from (word_id, ids)."""
-    return words.select("word_id", F.explode(adjacent("ids")).alias("p")).groupBy("p.left", "p.right").agg(F.array_sort(F.collect_set("word_id")).alias("words"))
+    """(left, right, word_id): a row for each pair and word that holds it, from (word_id, ids); a frequent pair is many rows."""
+    return words.select("word_id", F.explode(F.array_distinct(adjacent("ids"))).alias("p")).select("p.left", "p.right", "word_id")
 
 
 def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "id", first_id: int = 256) -> list[tuple[int, int, int]]:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.store import passing
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; in local mode a temporary one will do."""
+    """A new path in the folder that all executors share, gone when the driver ends; in local mode a temporary one will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    return f"{passing(spark, f'{root or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}')}/{name}"
 
 
 def spread(scan: DataFrame) -> DataFrame:

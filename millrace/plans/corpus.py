@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import bpe, instruct, sequence
+from millrace.operators import bpe, instruct, merges, sequence
 from millrace.plans.book import Book, scratch, spread, table
 
 QUERIES = Book()
@@ -97,7 +97,9 @@ def _trained(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
 
 @QUERIES.add(f'WITH RECURSIVE {_TRAINED} SELECT rank::INTEGER AS rank, l AS "left", r AS "right", n FROM merges')
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(_trained(spark, sf_dir))], "rank int, left int, right int, n long")
+    """Trained in rounds over tables; the queries below train on the driver, whose words they need there for encoding."""
+    found = merges.train(spread(_documents(spark, sf_dir).select("text")), VOCABULARY, scratch(spark, "merges"), [T.END], MIN_FREQ)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "rank int, left int, right int, n long")
 
 
 @QUERIES.add(f"""WITH RECURSIVE {_TRAINED}, tokens AS (SELECT 0 AS k, list_transform(range(256), lambda i: lower(lpad(printf('%x', i), 2, '0'))) AS t
@@ -105,14 +107,23 @@ def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 whole AS (SELECT list_append(t, '{T.END.encode().hex()}') AS t FROM tokens ORDER BY k DESC LIMIT 1)
 SELECT (i - 1)::INTEGER AS token_id, t[i] AS token FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM whole)""")
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges = _trained(spark, sf_dir)
-    return spark.createDataFrame([(i, t.hex()) for i, t in enumerate(bpe.vocabulary(merges, [T.END]))], "token_id int, token string")
+    trained = _trained(spark, sf_dir)
+    return spark.createDataFrame([(i, t.hex()) for i, t in enumerate(bpe.vocabulary(trained, [T.END]))], "token_id int, token string")
+
+
+@QUERIES.add(f"""WITH {_COUNTS}, w AS (SELECT pretoken, string_split(rtrim(replace({_TAGGED.format('pretoken')}, '>', '>,'), ','), ',') AS t FROM counts WHERE freq >= {MIN_FREQ})
+SELECT DISTINCT replace(replace(t[i], '<', ''), '>', '')::INTEGER AS "left", replace(replace(t[i + 1], '<', ''), '>', '')::INTEGER AS "right", pretoken FROM (SELECT pretoken, t, unnest(range(1, len(t))) AS i FROM w)""")
+def pair_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent pre-tokens that hold each pair of bytes."""
+    words = bpe.frequent(bpe.pretoken_counts(spread(_documents(spark, sf_dir).select("text"))), MIN_FREQ)
+    found = bpe.inverted_index(words.select(F.col("pretoken").alias("word_id"), T.utf8_bytes(F.col("pretoken")).alias("ids")))
+    return found.withColumnRenamed("word_id", "pretoken")
 
 
 def _encoder(spark: SparkSession, sf_dir: str) -> tuple[bpe.Encoder, list[bytes]]:
-    merges = _trained(spark, sf_dir)
-    tokens = bpe.vocabulary(merges, [T.END])
-    return bpe.Encoder(tokens, merges, [T.END]), tokens
+    trained = _trained(spark, sf_dir)
+    tokens = bpe.vocabulary(trained, [T.END])
+    return bpe.Encoder(tokens, trained, [T.END]), tokens
 
 
 #: A text and the end token: merges in the order of their ranks, each over whole pieces, and the end token's own id.

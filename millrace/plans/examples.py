@@ -118,12 +118,6 @@ def merges_in_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.known_merges(merges, shards.vocabulary_table(spark, tokens))
 
 
-@QUERIES.add("SELECT * FROM (VALUES (97, 97, '0'), (97, 98, '0,1'), (98, 99, '1')) t(\"left\", \"right\", words)")
-def pair_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(0, [97, 97, 98]), (1, [97, 98, 99])], "word_id int, ids array<int>")
-    return bpe.inverted_index(words).select("left", "right", F.array_join(F.transform("words", lambda w: w.cast("string")), ",").alias("words"))
-
-
 @QUERIES.add("SELECT * FROM (VALUES (0, 'I don''t<0>', 3), (1, '<|a|>x<|b|>', 3)) t(id, joined, n)")
 def specials_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Special tokens stay whole; the pieces around them are cut on their own."""

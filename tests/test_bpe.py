@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import END
-from millrace.operators import bpe
+from millrace.operators import bpe, merges
 
 
 def words(counts):
@@ -93,3 +93,37 @@ def test_byte_ids(spark):
     texts = ["aé", "", None, "x" * 1000]
     got = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select(bpe.byte_ids(F.col("s"))).collect()
     assert [r[0] for r in got] == [None if t is None else list(t.encode()) for t in texts]
+
+
+def test_words_of_each_pair(spark):
+    found = bpe.inverted_index(spark.createDataFrame([(0, [97, 97, 98]), (1, [97, 98, 99, 97, 98]), (2, [97]), (3, [])], "word_id int, ids array<int>"))
+    assert sorted(map(tuple, found.collect())) == [(97, 97, 0), (97, 98, 0), (97, 98, 1), (98, 99, 1), (99, 97, 1)]
+
+
+def test_pairs_that_may_be_merged_at_once():
+    take = lambda *ranked, whole=True: merges.independent(ranked, whole)
+    assert take((1, 2, 9), (1, 3, 8), (4, 2, 7)) == [(1, 2, 9), (1, 3, 8), (4, 2, 7)]
+    assert take((1, 2, 9), (4, 5, 8), (2, 6, 7), (7, 8, 6)) == [(1, 2, 9), (4, 5, 8)]
+    assert take((1, 2, 9), (4, 5, 7), (2, 6, 7)) == [(1, 2, 9)]
+    assert take((1, 1, 9), (4, 5, 8)) == [(1, 1, 9)]
+    assert take((4, 5, 9), (1, 1, 8), (6, 7, 7)) == [(4, 5, 9)]
+    assert take((4, 5, 9), (6, 7, 9), whole=False) == [(4, 5, 9)]
+
+
+def test_many_merges_at_once():
+    import numpy as np
+
+    words_ = [[1, 1, 1, 1, 1], [2, 3, 2], [], [3, 2, 3], [1], [1, 1], [5, 2, 3, 4]]
+    flat, ends, changed = merges.merge_many(np.array(sum(words_, []), dtype=np.int32), np.cumsum([len(w) for w in words_]), {(1, 1): 90, (2, 3): 80})
+    got = [flat[a:b].tolist() for a, b in zip([0, *ends], ends)]
+    assert got == [[90, 90, 1], [80, 2], [], [3, 80], [1], [90], [5, 80, 4]] and changed.tolist() == [True, True, False, True, False, True, True]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_find_the_merges_of_one_at_a_time(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    counts = Counter("".join(rng.choice("aabcdé") for _ in range(rng.randint(1, 9))) for _ in range(60))
+    table = bpe.as_words(spark.createDataFrame(list(counts.items()), "pretoken string, freq long"))
+    want = slow_merges(counts, 25, "id")
+    assert merges.train_rounds(table, 25, f"{tmp_path}/a") == want
+    assert merges.train_rounds(table.limit(0), 5, f"{tmp_path}/b") == []
