@@ -12,7 +12,7 @@ Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is broa
 a pass over all documents.
 
 Defined cases: a null text has no words; an item without words has no window; an item of fewer words than the
-window is one window; equal items match each on their own; an item without an id counts for hits and is not listed; repeated document rows give a row each; empty tables
+window is one window; equal items match each on their own; ids of items and documents may be of any type, and a null document id stays null; an item without an id counts for hits and is not listed; repeated document rows give a row each; empty tables
 give empty results, and without items nothing is contaminated.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from millrace.llm.common import cut, prepare, without
@@ -83,14 +84,16 @@ class Segment:
 class Items:
     """The windows of a block of test items and the terms in them."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, kind: pa.DataType | None = None):
+        """``kind`` is the type of the items' ids, 64-bit numbers if it is left out."""
         self.terms: dict[bytes, int] = {}
         self.window = window
-        lists = []
+        lists, numbers = [], {}
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             lists += [(item, ids[i : i + window]) for i in range(max(1, len(ids) - window + 1)) if ids]
-        self.item = np.array([0 if i is None else i for i, _ in lists], dtype=np.int64)
+        self.item = np.array([-1 if i is None else numbers.setdefault(i, len(numbers)) for i, _ in lists], dtype=np.int64)
+        self.names = pa.array(list(numbers), kind or pa.int64())
         self.named = np.array([i is not None for i, _ in lists], dtype=bool)
         self.length = np.array([len(ids) for _, ids in lists], dtype=np.int64)
         self.ids = np.full((len(lists), window), -1, dtype=np.int32)
@@ -223,7 +226,7 @@ def frequencies(segments: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str | None]]]:
+def blocks(bench: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
     """Items in order of their ids, as many at a time as hold ``most`` words together (one at least)."""
     block, size = [], 0
     for item, text in bench.select("item_id", "text").orderBy("item_id").toLocalIterator():
@@ -241,11 +244,12 @@ _MATCHES = ("starts", "ends", "items", "near_starts", "near_ends", "near_items")
 _ROW = ["doc_id", "n_words", *_MATCHES, "mark"]
 
 
-def _schema(kind: str) -> str:
-    return f"doc_id {kind}, n_words long, {', '.join(f'{c} array<long>' for c in _MATCHES)}, mark long"
+def _schema(kind: str, items: str) -> str:
+    """Of rows as ``_ROW``: ``kind`` is the type of document ids, ``items`` that of lists of items."""
+    return f"doc_id {kind}, n_words long, {', '.join(f'{c} {items}' if c.endswith('items') else f'{c} array<long>' for c in _MATCHES)}, mark long"
 
 
-def _scan(segments: DataFrame, items: Items, proximity: int | None) -> DataFrame:
+def _scan(segments: DataFrame, items: Items, proximity: int | None, listed: str) -> DataFrame:
     """(doc_id, n_words, starts, ends, items, near_starts, near_ends, near_items, mark) of every document: the stretches of words
     that exact and, with ``proximity``, near matches cover, and the items found."""
     shared = segments.sparkSession.sparkContext.broadcast(items)
@@ -258,7 +262,8 @@ def _scan(segments: DataFrame, items: Items, proximity: int | None) -> DataFrame
         begin, end = merge(begin, end)
         doc = segment.doc_of(begin)
         lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int64()))
-        return [lists(doc, begin - segment.base[doc]), lists(doc, end - segment.base[doc]), lists(*pairs)]
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(n + 1)), pa.int32()), items.names.take(pa.array(pairs[1])))
+        return [lists(doc, begin - segment.base[doc]), lists(doc, end - segment.base[doc]), found]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -270,7 +275,7 @@ def _scan(segments: DataFrame, items: Items, proximity: int | None) -> DataFrame
                 near = told(segment, [] if proximity is None else list(items.near(segment, proximity)))
                 yield pa.RecordBatch.from_arrays([ids, sizes, *exact, *near, marks], _ROW)
 
-    return segments.mapInArrow(each, _schema(dict(segments.dtypes)["doc_ids"][len("array<") : -1]))
+    return segments.mapInArrow(each, _schema(dict(segments.dtypes)["doc_ids"][len("array<") : -1], listed))
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,14 +306,14 @@ def _mark(text: Column) -> Column:
 
 def _found(docs: DataFrame, bench: DataFrame, window: int, proximity: int | None, block_words: int) -> DataFrame:
     prepare(docs.sparkSession)
-    parts = []
+    parts, kind, listed = [], to_arrow_type(bench.schema["item_id"].dataType), f"array<{dict(bench.dtypes)['item_id']}>"
     for block in blocks(bench, block_words):
-        items = Items(block, window)
+        items = Items(block, window, kind)
         segments = cut(index(docs, items))
         items.by_rarity(frequencies(segments, len(items.terms)))
-        parts.append(_scan(segments, items, proximity))
+        parts.append(_scan(segments, items, proximity, listed))
     if not parts:
-        parts.append(_scan(index(docs, empty := Items([], window)), _ordered(empty), proximity))
+        parts.append(_scan(index(docs, empty := Items([], window, kind)), _ordered(empty), proximity, listed))
     return parts[0] if len(parts) == 1 else union_of(parts)
 
 
@@ -334,7 +339,7 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
     gathered += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _MATCHES if c.endswith("items")]
     grouped = both.groupBy("doc_id", "n_words", "mark").agg(*gathered, F.count(F.lit(1)).alias("n"))
     again = grouped.withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
-    return again.select(*_ROW).mapInArrow(each, _schema(dict(both.dtypes)["doc_id"]))
+    return again.select(*_ROW).mapInArrow(each, _schema(dict(both.dtypes)["doc_id"], dict(both.dtypes)["items"]))
 
 
 def digest(docs: DataFrame, bench: DataFrame, proximity: int = PROXIMITY) -> DataFrame:

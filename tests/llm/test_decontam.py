@@ -128,3 +128,15 @@ def test_query_tells_near_items(spark):
     texts = ["a b c x d e f g h j i y", "a b c x x x d e f g h i j", "v w u"]
     got = {r.doc_id: (r.n_items, r.n_near, r.contaminated) for r in decontam.digest(docs(spark, texts), bench).collect()}
     assert got == {0: (0, 1, False), 1: (0, 0, False), 2: (0, 0, False)}
+
+
+def test_items_with_ids_of_any_type(spark):
+    words = " ".join(f"w{i}" for i in range(14))
+    df = docs(spark, [f"see {words} here", "nothing here", None])
+    for kind, ids in (("string", ["x1", "y", None]), ("int", [7, 3, None]), ("date", [__import__("datetime").date(2020, 1, 1), __import__("datetime").date(2019, 1, 1), None])):
+        bench = spark.createDataFrame([(ids[0], words), (ids[1], words), (ids[0], words[3:]), (ids[2], words)], f"item_id {kind}, text string")
+        for block_words in (2_000_000, 20):
+            found = {r.doc_id: r for r in decontam.find(df, bench, block_words=block_words).collect()}
+            assert sorted(map(str, found[0]["items"])) == sorted(map(str, ids[:2])) and found[1]["items"] == [] and found[2]["items"] == []
+        told = {r.doc_id: r for r in decontam.digest(df, bench).collect()}
+        assert (told[0].n_items, told[0].n_hit, told[0].contaminated) == (2, 14, True) and told[1].n_items == 0
