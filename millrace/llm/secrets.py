@@ -7,16 +7,17 @@ chi-squared of the symbol counts, the number of runs above and below the middle
 serial correlation. Their squares add to d, which is about chi-squared with 3 degrees of freedom for a random token
 and large for text.
 
-False-discovery control is by length class (powers of two). Two null samples tell how often ordinary tokens have a
-d as small as a candidate's: a reference of joined ordinary words, cut to the lengths of the class, which exists
-whatever the corpus holds; and the corpus's own tokens of letters only, in one case or capitalised, if there are
-any. The larger of the two shares is the p-value, and the Benjamini-Hochberg rule picks the class's cutoff, at d of
-16.27 (99.9 % of random tokens) at most. The reference grows with the candidates for each that could pass, up to
+False-discovery control is by length class (powers of two) and over what can be reported alone: a candidate that a rule's
+span covers is left out before anything is counted. Three null samples tell how often ordinary tokens have a d as small as a
+candidate's: references of joined ordinary words without and with numbers among them, cut to the lengths of the class, which
+exist whatever the corpus holds; and the corpus's own tokens of letters only, in one case or capitalised, if there are
+any. The largest of the shares is the p-value, and the Benjamini-Hochberg rule picks the class's cutoff, at d of
+16.27 (99.9 % of random tokens) at most. Each reference grows with the candidates for each that could pass, up to
 ``MOST_NULLS`` a class; a class where fewer than one candidate in 5,000 could pass adds nothing. Classes from 256
 characters on share the reference of 128 to 255, whose d is smaller. d is taken in steps of 1/4, rounded up, so that
 counts by class and step, a few thousand at most, are all that is gathered.
 
-Defined cases: a null text is empty; rules may overlap; a random token inside a span of a rule is not listed again;
+Defined cases: a null text is empty; very long texts and tokens are taken whole; a null id stays null; rules may overlap; a random token inside a span of a rule is not listed again;
 empty tables give empty results. Offsets are code points,
 end exclusive.
 """
@@ -36,6 +37,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: A candidate, or (group 1 not empty) an assignment, which covers those inside it; candidates that another rule covers whole.
+UNCOVERED = rf"{ASSIGN}|{CANDIDATE}"
+COVERED = "^([0-9a-f]{32,}|AKIA[A-Z0-9]{12,})$"
 FALSE_RATE, MOST_D, STEP, LAST_STEP = 0.05, 16.27, 4, 4000
 #: Tokens of a class's reference, and the longest class that has one of its own.
 LEAST_NULLS, MOST_NULLS, LONGEST_CLASS = 4_000, 100_000, 7
@@ -60,8 +64,8 @@ ALPHABETS = {
 }
 
 
-def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
-    """array of (start, end, match) of the leftmost non-overlapping matches whose ``group`` has ``least`` characters.
+def located(text: Column, pattern: str, least: int = 0, group: int = 0, most: int | None = None) -> Column:
+    """array of (start, end, match) of the leftmost non-overlapping matches whose ``group`` has ``least`` to ``most`` characters.
 
     A match starts after the lengths of the pieces between matches and of the matches before it.
     """
@@ -77,7 +81,8 @@ def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Colum
         """Found spans gather in chunks, so that appending does not copy all of them each time."""
         begin = acc["at"] + row["gaps"]["gap"]
         end = begin + row["gaps"]["size"]
-        grown = F.when(F.length(row["grouped"]) >= least, F.concat(acc["open"], F.array(F.struct(begin.alias("start"), end.alias("end"), row["matches"].alias("token"))))).otherwise(acc["open"])
+        fit = F.length(row["grouped"]) >= least if most is None else F.length(row["grouped"]).between(least, most)
+        grown = F.when(fit, F.concat(acc["open"], F.array(F.struct(begin.alias("start"), end.alias("end"), row["matches"].alias("token"))))).otherwise(acc["open"])
         full = F.size(acc["open"]) >= CHUNK
         return F.struct(end.alias("at"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"), F.when(full, F.array().cast(spans)).otherwise(grown).alias("open")).cast(state)
 
@@ -126,9 +131,9 @@ def deviation(a: Column, values: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, assign, access, hex, tokens): spans of the rules and the candidates with their tested values."""
+    """(doc_id, assign, access, hex, tokens): spans of the rules and the candidates that they leave, with their tested values."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", located(text, ASSIGN, 8, 1).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), located(text, CANDIDATE).alias("tokens"))
+    found = docs.select("doc_id", located(text, ASSIGN, 8, 1).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), F.filter(located(text, UNCOVERED, 0, 1, 0), lambda t: ~t["token"].rlike(COVERED)).alias("tokens"))
 
     def summed_up(t: Column) -> Column:
         word = t["token"].rlike("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+)$")
@@ -138,12 +143,17 @@ def scanned(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(slim, BASE), F.transform("tokens", summed_up).alias("tokens"))
 
 
-def reference(spark: SparkSession, kind: int, n: int) -> DataFrame:
-    """(token): n tokens of words joined bare, by -, _ or /, or in camel case, of all lengths of the class ``kind``."""
+def reference(spark: SparkSession, kind: int, n: int, numbers: bool) -> DataFrame:
+    """(token): n tokens of words joined bare, by -, _ or /, or in camel case, of all lengths of the class ``kind``.
+
+    With ``numbers`` one word in ten is followed by a number of one to four digits.
+    """
     least, most = max(20, 1 << kind), (2 << kind) - 1
-    drawn = lambda i, size: F.pmod(F.xxhash64("id", F.lit(kind), i), F.lit(size)).cast("int")
+    drawn = lambda i, size, salt=0: F.pmod(F.xxhash64("id", F.lit(kind), i, F.lit(salt)), F.lit(size)).cast("int")
     vocabulary, style = F.array(*map(F.lit, WORDS)), F.pmod("id", F.lit(5))
-    words = F.transform(F.sequence(F.lit(1), F.lit(most // 2 + 1)), lambda i: F.get(vocabulary, drawn(i, len(WORDS))))
+    number = lambda i: F.when(drawn(i, 10, 1) == 0, F.substring(drawn(i, 10_000, 2).cast("string"), F.lit(1), 1 + drawn(i, 4, 3))).otherwise("")
+    word = lambda i: F.concat(F.get(vocabulary, drawn(i, len(WORDS))), number(i)) if numbers else F.get(vocabulary, drawn(i, len(WORDS)))
+    words = F.transform(F.sequence(F.lit(1), F.lit(most // 2 + 1)), word)
     joined = F.when(style == 0, F.array_join(words, ""))
     for k, mark in enumerate("-_/"):
         joined = joined.when(style == k + 1, F.array_join(words, mark))
@@ -167,14 +177,21 @@ def cutoffs(tokens: DataFrame) -> dict[int, int]:
         needs[kind] = max(most, n), [*classes, r["class"]]
     if not needs:
         return {}
-    made = [reference(tokens.sparkSession, kind, n).select(stepped(F.col("token")).alias("step")).select(F.explode(F.array(*map(F.lit, classes))).alias("class"), "step") for kind, (n, classes) in sorted(needs.items())]
-    made = reduce(DataFrame.union, made).groupBy("class", "step").agg(F.count(F.lit(1)).alias("made"))
-    both = counts.select("*", F.lit(0).cast("long").alias("made")).union(made.select("class", "step", F.lit(0).cast("long"), F.lit(0).cast("long"), "made"))
-    both = both.groupBy("class", "step").agg(*[F.sum(c).alias(c) for c in ("null", "n", "made")])
+    kinds = [(kind, n, classes, numbers) for kind, (n, classes) in sorted(needs.items()) for numbers in (False, True)]
+    made = [
+        reference(tokens.sparkSession, kind, n, numbers).select(stepped(F.col("token")).alias("step")).select(F.explode(F.array(*map(F.lit, classes))).alias("class"), "step", F.lit(numbers).alias("numbers"))
+        for kind, n, classes, numbers in kinds
+    ]
+    made = reduce(DataFrame.union, made).groupBy("class", "step").agg(*[F.count_if(F.col("numbers") == b).alias(c) for b, c in ((False, "words"), (True, "mixed"))])
+    none = F.lit(0).cast("long")
+    both = counts.select("*", none.alias("words"), none.alias("mixed")).union(made.select("class", "step", none, none, "words", "mixed"))
+    samples = ("null", "n", "words", "mixed")
+    both = both.groupBy("class", "step").agg(*[F.sum(c).alias(c) for c in samples])
     upto, whole = Window.partitionBy("class").orderBy("step"), Window.partitionBy("class")
-    told = both.select("class", "step", *[F.sum(c).over(w).alias(f"{c}_{name}") for c in ("null", "n", "made") for name, w in (("upto", upto), ("all", whole))])
-    p = F.greatest((F.lit(1) + F.col("made_upto")) / (F.lit(1) + F.col("made_all")), F.col("null_upto") / F.greatest("null_all", F.lit(1)))
-    passing = told.where((F.col("made_all") > 0) & (F.col("n_upto") > 0) & (F.col("step") <= MOST_D * STEP) & (p <= FALSE_RATE * F.col("n_upto") / F.col("n_all")))
+    told = both.select("class", "step", *[F.sum(c).over(w).alias(f"{c}_{name}") for c in samples for name, w in (("upto", upto), ("all", whole))])
+    share = lambda c: (F.lit(1) + F.col(f"{c}_upto")) / (F.lit(1) + F.col(f"{c}_all"))
+    p = F.greatest(share("words"), share("mixed"), F.col("null_upto") / F.greatest("null_all", F.lit(1)))
+    passing = told.where((F.col("words_all") > 0) & (F.col("n_upto") > 0) & (F.col("step") <= MOST_D * STEP) & (p <= FALSE_RATE * F.col("n_upto") / F.col("n_all")))
     return {r["class"]: r["step"] for r in passing.groupBy("class").agg(F.max("step").alias("step")).collect()}
 
 

@@ -81,6 +81,66 @@ def test_joined_words_are_not_added(spark):
     assert got == {0: "", 1: "", 2: "random:4:44"}
 
 
+def plain_d(token):
+    """The three statistics written out."""
+    text = re.sub("=+$", "", token).translate(str.maketrans("-_=", "+//"))
+    kinds = {"decimal": "[0-9]+", "hex": "[0-9a-f]+", "upper": "[0-9A-F]+", "base32": "[A-Z2-7]+"}
+    alphabet = next((secrets.ALPHABETS[k] for k, p in kinds.items() if re.fullmatch(p, text)), secrets.ALPHABETS["base64"])
+    v, a, n = [alphabet.index(c) for c in text], len(alphabet), len(text)
+    chi = (sum((v.count(x) - n / a) ** 2 / (n / a) for x in range(a)) - (a - 1)) / (2 * (a - 1)) ** 0.5
+    runs = (sum((x >= a / 2) != (y >= a / 2) for x, y in zip(v, v[1:])) - (n - 1) / 2) / ((n - 1) / 4) ** 0.5
+    mean = (a - 1) / 2
+    serial = sum((x - mean) * (y - mean) for x, y in zip(v, v[1:])) / ((a * a - 1) / 12 * (n - 1) ** 0.5)
+    return chi**2 + runs**2 + serial**2
+
+
+def test_battery_like_the_plain_statistics(spark):
+    rng = random.Random(9)
+    tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in secrets.ALPHABETS.values() for n in (20, 33, 64, 300)] + ["the-ordinary_words/that=are", "a" * 40, "0123456789" * 3, "Zz9+/_-=" * 5]
+    got = {r.token: r.d for r in spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secrets.tested(F.col("token")).alias("d")).collect()}
+    assert all(abs(got[t] - plain_d(t)) <= 1e-6 * max(1, plain_d(t)) for t in tokens)
+
+
+def test_cutoffs_like_the_plain_rule(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(5, rng.choice([2, 6, 12, 30, 60, 300]), rng.random() < 0.3) for _ in range(400)] + [(5, rng.randint(1, 40), False) for _ in range(300)] + [(6, 2000, False)]
+    fixed = {(False,): [200, 300, 500, 900] * 1000, (True,): [20, 40, 90, 400] * 1000}
+    tokens = lambda s, kind, n, numbers: s.createDataFrame([(str(x),) for x in fixed[numbers,]], "token string")
+    monkeypatch.setattr(secrets, "reference", tokens)
+    monkeypatch.setattr(secrets, "stepped", lambda token: token.cast("int"))
+    found = [step for kind, step, word in rows if kind == 5 and not word]
+    null = [step for kind, step, word in rows if kind == 5 and word]
+    share = lambda sample, x, one=1: (one + sum(y <= x for y in sample)) / max(one + len(sample), 1)
+    passing = [x for x in set(found + null + fixed[False,] + fixed[True,]) if x <= secrets.MOST_D * secrets.STEP and any(y <= x for y in found)
+               and max(share(fixed[False,], x), share(fixed[True,], x), share(null, x, 0)) <= secrets.FALSE_RATE * sum(y <= x for y in found) / len(found)]
+    assert secrets.cutoffs(spark.createDataFrame(rows, "class int, step int, word boolean")) == ({5: max(passing)} if passing else {})
+
+
+def identifiers(rng, n):
+    part = lambda: rng.choice(secrets.WORDS) + (str(rng.randrange(10 ** rng.randint(1, 4))) if rng.random() < 0.25 else "")
+    styles = [lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "".join(x.capitalize() for x in p), lambda p: "/".join(p), lambda p: "".join(p)]
+    out = []
+    while len(out) < n:
+        token = rng.choice(styles)([part() for _ in range(rng.randint(4, 9))])
+        out += [token] if len(token) >= 20 else []
+    return out
+
+
+def test_base_hits_do_not_let_identifiers_through(spark):
+    rng = random.Random(12)
+    planted = ["".join(rng.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(n)) + "7" for n in (24, 32, 40, 64, 100, 200) for _ in range(25)]
+    names, hits = identifiers(rng, 4000), ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(4000)]
+    names += [f"secret = {h}x" for h in hits[:500]]
+    for more in ([], hits):
+        texts = [f"see {t} now" for t in names + planted] + [f"see {t} now" for t in more]
+        got = [r.spans for r in secrets.digest(docs(spark, texts)).orderBy("doc_id").collect()]
+        added = [i for i, s in enumerate(got) if "random" in s]
+        false = sum(i < len(names) for i in added)
+        assert false <= 0.05 * max(len(added), 1)
+        found = [len(planted[i - len(names)]) for i in added if len(names) <= i < len(names) + len(planted)]
+        assert sum(n > 64 for n in found) >= 45 and sum(n > 32 for n in found) >= 75  # of 50 and 100; shorter ones drown among so many names
+
+
 def test_no_python_in_the_plan(spark):
     plan = secrets.scanned(docs(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
