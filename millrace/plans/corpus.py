@@ -322,3 +322,29 @@ def rounds_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounds_until_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds of sixteen candidates until two in a row bring repeats."""
     return _until(spark, sf_dir, 1_000_000, 16, 2)
+
+
+def _delivered(spark: SparkSession, sf_dir: str, target: int, least: int, patience: int) -> DataFrame:
+    """The rounds as a stream that comes in four deliveries; the loop goes on from its state after each."""
+    from millrace.streaming.rounds import run_rounds
+
+    place = scratch(spark, "rounds")
+    docs = _documents(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("round"), "text")
+    n = docs.agg(F.max("round")).first()[0] + 1
+    for quarter in range(4):
+        docs.where(F.floor(F.col("round") * 4 / n) == quarter).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{place}/in")
+        found = run_rounds(stream, f"{place}/state", "text", "round", "doc_id", target, least, patience)
+    return found.select("doc_id", "round")
+
+
+@QUERIES.add(_rounds(150, 4, 12))
+def stream_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of a stream until 150 different texts are there."""
+    return _delivered(spark, sf_dir, 150, 4, 12)
+
+
+@QUERIES.add(_rounds(1_000_000, 16, 2))
+def stream_until_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of a stream until two in a row bring repeats."""
+    return _delivered(spark, sf_dir, 1_000_000, 16, 2)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import bpe, instruct, matrices, sequence
+from millrace.plans import corpus
 from millrace.plans.book import Book, scratch, table
-from millrace.sources import readers, shards
+from millrace.sources import ranges, readers, shards
 
 QUERIES = Book()
 _LINES = "unnest(string_split(text, chr(10)))"
@@ -43,6 +44,31 @@ def separated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.separated_texts(spark, path).groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@QUERIES.add(f"WITH {corpus._COUNTS} SELECT pretoken, freq FROM counts")
+def range_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens of files read in byte ranges, end tokens left out: those of the documents."""
+    path = scratch(spark, "ranges")
+    _docs(spark, sf_dir, "text").write.option("lineSep", T.END).text(path)
+    return bpe.pretoken_counts(ranges.text_ranges(spark, path, step=64 << 10), [T.END])
+
+
+_CUT_STEP = 1000
+
+
+@QUERIES.add(f"""WITH f AS (SELECT doc_id % 7 AS part, string_agg(md5(text) || ' ' || coalesce(lang, '') || '  ' || n_chars || chr(10), '' ORDER BY doc_id) AS s FROM documents GROUP BY 1),
+k AS (SELECT part, s, unnest(range({_CUT_STEP}, length(s), {_CUT_STEP})) AS p FROM f)
+SELECT DISTINCT part, cut::BIGINT AS cut FROM (
+  SELECT part, p - 1 + length(regexp_extract(s[p :], '^(.*?[^ \n\r\t])[ \n\r\t]', 1, 's')) AS cut FROM k WHERE regexp_matches(s[p :], '[^ \n\r\t][ \n\r\t]')
+  UNION ALL SELECT part, p FROM k WHERE NOT regexp_matches(s[p :], '[^ \n\r\t][ \n\r\t]') UNION ALL SELECT part, 0 FROM f UNION ALL SELECT part, length(s) FROM f)""")
+def split_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where seven files are cut into ranges of a thousand bytes: before the first white space of a run."""
+    path = scratch(spark, "cuts")
+    line = F.concat(F.md5("text"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("  "), F.col("n_chars").cast("string"))
+    lines = _docs(spark, sf_dir, (F.col("doc_id") % 7).alias("part"), "doc_id", line.alias("line"))
+    lines.repartition(7, "part").sortWithinPartitions("part", "doc_id").select("part", "line").write.partitionBy("part").text(path)
+    return ranges.cut_points(spark, path, _CUT_STEP).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "cut")
+
+
 @QUERIES.add("SELECT part, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM (SELECT doc_id % 5 AS part, text FROM documents) GROUP BY part")
 def bytes_ignoring_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files in whose end an invalid byte is dropped."""
