@@ -137,3 +137,45 @@ def sampling_probs(logits: Column, temperature: float = 1.0, k: int | None = Non
     """What a sampling step draws from: temperature, top-k, softmax, top-p."""
     scaled = F.transform(logits, lambda x: x / temperature)
     return let(softmax(top_k(scaled, k) if k else scaled), lambda probs: top_p(probs, p))
+
+
+
+def picked(probs: Column, uniform: Column) -> Column:
+    """The first place where the running sum of ``probs`` is above ``uniform``, the last likely one if rounding leaves none."""
+    kind = "struct<at:int,sum:double,found:int,last:int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(-1).alias("found"), F.lit(0).alias("last")).cast(kind)
+
+    def step(s: Column, p: Column) -> Column:
+        upto = s["sum"] + p
+        found = F.when((s["found"] < 0) & (upto > uniform), s["at"]).otherwise(s["found"])
+        return F.struct((s["at"] + 1).alias("at"), upto.alias("sum"), found.alias("found"), F.when(p > 0, s["at"]).otherwise(s["last"]).alias("last")).cast(kind)
+
+    return F.aggregate(probs, start, step, lambda s: F.when(s["found"] >= 0, s["found"]).otherwise(s["last"]))
+
+
+def decoded(
+    prompt: Column, logits_of: Callable[[Column], Column], steps: int, end: int, penalty: float = 1.1, ngram: int = 4, ban: Sequence[int] = (), context: int = 256,
+    uniform: Callable[[Column], Column] | None = None, temperature: float = 0.8, k: int | None = None, p: float = 0.9,
+) -> Column:
+    """The tokens that at most ``steps`` steps put behind ``prompt``; the token ``end`` ends them and is left out.
+
+    ``logits_of`` gives the logits after the last ``context`` tokens. Each step: repetition penalty, n-gram ban, the tokens of ``ban``
+    except ``end``, then the largest logit, or with ``uniform``, a number from 0 to 1 for the tokens so far, a draw.
+    """
+    kind = "struct<tokens:array<int>,done:boolean>"
+
+    def chosen(tokens: Column) -> Column:
+        last = F.slice(tokens, F.greatest(F.size(tokens) - context + 1, F.lit(1)), context)
+        held = F.concat(banned_next(tokens, ngram), F.array(*[F.lit(b) for b in ban if b != end]).cast("array<int>"))
+        logits = without(repetition_penalty(logits_of(last), tokens, penalty), held)
+        if uniform is None:
+            return let(logits, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
+        return let(logits, lambda x: picked(sampling_probs(x, temperature, k, p), uniform(tokens)))
+
+    def step(state: Column, _: Column) -> Column:
+        grown = lambda t: F.when(t == end, F.struct(state["tokens"].alias("tokens"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(state["tokens"], F.array(t)).alias("tokens"), F.lit(False).alias("done"))).cast(kind)
+        return F.when(state["done"], state).otherwise(let(chosen(state["tokens"]), grown)).cast(kind)
+
+    start = F.struct(prompt.cast("array<int>").alias("tokens"), F.lit(False).alias("done")).cast(kind)
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(max(steps, 1))), start, step, lambda s: s["tokens"]) if steps > 0 else prompt.cast("array<int>")
+    return F.slice(whole, F.size(prompt) + 1, F.lit(max(steps, 1)))

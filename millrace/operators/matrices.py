@@ -1,9 +1,12 @@
-"""Matrices in long form (module, i, j, v), for weights that are too many for one row; and attention within contexts."""
+"""Matrices in long form (module, i, j, v) or in tiles (module, bi, bj, v), for weights that are too many for one row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,94 @@ def adapter_summary(w: DataFrame, a: DataFrame, b: DataFrame, scale: float, gate
     return both.agg(F.avg("norm_a").alias("norm_a"), F.avg("norm_b").alias("norm_b"), F.avg(ratio).alias("ratio"))
 
 
+#: Rows and columns of a tile.
+TILE = 256
+
+
+def tiles(m: DataFrame, size: int = TILE) -> DataFrame:
+    """(module, bi, bj, v) of long-form ``m``: dense tiles of ``size`` x ``size``, row by row; what is missing is zero."""
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, v = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            ends = batch.column(3).value_lengths().to_numpy()
+            out = np.zeros((batch.num_rows, size * size))
+            out[np.repeat(np.arange(len(ends)), ends), at] = v
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * size * size, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["module", "bi", "bj", "v"])
+
+    at = (F.col("i") % size * size + F.col("j") % size).cast("int")
+    placed = m.select("module", F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj"), F.struct(at.alias("at"), F.col("v").cast("double").alias("v")).alias("e"))
+    held = placed.groupBy("module", "bi", "bj").agg(F.collect_list("e").alias("e"))  # at most size * size entries
+    return held.select("module", "bi", "bj", F.transform("e", lambda e: e["at"]).alias("at"), F.transform("e", lambda e: e["v"]).alias("v")).mapInArrow(filled, "module long, bi long, bj long, v array<double>")
+
+
+def untiled(t: DataFrame, size: int = TILE) -> DataFrame:
+    """(module, i, j, v) of all entries of tiles, zeros too."""
+    each = t.select("module", "bi", "bj", F.posexplode("v").alias("at", "v"))
+    return each.select("module", (F.col("bi") * size + F.floor(F.col("at") / size)).alias("i"), (F.col("bj") * size + F.col("at") % size).alias("j"), "v")
+
+
+def tile_product(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
+    """Tiles of a times b.
+
+    Tiles meet by the block that they share; each pair is one product of matrices in a task. A task adds up the products of a tile
+    as they pass in order, so it holds two tiles, and what is shuffled is a tile for each product, ``size`` times less than
+    the products of entries.
+    """
+    left = a.select("module", "bi", F.col("bj").alias("bk"), F.col("v").alias("a"))
+    right = b.select("module", F.col("bi").alias("bk"), "bj", F.col("v").alias("b"))
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy().reshape(-1, size, size) for k in (3, 4))
+            yield told([batch.column(k) for k in range(3)], x @ y)
+
+    def told(keys: list[pa.Array], v: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * size * size, pa.int32()), pa.array(v.ravel()))
+        return pa.RecordBatch.from_arrays([*keys, lists], ["module", "bi", "bj", "v"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, v = tuple(batch.column(c)[k].as_py() for c in range(3)), batch.column(3)[k].values.to_numpy()
+                if key != now:
+                    if now is not None:
+                        yield told([pa.array([x], pa.int64()) for x in now], total[None])
+                    now, total = key, np.zeros(size * size)
+                total += v
+        if now is not None:
+            yield told([pa.array([x], pa.int64()) for x in now], total[None])
+
+    schema, keys = "module long, bi long, bj long, v array<double>", ["module", "bi", "bj"]
+    products = left.join(right, ["module", "bk"]).select(*keys, "a", "b").mapInArrow(multiplied, schema)
+    return products.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(summed, schema)
+
+
+def _changed(w: DataFrame, a: DataFrame, b: DataFrame, scale: float, gated: bool, size: int) -> DataFrame:
+    """(module, bi, bj, w, u): tiles of w with those of the adapter's change, zero where a b has none; one product for both."""
+    ab = tile_product(a, b, size).withColumnRenamed("v", "ab")
+    both = w.withColumnRenamed("v", "w").join(ab, ["module", "bi", "bj"], "left")
+    change = F.zip_with("w", "ab", lambda x, y: x * y * scale) if gated else F.transform("ab", lambda y: y * scale)
+    return both.select("module", "bi", "bj", "w", F.coalesce(change, F.transform("w", lambda x: F.lit(0.0))).alias("u"))
+
+
+def fold_tiles(w: DataFrame, a: DataFrame, b: DataFrame, scale: float, gated: bool = True, size: int = TILE) -> DataFrame:
+    """Tiles of w + scale * w o (a b), or without ``gated`` of w + scale * a b."""
+    return _changed(w, a, b, scale, gated, size).select("module", "bi", "bj", F.zip_with("w", "u", lambda x, y: x + y).alias("v"))
+
+
+def adapter_summary_tiles(w: DataFrame, a: DataFrame, b: DataFrame, scale: float, gated: bool = True, size: int = TILE) -> DataFrame:
+    """As ``adapter_summary``, from tiles."""
+    squares = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    own = lambda m, name: m.groupBy("module").agg(F.sqrt(squares("v")).alias(name))
+    sizes = _changed(w, a, b, scale, gated, size).groupBy("module").agg(F.sqrt(squares("u")).alias("change"), F.sqrt(squares("w")).alias("norm_w"))
+    ratio = F.when(F.col("norm_w") > 0, F.col("change") / F.col("norm_w")).otherwise(F.lit(0.0))
+    both = own(a, "norm_a").join(own(b, "norm_b"), "module").join(sizes, "module")
+    return both.agg(F.avg("norm_a").alias("norm_a"), F.avg("norm_b").alias("norm_b"), F.avg(ratio).alias("ratio"))
+
+
 def gather(ids: DataFrame, table: DataFrame, token: str = "token", vector: str = "vector") -> DataFrame:
     """``ids`` (row, position, ``token``) with the vector of each token from ``table`` (``token``, ``vector``), a missing one null.
 

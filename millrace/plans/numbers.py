@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric
-from millrace.operators import evaluation, matrices
+from millrace.operators import attention, evaluation, matrices
 from millrace.plans.book import Book, table
 
 QUERIES = Book()
@@ -140,29 +140,124 @@ def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("position").alias("vec_id"), (F.round(F.get("out", F.lit(0)), 7) + F.lit(0.0)).alias("first"), (F.round(F.get("out", F.lit(63)), 7) + F.lit(0.0)).alias("last"))
 
 
-_MATRICES = """w AS (SELECT m AS module, i, j, ((m + i * 3 + j * 5) % 7 - 3) / 4.0 AS v FROM range(3) a(m), range(6) b(i), range(5) c(j)),
-a AS (SELECT m AS module, i, j, ((m * 2 + i + j) % 5 - 2) / 8.0 AS v FROM range(3) a(m), range(6) b(i), range(2) c(j)),
-b AS (SELECT m AS module, i, j, ((m + i + j * 2) % 3 - 1) / 2.0 AS v FROM range(3) a(m), range(2) b(i), range(5) c(j)),
-ab AS (SELECT module, a.i, b.j, sum(a.v * b.v) AS ab FROM a JOIN b USING (module) WHERE a.j = b.i GROUP BY ALL)"""
+#: One context of all vectors, four heads of sixteen, positions turned; kept small by comparing two entries of each result.
+_HEADS = """h AS (SELECT vec_id, h, list_transform(range(1, 17), lambda i: embedding[16 * h + i]::DOUBLE) AS x FROM embeddings, range(4) t(h)),
+r AS (SELECT vec_id, h, x AS v, list_transform(range(1, 17), lambda i: x[i] * cos(vec_id / pow(10000.0, (i - 1 - (i - 1) % 2) / 16.0)) + CASE WHEN i % 2 = 1 THEN -x[i + 1] ELSE x[i - 1] END * sin(vec_id / pow(10000.0, (i - 1 - (i - 1) % 2) / 16.0))) AS k FROM h),
+s AS (SELECT q.vec_id, q.h, exp(list_dot_product(q.k, k.k) / 4.0) AS w, k.v FROM r q JOIN r k ON q.h = k.h AND k.vec_id <= q.vec_id)"""
 
 
-def _matrices(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    def made(rows: int, columns: int, value: Column) -> DataFrame:
-        at = spark.range(3 * rows * columns).select(F.floor(F.col("id") / (rows * columns)).alias("module"), F.floor(F.col("id") % (rows * columns) / columns).alias("i"), (F.col("id") % columns).alias("j"))
-        return at.select("module", "i", "j", value.cast("double").alias("v"))
+@QUERIES.add(f"WITH {_HEADS} SELECT vec_id, h::INTEGER AS head, round(sum(w * v[1]) / sum(w), 7) + 0.0 AS first, round(sum(w * v[16]) / sum(w), 7) + 0.0 AS last FROM s GROUP BY vec_id, h")
+def long_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal attention of four heads with rotary positions over all vectors as one context, in blocks of 64."""
+    rows = _logits(spark, sf_dir).select(F.lit(0).cast("long").alias("context"), F.col("vec_id").alias("position"), F.col("x").alias("q"), F.col("x").alias("k"), F.col("x").alias("v"))
+    out = attention.causal(rows, heads=4, theta=10000.0, block=64, segment=2)
+    heads = out.select("position", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("head"), "out")
+    entry = lambda at: F.round(F.get("out", F.col("head") * 16 + at), 7) + F.lit(0.0)
+    return heads.select(F.col("position").alias("vec_id"), "head", entry(0).alias("first"), entry(15).alias("last"))
 
-    m, i, j = F.col("module"), F.col("i"), F.col("j")
-    return made(6, 5, ((m + i * 3 + j * 5) % 7 - 3) / 4), made(6, 2, ((m * 2 + i + j) % 5 - 2) / 8), made(2, 5, ((m + i + j * 2) % 3 - 1) / 2)
 
+#: Vectors as matrices of 64 rows, one for each module; the adapter's parts are the first four columns and rows of the next.
+_MATRICES = """e AS (SELECT vec_id // 64 AS module, vec_id % 64 AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+w AS (SELECT * FROM e), a AS (SELECT module, i, j, v FROM e WHERE j < 4), b AS (SELECT module, i - 4 AS i, j, v FROM e WHERE i BETWEEN 4 AND 7),
+ab AS (SELECT a.module, a.i, b.j, sum(a.v * b.v) AS ab FROM a JOIN b ON a.module = b.module AND a.j = b.i GROUP BY ALL),
+u AS (SELECT module, i, j, v, coalesce(v * ab * 0.5, 0) AS gated, coalesce(ab * 0.5, 0) AS plain FROM w LEFT JOIN ab USING (module, i, j))"""
 
-@QUERIES.add(f"WITH {_MATRICES} SELECT module, i, j, round(v * (1 + 0.5 * ab), 9) + 0.0 AS v FROM w JOIN ab USING (module, i, j)")
+
+def _matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    at = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("module"), (F.col("vec_id") % 64).alias("i"), F.posexplode("embedding").alias("j", "v"))
+    e = at.select("module", "i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    return e, e.where("j < 4"), e.where("i between 4 and 7").withColumn("i", F.col("i") - 4)
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [matrices.tiles(m, 32) for m in _matrices(spark, sf_dir)]
+
+
+def _shown(m: DataFrame) -> DataFrame:
+    return m.withColumn("v", F.round("v", 9) + F.lit(0.0))
+
+
+@QUERIES.add(f"WITH {_MATRICES} SELECT module, i, j, round(v + gated, 9) + 0.0 AS v FROM u")
 def adapter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrices.fold(*_matrices(spark), 0.5).withColumn("v", F.round("v", 9) + F.lit(0.0))
+    return _shown(matrices.fold(*_matrices(spark, sf_dir), 0.5))
+
 
+_ROWS = "WHERE i < (SELECT max(vec_id) + 1 FROM embeddings) - 64 * module"
 
-@QUERIES.add(f"""WITH {_MATRICES}, n AS (SELECT module, sqrt(sum(v * v)) AS nw, sqrt(sum((v * ab * 0.5) ** 2)) AS nu FROM w JOIN ab USING (module, i, j) GROUP BY module),
+
+def _whole(m: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the rows that fill up the last module's tiles."""
+    n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return m.where(F.col("module") * 64 + F.col("i") < n)
+
+
+@QUERIES.add(f"WITH {_MATRICES} SELECT module, i, j, round(v + gated, 9) + 0.0 AS v FROM u {_ROWS}")
+def adapter_fold_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from tiles of 32 x 32."""
+    return _shown(_whole(matrices.untiled(matrices.fold_tiles(*_tiles(spark, sf_dir), 0.5, size=32), 32), spark, sf_dir))
+
+
+@QUERIES.add(f"WITH {_MATRICES} SELECT module, i, j, round(v + plain, 9) + 0.0 AS v FROM u {_ROWS}")
+def adapter_apply_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not gated: w + scale * a b."""
+    return _shown(_whole(matrices.untiled(matrices.fold_tiles(*_tiles(spark, sf_dir), 0.5, False, 32), 32), spark, sf_dir))
+
+
+def _norms(change: str) -> str:
+    return f"""WITH {_MATRICES}, n AS (SELECT module, sqrt(sum(v * v)) AS nw, sqrt(sum({change} * {change})) AS nu FROM u GROUP BY module),
 na AS (SELECT module, sqrt(sum(v * v)) AS na FROM a GROUP BY module), nb AS (SELECT module, sqrt(sum(v * v)) AS nb FROM b GROUP BY module)
-SELECT round(avg(na), 9) AS norm_a, round(avg(nb), 9) AS norm_b, round(avg(nu / nw), 9) AS ratio FROM n JOIN na USING (module) JOIN nb USING (module)""")
+SELECT round(avg(na), 9) AS norm_a, round(avg(nb), 9) AS norm_b, round(avg(CASE WHEN nw > 0 THEN nu / nw ELSE 0 END), 9) AS ratio FROM n JOIN na USING (module) JOIN nb USING (module)"""
+
+
+@QUERIES.add(_norms("gated"))
 def adapter_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matrices.adapter_summary(*_matrices(spark), 0.5)
+    found = matrices.adapter_summary_tiles(*_tiles(spark, sf_dir), 0.5, True, 32)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+@QUERIES.add(_norms("plain"))
+def adapter_norms_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not gated, from entries."""
+    found = matrices.adapter_summary(*_matrices(spark, sf_dir), 0.5, False)
     return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+#: A model whose logits are the row's vector, turned by the last token.
+_TURNED = "list_transform(range(1, 65), lambda i: x[1 + (i - 1 + seen[len(seen)]) % 64])"
+
+
+def _turned(x: Column):
+    return lambda seen: F.transform(x, lambda _, i: F.get(x, ((i + F.element_at(seen, -1)) % 64).cast("int")))
+
+
+_STEPS, _END = 16, 5
+_GREEDY = f"""WITH RECURSIVE {_E}, d AS (SELECT vec_id, x, [t, 0, 7] AS seen, false AS done, 0 AS step FROM e
+UNION ALL SELECT vec_id, x, CASE WHEN done OR token = {_END} THEN seen ELSE list_append(seen, token) END, done OR token = {_END}, step + 1 FROM (
+  SELECT *, (list_position(y, list_max(y)) - 1)::INTEGER AS token FROM (
+    SELECT *, list_transform(range(1, 65), lambda i: CASE WHEN list_contains(ban, i - 1) OR i - 1 = 9 THEN '-infinity'::DOUBLE WHEN NOT list_contains(seen, i - 1) THEN l[i] WHEN l[i] < 0 THEN l[i] * 1.1 ELSE l[i] / 1.1 END) AS y FROM (
+      SELECT *, {_TURNED} AS l, list_transform(list_filter(range(1, len(seen) - 1), lambda i: seen[i] = seen[len(seen) - 1] AND seen[i + 1] = seen[len(seen)]), lambda i: seen[i + 2]) AS ban FROM d WHERE step < {_STEPS}))))"""
+
+
+@QUERIES.add(f"{_GREEDY} SELECT vec_id, array_to_string(seen[4:], ',') AS tokens FROM d WHERE step = {_STEPS}")
+def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen greedy steps with penalty, 3-gram ban and a token that is never taken, up to the end token."""
+    tokens = numeric.decoded(F.array("t", F.lit(0), F.lit(7)), _turned(F.col("x")), _STEPS, _END, 1.1, 3, (9, _END))
+    return _logits(spark, sf_dir).select("vec_id", F.array_join(tokens.cast("array<string>"), ",").alias("tokens"))
+
+
+_DRAWN = f"""WITH RECURSIVE {_E}, d AS (SELECT vec_id, x, [t] AS seen, false AS done, 0 AS step FROM e
+UNION ALL SELECT vec_id, x, CASE WHEN done OR token = {_END} THEN seen ELSE list_append(seen, token) END, done OR token = {_END}, step + 1 FROM (
+  SELECT *, (len(list_filter(range(1, 65), lambda i: list_sum(q[1 : i]) / whole <= u)))::INTEGER AS token FROM (
+    SELECT *, list_sum(q) AS whole FROM (
+      SELECT *, list_transform(y, lambda v: CASE WHEN v >= least THEN exp(v - most) ELSE 0 END) AS q FROM (
+        SELECT *, list_reverse_sort(y)[8] AS least, list_max(y) AS most, ('0x' || md5(vec_id || ':' || len(seen))[1:12])::BIGINT / 281474976710656.0 AS u FROM (
+          SELECT *, list_transform(range(1, 65), lambda i: l[i] / 0.5 / CASE WHEN NOT list_contains(seen, i - 1) THEN 1 WHEN l[i] < 0 THEN 1 / 1.1 ELSE 1.1 END) AS y FROM (SELECT *, {_TURNED} AS l FROM d WHERE step < {_STEPS})))))))"""
+
+
+@QUERIES.add(f"{_DRAWN} SELECT vec_id, array_to_string(seen[2:], ',') AS tokens FROM d WHERE step = {_STEPS}")
+def sampled_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen draws at temperature 0.5 among the eight likeliest tokens, with numbers hashed from row and place."""
+    digits = lambda seen: F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":"), F.size(seen).cast("string"))), 1, 12)
+    uniform = lambda seen: F.conv(digits(seen), 16, 10).cast("long") / F.lit(281474976710656.0)
+    tokens = numeric.decoded(F.array("t"), _turned(F.col("x")), _STEPS, _END, 1.1, 1, (), uniform=uniform, temperature=0.5, k=8, p=1.0)
+    return _logits(spark, sf_dir).select("vec_id", F.array_join(tokens.cast("array<string>"), ",").alias("tokens"))
