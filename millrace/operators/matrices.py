@@ -69,7 +69,7 @@ def tiles(m: DataFrame, size: int = TILE) -> DataFrame:
 
 
 def untiled(t: DataFrame, size: int = TILE) -> DataFrame:
-    """(module, i, j, v) of all entries of tiles, zeros too."""
+    """(module, i, j, v) of all entries of the tiles that are there, zeros too."""
     each = t.select("module", "bi", "bj", F.posexplode("v").alias("at", "v"))
     return each.select("module", (F.col("bi") * size + F.floor(F.col("at") / size)).alias("i"), (F.col("bj") * size + F.col("at") % size).alias("j"), "v")
 
