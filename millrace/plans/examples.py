@@ -1,24 +1,41 @@
-"""Queries over small literal tables, for operators whose inputs the test tables do not have."""
+"""Queries over texts, answers and paths made of the given tables' columns, for operators whose inputs the tables do not have."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import labels
+from millrace.functions import labels, numeric
+from millrace.functions.text import pretokens_keeping
 from millrace.operators import bpe, evaluation
-from millrace.plans.book import Book
+from millrace.plans import corpus
+from millrace.plans.book import Book, scratch, table
 from millrace.sources import readers, shards
 
 QUERIES = Book()
 
-SCENES = [
-    (0, "Look: one black triangle sits on the left while a red rectangle waits on the right.", "One black triangle on the left, a red rectangle on the right."),
-    (1, "A red triangle is placed on the left, and a blue ellipse on the right.", "A red triangle is placed on the left."),
-    (2, "Somebody drew a white rectangle on the left, then a red triangle on the right.", "A white ellipse on the left and a red triangle on the right."),
-    (3, "Only a blue ellipse can be made out on the right.", "A blue ellipse on  the right"),
-    (4, "An empty sheet of paper.", "An empty sheet of paper."),
-]
+
+def _docs(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
+
+
+#: Words that stand for what a text describes; the last of each list is none that the labels know.
+PAINTS, FORMS = ("blue", "white", "red", "black", "green", "yellow", "purple"), ("triangle", "rectangle", "ellipse", "circle")
+_COLORS, _SHAPES = ("red", "yellow", "blue", "green", "white", "black"), ("rectangle", "ellipse", "triangle")
+
+
+def _scene_sql(d: str) -> str:
+    paint = lambda n: f"['{"', '".join(PAINTS)}'][1 + ({n}) % 7]"
+    form = lambda n: f"['{"', '".join(FORMS)}'][1 + ({n}) % 4]"
+    return f"CASE {d} % 5 WHEN 0 THEN 'Of ' || source ELSE {paint(d)} || ' ' || {form(d)} || ' stands on ' || CASE {d} % 3 WHEN 0 THEN ' ' ELSE '' END || 'the left' END || CASE {d} % 7 WHEN 1 THEN '.' ELSE '; ' || upper({paint(f'{d} // 7')}) || '-' || {form(f'{d} // 4')} || CASE {d} % 2 WHEN 0 THEN ' can be seen leaning towards a wall' ELSE '' END || ' on the right' END"
+
+
+def _scene(d: Column) -> Column:
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))).cast("int"))
+    over = lambda n: F.floor(d / n)
+    left = F.concat(pick(PAINTS, d), F.lit(" "), pick(FORMS, d), F.lit(" stands on "), F.when(d % 3 == 0, " ").otherwise(""), F.lit("the left"))
+    right = F.concat(F.lit("; "), F.upper(pick(PAINTS, over(7))), F.lit("-"), pick(FORMS, over(4)), F.when(d % 2 == 0, " can be seen leaning towards a wall").otherwise(""), F.lit(" on the right"))
+    return F.concat(F.when(d % 5 == 0, F.concat(F.lit("Of "), "source")).otherwise(left), F.when(d % 7 == 1, ".").otherwise(right))
 
 
 def _first(column: str, candidates: tuple[str, ...]) -> str:
@@ -27,48 +44,47 @@ def _first(column: str, candidates: tuple[str, ...]) -> str:
 
 def _side(name: str, side: str) -> str:
     window = f"CASE WHEN regexp_matches({name}, '\\bon\\s+the\\s+{side}\\b') THEN {name}[greatest(1, strpos({name}, regexp_extract({name}, '\\bon\\s+the\\s+{side}\\b')) - 48) : strpos({name}, regexp_extract({name}, '\\bon\\s+the\\s+{side}\\b')) + length(regexp_extract({name}, '\\bon\\s+the\\s+{side}\\b')) - 1] END"
-    return f"(SELECT '{side} ' || {_first('win', labels.COLORS)} || ' ' || {_first('win', labels.SHAPES)} FROM (SELECT {window} AS win))"
+    return f"(SELECT '{side} ' || {_first('win', _COLORS)} || ' ' || {_first('win', _SHAPES)} FROM (SELECT {window} AS win))"
 
 
-_SCENES = "scenes AS (SELECT id, ' ' || regexp_replace(lower(gold), '[^a-z]+', ' ', 'g') || ' ' AS g, ' ' || regexp_replace(lower(pred), '[^a-z]+', ' ', 'g') || ' ' AS p FROM (VALUES " + ", ".join(f"({i}, '{g}', '{p}')" for i, g, p in SCENES) + ") t(id, gold, pred))"
+_SCENES = f"scenes AS (SELECT doc_id, ' ' || regexp_replace(lower({_scene_sql('doc_id')}), '[^a-z]+', ' ', 'g') || ' ' AS g, ' ' || regexp_replace(lower({_scene_sql('(doc_id + n_chars % 2 * 28)')}), '[^a-z]+', ' ', 'g') || ' ' AS p FROM documents)"
 
 
-def _scenes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCENES, "id int, gold string, pred string")
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document's numbers describe; in every second one the prediction is another's."""
+    d = F.col("doc_id")
+    return _docs(spark, sf_dir, _scene(d).alias("gold"), _scene(d + F.col("n_chars") % 2 * 28).alias("pred"))
 
 
-@QUERIES.add(f"WITH {_SCENES} SELECT id, {_first('g', labels.COLORS)} AS color, {_first('g', labels.SHAPES)} AS shape FROM scenes")
+@QUERIES.add(f"WITH {_SCENES} SELECT doc_id, {_first('g', _COLORS)} AS color, {_first('g', _SHAPES)} AS shape FROM scenes")
 def extract_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scenes(spark).select("id", labels.single_label(F.col("gold"), labels.COLORS).alias("color"), labels.single_label(F.col("gold"), labels.SHAPES).alias("shape"))
+    return _scenes(spark, sf_dir).select("doc_id", labels.single_label(F.col("gold"), labels.COLORS).alias("color"), labels.single_label(F.col("gold"), labels.SHAPES).alias("shape"))
 
 
-@QUERIES.add(f"WITH {_SCENES} SELECT id, {_side('g', 'left')} AS \"left\", {_side('g', 'right')} AS \"right\" FROM scenes")
+@QUERIES.add(f"WITH {_SCENES} SELECT doc_id, {_side('g', 'left')} AS \"left\", {_side('g', 'right')} AS \"right\" FROM scenes")
 def side_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda side: F.concat_ws(" ", f"{side}.side", f"{side}.color", f"{side}.shape")
-    found = _scenes(spark).select("id", *[labels.side_object(F.col("gold"), s).alias(s) for s in labels.SIDES])
-    return found.select("id", *[F.when(F.col(s).isNotNull(), text(s)).alias(s) for s in labels.SIDES])
+    found = _scenes(spark, sf_dir).select("doc_id", *[labels.side_object(F.col("gold"), s).alias(s) for s in labels.SIDES])
+    return found.select("doc_id", *[F.when(F.col(s).isNotNull(), text(s)).alias(s) for s in labels.SIDES])
 
 
-_BOTH = f"WITH {_SCENES}, o AS (SELECT id, {_side('g', 'left')} AS gl, {_side('g', 'right')} AS gr, {_side('p', 'left')} AS pl, {_side('p', 'right')} AS pr FROM scenes)"
+_BOTH = f"WITH {_SCENES}, o AS (SELECT doc_id, {_side('g', 'left')} AS gl, {_side('g', 'right')} AS gr, {_side('p', 'left')} AS pl, {_side('p', 'right')} AS pr FROM scenes)"
 
 
-@QUERIES.add(f"{_BOTH} SELECT id, 'scene' AS task, ((gl IS NOT NULL OR gr IS NOT NULL) AND gl IS NOT DISTINCT FROM pl AND gr IS NOT DISTINCT FROM pr)::DOUBLE AS score FROM o UNION ALL SELECT id, 'left_object', coalesce(gl = pl, false)::DOUBLE FROM o UNION ALL SELECT id, 'right_object', coalesce(gr = pr, false)::DOUBLE FROM o")
+@QUERIES.add(f"{_BOTH} SELECT doc_id, 'scene' AS task, ((gl IS NOT NULL OR gr IS NOT NULL) AND gl IS NOT DISTINCT FROM pl AND gr IS NOT DISTINCT FROM pr)::DOUBLE AS score FROM o UNION ALL SELECT doc_id, 'left_object', coalesce(gl = pl, false)::DOUBLE FROM o UNION ALL SELECT doc_id, 'right_object', coalesce(gr = pr, false)::DOUBLE FROM o")
 def scene_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = _scenes(spark).withColumn("task", F.explode(F.array(*map(F.lit, ("scene", "left_object", "right_object")))))
-    return tasks.select("id", "task", labels.score(F.col("task"), F.col("gold"), F.col("pred")).alias("score"))
-
-
-CAPTION_ROWS = [
-    ('["a dog runs", " two cats ", ""]', "train", "1.jpg", "1"),
-    ('["a red car"]', "val", " 2.jpg ", "2"),
-    ('["not used"]', "other", "3.jpg", "3"),
-    ('["no name"]', "test", "", "4"),
-]
+    tasks = _scenes(spark, sf_dir).withColumn("task", F.explode(F.array(*map(F.lit, ("scene", "left_object", "right_object")))))
+    return tasks.select("doc_id", "task", labels.score(F.col("task"), F.col("gold"), F.col("pred")).alias("score"))
 
 
-@QUERIES.add("SELECT * FROM (VALUES ('img/1.jpg', '1.jpg', 'train', 0, 'a dog runs'), ('img/1.jpg', '1.jpg', 'train', 1, 'two cats'), ('img/2.jpg', '2.jpg', 'val', 0, 'a red car')) t(fn, filename, split, caption_index, output)")
+@QUERIES.add("""WITH r AS (SELECT doc_id, ['train', 'val', 'other', 'test'][1 + doc_id % 4] AS split, CASE WHEN doc_id % 9 = 0 THEN '' ELSE doc_id || '.jpg' END AS filename, ['in ' || coalesce(lang, ''), '', 'of "' || source || '"'] AS raw FROM documents)
+SELECT 'img/' || filename AS fn, filename, split, (i - 1)::INTEGER AS caption_index, trim(raw[i]) AS output FROM (SELECT *, unnest([1, 2, 3]) AS i FROM r) WHERE filename <> '' AND split <> 'other' AND trim(raw[i]) <> ''""")
 def caption_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CAPTION_ROWS, "raw string, split string, filename string, img_id string")
+    """Lists of captions as JSON; blank captions, rows without a file and an unknown split are left out."""
+    raw = F.to_json(F.array(F.concat(F.lit(" in "), F.coalesce("lang", F.lit("")), F.lit(" ")), F.lit("  "), F.concat(F.lit('of "'), "source", F.lit('"'))))
+    split = F.get(F.array(*map(F.lit, ("train", "val", "other", "test"))), (F.col("doc_id") % 4).cast("int"))
+    name = F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".jpg ")))
+    rows = _docs(spark, sf_dir, raw.alias("raw"), split.alias("split"), name.alias("filename"), F.col("doc_id").cast("string").alias("img_id"))
     return readers.caption_rows(rows, "img").select("fn", "filename", "split", "caption_index", "output")
 
 
@@ -78,51 +94,94 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@QUERIES.add("SELECT * FROM (VALUES ('What?', 'That.', 'qa'), ('', 'x', ''), ('7', 'seven', '')) t(instruction, output, task)")
+@QUERIES.add("SELECT CASE doc_id % 6 WHEN 4 THEN '' WHEN 5 THEN doc_id::VARCHAR ELSE 'In ' || lang || '?' END AS instruction, source AS output, CASE doc_id % 6 WHEN 0 THEN 'qa' ELSE '' END AS task FROM documents WHERE doc_id % 6 IN (0, 4, 5)")
 def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ['{"instruction": " What? ", "output": "That.", "task": "qa", "more": 1}', "", "{bad", "[1]", '{"instruction": null, "output": "x"}', '{"instruction": 7, "output": "seven"}']
-    return readers.tolerant_json(spark.createDataFrame([(r,) for r in raw], "value string"))
+    """Of six lines one is whole, one has a null and one a number in place of a text; a blank one, half of one and a list are skipped."""
+    asked = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit('" In '), "lang", F.lit('? "'))).when(F.col("doc_id") % 6 == 4, "null").otherwise(F.col("doc_id").cast("string"))
+    row = F.concat(F.lit('  {"instruction": '), asked, F.lit(', "output": "'), "source", F.lit('\\n"'), F.when(F.col("doc_id") % 6 == 0, ', "task": "qa", "more": 1').otherwise(""), F.lit("}"))
+    line = F.when(F.col("doc_id") % 6 == 1, " ").when(F.col("doc_id") % 6 == 2, F.substring(row, 1, 20)).when(F.col("doc_id") % 6 == 3, F.concat(F.lit("["), row, F.lit("]"))).otherwise(row)
+    return readers.tolerant_json(_docs(spark, sf_dir, line.alias("value")))
 
 
-ANSWERS = [
-    (0, '```json\n{"items": [{"instruction": " What is  rain? ", "output": "Water."}, {"instruction": "b", "output": "c"}]}\n```'),
-    (1, '{"items": {"instruction": "one", "output": "alone"}}'),
-    (2, "no json"),
-    (3, '{"items": 5}'),
-    (4, None),
-]
+@QUERIES.add("""SELECT doc_id * 1000000 AS ordinal, 'Which lang is ' || doc_id || '?' AS instruction, 'It is ' || lang || '.' AS output FROM documents WHERE doc_id % 5 < 2
+UNION ALL SELECT doc_id * 1000000 + 1, 'From', source FROM documents WHERE doc_id % 5 = 0""")
+def completion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a service gives them: a fenced list, a single object, prose, a number, none."""
+    item = F.concat(F.lit('{"instruction": " Which  lang is '), F.col("doc_id").cast("string"), F.lit('?", "output": "It is '), "lang", F.lit('."}'))
+    listed = F.concat(F.lit('```json\n{"items": ['), item, F.lit(', {"instruction": "From", "output": "'), "source", F.lit('"}]}\n```'))
+    answer = F.when(F.col("doc_id") % 5 == 0, listed).when(F.col("doc_id") % 5 == 1, F.concat(F.lit('{"items": '), item, F.lit("}"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("no json from "), "source")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit('{"items": '), F.col("n_chars").cast("string"), F.lit("}")))
+    return readers.answered_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job"), answer.alias("answer")))
 
 
-@QUERIES.add("SELECT * FROM (VALUES (0::BIGINT, 'What is rain?', 'Water.'), (1, 'b', 'c'), (1000000, 'one', 'alone')) t(ordinal, instruction, output)")
-def completion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.answered_pairs(spark.createDataFrame(ANSWERS, "job long, answer string"))
+ASKED = ("Think of {n} riddles", "Rhyme {n} times", "Say nothing")
 
 
-@QUERIES.add("SELECT i AS job, CASE i % 3 WHEN 0 THEN 'Make 40 items' WHEN 1 THEN 'Give 40' ELSE 'List' END AS prompt FROM range(8) t(i)")
+def answered(prompt: str) -> str:
+    """Stands for a remote service; one kind of request fails."""
+    if prompt == ASKED[2]:
+        raise TimeoutError
+    return f"{prompt}: done"
+
+
+@QUERIES.add("WITH j AS (SELECT i AS job, CASE i % 3 WHEN 0 THEN 'Think of 40 riddles' WHEN 1 THEN 'Rhyme 40 times' ELSE 'Say nothing' END AS prompt FROM range((SELECT count(*) FROM documents)) t(i)) SELECT job, prompt, CASE WHEN job % 3 < 2 THEN prompt || ': done' END AS answer FROM j")
 def completion_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.requests(spark, 8, ["Make {n} items", "Give {n}", "List"], 40)
+    """A request for each document, answered on the executors; one that fails has no answer."""
+    asked = readers.requests(spark, table(spark, sf_dir, "documents").count(), ASKED, 40)
+    return asked.join(readers.completions(asked, answered), "job")
 
 
-PATHS = ["run/iter_900.pt", "run/iter_12000.pt", "run/iter_x.pt", "run/best.pt", "run/iter_13000.bin"]
+_PATHS = "'run/' || CASE doc_id % 4 WHEN 0 THEN 'iter_' || n_chars || '.pt' WHEN 1 THEN 'iter_' || lang || '.pt' WHEN 2 THEN 'best_' || doc_id || '.pt' ELSE 'iter_' || (n_chars * 10) || '.bin' END"
 
 
-@QUERIES.add("SELECT path, coalesce(try_cast(regexp_extract(path, 'iter_([0-9]+)[.]pt$', 1) AS BIGINT), -1) AS iteration FROM (VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") t(path) ORDER BY iteration DESC, path DESC LIMIT 1")
+@QUERIES.add(f"SELECT path, coalesce(try_cast(regexp_extract(path, 'iter_([0-9]+)[.]pt$', 1) AS BIGINT), -1) AS iteration FROM (SELECT {_PATHS} AS path FROM documents) WHERE path IS NOT NULL ORDER BY iteration DESC, path DESC LIMIT 1")
 def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.latest_checkpoint(spark.createDataFrame([(p,) for p in PATHS], "path string"))
+    """Of the names that the documents' numbers make, the one of the largest iteration."""
+    kinds = ("iter_", F.col("n_chars").cast("string"), ".pt"), ("iter_", F.col("lang"), ".pt"), ("best_", F.col("doc_id").cast("string"), ".pt"), ("iter_", (F.col("n_chars") * 10).cast("string"), ".bin")
+    name = F.get(F.array(*[F.concat(F.lit(f"run/{a}"), b, F.lit(c)) for a, b, c in kinds]), (F.col("doc_id") % 4).cast("int"))
+    return evaluation.latest_checkpoint(_docs(spark, sf_dir, name.alias("path")).where("path is not null"))
+
+
+_READ_BACK = f"""{corpus._TRAINED}, tokens AS (SELECT 0 AS k, list_transform(range(256), lambda i: lower(lpad(printf('%x', i), 2, '0'))) AS t
+  UNION ALL SELECT k + 1, list_append(t, t[l + 1] || t[r + 1]) FROM tokens JOIN merges ON rank = k),
+whole AS (SELECT t, list_reverse(t) AS b, len(t) AS many FROM tokens ORDER BY k DESC LIMIT 1)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A trained vocabulary and its merges, written and read back."""
+    trained, place = corpus._trained(spark, sf_dir), scratch(spark, "vocabulary")
+    shards.write_vocabulary(spark, bpe.vocabulary(trained, [corpus.T.END]), trained, place)
+    return shards.read_vocabulary(spark, place)
 
 
-@QUERIES.add("SELECT * FROM (VALUES (0, 97, 98, 256), (1, 256, 99, 257)) t(rank, left_id, right_id, merged_id)")
+@QUERIES.add(f"WITH RECURSIVE {_READ_BACK} SELECT rank::INTEGER AS rank, (many - list_position(b, t[l + 1]))::INTEGER AS left_id, (many - list_position(b, t[r + 1]))::INTEGER AS right_id, (many - list_position(b, t[l + 1] || t[r + 1]))::INTEGER AS merged_id FROM merges, whole")
 def merges_in_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = [*(bytes([i]) for i in range(256)), b"ab", b"abc"]
-    merges = spark.createDataFrame([(0, bytearray(b"a"), bytearray(b"b")), (1, bytearray(b"ab"), bytearray(b"c")), (2, bytearray(b"x"), bytearray(b"y"))], "rank int, left binary, right binary")
-    return shards.known_merges(merges, shards.vocabulary_table(spark, tokens))
+    """Merges and vocabulary from files, matched by their bytes; the last of equal tokens counts."""
+    vocab, merges = _files(spark, sf_dir)
+    return shards.known_merges(merges, vocab)
 
 
-@QUERIES.add("SELECT * FROM (VALUES (0, 'I don''t<0>', 3), (1, '<|a|>x<|b|>', 3)) t(id, joined, n)")
+@QUERIES.add(corpus.QUERIES.sql["bpe_encode"])
+def encode_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with a vocabulary and merges that were read from files."""
+    encoder = shards.encoder_of(*_files(spark, sf_dir), [corpus.T.END])
+    coded = bpe.encode(corpus._ended(spark, sf_dir), encoder)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), corpus._digest("ids").alias("ids_md5"))
+
+
+_MARKED = "coalesce(lang, '') || '<|a|>' || source || '  ' || n_chars || '<|b|>'"
+_PIECE = corpus._PIECES.replace("regexp_replace(text,", "regexp_replace({0},")
+
+
+@QUERIES.add(f"SELECT doc_id, {_MARKED} AS joined, (len({_PIECE.replace('{0}', "coalesce(lang, '')", 1)}) + 2 + len({_PIECE.replace('{0}', "source || '  ' || n_chars", 1)}))::INTEGER AS n FROM documents")
 def specials_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Special tokens stay whole; the pieces around them are cut on their own."""
-    from millrace.functions.text import pretokens_keeping
+    text = F.concat(F.coalesce("lang", F.lit("")), F.lit("<|a|>"), "source", F.lit("  "), F.col("n_chars").cast("string"), F.lit("<|b|>"))
+    pieces = pretokens_keeping(text, ["<|a|>", "<|b|>"])
+    return _docs(spark, sf_dir, F.array_join(pieces, "").alias("joined"), F.size(pieces).alias("n"))
+
 
-    rows = spark.createDataFrame([(0, "I don't"), (1, "<|a|>x<|b|>")], "id int, text string")
-    pieces = pretokens_keeping(F.col("text"), ["<|a|>", "<|b|>"])
-    return rows.select("id", F.concat(F.array_join(pieces, ""), F.when(F.col("id") == 0, "<0>").otherwise("")).alias("joined"), F.size(pieces).alias("n"))
+@QUERIES.add("SELECT event_id, round(CASE WHEN step < 2000 THEN step / 2000.0 * 2e-4 WHEN step <= 10000 THEN 2e-5 + (1 + cos((step - 2000) / 8000.0 * pi())) * (2e-4 - 2e-5) / 2 ELSE 2e-5 END, 12) AS rate FROM (SELECT event_id, event_id * 7 % 12001 AS step FROM events)")
+def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of the step that each event's number names."""
+    step = F.col("event_id") * 7 % 12001
+    return table(spark, sf_dir, "events").select("event_id", F.round(numeric.cosine_rate(step, 2e-4, 2e-5, 2000, 10000), 12).alias("rate"))

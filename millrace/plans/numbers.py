@@ -103,12 +103,6 @@ def l2_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logits(spark, sf_dir).select("vec_id", F.round(norm, 7).alias("norm"), F.round(numeric.clip_factor(norm, 0.9), 7).alias("factor"))
 
 
-@QUERIES.add("SELECT step, round(CASE WHEN step < 2000 THEN step / 2000.0 * 2e-4 WHEN step <= 10000 THEN 2e-5 + (1 + cos((step - 2000) / 8000.0 * pi())) * (2e-4 - 2e-5) / 2 ELSE 2e-5 END, 12) AS rate FROM range(0, 12001, 250) t(step)")
-def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = F.col("id")
-    return spark.range(0, 12001, 250).select(step.alias("step"), F.round(numeric.cosine_rate(step, 2e-4, 2e-5, 2000, 10000), 12).alias("rate"))
-
-
 WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 10 for i in range(64)] for j in range(3)]
 
 

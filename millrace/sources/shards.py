@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.bpe import Encoder
+
 
 def write_shards(tokens: DataFrame, path: str) -> None:
     """Tokens (split, shard_id, seq_no, token_ids) in a directory per split and shard, rows in order."""
@@ -77,6 +79,25 @@ def merge_table(spark: SparkSession, merges: list[tuple[int, int, int]], tokens:
     return spark.createDataFrame(rows, "rank int, left binary, right binary, merged_id int")
 
 
+def write_vocabulary(spark: SparkSession, tokens: list[bytes], merges: list[tuple[int, int, int]], path: str) -> None:
+    """A vocabulary and its merges as two tables below ``path``; both are as small as the model."""
+    vocabulary_table(spark, tokens).write.parquet(f"{path}/vocabulary")
+    merge_table(spark, merges, tokens).write.parquet(f"{path}/merges")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, merges) as ``write_vocabulary`` leaves them."""
+    vocab = spark.read.schema("token_id int, token binary").parquet(f"{path}/vocabulary")
+    return vocab, spark.read.schema("rank int, left binary, right binary, merged_id int").parquet(f"{path}/merges")
+
+
+def encoder_of(vocab: DataFrame, merges: DataFrame, specials: Sequence[str] = ()) -> Encoder:
+    """An encoder from the two tables, merges that the vocabulary does not hold left out."""
+    tokens = [bytes(r.token) for r in vocab.orderBy("token_id").collect()]
+    pairs = [(r.left_id, r.right_id) for r in known_merges(merges, vocab).orderBy("rank").collect()]
+    return Encoder(tokens, pairs, specials)
+
+
 def known_merges(merges: DataFrame, vocab: DataFrame) -> DataFrame:
     """(rank, left_id, right_id, merged_id) of the merges whose parts and result are all in the vocabulary."""
     token = lambda name: vocab.groupBy(F.col("token").alias(name)).agg(F.max("token_id").alias(f"{name}_id"))
