@@ -16,17 +16,35 @@ from millrace.functions.numeric import IGNORED
 RANGE = 100_000
 
 
+#: Ranges at most; from ``RANGE`` times as many rows on, ranges hold more rows, sorted with spilling.
+RANGES = 4096
+
+
+def ranges_of(df: DataFrame, ordinal: str, width: int = RANGE) -> Column:
+    """The number of a row's range: ranges of consecutive ordinals with about ``width`` rows each, however the values lie.
+
+    Bounds are approximate quantiles, found in one pass; a row finds its own by bisection. Any bounds give right results.
+    """
+    n = df.count()
+    parts = min(-(-n // width), RANGES)
+    if parts < 2:
+        return F.lit(0)
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(ordinal, shares, 10 * parts)).first()[0] or []))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    listed = F.array(*map(F.lit, bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when(F.get(listed, found + step - 1) <= F.col(ordinal), found + step).otherwise(found))
+
+
 def running_sum(df: DataFrame, value: str, ordinal: str, out: str = "before", width: int = RANGE) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows with a smaller ``ordinal`` (a unique long).
 
     Two levels: totals of ranges of about ``width`` rows are summed first, a table smaller by that factor; then each
-    range is summed on its own, so no task sees all rows. The ranges follow the ordinals' own extent and number. Only
+    range is summed on its own, so no task sees all rows. The ranges follow the quantiles of the ordinals. Only
     ordinals and values are summed; further columns meet the sums in one join.
     """
     slim = df.select(ordinal, value)
-    low, high, n = slim.agg(F.min(ordinal), F.max(ordinal), F.count(F.lit(1))).first()
-    span = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // width))))
-    ranged = slim.withColumn("_range", F.floor((F.col(ordinal) - F.lit(low or 0)) / F.lit(span)))
+    ranged = slim.withColumn("_range", ranges_of(slim, ordinal, width))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
     local = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -151,3 +151,22 @@ def test_numeric_against_numpy(spark):
     angle = 3 / 10000.0 ** (np.arange(0, 8, 2) / 8)
     even, odd = x[::2] * np.cos(angle) - x[1::2] * np.sin(angle), x[1::2] * np.cos(angle) + x[::2] * np.sin(angle)
     assert np.allclose(on(spark, x.tolist(), lambda v: numeric.rope(v, F.lit(3))), np.stack([even, odd], axis=1).ravel())
+
+
+def test_far_ordinals_leave_ranges_even(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") == 7, F.lit(1 << 60)).when(F.col("id") == 8, F.lit(-(1 << 61))).otherwise(F.col("id") * F.col("id")).alias("at"), F.lit(1).alias("one"))
+    sizes = [r["count"] for r in df.groupBy(sequence.ranges_of(df, "at", 1000).alias("r")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 1300
+    placed = sequence.running_sum(df, "one", "at", "place", 1000)
+    assert placed.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()[0:3] == (0, 39_999, 40_000)
+    order = [r.at for r in placed.orderBy("place").collect()]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("width", [1, 3, 10, 1000])
+def test_running_sum_in_ranges_of_any_width(spark, width):
+    rng = random.Random(width)
+    rows = sorted((rng.randrange(-(1 << 40), 1 << 40), rng.randrange(5)) for _ in range(60))
+    got = {r.at: r.before for r in sequence.running_sum(spark.createDataFrame(rows, "at long, n int"), "n", "at", width=width).collect()}
+    assert got == {at: sum(n for a, n in rows if a < at) for at, _ in rows}
+    assert sequence.running_sum(spark.createDataFrame([], "at long, n int"), "n", "at").count() == 0
