@@ -55,12 +55,16 @@ def keep_first(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 def first_per_group(df: DataFrame, group: str, k: int, *order: str | Column) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    Spark keeps k rows per group and task before the shuffle up to k = 1,000; beyond, each group is first ranked in
-    ``SALTS`` parts, so that no task sees more than a part of a hot group and then ``SALTS`` * k of its rows.
+    A task keeps ``k`` rows of each group before the shuffle, whatever k: Spark does so up to a threshold, which is raised for a
+    larger k. Beyond 1,000 rows the tasks' rows of a group first meet in ``SALTS`` parts, so that no task sees more than some
+    tasks' rows of a hot group and then ``SALTS`` * k.
     """
     if k > 1000:
+        threshold = "spark.sql.optimizer.windowGroupLimitThreshold"
+        conf = df.sparkSession.conf
+        conf.set(threshold, str(max(k, int(conf.get(threshold)))))
         part = Window.partitionBy(group, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_salt", "_rank")
+        df = df.withColumn("_salt", F.spark_partition_id() % SALTS).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_salt", "_rank")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import bpe, instruct, matrices, sequence
 from millrace.plans import corpus
 from millrace.plans.book import Book, scratch, table
-from millrace.sources import ranges, readers, shards
+from millrace.sources import arrays, ranges, readers, shards
 
 QUERIES = Book()
 _LINES = "unnest(string_split(text, chr(10)))"
@@ -154,8 +154,18 @@ def shard_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def npy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same shards as array files."""
     path = scratch(spark, "npy")
-    shards.write_npy(_stream(spark, sf_dir), path, 256)
-    return shards.read_npy(spark, path).groupBy("split", "shard_id").agg(F.sum(F.size("token_ids")).cast("long").alias("n_tokens"))
+    arrays.write_npy(_stream(spark, sf_dir), path, 256)
+    return arrays.read_npy(spark, path).groupBy("split", "shard_id").agg(F.sum(F.size("token_ids")).cast("long").alias("n_tokens"))
+
+
+@QUERIES.add("""WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'valid' ELSE 'train' END AS split, (doc_id // 256)::INTEGER AS shard_id, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents GROUP BY 1, 2)
+SELECT split, shard_id, start, md5(h[2 * start + 1 : 2 * start + 8192]) AS ids_md5 FROM (SELECT *, unnest(range(0, length(h) // 2, 4096)) AS start FROM s)""")
+def array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array files read in rows of 4,096 tokens, four rows a task."""
+    path = scratch(spark, "arrays")
+    arrays.write_npy(_stream(spark, sf_dir), path, 70_000)
+    code = F.md5(F.array_join(F.transform("token_ids", lambda i: F.lpad(F.hex(i), 2, "0")), ""))
+    return arrays.read_npy(spark, path, 4 * 4096, 4096).select("split", "shard_id", "start", code.alias("ids_md5"))
 
 
 @QUERIES.add("SELECT doc_id, n_chars FROM documents WHERE n_chars > 100")

@@ -1,13 +1,9 @@
-"""Token shards: Parquet tables partitioned by split and shard, and .npy files through a Python data source."""
+"""Token shards as Parquet tables partitioned by split and shard, vocabularies, and files of lines."""
 
 from __future__ import annotations
 
-import io
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,52 +19,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def npy_bytes(tokens: DataFrame, vocab_size: int) -> DataFrame:
-    """(split, shard_id, npy binary): each shard as the bytes of a one-dimensional array file."""
-    kind = "uint16" if vocab_size <= 65_535 else "uint32"
-
-    def each(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.sort_by("seq_no").column("token_ids").combine_chunks()
-        out = io.BytesIO()
-        np.save(out, rows.flatten().to_numpy(zero_copy_only=False).astype(kind))  # Arrow's own buffer, no Python numbers
-        return pa.table({"split": [key[0].as_py()], "shard_id": pa.array([key[1].as_py()], pa.int32()), "npy": [out.getvalue()]})
-
-    return tokens.groupBy("split", "shard_id").applyInArrow(each, "split string, shard_id int, npy binary")
-
-
-def write_npy(tokens: DataFrame, path: str, vocab_size: int, prefix: str = "tokens") -> None:
-    """Array files named <prefix>-<split>-all-shard<k>.npy at ``path``.
-
-    For programs that read such files: tasks make the bytes, the driver copies one shard at a time. ``write_shards`` is the sink for large corpora.
-    """
-    spark = tokens.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(fs_path(path))
-    packed = npy_bytes(tokens, vocab_size)
-    packed.select(F.concat(F.lit(prefix + "-"), "split", F.lit("-all-shard"), F.col("shard_id").cast("string"), F.lit(".npy")).alias("name"), F.col("npy").alias("content")).write.parquet(f"{path}/_staged")
-    for name, content in spark.read.parquet(f"{path}/_staged").toLocalIterator():  # one shard at a time
-        out = fs_path(f"{path}/{name}").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(fs_path(f"{path}/{name}"), True)
-        try:
-            out.write(bytes(content))
-        finally:
-            out.close()
-
-
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, split, shard_id, token_ids) of files named <prefix>-<split>-<lines>-shard<k>.npy, an error if there are none."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.load(io.BytesIO(b), allow_pickle=False).astype(np.int32) for b in batch.column(1).to_pylist()]
-            names = [re.search(r"-([a-z]+)-[^-]*-shard(\d+)\.npy$", p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m and m[1] for m in names], pa.string()), pa.array([m and int(m[2]) for m in names], pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["path", "split", "shard_id", "token_ids"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    if files.isEmpty():
-        raise FileNotFoundError(f"no token shards at {path}")
-    return files.mapInArrow(each, "path string, split string, shard_id int, token_ids array<int>")
-
-
 def vocabulary_table(spark: SparkSession, tokens: list[bytes]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(bytearray, tokens))), "token_id int, token binary")
 

@@ -170,3 +170,12 @@ def test_running_sum_in_ranges_of_any_width(spark, width):
     got = {r.at: r.before for r in sequence.running_sum(spark.createDataFrame(rows, "at long, n int"), "n", "at", width=width).collect()}
     assert got == {at: sum(n for a, n in rows if a < at) for at, _ in rows}
     assert sequence.running_sum(spark.createDataFrame([], "at long, n int"), "n", "at").count() == 0
+
+
+def test_large_quotas_limit_rows_before_the_shuffle(spark):
+    df = spark.range(0, 9000, numPartitions=3).select((F.col("id") % 2).alias("g"), F.col("id").alias("at"))
+    found = instruct.first_per_group(df, "g", 1200, "at")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert "WindowGroupLimit" in below and "1200" in below
+    assert sorted(r.at for r in found.collect()) == list(range(2400))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources import readers, shards
+from millrace.sources import arrays, readers, shards
 from millrace.streaming.dedup import stored, stream_new_rows
 
 
@@ -62,12 +62,28 @@ def test_shards(spark, tmp_path):
     tokens = spark.createDataFrame(rows, "split string, shard_id int, seq_no long, token_ids array<int>")
     shards.write_shards(tokens, str(tmp_path / "t"))
     assert shards.read_shards(spark, str(tmp_path / "t")).count() == 3
-    for r in shards.npy_bytes(tokens, 300).collect():
-        (tmp_path / "npy").mkdir(exist_ok=True)
-        (tmp_path / "npy" / f"own-{r.split}-all-shard{r.shard_id}.npy").write_bytes(r.npy)
-    assert np.load(tmp_path / "npy/own-train-all-shard0.npy").dtype == np.uint16
-    got = {r.split: r.token_ids for r in shards.read_npy(spark, str(tmp_path / "npy")).collect()}
-    assert got == {"train": [1, 2, 3, 4], "valid": [9]}
+    arrays.write_npy(tokens, str(tmp_path / "npy"), 300, "own")
+    assert sorted(p.name for p in (tmp_path / "npy").iterdir()) == ["own-train-all-shard0.npy", "own-valid-all-shard0.npy"]
+    whole = np.load(tmp_path / "npy/own-train-all-shard0.npy")
+    assert whole.dtype == np.uint16 and whole.tolist() == [1, 2, 3, 4]
+    got = sorted((r.split, r.shard_id, r.start, r.token_ids) for r in arrays.read_npy(spark, str(tmp_path / "npy"), 3, 2).collect())
+    assert got == [("train", 0, 0, [1, 2]), ("train", 0, 2, [3]), ("train", 0, 3, [4]), ("valid", 0, 0, [9])]
+
+
+def test_array_files_of_others_and_none(spark, tmp_path):
+    np.save(tmp_path / "x-train-5-shard3.npy", np.arange(70_000, 70_010, dtype=np.uint32))
+    np.save(tmp_path / "x-valid-5-shard4.npy", np.zeros(0, dtype=np.uint16))
+    got = {(r.split, r.shard_id): r.token_ids for r in arrays.read_npy(spark, str(tmp_path)).collect()}
+    assert got == {("train", 3): list(range(70_000, 70_010)), ("valid", 4): []}
+    with pytest.raises(Exception, match="no token shards"):
+        arrays.read_npy(spark, str(tmp_path / "none")).collect()
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    bad = spark.createDataFrame([("train", 0, 0, [1])], "split string, shard_id int, seq_no long, token_ids array<int>").withColumn("token_ids", F.transform("token_ids", lambda i: F.raise_error(F.lit("broken")).cast("int")))
+    with pytest.raises(Exception, match="broken"):
+        arrays.write_npy(bad, str(tmp_path / "npy"), 300)
+    assert list(tmp_path.rglob("*.npy")) == []
 
 
 def test_overwrite_jsonl(spark, tmp_path):
