@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import bpe, instruct, matrices, sequence
 from millrace.plans import corpus
 from millrace.plans.book import Book, scratch, table
-from millrace.sources import arrays, ranges, readers, shards
+from millrace.sources import arrays, ranges, readers, shards, tensors, versions
 
 QUERIES = Book()
 _LINES = "unnest(string_split(text, chr(10)))"
@@ -243,3 +243,58 @@ def global_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The norm of all vectors taken as one gradient, and the factor that clips it to 1."""
     v = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return matrices.clipped(v, 1.0).select(F.round("norm", 6).alias("norm"), F.round("factor", 9).alias("factor"))
+
+
+@QUERIES.add("SELECT doc_id, caption_index, doc_id % 20 = 0 AS found FROM documents, range(2) t(caption_index)")
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions with and without a file in a store, which holds one for each twentieth document."""
+    path = scratch(spark, "images")
+    stored = _docs(spark, sf_dir, F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image"), F.col("source").alias("value")).where("image like '%0.jpg'")
+    stored.where(F.substring_index("image", ".", 1).cast("long") % 20 == 0).write.partitionBy("image").text(path)
+    files = readers.listing(spark, path, "part-*").withColumn("image", F.regexp_extract("path", "image=([^/]+)/", 1))
+    rows = _docs(spark, sf_dir, "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("caption_index"))
+    both = readers.with_files(rows, files, "image", "image").withColumn("found", F.lit(True)).unionByName(readers.without_files(rows, files, "image", "image").withColumn("found", F.lit(False)))
+    return both.select("doc_id", "caption_index", "found")
+
+
+@QUERIES.add("SELECT doc_id, n_chars, 2::BIGINT AS version, 2 AS n_kept FROM documents")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a table, each with more rows; the last two are kept and the last is read."""
+    path = scratch(spark, "versions")
+    for part in range(3):
+        number = versions.commit(_docs(spark, sf_dir, "doc_id", "n_chars").where(F.col("doc_id") % 3 <= part), path, 2)
+    return versions.read_latest(spark, path).withColumn("version", F.lit(number).cast("long")).withColumn("n_kept", F.lit(len(versions.versions(spark, path))))
+
+
+def _tensors(spark: SparkSession, sf_dir: str) -> str:
+    """A file for each ten labels' vectors: a matrix of the label's rows, and its first two rows as an adapter's part."""
+    path = scratch(spark, "tensors")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = e.withColumn("row", rank).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    file, name = F.concat(F.lit("part"), (F.col("label") % 3).cast("string")), F.concat(F.lit("model.layer"), F.col("label").cast("string"))
+    shaped = lambda n: F.array(n.cast("long"), F.lit(64).cast("long")).alias("shape")
+    whole = rows.select(file.alias("file"), F.concat(name, F.lit(".weight")).alias("name"), shaped(F.col("n")), (F.col("row") * 64).cast("long").alias("start"), "values")
+    part = rows.where("row < 2").select(file.alias("file"), F.concat(name, F.when(F.col("label") % 2 == 0, ".A").otherwise(".B")).alias("name"), shaped(F.least("n", F.lit(2))), (F.col("row") * 64).cast("long").alias("start"), "values")
+    tensors.write_tensors(whole.union(part), path)
+    return path
+
+
+_LABELLED = "r AS (SELECT label, embedding, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row FROM embeddings)"
+
+
+@QUERIES.add(f"""WITH {_LABELLED}, u AS (SELECT 'layer' || label || '.weight' AS name, row * 64 + unnest(range(64)) AS spot, unnest(embedding)::DOUBLE AS v FROM r
+UNION ALL SELECT 'layer' || label || CASE WHEN label % 2 = 0 THEN '.A' ELSE '.B' END, row * 64 + unnest(range(64)), unnest(embedding)::DOUBLE FROM r WHERE row < 2)
+SELECT name, spot // 100 * 100 AS start, count(*)::INTEGER AS n, round(sum(v), 6) + 0.0 AS total FROM u GROUP BY 1, 2""")
+def tensor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors written by the executors and read in blocks of a hundred values; names lose the module they belong to."""
+    found = tensors.read_tensors(spark, _tensors(spark, sf_dir), 100)
+    bare = F.regexp_replace("name", "^model[.]", "")
+    return found.select(bare.alias("name"), "start", F.size("values").alias("n"), (F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6) + F.lit(0.0)).alias("total"))
+
+
+@QUERIES.add(f"WITH {_LABELLED}, c AS (SELECT label, count(*) * 64 AS whole, least(count(*), 2) * 64 AS part FROM r GROUP BY label) SELECT (sum(whole) + sum(part))::BIGINT AS total, sum(part)::BIGINT AS trainable, round(100 * sum(part) / (sum(whole) + sum(part)), 9) AS percent FROM c")
+def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters in all, those of adapters and their share, from the files' headers."""
+    headers = tensors.read_tensors(spark, _tensors(spark, sf_dir), values=False)
+    return tensors.parameter_counts(headers, tensors.is_adapter(F.col("name"))).withColumn("percent", F.round("percent", 9))

@@ -89,6 +89,23 @@ def caption_rows(rows: DataFrame, image_dir: str, splits: Sequence[str] = ("trai
     return each.select(F.concat_ws("/", F.lit(image_dir), "filename").alias("fn"), "filename", "img_id", "split", "caption_index", strip(F.col("caption")).alias("output")).where("output <> ''")
 
 
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, size) of the files below ``path``. Listing is Spark's own, in parallel for many folders; no file is opened,
+    and an empty one is not listed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+
+
+def with_files(rows: DataFrame, files: DataFrame, name: str, file: str = "name") -> DataFrame:
+    """Rows whose ``name`` is a file of the listing; ``without_files`` has the others."""
+    return rows.join(files.select(F.col(file).alias(name)).distinct(), name, "left_semi")
+
+
+def without_files(rows: DataFrame, files: DataFrame, name: str, file: str = "name") -> DataFrame:
+    """Rows whose ``name`` is null or no file of the listing."""
+    return rows.join(files.select(F.col(file).alias(name)).distinct(), name, "left_anti")
+
+
 def requests(spark: SparkSession, jobs: int, prompts: Sequence[str], per_job: int, first: int = 0) -> DataFrame:
     """(job, prompt): job i asks prompt i modulo their number, {n} filled in."""
     listed = F.array(*[F.lit(p.replace("{n}", str(per_job))) for p in prompts])
