@@ -1,12 +1,15 @@
 """Language identification with language-bitmask n-gram filters.
 
-The frequent character 4-grams of each language go into a bit-sliced Bloom filter: slice l, bit l of every row,
-is language l's filter, and the rows that an n-gram hashes to, and-ed, give all languages that contain it. Over
-a text, popcounts per language, less the false positives that the filter's fill predicts, decide.
+The character 4-grams that occur in two training documents or more of a language go into a bit-sliced Bloom filter: slice l,
+bit l of every row, is language l's filter, and the rows that an n-gram hashes to, and-ed, give all languages that contain it.
+Over a text, popcounts per language, less the false positives that the filter's fill predicts, decide. Rows are 64 bits wide at
+most; every 64 languages have a table of their own. A table has ``LEAST_ROWS`` rows, or as many as keep the fullest slice of
+all tables below a quarter, so it grows with the n-grams of the bounded sample alone.
 
 Defined cases: ``und`` and score 0 if the text is null or has no letter; a text without any known n-gram, and
 any tie, goes to the language with the most training documents, then the first name; empty tables give empty
-results; without any training document every text is ``und``.
+results; without any training document every text is ``und``; a row with a null id is never learned from and counts as not
+held out; very long texts are taken whole; repeated rows give a row each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare
+from millrace.llm.common import BROADCAST_ROWS, prepare
 from millrace.operators.instruct import first_per_group
 
 GRAM = 4
-#: Rows of the filter (a power of two), hash functions, most n-grams a language keeps.
-SLOTS, HASHES, GRAMS_PER_LANGUAGE = 1 << 20, 2, 40_000
+#: Rows of a filter at least (a power of two), hash functions, rows for each n-gram of the language that has most.
+LEAST_ROWS, HASHES, SPARE = 1 << 20, 2, 8
 #: The classifier is fitted on at most so many documents of each language, those with the smallest id hashes.
 FIT_DOCS = 2_000
-MAX_LANGUAGES = 63
+#: Languages of one table: the bits of a row.
+WIDE = 64
 #: Code points that are handled at a time.
 CHUNK = 1 << 20
 
@@ -65,9 +69,9 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
         tail = points[-(GRAM - 1) :]
 
 
-def rows_of(h: np.ndarray) -> list[np.ndarray]:
-    """The filter rows of each n-gram, one array for each hash function."""
-    return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+def rows_of(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The rows of each n-gram in a filter of 2 ** bits rows, one array for each hash function."""
+    return [((h >> np.uint64(bits * i)) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 class BitSlicedFilter:
@@ -75,24 +79,33 @@ class BitSlicedFilter:
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
-        kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-        self.table = np.zeros(SLOTS, dtype=kind)
-        for bit, hashes in enumerate(members):
-            for at in rows_of(hashes):
-                self.table[at] |= kind(1 << bit)
-        fill = np.array([np.count_nonzero(self.table & kind(1 << bit)) / SLOTS for bit in range(len(languages))])
-        self.false_rate = fill**HASHES
-        if kind is not np.uint64:
-            masks = np.arange(1 << (8 * self.table.itemsize))
-            self.bits = (masks[:, None] >> np.arange(len(languages))) & 1
+        self.bits = (max(LEAST_ROWS, SPARE * max((len(m) for m in members), default=0)) - 1).bit_length()
+        self.tables, false_rate = [], []
+        for first in range(0, len(languages), WIDE):
+            own = members[first : first + WIDE]
+            kind = np.uint8 if len(own) <= 8 else np.uint16 if len(own) <= 16 else np.uint64
+            table = np.zeros(1 << self.bits, dtype=kind)
+            for bit, hashes in enumerate(own):
+                for at in rows_of(hashes, self.bits):
+                    table[at] |= kind(1 << bit)
+            self.tables.append(table)
+            false_rate += [(np.count_nonzero(table & kind(1 << bit)) / len(table)) ** HASHES for bit in range(len(own))]
+        self.false_rate = np.array(false_rate)
 
     def popcounts(self, h: np.ndarray) -> np.ndarray:
-        mask = self.table[rows_of(h)[0]]
-        for at in rows_of(h)[1:]:
-            mask = mask & self.table[at]
-        if self.table.dtype != np.uint64:
-            return np.bincount(mask, minlength=len(self.bits)) @ self.bits
-        return np.array([np.count_nonzero(mask & np.uint64(1 << b)) for b in range(len(self.languages))])
+        """How many of the n-grams each language seems to contain."""
+        rows, out = rows_of(h, self.bits), []
+        for k, table in enumerate(self.tables):
+            mask = table[rows[0]]
+            for at in rows[1:]:
+                mask = mask & table[at]
+            n = min(WIDE, len(self.languages) - k * WIDE)
+            if table.dtype == np.uint64:
+                out.append(np.array([np.count_nonzero(mask & np.uint64(1 << b)) for b in range(n)]))
+            else:
+                found = np.bincount(mask, minlength=1)
+                out.append(found @ ((np.arange(len(found))[:, None] >> np.arange(n)) & 1))
+        return np.concatenate(out)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not any(c.isalpha() for c in text or ""):
@@ -111,17 +124,16 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """A filter learned from the rows where ``train`` holds and the language is known.
 
     At most ``fit_docs`` documents of each language are read; which ones depends on a hash of their ids alone,
-    chosen before any text is read. Raises beyond ``MAX_LANGUAGES``.
+    chosen before any text is read.
     """
     prepare(docs.sparkSession)
     slim = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    sizes = sorted(((r["n"], r["lang"]) for r in slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()), key=lambda r: (-r[0], r[1]))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = sorted(((r["n"], r["lang"]) for r in slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda r: (-r[0], r[1]))
     languages = [lang for _, lang in sizes]
     chosen = first_per_group(slim, "lang", fit_docs, F.xxhash64("id"), F.col("id")).select("id", "lang").distinct()
     texts = docs.where(train).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    texts = texts.join(F.broadcast(chosen), ["id", "lang"])  # at most fit_docs x MAX_LANGUAGES ids
+    few = fit_docs * len(languages) <= BROADCAST_ROWS  # ids at most
+    texts = texts.join(F.broadcast(chosen) if few else chosen, ["id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +144,13 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], ["lang", "gram"])
 
     counts = texts.select("text", "lang").mapInArrow(count, "lang string, gram long").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    table = first_per_group(counts, "lang", GRAMS_PER_LANGUAGE, -F.col("n"), F.col("gram")).select("lang", "gram").toArrow().to_pandas()
-    return BitSlicedFilter(languages, [table.loc[table["lang"] == lang, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for lang in languages])
+    table = counts.select("lang", "gram").toArrow().to_pandas()  # of the bounded sample
+    own = dict(tuple(table.groupby("lang")["gram"]))
+    return BitSlicedFilter(languages, [own[lang].to_numpy(dtype=np.int64).view(np.uint64) if lang in own else np.zeros(0, dtype=np.uint64) for lang in languages])
 
 
 def identify(docs: DataFrame, model: BitSlicedFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row. The filter is broadcast: SLOTS rows of 1 to 8 bytes."""
+    """(id, lang_pred, score) of every row. The filter is broadcast: rows of 1 to 8 bytes, 8 MB for 64 languages of 130,000 n-grams or fewer."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

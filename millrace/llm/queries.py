@@ -19,7 +19,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda doc_id: F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
     model = langid.fit(docs, ~held_out(F.col("doc_id")))
     found = langid.identify(docs, model)
-    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
