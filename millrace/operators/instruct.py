@@ -101,7 +101,7 @@ def merge_topics(parts: Mapping[str, DataFrame], limit: int = REASON_LIMIT) -> D
 def merge_tagged(rows: DataFrame, reason: int, limit: int = REASON_LIMIT) -> DataFrame:
     """``merge_topics`` of rows of all topics with their ``topic_order``; ``reason`` is that of the how/why topic.
 
-    A key stays with its first topic. Only the how/why topic needs the earlier keys before its limit: one anti-join,
+    The rows are read three times, so callers whose rules are dear store them first. A key stays with its first topic. Only the how/why topic needs the earlier keys before its limit: one anti-join,
     then one keep-first over everything.
     """
     others = rows.where(F.col("topic_order") != reason).withColumn("tier", F.lit(0))

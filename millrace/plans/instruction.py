@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import rules
 from millrace.functions import text as T
 from millrace.operators import instruct, sequence
-from millrace.plans.book import Book, table
+from millrace.plans.book import Book, scratch, table
+from millrace.sources.store import stored
 
 QUERIES = Book()
 BRANDS = ("acmebot",)
@@ -46,6 +47,22 @@ EXAMPLES = [
 ]
 
 
+class _Listed:
+    """The fixed word lists once more, so that the SQL does not share them with the rules."""
+
+    REFUSALS = ("i don't know", "i cant", "i can't")
+    FACTOID_STARTS = ("what ", "which ", "who ", "where ", "when ")
+    REASON_STARTS = ("how ", "why ")
+    REASON_TOPICS = ("stress", "anxiety", "depression", "dry skin", "face mask", "diet", "weight loss", "therapy", "doctor", "medical", "mental health", "sunburn", "sunscreen")
+    REASON_PHRASES = ("a good example", "the best way", "use a small amount", "small book", "strong, strong", "for a small", "a bread-like", "like a bread", "use a bread-like")
+    REASON_FALLBACK_STARTS = ("use ", "place ", "keep ")
+    FACT_PHRASES = ("my name is ", "her name is ", "his name is ", "i live in ", "i am from ", "my favorite ", "i work at ", "my dog is named ", "my cat is named ", "my hometown is ", "my school is ", "my job is ", "my car is ", "my city is ")
+    SLOT_VERBS = ("is", "are", "was", "were", "means", "called", "named", "lives", "works", "stands")
+    FORM_TAGS = ("one word only", "short phrase only", "one short sentence only")
+    FORM_PHRASES = ("the word", "the phrase", "a good example", "an example", "the answer is", "this means", "refers to", "is a word", "is a phrase", "for example")
+    PHRASE_VERBS = ("is", "are", "was", "were", "means", "called", "named", "lives", "works", "stands", "can", "will", "should")
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") + "'"
 
@@ -63,9 +80,9 @@ def _any(column: str, parts: tuple[str, ...], how: str = "contains") -> str:
 
 
 _NEAR = "(len(w) >= {least} AND len(list_filter(range(1, len(w) - 1), lambda k: w[k] = w[k + 1] OR w[k] = w[k + 2])) > 0)"
-_COMMON = f"(instruction <> '' AND output <> '' AND ni BETWEEN 3 AND 40 AND NOT ends_with(output, '?') AND NOT {_any('li', BRANDS)} AND NOT {_any('lo', BRANDS)} AND NOT {_any('lo', rules.REFUSALS)})"
+_COMMON = f"(instruction <> '' AND output <> '' AND ni BETWEEN 3 AND 40 AND NOT ends_with(output, '?') AND NOT {_any('li', BRANDS)} AND NOT {_any('lo', BRANDS)} AND NOT {_any('lo', _Listed.REFUSALS)})"
 _NO_YES = "NOT (starts_with(lo, 'yes') OR starts_with(lo, 'no'))"
-_TOPICS = f"NOT starts_with(li, 'how to ') AND NOT {_any('li', rules.REASON_TOPICS)} AND NOT {{phrases}}"
+_TOPICS = f"NOT starts_with(li, 'how to ') AND NOT {_any('li', _Listed.REASON_TOPICS)} AND NOT {{phrases}}"
 _PUNCT = """regexp_matches(output, '[.!?,:;"()]')"""
 
 
@@ -75,10 +92,10 @@ def _verbs(words: tuple[str, ...]) -> str:
 
 _WORDS = "regexp_extract_all(lo, '[a-z]+')"
 _RULES = {
-    "factoid_short": f"({_any('li', rules.FACTOID_STARTS, 'starts_with')} AND no BETWEEN 2 AND 18 AND {_NO_YES})",
-    "how_why_short": f"({_any('li', rules.REASON_STARTS, 'starts_with')} AND no BETWEEN 6 AND 28 AND {_NO_YES} AND {_TOPICS.format(phrases=_any('lo', rules.REASON_PHRASES))} AND NOT {_NEAR.format(least=6)})",
-    "slot_following": f"(({_any('li', tuple(' ' + p for p in rules.FACT_PHRASES))} OR {_any('li', rules.FACT_PHRASES, 'starts_with')}) AND no BETWEEN 1 AND 4 AND {_NO_YES} AND NOT {_PUNCT} AND NOT {_verbs(rules.SLOT_VERBS)})",
-    "short_form_answer": f"({_any('li', rules.FORM_TAGS)} AND NOT {_any('lo', rules.FORM_PHRASES)} AND (NOT contains(li, 'one word only') OR (no = 1 AND NOT {_PUNCT})) AND (NOT contains(li, 'short phrase only') OR (no BETWEEN 1 AND 4 AND NOT {_PUNCT} AND NOT {_verbs(rules.PHRASE_VERBS)})) AND (NOT contains(li, 'one short sentence only') OR (no BETWEEN 4 AND 10 AND NOT regexp_matches(output, '[?!]'))))",
+    "factoid_short": f"({_any('li', _Listed.FACTOID_STARTS, 'starts_with')} AND no BETWEEN 2 AND 18 AND {_NO_YES})",
+    "how_why_short": f"({_any('li', _Listed.REASON_STARTS, 'starts_with')} AND no BETWEEN 6 AND 28 AND {_NO_YES} AND {_TOPICS.format(phrases=_any('lo', _Listed.REASON_PHRASES))} AND NOT {_NEAR.format(least=6)})",
+    "slot_following": f"(({_any('li', tuple(' ' + p for p in _Listed.FACT_PHRASES))} OR {_any('li', _Listed.FACT_PHRASES, 'starts_with')}) AND no BETWEEN 1 AND 4 AND {_NO_YES} AND NOT {_PUNCT} AND NOT {_verbs(_Listed.SLOT_VERBS)})",
+    "short_form_answer": f"({_any('li', _Listed.FORM_TAGS)} AND NOT {_any('lo', _Listed.FORM_PHRASES)} AND (NOT contains(li, 'one word only') OR (no = 1 AND NOT {_PUNCT})) AND (NOT contains(li, 'short phrase only') OR (no BETWEEN 1 AND 4 AND NOT {_PUNCT} AND NOT {_verbs(_Listed.PHRASE_VERBS)})) AND (NOT contains(li, 'one short sentence only') OR (no BETWEEN 4 AND 10 AND NOT regexp_matches(output, '[?!]'))))",
 }
 _SPLIT = f", ruled AS (SELECT *, {_WORDS} AS w FROM clean)"
 
@@ -121,9 +138,31 @@ def sft_rules_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(spark, sf_dir).select("ordinal", rules.common(i, o, BRANDS).alias("passes"))
 
 
+#: Questions of every topic around the first words of each conversation's turns, answered with the first words of the reply.
+FRAMES = [
+    ("What of ", ""), ("Who told you: ", ""), ("How come ", ""), ("Why did ", ""), ("Well, my job is odd. ", ""), ("I live in Rome near ", ""), ("You see, my city is far. ", ""), ("I work at ", ""), ("Complete ", " (one word only)"), ("Complete ", " (short phrase only)"),
+    ("Complete ", " (one short sentence only)"),
+]
+_FRAMED = f"""base AS (SELECT conv_id, turn, string_split({_LINE.format('instruction')}, ' ') AS i, string_split({_LINE.format('output')}, ' ') AS o FROM pairs),
+framed AS (SELECT 1000000000 + (conv_id * 1000 + turn) * 16 + k AS ordinal, [{', '.join(_quoted(a) for a, _ in FRAMES)}][k + 1] || array_to_string(i[1 : 1 + (conv_id + turn + k) % 5], ' ') || [{', '.join(_quoted(b) for _, b in FRAMES)}][k + 1] AS instruction,
+  CASE WHEN (conv_id + k) % 11 = 0 THEN 'No, ' ELSE '' END || array_to_string(o[1 : 1 + (conv_id * 3 + turn * 7 + k * 5) % CASE WHEN k < 4 THEN 24 ELSE 6 END], ' ') || ['.', '?', '', ''][1 + (conv_id + turn) % 4] AS output FROM base, range({len(FRAMES)}) t(k))"""
+_CLEAN_FRAMED = _CLEAN.replace(", clean AS (", f", {_FRAMED}, clean AS (").replace("FROM every)", "FROM (SELECT * FROM every UNION ALL SELECT ordinal, instruction, output FROM framed))")
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: F.split(T.one_line(F.col(c)), " ", -1)
+    pairs = _pairs(spark, sf_dir).select("conv_id", "turn", words("instruction").alias("i"), words("output").alias("o"), F.explode(F.array(*map(F.lit, range(len(FRAMES))))).alias("k"))
+    pick = lambda options, n: F.get(F.array(*map(F.lit, options)), n.cast("int"))
+    first = lambda c, n: F.array_join(F.slice(c, F.lit(1), (n + 1).cast("int")), " ")
+    c, t, k = F.col("conv_id"), F.col("turn"), F.col("k")
+    asked = F.concat(pick([a for a, _ in FRAMES], k), first("i", (c + t + k) % 5), pick([b for _, b in FRAMES], k))
+    told = F.concat(F.when((c + k) % 11 == 0, "No, ").otherwise(""), first("o", (c * 3 + t * 7 + k * 5) % F.when(k < 4, 24).otherwise(6)), pick([".", "?", "", ""], (c + t) % 4))
+    return pairs.select((F.lit(1_000_000_000) + (c * 1000 + t) * 16 + k).alias("ordinal"), asked.alias("instruction"), told.alias("output"))
+
+
 def _kind(topic: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return instruct.generated(_every(spark, sf_dir), topic, BRANDS).select("ordinal", "instruction", "output", "task", "topic", "split_key")
+        return instruct.generated(_every(spark, sf_dir).union(_framed(spark, sf_dir)), topic, BRANDS).select("ordinal", "instruction", "output", "task", "topic", "split_key")
 
     query.__name__ = f"sft_rules_{topic}"
     return query
@@ -131,7 +170,7 @@ def _kind(topic: str):
 
 _GENERATED = "SELECT ordinal, instruction, output, 'assistant_qa' AS task, '{0}' AS topic, sha1('assistant_qa:{0}:' || li) AS split_key FROM ruled WHERE {1} AND {2}"
 for _topic, _rule in _RULES.items():
-    QUERIES.add(f"WITH {_CLEAN}{_SPLIT} {_GENERATED.format(_topic, _COMMON, _rule)}")(_kind(_topic))
+    QUERIES.add(f"WITH {_CLEAN_FRAMED}{_SPLIT} {_GENERATED.format(_topic, _COMMON, _rule)}")(_kind(_topic))
 
 
 @QUERIES.add(f"WITH {_CLEAN}{_SPLIT} SELECT ordinal, {_NEAR.format(least=3)} AS repeats FROM ruled")
@@ -139,8 +178,8 @@ def near_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(spark, sf_dir).select("ordinal", rules.near_repeat(T.one_line(F.col("output"))).alias("repeats"))
 
 
-_AGAIN = f"({_TOPICS.format(phrases=_any('lower(output)', rules.REASON_PHRASES[:-1])).replace('li', 'lower(instruction)')} AND NOT {_NEAR.format(least=3)})"
-_TIER = f"{_any('lower(output)', rules.REASON_FALLBACK_STARTS, 'starts_with')}::INTEGER"
+_AGAIN = f"({_TOPICS.format(phrases=_any('lower(output)', _Listed.REASON_PHRASES[:-1])).replace('li', 'lower(instruction)')} AND NOT {_NEAR.format(least=3)})"
+_TIER = f"{_any('lower(output)', _Listed.REASON_FALLBACK_STARTS, 'starts_with')}::INTEGER"
 
 
 @QUERIES.add(f"WITH {_CLEAN}{_SPLIT}, made AS ({_GENERATED.replace('SELECT ', 'SELECT w, ', 1).format('how_why_short', _COMMON, _RULES['how_why_short'])}) SELECT ordinal, {_TIER} AS tier, split_key FROM made WHERE {_AGAIN} ORDER BY tier, split_key, ordinal LIMIT 3")
@@ -163,7 +202,7 @@ def _merged() -> str:
 
 @QUERIES.add(_merged())  # keys hold the topic, so no key occurs under two topics
 def merge_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = instruct.generated_all(_every(spark, sf_dir), BRANDS)
+    made = stored(instruct.generated_all(_every(spark, sf_dir), BRANDS), scratch(spark, "made"))  # the merge reads it three times
     return instruct.merge_tagged(made, list(rules.KINDS).index("how_why_short")).select("ordinal", "split_key", "topic", "topic_order")
 
 

@@ -38,11 +38,17 @@ def split_by_column(df: DataFrame, tag: str, train: str = "train") -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
-    """(path, line_no, text) of text files, the newline kept; the first ``limit`` lines by path and place, all if negative."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.concat("value", F.lit("\n")).alias("text"))
-    if limit >= 0:
-        rows = rows.orderBy("path", "id").limit(limit)
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("id")) - 1).select("path", "line_no", "text")
+    """(path, line_no, text) of text files, the newline kept; the first ``limit`` lines by path and place, all if negative.
+
+    Lines are numbered where they are read: within a split by their place, after the lines of the file's earlier splits, which a
+    table of a row a split tells. A large file is as many tasks as it has splits.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.concat("value", F.lit("\n")).alias("text"))
+    splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = rows.join(splits, ["path", "split"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "text")
+    return numbered if limit < 0 else numbered.orderBy("path", "line_no").limit(limit)
 
 
 def separated_texts(spark: SparkSession, path: str, separator: str = END) -> DataFrame:

@@ -51,6 +51,24 @@ def test_captions(spark, tmp_path):
     assert [(r.fn, r.caption_index, r.output) for r in got] == [("img/1.jpg", 0, "a"), ("img/1.jpg", 1, "b")]
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = {f"{k}.txt": [f"{i} " + "x" * int(rng.integers(0, 90)) for i in range(n)] for k, n in enumerate((900, 0, 1, 300))}
+    for name, own in texts.items():
+        (tmp_path / name).write_text("".join(t + "\n" for t in own))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = readers.lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = sorted((r.path[-5:], r.line_no, r.text) for r in found.collect())
+        first = readers.lines(spark, str(tmp_path), 902).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(name, i, t + "\n") for name, own in texts.items() for i, t in enumerate(own)]
+    assert got == sorted(want) and sorted((r.path[-5:], r.line_no, r.text) for r in first) == sorted(want[:902])
+
+
 def test_completions_replay(spark):
     asked = readers.requests(spark, 3, ["ask {n}", "fail"], 5)
     answers = readers.completions(asked, lambda p: '{"items": [{"instruction": "%s", "output": "y"}]}' % p if p != "fail" else 1 / 0)
