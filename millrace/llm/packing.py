@@ -8,8 +8,8 @@ filled bins at once and equals item-by-item best fit. Each item then finds its b
 of its length.
 
 Defined cases: a document longer than the largest size is cut into pieces of that size and a rest; one without
-tokens, or with a null text, keeps a row with n_tokens 0 and no bin; repeated rows are packed once each; an empty
-table gives an empty result.
+tokens, or with a null text, keeps a row with n_tokens 0 and no bin; repeated rows are packed once each; a null id is packed
+like any other; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from millrace.llm.common import cut, prepare
 SIZES = (512, 1024, 2048, 4096)
 #: Cost of a bin of c tokens: OVERHEAD + c + c * c / ATTENTION.
 OVERHEAD, ATTENTION = 64.0, 65536.0
-#: Salts by which items of one length are ranked apart.
-SALTS = 64
+#: Salts by which items of one length are ranked apart, at least, and items of the most frequent length to a salt.
+SALTS, SALT_ROWS = 64, 1 << 20
 
 
 def cost(size: int) -> float:
@@ -117,9 +117,10 @@ def pack(items: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
     n = F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0))
     pieces = items.select("doc_id", n.alias("all")).select("doc_id", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / largest), F.lit(1)).cast("int") - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * F.lit(largest)).cast("long").alias("first_token"), F.least(F.lit(largest), F.col("all") - F.col("piece") * F.lit(largest)).cast("long").alias("n_tokens"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    by_length = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = max(SALTS, -(-max(by_length.values(), default=0) // SALT_ROWS))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-    by_length = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     made = plan(by_length, sizes)
     before = counts.select("n_tokens", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     order = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from millrace.llm import packing
 from tests.llm.helpers import clashing, docs, odd_docs
 
@@ -76,3 +78,11 @@ def test_odd_and_empty(spark):
     assert sum(r.n_tokens for r in got) == 7 * 3 + 60_000 + 1 + 4
     assert {r.doc_id for r in got if r.bin_id is None} == {1, 2, 3}
     assert packing.pack_documents(odd.limit(0)).count() == 0
+
+
+def test_many_items_of_a_length_take_more_salts(spark, monkeypatch):
+    items = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(300).alias("n_tokens"))
+    few = sorted((r.bin_id, r.bin_offset) for r in packing.pack(items).collect())
+    monkeypatch.setattr(packing, "SALT_ROWS", 10)
+    many = sorted((r.bin_id, r.bin_offset) for r in packing.pack(items).collect())
+    assert few == many and len(set(many)) == 3000
