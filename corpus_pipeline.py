@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, packing, pii, simhash, toxicity
 from millrace.llm.common import prepare, read
+from millrace.sources.store import passing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder, where it stays until the driver ends, and read again."""
     prepare(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = passing(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}")
     docs = read(spark, sf_dir, "documents")
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}-{name}"

@@ -7,8 +7,8 @@ into the stored ones.
 Outcomes: ``resolved``; ``no_response`` (nothing earlier, or the URL is null); ``validator_mismatch``;
 ``no_validator`` (the two share neither an ETag nor a Last-Modified). Defined cases: at one instant a response
 comes before a revisit and a smaller record id before a larger; rows without a date are never sources and stay
-unresolved; repeated rows resolve each on their own; an empty table gives an empty result; further columns are
-ignored.
+unresolved; repeated rows resolve each on their own; a null record id comes before others at one instant and stays null; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare
+from millrace.llm.common import BROADCAST_ROWS, cut, prepare
 
 #: Header fields of a 304 that replace stored ones (fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Captures of one URL are joined in blocks of so many seconds, so that a hot URL spreads over tasks.
-BLOCK_SECONDS = 86_400
+#: Captures of one URL are joined in blocks of so many seconds; a block with more captures than ``BLOCK_ROWS`` is cut evenly into as many
+#: parts as leave about so many to each, so that a hot URL spreads over tasks.
+BLOCK_SECONDS, BLOCK_ROWS = 86_400, 100_000
 RECORD = "record_id long, warc_type string, target_uri string, warc_date timestamp, status int, headers map<string,string>, payload binary"
 
 
@@ -44,7 +45,19 @@ def etag_value(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def in_blocks(slim: DataFrame, seconds: int, most: int) -> DataFrame:
+    """``slim`` (url, at, ...) with ``block``, a number that grows with time: days, or parts of a day where a URL has more rows in it."""
+    width = seconds * 1_000_000
+    day = F.floor(F.unix_micros("at") / F.lit(width))
+    dense = slim.groupBy(F.col("url").alias("_url"), day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    dense = cut(dense.select("_url", "_day", F.ceil(F.col("_n") / most).alias("_parts")))
+    few = dense.count() <= BROADCAST_ROWS
+    joined = slim.join(F.broadcast(dense) if few else dense, (F.col("url") == F.col("_url")) & (day == F.col("_day")), "left")
+    part = F.floor(F.pmod(F.unix_micros("at"), F.lit(width)) * F.coalesce("_parts", F.lit(1)) / width)
+    return joined.withColumn("block", F.struct(day.alias("day"), part.alias("part"))).drop("_url", "_day", "_parts")
+
+
+def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each not-modified revisit: (record_id, source_id, outcome, headers, payload_length, payload_sha256).
 
     Only slim columns are shuffled; the payload itself is at ``source_id``, see ``with_payload``.
@@ -55,7 +68,7 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
         "record_id", full.alias("full"), canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").alias("at"), "headers",
         F.octet_length("payload").alias("payload_length"), F.sha2("payload", 256).alias("payload_sha256"),
     )
-    slim = slim.withColumn("block", F.floor(F.unix_micros("at") / F.lit(block_seconds * 1_000_000)))
+    slim = in_blocks(slim, block_seconds, block_rows)
     source = F.when(F.col("full") & F.col("at").isNotNull(), F.struct(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "payload_length", "payload_sha256"))
     usable = slim.where(F.col("url").isNotNull() & F.col("at").isNotNull())
     order = [F.col("at"), F.desc("full"), F.col("record_id")]

@@ -34,8 +34,8 @@ def test_canonical_url(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical_url(F.col("u"))).first()[0] == want
 
 
-@pytest.mark.parametrize("block", [60, 3600, 10**9])
-def test_as_of_join(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(60, 100_000), (3600, 7), (10**9, 20), (10**9, 100_000)])
+def test_as_of_join(spark, block, most):
     rng = random.Random(9)
     rows = []
     for i in range(300):
@@ -45,7 +45,7 @@ def test_as_of_join(spark, block):
         url = None if rng.random() < 0.03 else rng.choice(["http://a.com/", "https://www.a.com", "http://b.com/x"])
         rows.append((i, kind, url, at, {"response": rng.choice([200, 200, 404]), "revisit": 304}.get(kind), headers, bytearray(str(i).encode())))
     df = spark.createDataFrame(rows, warc.RECORD).repartition(4)
-    got = {r.record_id: r for r in warc.resolve_revisits(df, block).collect()}
+    got = {r.record_id: r for r in warc.resolve_revisits(df, block, most).collect()}
     canonical = {"http://a.com/": "a", "https://www.a.com": "a", "http://b.com/x": "b", None: None}
     revisits = [r for r in rows if r[1] == "revisit"]
     assert set(got) == {r[0] for r in revisits}
@@ -61,7 +61,7 @@ def test_as_of_join(spark, block):
         assert got[i].outcome == want
         if want == "resolved":
             assert got[i].headers == {"etag": headers["etag"], "date": headers["date"], "x-own": source[5]["x-own"]}
-    resolved = warc.with_payload(warc.resolve_revisits(df, block), df).collect()
+    resolved = warc.with_payload(warc.resolve_revisits(df, block, most), df).collect()
     assert all(bytes(r.payload) == str(r.source_id).encode() for r in resolved)
 
 
@@ -84,3 +84,19 @@ def test_odd_and_empty(spark):
     rows = [(1, "revisit", None, None, 304, None, None), (2, None, None, None, None, None, None), (3, "revisit", "a.com", START, 304, None, None), (3, "revisit", "a.com", START, 304, None, None)]
     df = spark.createDataFrame(rows, warc.RECORD).withColumn("url", F.lit(1)).withColumn("source", F.lit(2)).withColumn("outcome", F.lit(3))
     assert [r.outcome for r in warc.resolve_revisits(df).collect()] == ["no_response"] * 3
+
+
+def test_a_hot_day_is_many_blocks_in_order(spark):
+    rows = spark.range(5000).select(F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 17 % 86_400).alias("at"))
+    parts = warc.in_blocks(rows.union(spark.createDataFrame([(None, None), ("v", START)], "url string, at timestamp")), 86_400, 100).where("url = 'u'")
+    sizes = parts.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("block").collect()
+    assert len(sizes) == 50 and max(r.n for r in sizes) < 200
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+
+
+def test_clashing_columns(spark):
+    from tests.llm.helpers import clashing
+
+    rows = [(1, "response", "a.com", START, 200, {"etag": "x"}, bytearray(b"p")), (None, "revisit", "a.com", START, 304, {"etag": "x"}, None)]
+    df = clashing(spark.createDataFrame(rows, warc.RECORD)).withColumns({c: F.lit("q") for c in ("block", "full", "at", "_n", "_url", "_day", "_parts", "local", "carried")})
+    assert [(r.record_id, r.source_id, r.outcome) for r in warc.resolve_revisits(df).collect()] == [(None, 1, "resolved")]
