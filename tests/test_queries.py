@@ -1,5 +1,12 @@
 """Every registered query with SQL agrees with DuckDB on the smallest tables."""
 
+import os
+import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from millrace.plans import registry
@@ -28,9 +35,25 @@ def test_ngram_ban_against_brute_force(spark, sf):
         assert (row.banned or "") == ",".join(map(str, want))
 
 
-def test_entry_imports_without_the_llm_part(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["pretoken", "freq"]
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_imports_without_the_llm_part(tmp_path):
+    """In a copy of the library from which the subpackage and the pipeline are gone."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    told = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
+    found = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert found.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLE_SQL)), "False"], found.stderr
+
+
+def test_every_query_reads_a_table():
+    """No query is made of literals alone: each reads a table by name, or goes through another query that does."""
+    literal = {name for name, sql in registry.ORACLE_SQL.items() if not any(re.search(rf"\b{t}\b", sql) for t in ("documents", "conversations", "embeddings", "events", "pages", "benchmark", "labels", "orders", "lineitem"))}
+    assert literal == set()
