@@ -182,10 +182,10 @@ _AGAIN = f"({_TOPICS.format(phrases=_any('lower(output)', _Listed.REASON_PHRASES
 _TIER = f"{_any('lower(output)', _Listed.REASON_FALLBACK_STARTS, 'starts_with')}::INTEGER"
 
 
-@QUERIES.add(f"WITH {_CLEAN}{_SPLIT}, made AS ({_GENERATED.replace('SELECT ', 'SELECT w, ', 1).format('how_why_short', _COMMON, _RULES['how_why_short'])}) SELECT ordinal, {_TIER} AS tier, split_key FROM made WHERE {_AGAIN} ORDER BY tier, split_key, ordinal LIMIT 3")
+@QUERIES.add(f"WITH {_CLEAN_FRAMED}{_SPLIT}, made AS ({_GENERATED.replace('SELECT ', 'SELECT w, ', 1).format('how_why_short', _COMMON, _RULES['how_why_short'])}) SELECT ordinal, {_TIER} AS tier, split_key FROM made WHERE {_AGAIN} ORDER BY tier, split_key, ordinal LIMIT 150")
 def how_why_tier_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = instruct.generated(_every(spark, sf_dir), "how_why_short", BRANDS)
-    return instruct.reason_order(made, 3).select("ordinal", "tier", "split_key")
+    made = instruct.generated(_every(spark, sf_dir).union(_framed(spark, sf_dir)), "how_why_short", BRANDS)
+    return instruct.reason_order(made, 150).select("ordinal", "tier", "split_key")
 
 
 def _merged() -> str:
@@ -197,12 +197,12 @@ def _merged() -> str:
             rows = f"SELECT ordinal, split_key, topic, {_TIER} AS tier FROM m_{topic} WHERE {_AGAIN} ORDER BY tier, split_key, ordinal LIMIT 2500"
         steps.append(f"f_{topic} AS (SELECT arg_min(ordinal, (tier, ordinal)) AS ordinal, split_key, '{topic}' AS topic, {k} AS topic_order FROM ({rows}) GROUP BY split_key)")
         parts.append(f"SELECT * FROM f_{topic}")
-    return f"WITH {_CLEAN}{_SPLIT}, {', '.join(made.values())}, {', '.join(steps)} {' UNION ALL '.join(parts)}"
+    return f"WITH {_CLEAN_FRAMED}{_SPLIT}, {', '.join(made.values())}, {', '.join(steps)} {' UNION ALL '.join(parts)}"
 
 
 @QUERIES.add(_merged())  # keys hold the topic, so no key occurs under two topics
 def merge_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = stored(instruct.generated_all(_every(spark, sf_dir), BRANDS), scratch(spark, "made"))  # the merge reads it three times
+    made = stored(instruct.generated_all(_every(spark, sf_dir).union(_framed(spark, sf_dir)), BRANDS), scratch(spark, "made"))  # the merge reads it three times
     return instruct.merge_tagged(made, list(rules.KINDS).index("how_why_short")).select("ordinal", "split_key", "topic", "topic_order")
 
 
@@ -216,9 +216,9 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", (F.col("conv_id") * 100000 + F.col("turn")).alias("place"), prompt.alias("prompt"), whole.alias("full"))
 
 
-@QUERIES.add(f"WITH {_SIZED} SELECT conv_id, turn, (n_prompt + n_out + 1)::INTEGER AS n_full FROM sized WHERE n_prompt + n_out + 1 <= 256")
+@QUERIES.add(f"WITH {_SIZED} SELECT conv_id, turn, (n_prompt + n_out + 1)::INTEGER AS n_full FROM sized WHERE n_prompt + n_out + 1 <= 1024")
 def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).select("conv_id", "turn", F.size("full").alias("n_full")).where(F.col("n_full") <= 256)
+    return _tokens(spark, sf_dir).select("conv_id", "turn", F.size("full").alias("n_full")).where(F.col("n_full") <= 1024)
 
 
 @QUERIES.add(f"WITH {_SIZED} SELECT conv_id, turn, n_prompt::INTEGER AS n_ignored, md5(repeat('-666 ', n_prompt) || array_to_string(list_transform(range(1, n_out + 1), lambda i: ('0x' || hex(encode(o))[2 * i - 1 : 2 * i])::INTEGER || ' '), '') || '256 ') AS labels_md5 FROM sized")
@@ -228,6 +228,13 @@ def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).select("conv_id", "turn", F.size("prompt").alias("n_ignored"), F.md5(text).alias("labels_md5"))
 
 
+@QUERIES.add(f"WITH {_SIZED} SELECT conv_id, turn, 8 + n_prompt::INTEGER AS n_ignored, (8 + n_prompt + n_out + 1)::INTEGER AS n_labels FROM sized")
+def prefix_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of examples behind eight places that stand for an image."""
+    labels = sequence.label_mask(F.col("prompt"), F.col("full"), 8)
+    return _tokens(spark, sf_dir).select("conv_id", "turn", labels.alias("l")).select("conv_id", "turn", F.size(F.filter("l", lambda x: x == sequence.IGNORED)).alias("n_ignored"), F.size("l").alias("n_labels"))
+
+
 @QUERIES.add(f"WITH {_SIZED}, b AS (SELECT *, (row_number() OVER (ORDER BY place) - 1) // 8 AS batch FROM sized) SELECT batch::BIGINT AS batch, count(*) AS n_rows, max(n_prompt + n_out + 1)::INTEGER AS width, (count(*) * max(n_prompt + n_out + 1) - sum(n_prompt + n_out + 1))::BIGINT AS n_padding FROM b GROUP BY batch")
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequence.running_sum(_tokens(spark, sf_dir).withColumn("one", F.lit(1)), "one", "place", "row").withColumn("batch", sequence.batch_of(F.col("row"), 8))
