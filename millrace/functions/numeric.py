@@ -179,3 +179,20 @@ def decoded(
     start = F.struct(prompt.cast("array<int>").alias("tokens"), F.lit(False).alias("done")).cast(kind)
     whole = F.aggregate(F.sequence(F.lit(1), F.lit(max(steps, 1))), start, step, lambda s: s["tokens"]) if steps > 0 else prompt.cast("array<int>")
     return F.slice(whole, F.size(prompt) + 1, F.lit(max(steps, 1)))
+
+
+def adamw(w: Column, g: Column, m: Column, v: Column, t: Column, rate: float = 1e-3, decay: float = 1e-3, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8) -> Column:
+    """struct<w, m, v> after step ``t`` (from 1) on arrays of weights, gradients and both moments.
+
+    Weights shrink by rate * decay first and then move by the corrected rate along m / (sqrt(v) + eps).
+    """
+    one, two = betas
+    first = F.zip_with(m, g, lambda a, b: a * one + b * (1 - one))
+    second = F.zip_with(v, g, lambda a, b: a * two + b * b * (1 - two))
+    corrected = F.lit(rate) * F.sqrt(1 - F.pow(F.lit(two), t)) / (1 - F.pow(F.lit(one), t))
+
+    def moved(m: Column, v: Column) -> Column:
+        step = F.zip_with(m, v, lambda a, b: a / (F.sqrt(b) + eps))
+        return F.zip_with(w, step, lambda x, s: x - x * (rate * decay) - s * corrected)
+
+    return let(first, lambda a: let(second, lambda b: F.struct(moved(a, b).alias("w"), a.alias("m"), b.alias("v"))))

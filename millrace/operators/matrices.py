@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.numeric import clip_factor
+from millrace.functions.numeric import adamw, clip_factor
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -161,3 +161,19 @@ def causal_attention(rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"context": frame["context"], "position": frame["position"], "out": list(out)})
 
     return rows.groupBy("context").applyInPandas(each, "context long, position long, out array<double>")
+
+
+def parameters(blocks: DataFrame) -> DataFrame:
+    """(name, start, w, m, v, t) of blocks (name, start, values): weights with zero moments, before any step."""
+    zeros = F.transform("values", lambda x: F.lit(0.0))
+    return blocks.select("name", "start", F.col("values").alias("w"), zeros.alias("m"), zeros.alias("v"), F.lit(0).alias("t"))
+
+
+def optimizer_step(params: DataFrame, gradients: DataFrame, rate: float = 1e-3, decay: float = 1e-3, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8) -> DataFrame:
+    """``params`` after one AdamW step with ``gradients`` (name, start, g); a block without a gradient stays as it is.
+
+    Blocks meet their gradients in one join; both tables may be written bucketed by name and start, and then nothing is shuffled.
+    """
+    both = params.join(gradients.select("name", "start", "g"), ["name", "start"], "left")
+    now = F.when(F.col("g").isNull(), F.struct("w", "m", "v")).otherwise(adamw(F.col("w"), F.col("g"), F.col("m"), F.col("v"), F.col("t") + 1, rate, decay, betas, eps))
+    return both.select("name", "start", now.alias("s"), (F.col("t") + F.col("g").isNotNull().cast("int")).alias("t")).select("name", "start", "s.w", "s.m", "s.v", "t")

@@ -298,3 +298,16 @@ def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters in all, those of adapters and their share, from the files' headers."""
     headers = tensors.read_tensors(spark, _tensors(spark, sf_dir), values=False)
     return tensors.parameter_counts(headers, tensors.is_adapter(F.col("name"))).withColumn("percent", F.round("percent", 9))
+
+
+@QUERIES.add("""WITH r AS (SELECT doc_id AS ordinal, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN page_id || '.png' WHEN 2 THEN 'none.png' ELSE page_id || '.png' END AS image, CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END AS text,
+  doc_id % 97 = 96 AND doc_id * 10 > (SELECT 9 * max(doc_id) FROM documents) AS ends FROM documents LEFT JOIN pages ON page_id = doc_id)
+SELECT ordinal, coalesce(image, '') AS image, text FROM r WHERE text <> '' AND ordinal < coalesce((SELECT min(ordinal) FROM r WHERE ends), ordinal + 1) AND image IS NOT NULL AND image <> 'none.png'""")
+def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts over documents until one says quit; the pages' ids name the images that there are."""
+    d, name = F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
+    most = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    image = F.when((d % 97 == 96) & (d * 10 > 9 * most), " QUIT ").when(d % 4 == 0, "  ").when(d % 4 == 1, F.concat(F.lit(' "'), name, F.lit('" '))).when(d % 4 == 2, "none.png").otherwise(F.concat(F.lit("'"), name, F.lit("'")))
+    rows = _docs(spark, sf_dir, d.alias("ordinal"), image.alias("image"), F.when(d % 6 == 0, " \n").otherwise(F.concat(F.lit(" "), "source")).alias("text"))
+    images = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".png")).alias("name"))
+    return readers.prompts(rows, images)

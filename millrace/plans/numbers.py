@@ -255,3 +255,28 @@ def sampled_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     uniform = lambda seen: F.conv(digits(seen), 16, 10).cast("long") / F.lit(281474976710656.0)
     tokens = numeric.decoded(F.array("t"), _turned(F.col("x")), _STEPS, _END, 1.1, 1, (), uniform=uniform, temperature=0.5, k=8, p=1.0)
     return _logits(spark, sf_dir).select("vec_id", F.array_join(tokens.cast("array<string>"), ",").alias("tokens"))
+
+
+def _step(w: str, g: str, m: str, v: str, t: int) -> str:
+    """SELECT items for one step on lists; ``g`` may be null."""
+    rate = f"(0.01 * sqrt(1 - pow(0.999, {t})) / (1 - pow(0.9, {t})))"
+    return f"""list_transform(range(1, 65), lambda i: {m}[i] * 0.9 + {g}[i] * 0.1) AS m{t}, list_transform(range(1, 65), lambda i: {v}[i] * 0.999 + {g}[i] * {g}[i] * 0.001) AS v{t},
+    list_transform(range(1, 65), lambda i: {w}[i] - {w}[i] * 0.001 - m{t}[i] / (sqrt(v{t}[i]) + 1e-8) * {rate}) AS w{t}"""
+
+
+_ZEROS = "list_transform(range(64), lambda i: 0.0::DOUBLE)"
+
+
+@QUERIES.add(f"""WITH {_E}, one AS (SELECT vec_id, x, {_step('x', 'list_reverse(x)', _ZEROS, _ZEROS, 1)} FROM e),
+two AS (SELECT vec_id, x, w1, m1, v1, {_step('w1', 'x', 'm1', 'v1', 2)} FROM one), late AS (SELECT vec_id, {_step('x', 'x', _ZEROS, _ZEROS, 1)} FROM e)
+SELECT vec_id, (i - 1)::INTEGER AS i, round(CASE WHEN vec_id % 5 = 0 THEN late.w1[i] WHEN vec_id % 7 = 0 THEN two.w1[i] ELSE w2[i] END, 9) + 0.0 AS v, CASE WHEN vec_id % 5 = 0 OR vec_id % 7 = 0 THEN 1 ELSE 2 END AS t
+FROM two JOIN late USING (vec_id), range(1, 65) r(i) WHERE vec_id % 35 <> 0""")
+def optimizer_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps on the vectors as blocks of weights; a fifth has no gradient in the first and a seventh none in the second."""
+    e = _logits(spark, sf_dir).where("vec_id % 35 <> 0")
+    key = (F.col("vec_id").cast("string").alias("name"), F.lit(0).alias("start"))
+    params = matrices.parameters(e.select(*key, F.col("x").alias("values")))
+    for rows, g in (("vec_id % 5 <> 0", F.reverse("x")), ("vec_id % 7 <> 0", F.col("x"))):
+        params = matrices.optimizer_step(params, e.where(rows).select(*key, g.alias("g")), 0.01, 0.1)
+    found = params.select(F.col("name").cast("long").alias("vec_id"), "w", "t")
+    return found.select("vec_id", "t", F.posexplode("w").alias("i", "v")).select("vec_id", "i", (F.round("v", 9) + F.lit(0.0)).alias("v"), "t")

@@ -95,6 +95,20 @@ def caption_rows(rows: DataFrame, image_dir: str, splits: Sequence[str] = ("trai
     return each.select(F.concat_ws("/", F.lit(image_dir), "filename").alias("fn"), "filename", "img_id", "split", "caption_index", strip(F.col("caption")).alias("output")).where("output <> ''")
 
 
+def prompts(rows: DataFrame, images: DataFrame, ends: Sequence[str] = ("exit", "quit")) -> DataFrame:
+    """(ordinal, image, text) of prompts (ordinal, image, text) in order up to the first whose image is a word of ``ends``.
+
+    Texts and images are stripped, quotes around an image too; a blank text is skipped, and so is an image that is not among
+    ``images`` (name). A blank image is none. What ends the prompts is one number, so nothing is sorted.
+    """
+    clean = rows.select("ordinal", strip(F.coalesce("image", F.lit(""))).alias("image"), strip(F.coalesce("text", F.lit(""))).alias("text"))
+    last = clean.where(F.lower("image").isin(*ends)).agg(F.min("ordinal").alias("_last"))
+    bare = F.regexp_replace(F.regexp_replace("image", '^"+|"+$', ""), "^'+|'+$", "")
+    asked = clean.join(F.broadcast(last), F.col("_last").isNull() | (F.col("ordinal") < F.col("_last"))).where("text <> ''").select("ordinal", bare.alias("image"), "text")  # one row
+    none = asked.where("image = ''")
+    return none.unionByName(with_files(asked.where("image <> ''"), images, "image").select("ordinal", "image", "text"))
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, size) of the files below ``path``. Listing is Spark's own, in parallel for many folders; no file is opened,
     and an empty one is not listed."""

@@ -107,3 +107,18 @@ def test_greedy_decoding(spark, steps, ngram, context):
 def test_picked(spark):
     df = spark.createDataFrame([([0.2, 0.0, 0.8], u) for u in (0.0, 0.19, 0.2, 0.99, 1.0)], "p array<double>, u double")
     assert [r[0] for r in df.coalesce(1).select(numeric.picked(F.col("p"), F.col("u"))).collect()] == [0, 0, 2, 2, 2]
+
+
+def test_optimizer_steps(spark):
+    rng = np.random.default_rng(6)
+    w, g = rng.normal(size=5), [rng.normal(size=5) for _ in range(3)]
+    blocks = spark.createDataFrame([("a", 0, w.tolist()), ("b", 0, w.tolist())], "name string, start long, values array<double>")
+    params, m, v, want = matrices.parameters(blocks), np.zeros(5), np.zeros(5), w.copy()
+    for t, own in enumerate(g, 1):
+        params = matrices.optimizer_step(params, spark.createDataFrame([("a", 0, own.tolist())], "name string, start long, g array<double>"), 0.1, 0.2)
+        want = want * (1 - 0.1 * 0.2)
+        m, v = 0.9 * m + 0.1 * own, 0.999 * v + 0.001 * own * own
+        want = want - 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
+    got = {r.name: (r.w, r.t) for r in params.collect()}
+    assert np.allclose(got["a"][0], want, atol=1e-12) and got["a"][1] == 3
+    assert got["b"] == (w.tolist(), 0)

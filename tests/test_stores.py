@@ -72,3 +72,11 @@ def test_rows_with_and_without_a_file(spark, tmp_path):
     rows = spark.createDataFrame([("a.jpg",), ("b.jpg",), ("c.jpg",), (None,), ("a.jpg",)], "fn string")
     assert sorted(r.fn for r in readers.with_files(rows, files, "fn").collect()) == ["a.jpg", "a.jpg", "b.jpg"]
     assert sorted(map(str, (r.fn for r in readers.without_files(rows, files, "fn").collect()))) == ["None", "c.jpg"]
+
+
+def test_prompts_end_at_the_first_word_that_says_so(spark):
+    rows = [(0, None, " hi "), (1, ' "a.jpg" ', "what"), (2, "gone.jpg", "what"), (3, "a.jpg", "  "), (4, "'a.jpg'", "x"), (5, " Exit", "y"), (6, "", "late"), (7, "quit", "z")]
+    df = spark.createDataFrame(rows, "ordinal long, image string, text string")
+    images = spark.createDataFrame([("a.jpg",)], "name string")
+    assert sorted(map(tuple, readers.prompts(df, images).collect())) == [(0, "", "hi"), (1, "a.jpg", "what"), (4, "a.jpg", "x")]
+    assert sorted(r.ordinal for r in readers.prompts(df.where("ordinal not in (5, 7)"), images).collect()) == [0, 1, 4, 6]
