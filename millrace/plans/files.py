@@ -10,6 +10,7 @@ from millrace.operators import bpe, instruct, matrices, sequence
 from millrace.plans import corpus
 from millrace.plans.book import Book, scratch, table
 from millrace.sources import arrays, ranges, readers, shards, tensors, versions
+from millrace.sources.store import file_system, remove
 
 QUERIES = Book()
 _LINES = "unnest(string_split(text, chr(10)))"
@@ -80,10 +81,15 @@ def bytes_ignoring_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add("SELECT (doc_id % 6)::INTEGER AS file_idx, CASE WHEN doc_id % 6 < 4 THEN 'train' ELSE 'valid' END AS split, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1, 2")
 def split_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parquet texts of files in the order of their paths; the first four files train."""
+    """Parquet texts of files in the order of their paths; the first four files train, and one of another suffix is not read."""
     path = scratch(spark, "files")
     docs = _docs(spark, sf_dir, (F.col("doc_id") % 6).alias("file"), "doc_id", "text").repartition(6, "file")
     docs.write.partitionBy("file").parquet(path)
+    docs.where("doc_id % 600 = 0").coalesce(1).drop("file").write.parquet(f"{path}/file=0/_more")  # one small file
+    fs, more = file_system(spark, f"{path}/file=0/_more")
+    name = next(s.getPath() for s in fs.listStatus(more) if s.getPath().getName().startswith("part-"))
+    fs.rename(name, file_system(spark, f"{path}/file=0/again.parquet.parquet")[1])
+    remove(spark, f"{path}/file=0/_more")
     return readers.split_by_file(readers.parquet_texts(spark, path), 4).groupBy("file_idx", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -211,12 +217,15 @@ def until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "doc_id", T.until_end(told).alias("answer"))
 
 
-@QUERIES.add("SELECT pretoken, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(part, '[A-Za-z]+')) AS pretoken FROM (SELECT unnest(string_split(regexp_replace(lang || '<|a|>' || source || '<|b|>' || lang, '<\\|[ab]\\|>', chr(1), 'g'), chr(1))) AS part FROM documents)) GROUP BY pretoken")
+_PART = corpus._PIECES.replace("regexp_replace(text,", "regexp_replace(part,")
+
+
+@QUERIES.add(f"SELECT pretoken, count(*) AS freq FROM (SELECT unnest({_PART}) AS pretoken FROM (SELECT unnest([coalesce(lang, ''), source || ' ' || n_chars || '  ', coalesce(lang, '') || ', it''s ' || doc_id]) AS part FROM documents)) GROUP BY pretoken")
 def specials_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training counts leave special tokens out: the letters of the pieces between them."""
-    text = F.concat("lang", F.lit("<|a|>"), "source", F.lit("<|b|>"), "lang")
-    counts = bpe.pretoken_counts(_docs(spark, sf_dir, text.alias("text")), ["<|a|>", "<|b|>"])
-    return counts.where(F.col("pretoken").rlike("[A-Za-z]")).groupBy(F.regexp_extract("pretoken", "[A-Za-z]+", 0).alias("pretoken")).agg(F.sum("freq").cast("long").alias("freq"))
+    """Training counts leave special tokens out: the pieces between them."""
+    lang = F.coalesce("lang", F.lit(""))
+    text = F.concat(lang, F.lit("<|a|>"), "source", F.lit(" "), F.col("n_chars").cast("string"), F.lit("  <|b|>"), lang, F.lit(", it's "), F.col("doc_id").cast("string"))
+    return bpe.pretoken_counts(_docs(spark, sf_dir, text.alias("text")), ["<|a|>", "<|b|>"])
 
 
 @QUERIES.add("SELECT doc_id, array_to_string(list_transform(range(greatest(1, strlen(text) - 15), strlen(text) + 1), lambda i: ('0x' || hex(encode(text))[2 * i - 1 : 2 * i])::INTEGER), ',') AS last FROM documents")
