@@ -2,8 +2,8 @@
 
 Writing: the rows of a shard meet in one task in order, each with the shard's number of tokens, so the task writes the file's
 header first and then passes the tokens on as they come. Files are written under other names; when all tasks have ended, the
-driver renames them, and a job that fails leaves none. Reading: planning reads the files' headers, and a partition is a range
-of tokens of one file.
+driver renames them, and a job that fails leaves none. Reading: planning reads the files' headers, and a partition is a run of
+ranges of tokens, of one file or of several small ones.
 
 Files are opened with Arrow's file systems: local folders and the object stores that it knows.
 """
@@ -21,9 +21,9 @@ import pyarrow as pa
 from numpy.lib import format as npy
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
-from millrace.sources.ranges import files_below, opened
+from millrace.sources.ranges import BATCH, ROWS, Dealt, dealt, files_below, opened
 
 #: Tokens of a partition and of a row when reading.
 RANGE, ROW = 16 << 20, 1 << 16
@@ -91,39 +91,56 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class TokenRange(InputPartition):
+class Shard:
     path: str
     kind: str
     begin: int
-    first: int
-    last: int
+    n: int
 
 
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.range, self.row = options["path"], int(options.get("range", RANGE)), int(options.get("row", ROW))
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[TokenRange]:
+    def partitions(self) -> list[Dealt]:
         out = []
         for path, _ in files_below(self.path, ".npy"):
             store, inner = opened(path)
             with store.open_input_file(inner) as file:
                 n, kind, begin = read_header(file)
-            out += [TokenRange(path, kind.str, begin, a, min(a + self.range, n)) for a in range(0, max(n, 1), self.range)]
+            out.append((Shard(path, kind.str, begin, n), max(1, -(-n // self.range)), min(self.range, n) * kind.itemsize))
         if not out:
             raise FileNotFoundError(f"no token shards at {self.path}")
-        return out
+        return dealt(out, self.tasks)
 
-    def read(self, part: TokenRange) -> Iterator[pa.RecordBatch]:
-        store, inner = opened(part.path)
-        named, kind = re.search(NAME, part.path), np.dtype(part.kind)
-        with store.open_input_file(inner) as file:
-            file.seek(part.begin + part.first * kind.itemsize)
-            for a in range(part.first, max(part.last, part.first + 1), self.row):
-                n = min(self.row, part.last - a)
-                ids = np.frombuffer(file.read(n * kind.itemsize), dtype=kind).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([named and named[1]], pa.string()), pa.array([named and int(named[2])], pa.int32()), pa.array([a], pa.int64()), lists], ["path", "split", "shard_id", "start", "token_ids"])
+    def read(self, part: Dealt) -> Iterator[pa.RecordBatch]:
+        for shard, first, last in part.runs:
+            store, inner = opened(shard.path)
+            named, kind = re.search(NAME, shard.path), np.dtype(shard.kind)
+            split, number = named and named[1], named and int(named[2])
+            with store.open_input_file(inner) as file:
+                file.seek(shard.begin + first * self.range * kind.itemsize)
+                for starts, sizes in self._rows(shard.n, first, last):
+                    bounds = np.cumsum([0, *sizes])
+                    ids = np.frombuffer(file.read(int(bounds[-1]) * kind.itemsize), dtype=kind).astype(np.int32)
+                    lists, n = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), len(starts)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard.path] * n), pa.array([split] * n, pa.string()), pa.array([number] * n, pa.int32()), pa.array(starts, pa.int64()), lists], ["path", "split", "shard_id", "start", "token_ids"])
+
+    def _rows(self, n: int, first: int, last: int) -> Iterator[tuple[list[int], list[int]]]:
+        """Where the rows of some ranges begin and how many tokens they hold, a batch at a time."""
+        starts, sizes, held = [], [], 0
+        for k in range(first, last):
+            end = min((k + 1) * self.range, n)
+            for a in range(k * self.range, max(end, k * self.range + 1), self.row):
+                starts.append(a)
+                sizes.append(min(self.row, end - a))
+                held += sizes[-1]
+                if held >= BATCH or len(starts) >= ROWS:
+                    yield starts, sizes
+                    starts, sizes, held = [], [], 0
+        if starts:
+            yield starts, sizes
 
 
 class TokenShards(DataSource):
@@ -146,13 +163,13 @@ def write_npy(tokens: DataFrame, path: str, vocab_size: int, prefix: str = "toke
     allows. Ids are not split over tasks within a shard, so its size bounds a task's time, not its memory."""
     tokens.sparkSession.dataSource.register(TokenShards)
     keys = ["split", "shard_id"]
-    sized = tokens.withColumn("total", F.sum(F.size("token_ids").cast("long")).over(Window.partitionBy(*keys)))
-    placed = sized.repartition(*keys).sortWithinPartitions(*keys, "seq_no").select(*keys, "total", "token_ids")
+    sized = tokens.repartition(*keys).withColumn("total", F.sum(F.size("token_ids").cast("long")).over(Window.partitionBy(*keys)))  # one shuffle serves both
+    placed = sized.sortWithinPartitions(*keys, "seq_no").select(*keys, "total", "token_ids")
     placed.write.format("token_shards").mode("append").options(kind="uint16" if vocab_size <= 65_535 else "uint32", prefix=prefix).save(path)
 
 
 def read_npy(spark: SparkSession, path: str, length: int = RANGE, row: int = ROW) -> DataFrame:
-    """(path, split, shard_id, start, token_ids) of files named <prefix>-<split>-<lines>-shard<k>.npy: rows of at most ``row`` tokens,
-    ``length`` tokens a task; an error if there are no files."""
+    """(path, split, shard_id, start, token_ids) of files named <prefix>-<split>-<lines>-shard<k>.npy: rows of at most ``row`` tokens in
+    ranges of ``length``, of which a task reads as many as make up its bytes; an error if there are no files."""
     spark.dataSource.register(TokenShards)
-    return spark.read.format("token_shards").options(range=length, row=row).load(path)
+    return spark.read.format("token_shards").options(range=length, row=row, tasks=spark.sparkContext.defaultParallelism).load(path)

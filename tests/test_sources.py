@@ -123,3 +123,12 @@ def test_stream_resumes(spark, tmp_path):
 
 def test_metrics(spark):
     assert shards.metrics("r", 3, {"loss": 1.5, "acc": 0.5}, spark).select(F.sum("value")).first()[0] == 2.0
+
+
+def test_small_ranges_of_arrays_share_tasks(spark, tmp_path):
+    for k in range(3):
+        np.save(tmp_path / f"x-train-5-shard{k}.npy", np.arange(k, 5000 + k, dtype=np.uint16))
+    df = arrays.read_npy(spark, str(tmp_path), 14, 7)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = sorted((r.shard_id, r.start, r.token_ids) for r in df.collect())
+    assert got == [(k, a, list(range(a + k, min(a + 7, 5000) + k))) for k in range(3) for a in range(0, 5000, 7)]
