@@ -1,7 +1,7 @@
 """Tensor files as tables: a Python data source that reads values by offset, block by block, and writes from the executors.
 
 A file is an eight-byte length, a JSON header with each tensor's type, shape and byte offsets, and the values (the safetensors
-layout). Planning reads headers only; a partition is a block of one tensor, so no file and no tensor is loaded whole. What needs
+layout). Planning reads headers only; a partition is a run of blocks, read some at a time, so no file and no large tensor is loaded whole. What needs
 names and shapes alone, such as counts of parameters, reads no value.
 """
 
@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 
-from millrace.sources.ranges import files_below, opened
+from millrace.sources.ranges import ROWS, Dealt, dealt, files_below, opened
 
 #: Values of a block.
 BLOCK = 1 << 20
@@ -28,13 +28,12 @@ KINDS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "
 
 
 @dataclass
-class Block(InputPartition):
+class Tensor:
     path: str
     name: str
     kind: str
     shape: tuple[int, ...]
     begin: int
-    first: int
     n: int
 
 
@@ -49,30 +48,39 @@ def read_header(file: pa.NativeFile) -> tuple[dict, int]:
 class TensorReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.block, self.values = options["path"], int(options.get("block", BLOCK)), options.get("values", "true") == "true"
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[Block]:
+    def partitions(self) -> list[Dealt]:
         out = []
         for path, _ in files_below(self.path, ".safetensors"):
             store, inner = opened(path)
             with store.open_input_file(inner) as file:
                 entries, begin = read_header(file)
             for name, e in entries.items():
-                n, step = math.prod(e["shape"]), self.block if self.values else max(math.prod(e["shape"]), 1)
-                out += [Block(path, name, e["dtype"], tuple(e["shape"]), begin + e["data_offsets"][0], a, min(step, n - a)) for a in range(0, max(n, 1), step)]
-        return out or [Block("", "", "", (), 0, 0, -1)]
-
-    def read(self, part: Block) -> Iterator[pa.RecordBatch]:
-        if part.n < 0:
-            return
-        values = None
-        if self.values:
-            store, inner = opened(part.path)
-            kind = np.dtype(KINDS[part.kind])
+                tensor = Tensor(path, name, e["dtype"], tuple(e["shape"]), begin + e["data_offsets"][0], math.prod(e["shape"]))
+                out.append((tensor, max(1, -(-tensor.n // self.block)), min(self.block, tensor.n) * np.dtype(KINDS[tensor.kind]).itemsize) if self.values else (tensor, 1, 0))
+        return dealt(out, self.tasks) or [Dealt([])]
+
+    def read(self, part: Dealt) -> Iterator[pa.RecordBatch]:
+        some = max(1, min(ROWS, BLOCK // self.block))
+        for tensor, first, last in part.runs:
+            if not self.values:
+                yield self._rows(tensor, [0], pa.nulls(1, pa.list_(pa.float64())))
+                continue
+            store, inner = opened(tensor.path)
+            kind = np.dtype(KINDS[tensor.kind])
             with store.open_input_file(inner) as file:
-                file.seek(part.begin + part.first * kind.itemsize)
-                values = np.frombuffer(file.read(part.n * kind.itemsize), dtype=kind).astype(np.float64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part.path]), pa.array([part.name]), pa.array([part.kind]), pa.array([list(part.shape)], pa.list_(pa.int64())), pa.array([part.first], pa.int64()), pa.array([values], pa.list_(pa.float64()))],
+                file.seek(tensor.begin + first * self.block * kind.itemsize)
+                for k in range(first, last, some):
+                    bounds = np.minimum(np.arange(k, min(k + some, last) + 1) * self.block, tensor.n)
+                    values = np.frombuffer(file.read(int(bounds[-1] - bounds[0]) * kind.itemsize), dtype=kind).astype(np.float64)
+                    yield self._rows(tensor, bounds[:-1], pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values)))
+
+    @staticmethod
+    def _rows(tensor: Tensor, starts, values: pa.Array) -> pa.RecordBatch:
+        same = lambda x, kind: pa.array([x] * len(values), kind)
+        return pa.RecordBatch.from_arrays(
+            [same(tensor.path, pa.string()), same(tensor.name, pa.string()), same(tensor.kind, pa.string()), same(list(tensor.shape), pa.list_(pa.int64())), pa.array(starts, pa.int64()), values],
             ["path", "name", "kind", "shape", "start", "values"],
         )
 
@@ -135,7 +143,7 @@ class Tensors(DataSource):
 def read_tensors(spark: SparkSession, path: str, block: int = BLOCK, values: bool = True) -> DataFrame:
     """(path, name, kind, shape, start, values): a row for each ``block`` values of a tensor; without ``values`` one row a tensor."""
     spark.dataSource.register(Tensors)
-    return spark.read.format("tensors").options(block=block, values=str(values).lower()).load(path)
+    return spark.read.format("tensors").options(block=block, values=str(values).lower(), tasks=spark.sparkContext.defaultParallelism).load(path)
 
 
 def write_tensors(blocks: DataFrame, path: str) -> None:

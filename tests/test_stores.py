@@ -80,3 +80,12 @@ def test_prompts_end_at_the_first_word_that_says_so(spark):
     images = spark.createDataFrame([("a.jpg",)], "name string")
     assert sorted(map(tuple, readers.prompts(df, images).collect())) == [(0, "", "hi"), (1, "a.jpg", "what"), (4, "a.jpg", "x")]
     assert sorted(r.ordinal for r in readers.prompts(df.where("ordinal not in (5, 7)"), images).collect()) == [0, 1, 4, 6]
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    values = np.arange(6001, dtype=np.float32)
+    plain_file(tmp_path / "x.safetensors", {"a": values, "b": values[:5]})
+    df = tensors.read_tensors(spark, str(tmp_path), 4)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = sorted((r.name, r.start, r.values) for r in df.collect())
+    assert got == [("a", k, values[k : k + 4].tolist()) for k in range(0, 6001, 4)] + [("b", 0, [0, 1, 2, 3]), ("b", 4, [4])]
