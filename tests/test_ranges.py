@@ -67,3 +67,13 @@ def test_when_rounds_end():
     assert rounds.finished([(0, 5), (1, 5)], 10, 1, 3) == 1
     assert rounds.finished([(0, 0), (1, 5), (2, 0), (3, 0)], 100, 1, 2) == 3
     assert rounds.finished([(0, 5)], 100, 1, 2) is None and rounds.finished([], 1, 1, 1) is None
+
+
+def test_tasks_grow_with_bytes_not_with_ranges(spark, tmp_path):
+    parts = [(name, n, size) for name, n, size in (("a", 5000, 100), ("b", 1, 7), ("c", 3, ranges.TASK), ("d", 0, 5), ("e", 40, 1 << 20))]
+    tasks = ranges.dealt(parts, 4)
+    assert {(what, k) for t in tasks for what, a, b in t.runs for k in range(a, b)} == {(what, k) for what, n, _ in parts for k in range(n)}
+    assert sum(b - a for t in tasks for _, a, b in t.runs) == 5044 and len(tasks) <= 7
+    (tmp_path / "t.txt").write_bytes(b"some words " * 2000)
+    assert ranges.text_ranges(spark, str(tmp_path), step=50).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(r.cut for r in ranges.cut_points(spark, str(tmp_path), 50).collect()) == plain_cuts(b"some words " * 2000, 50, 1 << 20)
