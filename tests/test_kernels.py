@@ -40,6 +40,17 @@ def test_attention_of_one_context_is_many_tasks(spark):
     assert "RepartitionByExpression [context" in plan and "own" in plan
 
 
+def test_what_attention_sends_does_not_grow_with_the_square(spark):
+    for n in (3000, 48_000):
+        assert n / attention.stretch(n - 1, 64, 2) <= attention.STRETCHES
+    assert attention.stretch(10**9, 64, 2) <= attention.LONGEST and attention.stretch(0, 64, 2) == 128
+    x = np.random.default_rng(0).normal(size=(700, 4))
+    rows = spark.createDataFrame([(3, i, r.tolist(), r.tolist(), r.tolist()) for i, r in enumerate(x)], "context long, position long, q array<double>, k array<double>, v array<double>")
+    found = attention.causal(rows, heads=2, theta=100.0, block=8, segment=1)
+    got = {r.position: r.out for r in found.collect()}
+    assert np.allclose([got[i] for i in range(700)], plain_attention(x, 2, 100.0), atol=1e-9)
+
+
 def long_form(spark, parts):
     rows = [(m, i, j, float(v)) for m, x in parts.items() for (i, j), v in np.ndenumerate(x)]
     return spark.createDataFrame(rows, "module long, i long, j long, v double")
