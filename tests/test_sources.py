@@ -132,3 +132,21 @@ def test_small_ranges_of_arrays_share_tasks(spark, tmp_path):
     assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     got = sorted((r.shard_id, r.start, r.token_ids) for r in df.collect())
     assert got == [(k, a, list(range(a + k, min(a + 7, 5000) + k))) for k in range(3) for a in range(0, 5000, 7)]
+
+
+def test_errors_are_ignored_in_pieces_of_a_file(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    data = bytes(rng.choice([97, 32, 0xC3, 0xA9, 0x80, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98], 3000).astype(np.uint8)) + "é€😀".encode()[:-1]
+    (tmp_path / "x").write_bytes(data)
+    found = readers.texts_ignoring_errors(spark, str(tmp_path), 11).orderBy("start").collect()
+    assert len(found) > 100
+    assert "".join(r.text for r in found) == data.decode("utf-8", "ignore")
+
+
+def test_each_of_six_files_is_a_task_of_its_own(spark, sf, tmp_path, monkeypatch):
+    from millrace.plans import files
+
+    monkeypatch.setattr(files, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    assert files.split_by_file(spark, sf).count() == 6
+    names = [p.name for p in tmp_path.glob("files/file=*/part-*.parquet")]
+    assert len({n[:10] for n in names}) == len(names) == 6
