@@ -2,7 +2,7 @@
 
 Words travel as array<int> of token ids, ids 0..255 being bytes. Training reads at most a million distinct
 pre-tokens on the driver, the limit being part of the operator, and keeps pair counts incrementally with a lazy
-heap. Encoding keeps one merge cache per Python worker over the pieces that the JVM has cut, so it needs no shuffle.
+heap. Encoding keeps one merge cache of bounded size per Python worker over the pieces that the JVM has cut, so it needs no shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import pretokens, pretokens_keeping, utf8_bytes, without_specials
 
 MOST_PRETOKENS = 1_000_000
+#: Pieces that a Python worker keeps encoded, and values of a list column that it holds as Python objects at a time.
+CACHED, VALUES = 200_000, 1 << 18
 
 
 def pretoken_counts(docs: DataFrame, specials: Sequence[str] = (), text_col: str = "text") -> DataFrame:
@@ -166,42 +167,76 @@ class Encoder:
         self.ranks = {}
         for rank, (left, right, *_) in enumerate(merges):
             pair = (self.ids[tokens[left]], self.ids[tokens[right]])
-            self.ranks[pair] = (rank, self.ids[tokens[left] + tokens[right]])
+            self.ranks[pair] = (rank, self.ids[tokens[left] + tokens[right]], pair)
+        self.byte = {t[0]: i for t, i in self.ids.items() if len(t) == 1}
         self.special = {s: self.ids[s.encode()] for s in specials}
         self.cache: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
         found = self.cache.get(piece)
         if found is None:
-            if piece in self.special:
-                found = [self.special[piece]]
-            else:
-                found = [self.ids[bytes([b])] for b in piece.encode()]
-                while len(found) > 1:
-                    best = min(zip(found, found[1:], strict=False), key=lambda p: self.ranks.get(p, (1 << 60, 0))[0])
-                    if best not in self.ranks:
-                        break
-                    found = merge_pair(found, best, self.ranks[best][1])
-            if len(self.cache) < MOST_PRETOKENS:
+            found = self.merged(piece)
+            if len(self.cache) < CACHED:
                 self.cache[piece] = found
         return found
 
+    def merged(self, piece: str) -> list[int]:
+        """The ids of a piece, not kept."""
+        if piece in self.special:
+            return [self.special[piece]]
+        found = [self.byte[b] for b in piece.encode()]
+        while known := [r for r in map(self.ranks.get, zip(found, found[1:], strict=False)) if r]:
+            _, new, pair = min(known)
+            found = merge_pair(found, pair, new)
+        return found
+
+
+def some_rows(lists: pa.ListArray, most: int = VALUES) -> Iterator[tuple[pa.Array, list[int]]]:
+    """(values, where the rows end) of consecutive rows of a list array without nulls that hold ``most`` values together, or of one row."""
+    offsets, a = lists.offsets.to_numpy(), 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield lists.values.slice(int(offsets[a]), int(offsets[b] - offsets[a])), (offsets[a : b + 1] - offsets[a]).tolist()
+        a = b
+
+
+def _cut(docs: DataFrame, encoder: Encoder, text: Column | None) -> Column:
+    pieces = pretokens_keeping(F.col("text") if text is None else text, list(encoder.special))
+    return F.coalesce(pieces, F.array().cast("array<string>"))
+
 
 def encode(docs: DataFrame, encoder: Encoder, text: Column | None = None, out: str = "ids") -> DataFrame:
     """``docs`` with array<int> ``out``, the tokens of ``text``; a null text has none."""
-    specials = list(encoder.special)
-    pieces = F.coalesce(pretokens_keeping(F.col("text") if text is None else text, specials), F.array().cast("array<string>"))
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
 
     @F.arrow_udf("array<int>")
     def ids_of(lists: pa.Array) -> pa.Array:
-        packed = _packed_cache(shared.value)
-        flat, bounds = lists.flatten().to_pylist(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        rows = [b"".join(map(packed.__getitem__, flat[a:b])) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        packed, rows = _packed_cache(shared.value), []
+        for values, bounds in some_rows(lists):
+            flat = values.to_pylist()
+            rows += [b"".join(map(packed.__getitem__, flat[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
         ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
-    return docs.withColumn(out, ids_of(pieces))
+    return docs.withColumn(out, ids_of(_cut(docs, encoder, text)))
+
+
+def token_counts(docs: DataFrame, encoder: Encoder, text: Column | None = None) -> DataFrame:
+    """(id, n): how often each id occurs in the encoded texts. A task counts where it encodes, so no token becomes a row."""
+    shared = docs.sparkSession.sparkContext.broadcast(encoder)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, n = _packed_cache(shared.value), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for values, _ in some_rows(batch.column(0)):
+                found = np.bincount(np.frombuffer(b"".join(map(packed.__getitem__, values.to_pylist())), dtype=np.int32), minlength=len(n))
+                found[: len(n)] += n
+                n = found
+        ids = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n[ids], pa.int64())], ["id", "n"])
+
+    parts = docs.select(_cut(docs, encoder, text).alias("pieces")).mapInArrow(counted, "id int, n long")
+    return parts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def byte_ids(text: Column) -> Column:
@@ -225,8 +260,8 @@ class _Packed(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.asarray(self.encoder.piece(piece), dtype=np.int32).tobytes()
-        if len(self) < MOST_PRETOKENS:
+        found = np.asarray(self.encoder.merged(piece), dtype=np.int32).tobytes()
+        if len(self) < CACHED:
             self[piece] = found
         return found
 
@@ -245,19 +280,17 @@ def decode(docs: DataFrame, tokens: Sequence[bytes], ids_col: str = "ids", out:
     """``docs`` with the text of array<int> ``ids_col``; invalid UTF-8 becomes U+FFFD."""
     shared = docs.sparkSession.sparkContext.broadcast(list(tokens))
 
-    @F.pandas_udf("string")
-    def text_of(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ids: b"".join(shared.value[i] for i in ids).decode("utf-8", "replace"))
+    @F.arrow_udf("string")
+    def text_of(lists: pa.Array) -> pa.Array:
+        token, texts = shared.value.__getitem__, []
+        for values, bounds in some_rows(lists):
+            flat = values.to_numpy(zero_copy_only=False).tolist()
+            texts += [b"".join(map(token, flat[a:b])).decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+        return pa.array(texts, pa.string())
 
     return docs.withColumn(out, text_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
 
-def decode_ignoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (path, content binary): the text with invalid bytes dropped."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(b or b"").decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], ["path", "text"])
-
-
 def as_array(ids: Sequence[int], vocab_size: int) -> np.ndarray:
     """Token ids in the smallest unsigned type that holds the vocabulary."""
     return np.asarray(ids, dtype=np.uint16 if vocab_size <= 65_535 else np.uint32)

@@ -147,9 +147,9 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(f"WITH RECURSIVE {_CODED} SELECT id::INTEGER AS id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(s, '[0-9]+')) AS id FROM done) GROUP BY id")
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each id occurs in the encoded corpus, one row an id at a time."""
+    """How often each id occurs in the encoded corpus, counted by the tasks that encode."""
     encoder, _ = _encoder(spark, sf_dir)
-    return bpe.encode(_ended(spark, sf_dir), encoder).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return bpe.token_counts(_ended(spark, sf_dir), encoder)
 
 
 @QUERIES.add(f"SELECT doc_id, text || '{T.END}' AS text FROM documents")

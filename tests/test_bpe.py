@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,24 @@ def test_rounds_find_the_merges_of_one_at_a_time(spark, tmp_path, seed):
     want = slow_merges(counts, 25, "id")
     assert merges.train_rounds(table, 25, f"{tmp_path}/a") == want
     assert merges.train_rounds(table.limit(0), 5, f"{tmp_path}/b") == []
+
+
+def test_counts_of_tokens_are_those_of_the_encoded_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the then the", "", None, "a the<|x|> the", "ab " * 50])], "doc_id long, text string").repartition(3)
+    merges = bpe.train(docs, 262, ["<|x|>"])
+    encoder = bpe.Encoder(bpe.vocabulary(merges, ["<|x|>"]), merges, ["<|x|>"])
+    want = Counter(i for r in bpe.encode(docs, encoder).collect() for i in r.ids)
+    found = bpe.token_counts(docs, encoder)
+    assert {r.id: r.n for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workers_keep_and_hold_a_bounded_number_of_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 10)
+    encoder = bpe.Encoder(bpe.vocabulary([]), [])
+    packed = bpe._Packed(encoder)
+    assert [packed[f"{k}"] for k in range(50)] == [np.array(list(f"{k}".encode()), dtype=np.int32).tobytes() for k in range(50)]
+    assert len(packed) == 10 and not encoder.cache
+    lists = pa.array([[1, 2, 3], [], [4], [5, 6, 7, 8, 9], [10]], pa.list_(pa.int32())).slice(1)
+    got = [(v.to_pylist(), b) for v, b in bpe.some_rows(lists, 3)]
+    assert got == [([4], [0, 0, 1]), ([5, 6, 7, 8, 9], [0, 5]), ([10], [0, 1])]
