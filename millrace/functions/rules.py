@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.numeric import let
 from millrace.functions.text import strip, word_count, words
 
 # The word lists of the rules.
@@ -41,10 +42,13 @@ def has_word(text: Column, listed: Iterable[str]) -> Column:
 
 def near_repeat(text: Column, least_words: int = 0) -> Column:
     """A word that equals the next or the one after it; the last two words are not compared with each other."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    n = F.size(found)
-    at = F.when(n >= max(3, least_words), F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.exists(at, lambda k: (F.get(found, k - 1) == F.get(found, k)) | (F.get(found, k - 1) == F.get(found, k + 1)))
+
+    def repeats(found: Column) -> Column:
+        n = F.size(found)
+        at = F.when(n >= max(3, least_words), F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+        return F.exists(at, lambda k: (F.get(found, k - 1) == F.get(found, k)) | (F.get(found, k - 1) == F.get(found, k + 1)))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), repeats)  # not found anew at each place
 
 
 def non_empty(instruction: Column, output: Column) -> Column:

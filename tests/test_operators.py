@@ -84,6 +84,16 @@ def test_near_repeat(spark, text, repeats):
     assert spark.createDataFrame([(text,)], "s string").select(rules.near_repeat(F.col("s"))).first()[0] is repeats
 
 
+def test_near_repeat_finds_the_words_once(spark, sf):
+    """Not at each place, which took time with the square of a text's length."""
+    for name in ("near_repeat", "sft_rules_how_why_short"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == plan.count("exists(") > 0
+    df = spark.createDataFrame([(None,), ("a b a",), ("a b",)], "s string").coalesce(1)
+    assert [r[0] for r in df.select(rules.near_repeat(F.col("s"))).collect()] == [False, True, False]
+    assert [r[0] for r in df.select(rules.near_repeat(F.col("s"), 4)).collect()] == [False, False, False]
+
+
 @pytest.mark.parametrize(
     ("text", "objects"),
     [
