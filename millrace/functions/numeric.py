@@ -65,18 +65,22 @@ def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:
     """Logits of tokens in ``seen`` move away from being chosen again, once each."""
     if penalty <= 1.0:
         return logits
-    return F.transform(logits, lambda x, i: F.when(~F.array_contains(seen, i), x).when(x < 0, x * penalty).otherwise(x / penalty))
+    return let(seen, lambda ids: F.transform(logits, lambda x, i: F.when(~F.array_contains(ids, i), x).when(x < 0, x * penalty).otherwise(x / penalty)))
 
 
 def banned_next(tokens: Column, n: int) -> Column:
     """Tokens that would complete an n-gram which ``tokens`` already holds; sorted, each once."""
     if n <= 1:
         return F.array().cast("array<int>")
-    size = F.size(tokens)
-    suffix = F.slice(tokens, F.greatest(size - n + 2, F.lit(1)), n - 1)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    same = let(suffix, lambda last: F.filter(starts, lambda i: F.slice(tokens, i, n - 1) == last))
-    return F.array_sort(F.array_distinct(F.transform(same, lambda i: F.get(tokens, i + n - 2))))
+
+    def following(ids: Column) -> Column:
+        size = F.size(ids)
+        suffix = F.slice(ids, F.greatest(size - n + 2, F.lit(1)), n - 1)
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        same = let(suffix, lambda last: F.filter(starts, lambda i: F.slice(ids, i, n - 1) == last))
+        return F.array_sort(F.array_distinct(F.transform(same, lambda i: F.get(ids, i + n - 2))))
+
+    return let(tokens, following)
 
 
 def rms_norm(values: Column, gain: float = 1.0, eps: float = 1e-5) -> Column:
@@ -124,7 +128,7 @@ def linear(values: Column, columns: Sequence[Sequence[float]]) -> Column:
 
 
 def without(logits: Column, banned: Column) -> Column:
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(banned, i), F.lit(-math.inf)).otherwise(x))
+    return let(banned, lambda ids: F.transform(logits, lambda x, i: F.when(F.array_contains(ids, i), F.lit(-math.inf)).otherwise(x)))
 
 
 def greedy_step(logits: Column, seen: Column, penalty: float = 1.1, ngram: int = 4) -> Column:
@@ -136,8 +140,8 @@ def greedy_step(logits: Column, seen: Column, penalty: float = 1.1, ngram: int =
 def sampling_probs(logits: Column, temperature: float = 1.0, k: int | None = None, p: float = 1.0) -> Column:
     """What a sampling step draws from: temperature, top-k, softmax, top-p."""
     scaled = F.transform(logits, lambda x: x / temperature)
-    return let(softmax(top_k(scaled, k) if k else scaled), lambda probs: top_p(probs, p))
-
+    kept = let(scaled, lambda x: top_k(x, k)) if k else scaled
+    return let(let(kept, softmax), lambda probs: top_p(probs, p))
 
 
 def picked(probs: Column, uniform: Column) -> Column:
@@ -167,10 +171,10 @@ def decoded(
     def chosen(tokens: Column) -> Column:
         last = F.slice(tokens, F.greatest(F.size(tokens) - context + 1, F.lit(1)), context)
         held = F.concat(banned_next(tokens, ngram), F.array(*[F.lit(b) for b in ban if b != end]).cast("array<int>"))
-        logits = without(repetition_penalty(logits_of(last), tokens, penalty), held)
+        logits = without(repetition_penalty(let(last, logits_of), tokens, penalty), held)
         if uniform is None:
             return let(logits, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
-        return let(logits, lambda x: picked(sampling_probs(x, temperature, k, p), uniform(tokens)))
+        return let(uniform(tokens), lambda u: let(logits, lambda x: picked(sampling_probs(x, temperature, k, p), u)))
 
     def step(state: Column, _: Column) -> Column:
         grown = lambda t: F.when(t == end, F.struct(state["tokens"].alias("tokens"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(state["tokens"], F.array(t)).alias("tokens"), F.lit(False).alias("done"))).cast(kind)

@@ -1,11 +1,14 @@
 """Blockwise attention, tiles and decoding against plain numpy and Python."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric
 from millrace.operators import attention, matrices
+from millrace.plans import registry
 
 
 def plain_attention(x, heads, theta):
@@ -115,6 +118,16 @@ def test_greedy_decoding(spark, steps, ngram, context):
         assert got[i] == want
 
 
+def test_a_step_of_decoding_computes_its_parts_once(spark, sf):
+    """What is banned and the tokens that the logits follow are not computed anew for each of the logits."""
+    for name in ("greedy_decode", "sampled_decode"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert re.findall(r"array_contains\((?!lambda )", plan) == [] and "element_at(slice(" not in plan and "array_contains(" in plan
+    once = numeric.without(F.col("x"), numeric.banned_next(F.concat("t", "t"), 2))
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [0, 1]), (None, [0]), ([1.0], None)], "x array<double>, t array<int>").coalesce(1)
+    assert [r[0] for r in df.select(once).collect()] == [[-np.inf, 2.0, 3.0], None, [1.0]]
+
+
 def test_picked(spark):
     df = spark.createDataFrame([([0.2, 0.0, 0.8], u) for u in (0.0, 0.19, 0.2, 0.99, 1.0)], "p array<double>, u double")
     assert [r[0] for r in df.coalesce(1).select(numeric.picked(F.col("p"), F.col("u"))).collect()] == [0, 0, 2, 2, 2]
