@@ -1,5 +1,6 @@
 """Byte ranges against cuts found by a plain search, and rounds of a stream against the batch operator."""
 
+import io
 import random
 from collections import Counter
 
@@ -77,3 +78,32 @@ def test_tasks_grow_with_bytes_not_with_ranges(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes(b"some words " * 2000)
     assert ranges.text_ranges(spark, str(tmp_path), step=50).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert sorted(r.cut for r in ranges.cut_points(spark, str(tmp_path), 50).collect()) == plain_cuts(b"some words " * 2000, 50, 1 << 20)
+
+
+def plain_cut(data, at, scan):
+    """One cut by the plain search."""
+    white = (i for i in range(at, min(len(data), at + scan)) if data[i : i + 1] in (b" ", b"\n", b"\r", b"\t") and not data[:i].decode("utf-8", "ignore")[-1:].isspace())
+    return next(white, next(i for i in range(at, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80))
+
+
+class Counted(io.BytesIO):
+    bytes_read = 0
+
+    def read(self, n=-1):
+        found = super().read(n)
+        self.bytes_read += len(found)
+        return found
+
+
+def test_cuts_read_about_the_bytes_that_they_need():
+    """Not 64 KB a cut; where white space is far, the same place is found in several pieces."""
+    data = b"some words of a text\n" * 10_000
+    file = Counted(data)
+    cuts = [ranges.cut_after(file, len(data), at, 1 << 20) for at in range(0, len(data), 1000)]
+    assert sorted({*cuts, len(data)}) == plain_cuts(data, 1000, 1 << 20)
+    assert file.bytes_read <= len(data) / 2
+    for gap in (250, 255, 256, 257, 1279, 1280, 1281, 1284, 30_000, 150_000):  # about the ends of pieces, and beyond them
+        for space in (b" ", "\u2003 x".encode(), "\u00a0\n y".encode()):
+            data = b"a" * gap + space + "é".encode() * 300
+            for scan in (gap + 1, gap + 4, 1 << 20, 200):
+                assert ranges.cut_after(Counted(data), len(data), 1, scan) == plain_cut(data, 1, scan)
