@@ -1,8 +1,8 @@
 """Byte-level BPE: distributed counting, merge training on the counted words, encoding and decoding.
 
-Words travel as array<int> of token ids, ids 0..255 being bytes. Training reads at most a million distinct
-pre-tokens on the driver, the limit being part of the operator, and keeps pair counts incrementally with a lazy
-heap. Encoding keeps one merge cache of bounded size per Python worker over the pieces that the JVM has cut, so it needs no shuffle.
+Words travel as array<int> of token ids, ids 0..255 being bytes. Training reads every distinct pre-token. Those of
+``ON_DRIVER`` bytes together are merged on the driver, which keeps pair counts incrementally with a lazy heap; more stay
+in tables and are merged in rounds (``merges``), with the same result. Encoding keeps one merge cache of bounded size per Python worker over the pieces that the JVM has cut, so it needs no shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import pretokens, pretokens_keeping, utf8_bytes, without_specials
+from millrace.sources.store import remove, stored
 
-MOST_PRETOKENS = 1_000_000
+#: Bytes of different pre-tokens that are merged on the driver, some 800,000 words; more are merged where they are.
+ON_DRIVER = 8_000_000
 #: Pieces that a Python worker keeps encoded, and values of a list column that it holds as Python objects at a time.
 CACHED, VALUES = 200_000, 1 << 18
 
@@ -63,12 +65,12 @@ def inverted_index(words: DataFrame) -> DataFrame:
     return words.select("word_id", F.explode(F.array_distinct(adjacent("ids"))).alias("p")).select("p.left", "p.right", "word_id")
 
 
-def train_merges(words: list[tuple[list[int], int]], n_merges: int, tie: str = "id", first_id: int = 256) -> list[tuple[int, int, int]]:
+def train_merges(words: list[tuple[Sequence[int], int]], n_merges: int, tie: str = "id", first_id: int = 256) -> list[tuple[int, int, int]]:
     """(left, right, n) of each merge in order. Ties go to the larger ids, or with tie="bytes" to the larger bytes."""
     tokens: dict[int, bytes] = {i: bytes([i]) for i in range(256)}
     counts: dict[tuple[int, int], int] = defaultdict(int)
     where: dict[tuple[int, int], list[int]] = defaultdict(list)
-    texts = [list(ids) for ids, _ in words]
+    texts = [ids for ids, _ in words]
     for k, (ids, freq) in enumerate(words):
         for pair in zip(ids, ids[1:], strict=False):
             counts[pair] += freq
@@ -127,7 +129,7 @@ class _Reversed:
         return isinstance(other, _Reversed) and self.value == other.value
 
 
-def merge_pair(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+def merge_pair(ids: Sequence[int], pair: tuple[int, int], new: int) -> list[int]:
     """Every occurrence of ``pair`` replaced, from left to right."""
     out, i, n = [], 0, len(ids)
     while i < n:
@@ -140,12 +142,29 @@ def merge_pair(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), min_freq: int | None = None, most: int | None = MOST_PRETOKENS, tie: str = "id", text_col: str = "text") -> list[tuple[int, int, int]]:
-    """Merges of a vocabulary of ``vocab_size`` tokens: 256 bytes, the merges, the special tokens."""
-    counts = frequent(pretoken_counts(docs, specials, text_col), min_freq, most)
+def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), min_freq: int | None = None, most: int | None = None, tie: str = "id", text_col: str = "text", folder: str | None = None) -> list[tuple[int, int, int]]:
+    """Merges of a vocabulary of ``vocab_size`` tokens: 256 bytes, the merges, the special tokens.
+
+    All pre-tokens count unless ``min_freq`` or ``most`` is given. ``folder`` is a new one that all executors share: with it and
+    ties by id, pre-tokens of more than ``ON_DRIVER`` bytes are merged in rounds over tables. Without it all come to the driver.
+    """
+    counts, n_merges = frequent(pretoken_counts(docs, specials, text_col), min_freq, most), max(0, vocab_size - 256 - len(specials))
+    if folder is None or tie != "id":
+        return train_merges(_on_driver(counts), n_merges, tie)
+    from millrace.operators.merges import train_rounds  # it is built on this module
+
+    counts = stored(counts, f"{folder}/pretokens")
+    if (counts.agg(F.sum(F.octet_length("pretoken"))).first()[0] or 0) > ON_DRIVER:
+        found = train_rounds(as_words(counts), n_merges, folder)
+    else:
+        found = train_merges(_on_driver(counts), n_merges)
+    remove(docs.sparkSession, f"{folder}/pretokens")
+    return found
+
+
+def _on_driver(counts: DataFrame) -> list[tuple[bytes, int]]:
     table = counts.toArrow()
-    words = [(list(w.encode()), n) for w, n in zip(table.column("pretoken").to_pylist(), table.column("freq").to_pylist(), strict=True)]
-    return train_merges(words, max(0, vocab_size - 256 - len(specials)), tie)
+    return [(w.encode(), n) for w, n in zip(table.column("pretoken").to_pylist(), table.column("freq").to_pylist(), strict=True)]
 
 
 def vocabulary(merges: Sequence[tuple[int, ...]], specials: Sequence[str] = ()) -> list[bytes]:

@@ -92,12 +92,12 @@ def bpe_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
-    return bpe.train(spread(_documents(spark, sf_dir).select("text")), VOCABULARY, specials=[T.END], min_freq=MIN_FREQ)
+    return bpe.train(spread(_documents(spark, sf_dir).select("text")), VOCABULARY, specials=[T.END], min_freq=MIN_FREQ, folder=scratch(spark, "merges"))
 
 
 @QUERIES.add(f'WITH RECURSIVE {_TRAINED} SELECT rank::INTEGER AS rank, l AS "left", r AS "right", n FROM merges')
 def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained in rounds over tables; the queries below train on the driver, whose words they need there for encoding."""
+    """Trained in rounds over tables; the queries below train on the driver unless the words are too many for it."""
     found = merges.train(spread(_documents(spark, sf_dir).select("text")), VOCABULARY, scratch(spark, "merges"), [T.END], MIN_FREQ)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "rank int, left int, right int, n long")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import END
 from millrace.operators import bpe, merges
+from millrace.plans import corpus
 
 
 def words(counts):
@@ -150,3 +151,24 @@ def test_workers_keep_and_hold_a_bounded_number_of_pieces(monkeypatch):
     lists = pa.array([[1, 2, 3], [], [4], [5, 6, 7, 8, 9], [10]], pa.list_(pa.int32())).slice(1)
     got = [(v.to_pylist(), b) for v, b in bpe.some_rows(lists, 3)]
     assert got == [([4], [0, 0, 1]), ([5, 6, 7, 8, 9], [0, 5]), ([10], [0, 1])]
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder with a table of 1,048,577 different words, five of each; the last of them in any order holds the most frequent pair."""
+    place = str(tmp_path_factory.mktemp("many"))
+    lines = spark.range(1 << 20).select((F.col("id") % 1024).alias("doc_id"), F.translate(F.lpad(F.hex("id"), 5, "0"), "0123456789ABCDEF", "abcdefghijklmnop").alias("w"))
+    texts = lines.groupBy("doc_id").agg(F.repeat(F.concat(F.lit(" "), F.array_join(F.collect_list("w"), " ")), 5).alias("text"))
+    longest = spark.range(5).select((F.col("id") + 1024).alias("doc_id"), F.repeat(F.lit("zq"), 70_001).alias("text"))
+    texts.union(longest).coalesce(4).write.parquet(f"{place}/documents.parquet")
+    return place
+
+
+@pytest.mark.parametrize("on_driver", [bpe.ON_DRIVER, 0])
+def test_bpe_encode_trains_on_every_word(spark, many, monkeypatch, on_driver):
+    monkeypatch.setattr(corpus, "VOCABULARY", 259)
+    monkeypatch.setattr(bpe, "ON_DRIVER", on_driver)
+    assert corpus._trained(spark, many) == [(122, 113, 350_005), (256, 256, 350_000)]
+    if not on_driver:
+        coded = corpus.bpe_encode(spark, many).where("doc_id >= 1024").collect()
+        assert len(coded) == 5 and {r.n_tokens for r in coded} == {35_002}
