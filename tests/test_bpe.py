@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import END
 from millrace.operators import bpe, merges
-from millrace.plans import corpus
+from millrace.plans import corpus, examples
 
 
 def words(counts):
@@ -172,3 +172,9 @@ def test_bpe_encode_trains_on_every_word(spark, many, monkeypatch, on_driver):
     if not on_driver:
         coded = corpus.bpe_encode(spark, many).where("doc_id >= 1024").collect()
         assert len(coded) == 5 and {r.n_tokens for r in coded} == {35_002}
+
+
+def test_encode_from_files_trains_on_every_word(spark, many, monkeypatch):
+    monkeypatch.setattr(corpus, "VOCABULARY", 259)
+    coded = examples.encode_from_files(spark, many).where("doc_id >= 1024").collect()
+    assert len(coded) == 5 and {r.n_tokens for r in coded} == {35_002}
