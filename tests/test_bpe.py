@@ -178,3 +178,9 @@ def test_encode_from_files_trains_on_every_word(spark, many, monkeypatch):
     monkeypatch.setattr(corpus, "VOCABULARY", 259)
     coded = examples.encode_from_files(spark, many).where("doc_id >= 1024").collect()
     assert len(coded) == 5 and {r.n_tokens for r in coded} == {35_002}
+
+
+def test_token_histogram_trains_on_every_word(spark, many, monkeypatch):
+    monkeypatch.setattr(corpus, "VOCABULARY", 259)
+    found = {r.id: r.n for r in corpus.token_histogram(spark, many).collect()}
+    assert {k: n for k, n in found.items() if k >= 256 or k in b"zq"} == {258: 1029, 257: 175_000, 256: 5}
